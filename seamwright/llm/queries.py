@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import credentials, docpairs, handwritten, parsecheck, splitting
+from . import credentials, docpairs, handwritten, parsecheck, pii, splitting, vectors
 
 #: rows of an Arrow batch handed to Python: bounds a worker's memory with long texts
 ARROW_ROWS = 1000
@@ -56,6 +56,21 @@ def p7_redacted(spark: SparkSession, d: str) -> DataFrame:
     return credentials.redacted_files(table(spark, d, "repo_files"))
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return vectors.similar_pairs(table(spark, d, "code_chunk_embeddings"), k=5, min_similarity=0.8)
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    documents = table(spark, d, "documents")
+    model = pii.fit(documents, table(spark, d, "contributor_names"))
+    return pii.personal_data(documents, model).select("doc_id", "kind", "start_char")
+
+
+def p10_masked(spark: SparkSession, d: str) -> DataFrame:
+    documents = table(spark, d, "documents")
+    return pii.personal_data(documents, pii.fit(documents, table(spark, d, "contributor_names")), with_text=True)
+
+
 QUERIES = {name: f for name, f in globals().items() if name[0] == "p" and name[1].isdigit()}
 
 #: none of these can be said in SQL at whole tables: they parse, merge, decode or walk graphs
