@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import credentials, docpairs, handwritten, parsecheck, pii, splitting, vectors
+from . import credentials, docpairs, handwritten, leakage, parsecheck, pii, splitting, vectors
 
 #: rows of an Arrow batch handed to Python: bounds a worker's memory with long texts
 ARROW_ROWS = 1000
@@ -60,6 +60,14 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return vectors.similar_pairs(table(spark, d, "code_chunk_embeddings"), k=5, min_similarity=0.8)
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_questions")).select("item_id", "doc_id")
+
+
+def p8_items(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaked_items(table(spark, d, "documents"), table(spark, d, "eval_questions"))
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     documents = table(spark, d, "documents")
     model = pii.fit(documents, table(spark, d, "contributor_names"))

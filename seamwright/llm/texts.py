@@ -37,7 +37,7 @@ def map_texts(
         for batch in batches:
             texts = batch.column(0)
             args = batch.column(1).to_pylist()
-            keys = list(zip(*(batch.column(2 + i).to_pylist() for i in range(kept))))
+            keys = list(zip(*(batch.column(2 + i).to_pylist() for i in range(kept)))) if kept else [()] * len(args)
             columns: list[list] = [[] for _ in arrow]
             for i, key in enumerate(keys):
                 t = texts[i].as_py()

@@ -15,6 +15,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import md5
 
 import numpy as np
 import pandas as pd
@@ -22,13 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import checkpointed
 from .hnsw import Graph
 
 #: bounds of the router's sample and of one shard; documented parameters
 SAMPLE_ROWS = 8192
-SHARD_ROWS = 12_000
-MARGIN = 0.12
-MAX_PROBES = 4
+SHARD_ROWS = 16_000
+MARGIN = 0.08
+MAX_PROBES = 3
 
 
 def _valid(df: DataFrame, vid: str, group: str, blob: str, dimension: str) -> DataFrame:
@@ -96,11 +98,13 @@ def nearest_vectors(
     for row in lengths:
         if row["count"] <= shard_rows:
             continue
+        # a hash of the id below a bound: about sample_rows rows in all, from every partition
+        bound = int(min(1.0, sample_rows / row["count"]) * 2**62)
         sample = (
             df.where((F.col(group) == row["model"]) & (F.col(dimension) == row["dim"]) & (F.octet_length(blob) == 4 * row["dim"]))
-            .select(F.col(blob).alias("blob"), F.xxhash64(blob).alias("h"))
-            .orderBy("h")
-            .limit(sample_rows)
+            .where(F.shiftrightunsigned(F.xxhash64(F.col(vid).cast("string")), 2) < bound)
+            .select(F.col(blob).alias("blob"))
+            .limit(2 * sample_rows)
             .collect()
         )
         x = np.stack([np.frombuffer(r["blob"], "<f4") for r in sample]).astype(np.float64)
@@ -114,7 +118,7 @@ def nearest_vectors(
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             t = batch.to_pydict()
-            out: dict[str, list] = {"shard": [], "home": [], "model": [], "blob": [], "ids": []}
+            out: dict[str, list] = {"shard": [], "home": [], "blob": [], "ids": []}
             by: dict[tuple[str, int], list[int]] = {}
             for i, (model, b) in enumerate(zip(t["model"], t["blob"])):
                 by.setdefault((model, len(b) // 4), []).append(i)
@@ -135,54 +139,60 @@ def nearest_vectors(
                         for sub in range(subs[cell]):
                             out["shard"].append(f"{model}\x00{dim}\x00{cell}\x00{sub}")
                             out["home"].append(home and sub == mine)
-                            out["model"].append(model)
                             out["blob"].append(t["blob"][i])
                             out["ids"].append(t["ids"][i])
-            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("shard", pa.string()), ("home", pa.bool_()), ("model", pa.string()), ("blob", pa.binary()), ("ids", pa.list_(pa.int64()))]))
+            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("shard", pa.string()), ("home", pa.bool_()), ("blob", pa.binary()), ("ids", pa.list_(pa.int64()))]))
 
-    routed = reps.select("model", "blob", "ids").mapInArrow(route, "shard string, home boolean, model string, blob binary, ids array<long>")
+    routed = reps.select("model", "blob", "ids").mapInArrow(route, "shard string, home boolean, blob binary, ids array<long>")
+    shards = int(sum(int(subs.sum()) for _, subs in router.values())) + len(lengths)
 
     def shard(pdf: pd.DataFrame) -> pd.DataFrame:
         home = pdf["home"].to_numpy()
         here = pdf[home].reset_index(drop=True)
         guests = pdf[~home].reset_index(drop=True)
-        names = ["model", "ids", "other", "similarity"]
         if not len(here):
-            return pd.DataFrame({c: [] for c in names})
+            return pd.DataFrame({c: [] for c in ("model", "ids", "other", "similarity", "value")})
+        model = pdf["shard"].iloc[0].split("\x00")[0]
         raw = np.stack([np.frombuffer(b, "<f4") for b in here["blob"]]).astype(np.float64)
         raw /= np.linalg.norm(raw, axis=1, keepdims=True)
-        x = raw.astype(np.float32)
         low = [i[0] for i in here["ids"]]
-        graph = Graph(x, np.asarray(low, np.int64), m=m, ef=ef)
+        graph = Graph(raw.astype(np.float32), np.asarray(low, np.int64), m=m, ef=ef)
         a, b, s = graph.neighbours(k + 3)
         near = s >= min_similarity - 1e-4
         a, b = a[near], b[near]
-        parts = [pd.DataFrame({"model": here["model"].to_numpy()[a], "ids": here["ids"].to_numpy()[a], "other": here["ids"].to_numpy()[b], "similarity": np.einsum("ij,ij->i", raw[a], raw[b])})]
+        mine = here["ids"].to_numpy()
+        parts = [(mine[a], mine[b], np.einsum("ij,ij->i", raw[a], raw[b]), np.full(len(a), None))]
         if len(guests):
             q = np.stack([np.frombuffer(v, "<f4") for v in guests["blob"]]).astype(np.float64)
             q /= np.linalg.norm(q, axis=1, keepdims=True)
             s, i = graph.search(q.astype(np.float32), k + 3)
             r, c = np.nonzero((i >= 0) & (s >= min_similarity - 1e-4))
             i = i[r, c]
-            parts.append(pd.DataFrame({"model": guests["model"].to_numpy()[r], "ids": guests["ids"].to_numpy()[r], "other": here["ids"].to_numpy()[i], "similarity": np.einsum("ij,ij->i", q[r], raw[i])}))
-        out = pd.concat(parts, ignore_index=True)
+            parts.append((guests["ids"].to_numpy()[r], mine[i], np.einsum("ij,ij->i", q[r], raw[i]), np.full(len(r), None)))
+        # the copies of a vector are its nearest; of crowded ones the value is kept for the rest
+        several = np.flatnonzero([len(i) > 1 for i in mine])
+        value = np.array([md5(here["blob"][j]).hexdigest() if len(mine[j]) > k else None for j in several], dtype=object)
+        parts.append((mine[several], mine[several], np.ones(len(several)), value))
+        out = pd.DataFrame({c: np.concatenate([p[j] for p in parts]) for j, c in enumerate(("ids", "other", "similarity", "value"))})
+        out.insert(0, "model", model)
         return out[out["similarity"] >= min_similarity]
 
-    found = routed.groupBy("shard").applyInPandas(shard, "model string, ids array<long>, other array<long>, similarity double")
-    # the copies of a vector are its nearest; they need no search
+    found = checkpointed(
+        routed.repartition(3 * shards, "shard")
+        .groupBy("shard")
+        .applyInPandas(shard, "model string, ids array<long>, other array<long>, similarity double, value string")
+    )
     rank = Window.partitionBy("model", F.col("ids")[0]).orderBy(F.desc("similarity"), F.col("other")[0])
-    kept = found.withColumn("at", F.row_number().over(rank)).where(F.col("at") <= k).select("model", "ids", "other", "similarity")
-    copies = reps.where(F.size("ids") > 1).select("model", "ids", F.col("ids").alias("other"), F.lit(1.0).alias("similarity"))
+    kept = found.withColumn("at", F.row_number().over(rank)).where(F.col("at") <= k + 1)
     pairs = (
-        kept.unionByName(copies)
-        .select("model", F.explode("ids").alias("id"), "other", "similarity")
+        kept.select("model", F.explode("ids").alias("id"), "other", "similarity")
         .select("model", "id", F.explode("other").alias("neighbour_id"), "similarity")
         .where("id != neighbour_id")
     )
     best = Window.partitionBy("model", "id").orderBy(F.desc("similarity"), "neighbour_id")
     ranked = pairs.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     # copies beyond the first k + 1 of a vector: the first k are their neighbours
-    crowded = reps.where(F.size("ids") == k + 1).select("model", F.md5("blob").alias("value"), "ids")
+    crowded = found.where("value IS NOT NULL").select("model", "value", "ids")
     later = (
         valid.select("id", "model", F.md5("blob").alias("value"))
         .join(crowded, ["model", "value"])
