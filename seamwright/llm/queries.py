@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import credentials, docpairs, handwritten, leakage, parsecheck, pii, splitting, vectors
+from . import credentials, docpairs, handwritten, leakage, mixing, parsecheck, pii, splitting, vectors
 
 #: rows of an Arrow batch handed to Python: bounds a worker's memory with long texts
 ARROW_ROWS = 1000
@@ -68,6 +68,15 @@ def p8_items(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaked_items(table(spark, d, "documents"), table(spark, d, "eval_questions"))
 
 
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    targets = table(spark, d, "mix_targets")
+    return mixing.mix_report(mixing.mix(table(spark, d, "documents"), targets), targets)
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     documents = table(spark, d, "documents")
     model = pii.fit(documents, table(spark, d, "contributor_names"))
