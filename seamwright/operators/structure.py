@@ -23,7 +23,7 @@ from ..functions.text import module_name
 CHUNK_SCHEMA = (
     "file_id long, path string, chunk_type string, symbol_name string, qualified_name string, parent_symbol string, start_line int, end_line int, content string, content_hash string"
 )
-REFERENCE_SCHEMA = "file_id long, path string, relation string, name string, level int, source_symbol string, line int"
+REFERENCE_SCHEMA = "file_id long, path string, relation string, name string, level int, source_symbol string, line int, alias string"
 
 
 def _tree(text: str) -> ast.Module | None:
@@ -69,7 +69,7 @@ def chunk_rows(text: str) -> list[tuple]:
 
 
 def reference_rows(text: str) -> list[tuple]:
-    """(relation, name, level, source symbol, line): imports, calls and base classes of a file."""
+    """(relation, name, level, source symbol, line, alias): imports, calls and base classes of a file."""
     tree = _tree(text)
     out: list[tuple] = []
     if tree is None:
@@ -85,15 +85,15 @@ def reference_rows(text: str) -> list[tuple]:
     for node, names, _ in _walk(tree):
         at = ".".join(names)
         if isinstance(node, ast.Import):
-            out.extend(("imports", a.name, 0, at, node.lineno) for a in node.names)
+            out.extend(("imports", a.name, 0, at, node.lineno, a.asname or a.name.split(".")[0]) for a in node.names)
         elif isinstance(node, ast.ImportFrom):
-            out.extend(("imports", ".".join(filter(None, (node.module, a.name))), node.level, at, node.lineno) for a in node.names)
+            out.extend(("imports", ".".join(filter(None, (node.module, a.name))), node.level, at, node.lineno, a.asname or a.name) for a in node.names)
         elif isinstance(node, ast.Call):
             name = dotted(node.func)
             if name:
-                out.append(("calls", name, 0, at, node.lineno))
+                out.append(("calls", name, 0, at, node.lineno, None))
         elif isinstance(node, ast.ClassDef):
-            out.extend(("references", name, 0, at, node.lineno) for b in node.bases if (name := dotted(b)))
+            out.extend(("references", name, 0, at, node.lineno, None) for b in node.bases if (name := dotted(b)))
     return out
 
 
@@ -259,7 +259,9 @@ def relation_edges(files: DataFrame, projects: DataFrame) -> DataFrame:
     package = F.array_join(F.slice(F.split("path", "/"), F.lit(1), F.greatest(F.size(F.split("path", "/")) - F.col("level"), F.lit(0))), ".")
     full = F.when(F.col("level") > 0, F.concat_ws(".", F.nullif(package, F.lit("")), "name")).otherwise(F.col("name"))
     refs = refs.withColumn("full", F.regexp_replace(full, r"^(?:src|lib)\.", ""))
-    imported = refs.where("relation = 'imports'").select("project_id", "path", F.col("full").alias("bound"), F.element_at(F.split("full", r"\."), -1).alias("alias"))
+    # "import a.b" binds a itself; other imports bind what they name
+    plain = (F.col("level") == 0) & (F.col("alias") == F.element_at(F.split("name", r"\."), 1))
+    imported = refs.where("relation = 'imports'").select("project_id", "path", F.when(plain, F.col("alias")).otherwise(F.col("full")).alias("bound"), "alias")
     # names bound by imports are replaced by what they stand for
     head, tail = F.element_at(F.split("full", r"\."), 1), F.regexp_replace("full", r"^[^.]+", "")
     uses = refs.where("relation != 'imports'").withColumn("alias", head).withColumn("tail", tail)
