@@ -28,8 +28,8 @@ RADIUS = 7
 #: items of one pass over the documents; more items take more passes
 ITEMS_PER_PASS = 2_000
 MIN_WORDS = 6
-#: of the item: the least share of its words spanned, of the weight within the span held, of all weight held
-SPAN_SHARE, HELD_SHARE, LEAST_SHARE = 0.48, 0.75, 0.47
+#: the least share of an item's words that the passage spans and holds; of what it spans, of words and of weight, held
+SPAN_SHARE, WORD_SHARE, SPAN_WORDS, SPAN_WEIGHT = 0.48, 0.45, 0.85, 0.8
 
 _WORD = re.compile(r"[^\W_]+(?:_+[^\W_]+)*")
 _HAN = re.compile(r"[㐀-鿿豈-﫿]")
@@ -217,7 +217,9 @@ class Index:
                         held.update(i + d for d in range(i2 - i) if item[i + d] == region[j + d])
                 span = sum(weight[first : last + 1])
                 kept = sum(weight[p] for p in held)
-                if (last - first + 1) / n >= SPAN_SHARE and kept >= max(HELD_SHARE * span, LEAST_SHARE * total) and len(held) >= min(MIN_WORDS, n):
+                width = last - first + 1
+                whole = width >= SPAN_SHARE * n and len(held) >= max(WORD_SHARE * n, SPAN_WORDS * width, min(MIN_WORDS, n))
+                if whole and kept >= SPAN_WEIGHT * span:
                     best = max(best, kept / total)
             run = [step] if step is not None else []
         return best

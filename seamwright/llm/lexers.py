@@ -39,7 +39,7 @@ class _Small(dict):
 
 # ---------------------------------------------------------------------------- JSON
 _JSON = re.compile(
-    r'[ \t\n\r]+|[{}\[\],:]|"(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*"|true\b|false\b|null\b|[-+.\w]+|.', re.S
+    r'[ \t\n\r]+|[{}\[\],:]|"[^"\\\x00-\x1f]*(?:\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4})[^"\\\x00-\x1f]*)*"|true\b|false\b|null\b|[-+.\w]+|.', re.S
 )
 _JSON_NUM = re.compile(r"-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][-+]?[0-9]+)?")
 
@@ -123,8 +123,8 @@ def toml_kinds(text: str) -> tuple[list[str], list[int]]:
 
 # ---------------------------------------------------------------------------- Python
 PY_LEX = re.compile(
-    r"""(?:[rRbBuUfF]|[bB][rR]|[rR][bBfF]|[fF][rR])?(?:"{3}(?:[^"\\]|\\.|"(?!""))*"{3}|'{3}(?:[^'\\]|\\.|'(?!''))*'{3}|"{3}|'{3}"""
-    r"""|"(?:[^"\\\r\n]|\\(?:\r\n|.))*"|'(?:[^'\\\r\n]|\\(?:\r\n|.))*')"""
+    r"""(?:[rRbBuUfF]|[bB][rR]|[rR][bBfF]|[fF][rR])?(?:"{3}[^"\\]*(?:(?:\\.|"(?!""))[^"\\]*)*"{3}|'{3}[^'\\]*(?:(?:\\.|'(?!''))[^'\\]*)*'{3}|"{3}|'{3}"""
+    r"""|"[^"\\\r\n]*(?:\\(?:\r\n|.)[^"\\\r\n]*)*"|'[^'\\\r\n]*(?:\\(?:\r\n|.)[^'\\\r\n]*)*')"""
     r"|\#[^\r\n]*|(?:\r\n|\n|\r)[ \t\f]*|[ \t\f]+|\\(?:\r\n|\n|\r)|[^\W\d]\w*"
     r"|0[xX][0-9a-fA-F_]*\w*|(?:\d|\.\d)[\w.]*(?:(?<=[eE])[-+]\d\w*)?"
     r"|\*\*=|//=|>>=|<<=|\.\.\.|[-+*/%@&|^=<>!:]=|->|\*\*|//|<<|>>|.",
@@ -307,14 +307,14 @@ def python_kinds(text: str) -> tuple[list[str], list[int]]:
 
 
 # ---------------------------------------------------------------------------- JavaScript and TypeScript
-_JS_STR = r'"(?:[^"\\\r\n]|\\(?:\r\n|.))*"|\'(?:[^\'\\\r\n]|\\(?:\r\n|.))*\''
-_JS_TMPL = r"`(?:[^`\\$]|\\.|\$(?!\{)|\$\{[^{}`]*\})*`"
+_JS_STR = r'"[^"\\\r\n]*(?:\\(?:\r\n|.)[^"\\\r\n]*)*"|\'[^\'\\\r\n]*(?:\\(?:\r\n|.)[^\'\\\r\n]*)*\''
+_JS_TMPL = r"`[^`\\$]*(?:(?:\\.|\$(?!\{)|\$\{[^{}`]*\})[^`\\$]*)*`"
 _JS_REGEX = r"/(?![/*])(?:[^/\\\[\n]|\\[^\n]|\[(?:[^\]\\\n]|\\[^\n])*\])+/[A-Za-z]*"
 _JS_PUNCT = r"\.\.\.|=>|===|!==|==|!=|\*\*=|\*\*|<<=|>>>=|>>=|<=|>=|&&=|\|\|=|\?\?=|&&|\|\||\?\?|\?\.(?!\d)|\+\+|--|\+=|-=|\*=|/=|%=|&=|\|=|\^=|<<|[{}()\[\];,<>+\-*/%&|^!~?:=.@]"
 _JS_NUM = r"0[xX][\da-fA-F_]+n?|0[bB][01_]+n?|0[oO][0-7_]+n?|(?:\d[\d_]*\.?[\d_]*|\.\d[\d_]*)(?:[eE][-+]?\d[\d_]*)?n?"
 #: (white space)(token); a slash directly after an operator or a word that wants an operand begins a regular expression
 JS_LEX = re.compile(
-    r"(\s*)(//[^\r\n]*|/\*(?:[^*]|\*(?!/))*\*/|(?:[(,=:\[!&|?{};+\-*%<>~^]+|\b(?:return|typeof|case|in|of|do|else|void|delete|throw|new|yield|await))\s*"
+    r"(\s*)(//[^\r\n]*|/\*[^*]*(?:\*(?!/)[^*]*)*\*/|(?:[(,=:\[!&|?{};+\-*%<>~^]+|\b(?:return|typeof|case|in|of|do|else|void|delete|throw|new|yield|await))\s*"
     + _JS_REGEX
     + r"|(?:[^\W\d]|\$)[\w$]*|"
     + _JS_STR
@@ -332,7 +332,7 @@ _JS_PUNCT_RE = re.compile(_JS_PUNCT)
 _JS_REGEX_RE = re.compile(_JS_REGEX)
 _JS_WORD_RE = re.compile(r"(?:[^\W\d]|\$)[\w$]*")
 _JS_STR_RE = re.compile(_JS_STR, re.S)
-_JS_SPACE_RE = re.compile(r"(?:\s+|//[^\r\n]*|/\*(?:[^*]|\*(?!/))*\*/)+", re.S)
+_JS_SPACE_RE = re.compile(r"(?:\s+|//[^\r\n]*|/\*[^*]*(?:\*(?!/)[^*]*)*\*/)+", re.S)
 JS_KIND = {x: x for x in JS_RESERVED | JS_CONTEXTUAL} | {
     x: x
     for x in "... => === !== == != **= ** <<= >>>= >>= <= >= &&= ||= ??= && || ?? ?. ++ -- += -= *= /= %= &= |= ^= << { } ( ) [ ] ; , < > + - * / % & | ^ ! ~ ? : = . @".split()

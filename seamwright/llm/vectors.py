@@ -178,7 +178,7 @@ def nearest_vectors(
         return out[out["similarity"] >= min_similarity]
 
     found = checkpointed(
-        routed.repartition(3 * shards, "shard")
+        routed.repartition(max(1, 3 * shards), "shard")
         .groupBy("shard")
         .applyInPandas(shard, "model string, ids array<long>, other array<long>, similarity double, value string")
     )
