@@ -97,20 +97,59 @@ def poisoned_sum(rows: DataFrame, group: str, value: Column, known: Column) -> D
     return got.select(group, F.when(F.col("unknown") == 0, F.round("total", 4)).alias("total"), F.when(F.col("unknown") > 0, "unknown").otherwise("calculated").alias("status"))
 
 
-def round_robin(rows: DataFrame, key: str, batches: int) -> DataFrame:
-    """(key, batch): rows dealt to batches in the order of their keys.
+def numbered(rows: DataFrame, key: str) -> DataFrame:
+    """(key, number): rows numbered from 0 in the order of their keys.
 
     Numbers are made per range partition and shifted by the counts before it, so that no task
     sees all rows.
     """
-    parts = rows.select(key).repartitionByRange(key).select(key, F.spark_partition_id().alias("p")).sortWithinPartitions(key)
     from ..session import checkpointed
 
-    parts = checkpointed(parts)
-    counts = parts.groupBy("p").count()
+    parts = checkpointed(rows.select(key).repartitionByRange(key).select(key, F.spark_partition_id().alias("p")))
+    counts = parts.groupBy("p").count()  # a row per partition
     before = counts.select("p", F.coalesce(F.sum("count").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     inside = parts.withColumn("at", F.row_number().over(Window.partitionBy("p").orderBy(key)) - 1)
-    return inside.join(before, "p").select(key, F.pmod(F.col("before") + F.col("at"), F.lit(batches)).alias("batch"))
+    return inside.join(before, "p").select(key, (F.col("before") + F.col("at")).alias("number"))
+
+
+def round_robin(rows: DataFrame, key: str, batches: int) -> DataFrame:
+    """(key, batch): rows dealt to batches in the order of their keys."""
+    return numbered(rows, key).select(key, F.pmod("number", F.lit(batches)).alias("batch"))
+
+
+def half_cover(rows: DataFrame, key: str) -> DataFrame:
+    """(key, part): the first half of the rows by key (one more if odd) is A, the rest B."""
+    total = rows.count()
+    return numbered(rows, key).select(key, F.when(F.col("number") < (total + 1) // 2, "A").otherwise("B").alias("part"))
+
+
+def stratified_bootstrap(values: DataFrame, repository: str, key: str, value: str, samples: int = 2000, seed: int = 20260726) -> DataFrame:
+    """(level, mean, low, high): intervals of the pooled mean and of the mean of repository means.
+
+    Each sample draws within every repository as many values as it has, from one generator
+    over repositories and values in order; at most 100 000 values in all.
+    """
+    n = min(20_000, max(100, samples))
+
+    def draw(pdf: pd.DataFrame) -> pd.DataFrame:
+        if len(pdf) > 100_000:
+            raise ValueError("a bootstrap has at most 100 000 values")
+        groups = [[float(x) for x in g.sort_values(key)[value]] for _, g in pdf.groupby(repository, sort=True)]
+        rng = random.Random(seed)
+        size = sum(map(len, groups))
+        micro, macro = [], []
+        for _ in range(n):
+            means = [sum(g[rng.randrange(len(g))] for _ in g) / len(g) for g in groups]
+            micro.append(sum(m * len(g) for m, g in zip(means, groups)) / size)
+            macro.append(sum(means) / len(means))
+        rows = []
+        for name, got, mean in (("micro", micro, sum(map(sum, groups)) / size), ("macro", macro, sum(sum(g) / len(g) for g in groups) / len(groups))):
+            got.sort()
+            rows.append((name, mean, got[int(0.025 * n)], got[min(n - 1, int(0.975 * n))]))
+        return pd.DataFrame(rows, columns=["level", "mean", "low", "high"])
+
+    rows = values.where(F.col(value).isNotNull() & F.col(repository).isNotNull()).select(F.lit(1).alias("one"), repository, key, value)
+    return rows.groupBy("one").applyInPandas(draw, "level string, mean double, low double, high double")
 
 
 def dataset_faults(questions: DataFrame, chunks: DataFrame, files: DataFrame) -> DataFrame:

@@ -50,7 +50,7 @@ def same_as_sql(tiny):
             return "double"
         if t.startswith(("varchar", "string")):
             return "string"
-        return t.split("(")[0].split(" ")[0]
+        return t.split("(")[0].split(" ")[0].removesuffix("_ntz")
 
     def compare(df, sql):
         cur = con.execute(sql)
