@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.paths import compared_path, language_of
 from ..functions.text import file_name
+from ..session import checkpointed
 
 # What is skipped, read and read first when a repository is taken in.
 SKIP_PARTS = (
@@ -107,7 +108,9 @@ def file_profiles(files: DataFrame) -> DataFrame:
     """One row per file: compared path, language, importance (6 digits), core flag, bytes, lines.
 
     Core are the first 14 files of a snapshot by importance over 12; ties by id.  Null
-    contents count as empty, null paths are left out.
+    contents count as empty, null paths are left out.  Texts are read once, into a table of
+    figures; of that only the first 14 rows per snapshot are moved to find where core ends,
+    so that one huge snapshot is no single task.
     """
     text = F.coalesce("content", F.lit(""))
     path = compared_path(F.col("path"))
@@ -116,8 +119,13 @@ def file_profiles(files: DataFrame) -> DataFrame:
         "id", "project_id", path.alias("path"), language_of(F.col("path")).alias("language"), score.alias("importance"),
         F.octet_length(text).cast("long").alias("bytes"), (F.char_length(text) - F.char_length(F.replace(text, F.lit("\n"), F.lit("")))).cast("long").alias("line_ends"),
     )
+    rows = checkpointed(rows)
     order = Window.partitionBy("project_id").orderBy(F.desc("importance"), "id")
-    return rows.withColumn("is_core", (F.row_number().over(order) <= 14) & (F.col("importance") > 12))
+    first = rows.where("importance > 12").select("project_id", "importance", "id").withColumn("at", F.row_number().over(order)).where(F.col("at") <= 14)
+    last = first.groupBy("project_id").agg(F.min(F.struct("importance", (-F.col("id")).alias("minus_id"))).alias("last"))
+    core = (F.col("importance") > F.col("last.importance")) | ((F.col("importance") == F.col("last.importance")) & (-F.col("id") >= F.col("last.minus_id")))
+    joined = rows.join(last.withColumnRenamed("project_id", "_project"), F.col("project_id").eqNullSafe(F.col("_project")), "left")
+    return joined.select(*rows.columns, F.coalesce(core, F.lit(False)).alias("is_core"))
 
 
 def project_summaries(files: DataFrame) -> DataFrame:

@@ -85,10 +85,33 @@ def bootstrap(values: DataFrame, group: str, key: str, value: str, samples: int
 
 
 def percentiles(rows: DataFrame, group: str, value: str, at: tuple[float, ...] = (0.5, 0.95)) -> DataFrame:
-    """Mean and exact percentiles between the two nearest ranks, per group."""
-    return rows.groupBy(group).agg(
-        F.count("*").alias("n"), F.round(F.avg(value), 6).alias("mean"), *[F.round(F.percentile(value, F.lit(q)), 6).alias(f"p{round(q * 100)}") for q in at]
-    )
+    """Count, mean and exact percentiles of each group, interpolated between the two nearest ranks.
+
+    Values are range-partitioned by (group, value); ranks are made per partition and shifted
+    by the counts before it, so a group of any size is spread.  Null values are left out.
+    """
+    from ..session import checkpointed
+
+    given = rows.where(F.col(value).isNotNull()).select(F.col(group).alias("g"), F.col(value).cast("double").alias("v"))
+    parts = checkpointed(given.repartitionByRange("g", "v").select("g", "v", F.spark_partition_id().alias("p")))
+    counts = parts.groupBy("g", "p").agg(F.count("*").alias("c"))
+    before = counts.select("g", "p", (F.sum("c").over(Window.partitionBy("g").orderBy("p")) - F.col("c")).alias("before"))
+    stats = parts.groupBy("g").agg(F.count("*").alias("n"), F.avg("v").alias("mean"))
+    inside = parts.withColumn("at", F.row_number().over(Window.partitionBy("g", "p").orderBy("v")) - 1)
+    same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
+    ranked = inside.join(before.select(F.col("g").alias("g2"), F.col("p").alias("p2"), "before"), same("g", "g2") & (F.col("p") == F.col("p2")))
+    ranked = ranked.join(stats.withColumnRenamed("g", "g3"), same("g", "g3")).select("g", "v", "n", "mean", (F.col("before") + F.col("at")).alias("rank"))
+    low = [F.floor((F.col("n") - 1) * q) for q in at]
+    wanted = F.lit(False)
+    for x in low:
+        wanted = wanted | (F.col("rank") == x) | (F.col("rank") == x + 1)
+    cuts = []
+    for q, x in zip(at, low):
+        a = F.max(F.when(F.col("rank") == x, F.col("v")))
+        b = F.max(F.when(F.col("rank") == x + 1, F.col("v")))
+        part = F.first((F.col("n") - 1) * q - x)
+        cuts.append(F.round(a + F.coalesce(b - a, F.lit(0.0)) * part, 6).alias(f"p{round(q * 100)}"))
+    return ranked.where(wanted).groupBy("g").agg(F.first("n").alias("n"), F.round(F.first("mean"), 6).alias("mean"), *cuts).withColumnRenamed("g", group)
 
 
 def poisoned_sum(rows: DataFrame, group: str, value: Column, known: Column) -> DataFrame:

@@ -16,11 +16,19 @@ from pyspark.sql import functions as F
 
 from ..functions.paths import compared_path
 from ..functions.text import code_tokens, normal_identifier, searchable_text
+from ..session import checkpointed
 
 K1, B = 1.5, 0.75
 RRF_K = 60
 #: queries of one pass
 BLOCK = 1024
+#: rows of a side that is sent to every task
+SENT_ROWS = 200_000
+
+
+def sent_if_small(df: DataFrame, rows: int = SENT_ROWS) -> DataFrame:
+    """``df`` marked for broadcast if it has at most so many rows; else it is joined by a shuffle."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
 def top_k(rows: DataFrame, by: list[str], order: list[Column], k: int, name: str = "place") -> DataFrame:
@@ -48,11 +56,12 @@ def bm25(texts: DataFrame, key: str, text: Column, queries: DataFrame, query_key
     stats = texts.select(F.size(code_tokens(text)).alias("n")).agg(F.count("*").alias("total"), F.avg("n").alias("mean")).first()
     total, mean = stats["total"], stats["mean"] or 1.0
     asked = queries.select(F.col(query_key), F.explode(code_tokens(query_text)).alias("term")).groupBy(query_key, "term").agg(F.count("*").alias("qf"))
+    asked = sent_if_small(checkpointed(asked))  # a term in every text is no hot key then
     wanted = counts.join(asked.select("term").distinct(), "term", "left_semi")
     df = wanted.groupBy("term").agg(F.count("*").alias("df"))
     ratio = F.col("tf") + F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("length") / F.lit(float(mean)))
     idf = F.log(F.lit(1.0) + (F.lit(float(total)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = wanted.join(df, "term").select("term", key, (idf * F.col("tf") * (K1 + 1) / ratio).alias("w"))
+    weight = wanted.join(sent_if_small(checkpointed(df)), "term").select("term", key, (idf * F.col("tf") * (K1 + 1) / ratio).alias("w"))
     scores = (
         weight.join(asked, "term").groupBy(query_key, key).agg(F.round(F.sum(F.col("qf") * F.col("w")), 6).alias("score")).where("score > 0")
     )

@@ -157,7 +157,10 @@ def span_parents(chunks: DataFrame) -> DataFrame:
     left = chunks.select(*SCOPE, "id", "start_line", "end_line", F.coalesce("parent_symbol", F.lit("")).alias("named"))
     right = chunks.select(*SCOPE, F.col("id").alias("other"), F.col("start_line").alias("s2"), F.col("end_line").alias("e2"), F.col("qualified_name").alias("q2"))
     around = (F.col("s2") <= F.col("start_line")) & (F.col("e2") >= F.col("end_line")) & ((F.col("s2") != F.col("start_line")) | (F.col("e2") != F.col("end_line")))
-    held = left.join(right, list(SCOPE)).where((F.col("id") != F.col("other")) & around & ((F.col("named") == "") | (F.col("named") == F.col("q2"))))
+    # a named parent is an equality; only chunks that name none are compared by their spans
+    by_name = left.where("named != ''").join(right.withColumn("named", F.col("q2")), [*SCOPE, "named"])
+    by_span = left.where("named = ''").join(right, list(SCOPE))
+    held = by_name.unionByName(by_span).where((F.col("id") != F.col("other")) & around)
     size = F.col("e2") - F.col("s2") + 1
     # the smallest and how many share its size, by one aggregate over (size, id)
     near = held.groupBy("id").agg(F.min(F.struct(size.alias("size"), F.col("other"))).alias("first"), F.max(F.struct((-size).alias("size"), F.col("other"))).alias("last"))

@@ -52,8 +52,11 @@ def _ranked(spark, d):
     chunks = _t(spark, d, "code_chunks")
     asked = chunks.where("id % 50 = 0").select(F.col("id").alias("hint_id"), F.col("qualified_name").alias("value"))
     lexical = retrieval.bm25(chunks, "id", retrieval.chunk_text(), asked, "hint_id", F.col("value"), ["path", "start_line", "end_line", "id"], 8)
-    same = chunks.select("id", "content_hash").join(chunks.where("id % 50 = 0").select(F.col("id").alias("hint_id"), "content_hash"), "content_hash")
-    return lexical, retrieval.symbol_matches(chunks, _hints(spark, d), 8), same.select("hint_id", "id")
+    # gold is the chunk itself and the first copy of its content
+    first = chunks.groupBy("content_hash").agg(F.min("id").alias("id"))
+    own = chunks.where("id % 50 = 0").select(F.col("id").alias("hint_id"), "content_hash")
+    gold = own.select("hint_id", F.col("hint_id").alias("id")).unionByName(own.join(first, "content_hash").select("hint_id", "id")).distinct()
+    return lexical, retrieval.symbol_matches(chunks, _hints(spark, d), 8), gold
 
 
 def gold_metrics(spark, d):
@@ -127,7 +130,7 @@ f AS (
   FROM f JOIN x ON x.learner_id IS NOT DISTINCT FROM f.learner_id AND x.project_id IS NOT DISTINCT FROM f.project_id AND x.target_id IS NOT DISTINCT FROM f.target_id AND x.n = f.n + 1),
 st AS (SELECT learner_id, project_id, target_id, mastery, availability, len(passed) AS passes, 0::BIGINT AS qualifying_passes, reason AS review_reason, last_event_id, total AS events FROM f WHERE n = total)"""
 RANKED = _bm25_sql("x", "code_chunks", "id", CHUNK_TEXT, "SELECT id AS q, qualified_name AS qtext FROM code_chunks WHERE id % 50 = 0", "c.path, c.start_line, c.end_line, c.id", 8)
-GOLD = "gd AS (SELECT b.id AS hint_id, a.id FROM code_chunks a JOIN code_chunks b USING (content_hash) WHERE b.id % 50 = 0), gs AS (SELECT hint_id, count(*) AS gold FROM gd GROUP BY 1)"
+GOLD = "gd AS (SELECT id AS hint_id, id FROM code_chunks WHERE id % 50 = 0 UNION SELECT c.id, f.id FROM code_chunks c JOIN (SELECT content_hash, min(id) AS id FROM code_chunks GROUP BY 1) f USING (content_hash) WHERE c.id % 50 = 0), gs AS (SELECT hint_id, count(*) AS gold FROM gd GROUP BY 1)"
 
 
 def _metrics(name: str, ranked: str) -> str:
