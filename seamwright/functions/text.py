@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -54,6 +56,40 @@ def code_tokens(text: Column) -> Column:
     return F.when(ascii_only, F.flatten(F.transform(raw, variants_ascii))).otherwise(F.flatten(F.transform(raw, variants)))
 
 
+_RAW = re.compile(r"\w+")
+_HAN = re.compile(_HAN_RUN)
+_LOW_UP, _CAP_RUN = re.compile(r"([a-z0-9])([A-Z])"), re.compile(r"([A-Z])([A-Z][a-z])")
+_WORDS: dict[str, tuple[str, ...]] = {}
+
+
+def word_tokens(word: str) -> tuple[str, ...]:
+    """The distinct tokens of one run of word characters."""
+    got = _WORDS.get(word)
+    if got is None:
+        plain = [word]
+        for part in word.split("_"):
+            if part:
+                plain.append(part)
+                plain.extend(_CAP_RUN.sub(r"\1 \2", _LOW_UP.sub(r"\1 \2", part)).split(" "))
+        out: dict[str, None] = {}
+        for t in (p.lower() for p in plain):
+            if t:
+                out[t] = None
+                if not t.isascii():
+                    for run in _HAN.findall(t):
+                        out.update(dict.fromkeys([run, *run, *(run[i : i + 2] for i in range(len(run) - 1))]))
+        got = tuple(out)
+        if len(_WORDS) > 500_000:
+            _WORDS.clear()
+        _WORDS[word] = got
+    return got
+
+
+def code_tokens_of(text: str) -> list[str]:
+    """``code_tokens`` in Python, for batches: words repeat, so each is cut up once a worker."""
+    return [t for w in _RAW.findall(text) for t in word_tokens(w)]
+
+
 #: the same tokens for one word ``w`` and one text ``t`` in DuckDB's dialect
 TOKENS_SQL = r"""list_filter(flatten(list_transform(regexp_extract_all({t}, '[\p{{L}}\p{{N}}_]+'), lambda w:
   list_distinct(list_filter(flatten(list_transform(

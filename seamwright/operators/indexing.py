@@ -9,9 +9,10 @@ from hashlib import sha256
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import code_tokens_of
 from . import retrieval
 from .maintenance import embedding_inputs
 from .structure import _per_file, _tree, definition_edges, python_chunks
@@ -37,28 +38,28 @@ def bag_vector(tokens: list[str], dimension: int) -> np.ndarray:
     return (v / n if n else v).astype(np.float32)
 
 
-def encoded(rows: DataFrame, key: str, tokens: str, dimension: int = 128, encode: Callable[[list[str], int], np.ndarray] = bag_vector) -> DataFrame:
-    """(key, vector): rows encoded batch by batch; a row the encoder fails on is left out."""
+def encoded(rows: DataFrame, key: str, text: Column, dimension: int = 128, encode: Callable[[list[str], int], np.ndarray] = bag_vector) -> DataFrame:
+    """(key, vector): the tokens of texts encoded batch by batch; a row the encoder fails on is left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, vectors = [], []
             for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 try:
-                    vectors.append(encode(t or [], dimension).tolist())
+                    vectors.append(encode(code_tokens_of(t or ""), dimension).tolist())
                     keys.append(k)
                 except (ValueError, TypeError):
                     continue
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(vectors, pa.list_(pa.float32()))], names=[key, "vector"])
 
-    return rows.select(F.col(key).cast("long"), F.col(tokens)).mapInArrow(run, f"{key} long, vector array<float>")
+    return rows.select(F.col(key).cast("long"), text.alias("_text")).mapInArrow(run, f"{key} long, vector array<float>")
 
 
 def embed_missing(chunks: DataFrame, embeddings: DataFrame, model: str, dimension: int = 128) -> DataFrame:
     """(code_chunk_id, content_hash, embedding_input_hash, model_name, vector) for chunks without a fresh one."""
     have = embeddings.where(F.col("model_name") == model).select(F.col("code_chunk_id").alias("id"), "content_hash")
     todo = chunks.join(have, ["id", "content_hash"], "left_anti")
-    vectors = encoded(todo.select("id", retrieval.code_tokens(retrieval.chunk_text()).alias("tokens")), "id", "tokens", dimension)
+    vectors = encoded(todo, "id", retrieval.chunk_text(), dimension)
     return todo.join(embedding_inputs(todo), "id").join(vectors, "id").select(
         F.col("id").alias("code_chunk_id"), "content_hash", F.col("input_hash").alias("embedding_input_hash"), F.lit(model).alias("model_name"), "vector"
     )
@@ -74,8 +75,8 @@ def search(chunks: DataFrame, questions: DataFrame, key: str, text: str, k: int
     asked = questions.select(F.col(key).cast("long").alias(key), F.col(text).alias("q")).where("q IS NOT NULL")
     weights = retrieval.query_intents(asked, key, "q").select(key, "dense_weight", "lexical_weight", "symbol_weight")
     lexical = retrieval.bm25(chunks, "id", retrieval.chunk_text(), asked, key, F.col("q"), ["path", "start_line", "end_line", "id"], pool)
-    vectors = encoded(chunks.select("id", retrieval.code_tokens(retrieval.chunk_text()).alias("tokens")), "id", "tokens")
-    asked_vectors = encoded(asked.select(key, retrieval.code_tokens(F.col("q")).alias("tokens")), key, "tokens")
+    vectors = encoded(chunks, "id", retrieval.chunk_text())
+    asked_vectors = encoded(asked, key, F.col("q"))
     dense = retrieval.dense(vectors, "id", "vector", asked_vectors, key, "vector", pool)
     named = retrieval.symbol_hints(asked, key, "q")
     hints = named.select(F.xxhash64(key, "hint").alias("hint_id"), F.col("hint").alias("value"), F.lit(None).cast("string").alias("path"))

@@ -7,6 +7,7 @@ read and is cut to the best k per partition before anything is moved.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.paths import compared_path
-from ..functions.text import code_tokens, normal_identifier, searchable_text
+from ..functions.text import _RAW, normal_identifier, searchable_text, word_tokens
 from ..session import checkpointed
 
 K1, B = 1.5, 0.75
@@ -37,35 +38,64 @@ def top_k(rows: DataFrame, by: list[str], order: list[Column], k: int, name: str
     return rows.withColumn(name, at).where(F.col(name) <= k)
 
 
-def term_counts(texts: DataFrame, key: str, text: Column) -> DataFrame:
-    """(key, term, tf, length): counts of the code tokens of each text and its number of tokens."""
-    tokens = texts.select(F.col(key), code_tokens(text).alias("tokens"))
-    sized = tokens.select(key, F.size("tokens").cast("long").alias("length"), F.explode("tokens").alias("term"))
-    return sized.groupBy(key, "term", "length").agg(F.count("*").alias("tf"))
+def term_counts(texts: DataFrame, key: str, text: Column, vocabulary: frozenset[str] | None = None) -> DataFrame:
+    """(key, term, tf, length): the code tokens of each text with their counts and the text's number of tokens.
+
+    A text is counted whole where it was read; nothing is shuffled.  With a vocabulary only
+    its terms are given.  Each text also gives a row of the empty term with tf 0, so that
+    texts without tokens are seen.  Keys are unique; null texts count as empty.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: tuple[list, list, list, list] = ([], [], [], [])
+            for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                counts: dict[str, int] = {}
+                for w, n in Counter(_RAW.findall(t or "")).items():
+                    for x in word_tokens(w):
+                        counts[x] = counts.get(x, 0) + n
+                length = sum(counts.values())
+                rows = [("", 0), *(counts.items() if vocabulary is None else ((x, n) for x, n in counts.items() if x in vocabulary))]
+                out[0].extend([k] * len(rows))
+                out[1].extend(x for x, _ in rows)
+                out[2].extend(n for _, n in rows)
+                out[3].extend([length] * len(rows))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.string(), pa.int64(), pa.int64()))], names=[key, "term", "tf", "length"])
+
+    return texts.select(F.col(key).cast("long"), text.alias("_text")).mapInArrow(count, f"{key} long, term string, tf long, length long")
+
+
+def query_terms(queries: DataFrame, key: str, text: Column) -> DataFrame:
+    """(key, term, qf): the terms of each query and how often it holds them."""
+    return term_counts(queries, key, text).where("term != ''").select(key, "term", F.col("tf").alias("qf"))
 
 
 def bm25(texts: DataFrame, key: str, text: Column, queries: DataFrame, query_key: str, query_text: Column, ties: list[str], k: int = 20) -> DataFrame:
     """(query_key, key, score, place): BM25 of every query against all texts, the best k each.
 
     Statistics are those of the texts given, so filters belong before.  The idf is
-    ln(1 + (N - df + .5) / (df + .5)); a term counts as often as the query holds it.  Only
-    terms of the queries are joined, so the shuffle holds what some query asks for.
+    ln(1 + (N - df + .5) / (df + .5)); a term counts as often as the query holds it.  Texts
+    are tokenized once; what leaves that pass are counts of terms some query asks for, and
+    the terms of the queries are sent to them, so a term in every text is no hot key.
     Scores of 0 and empty texts do not appear; ties go by the columns ``ties`` of the texts.
     """
-    counts = term_counts(texts, key, text)
-    stats = texts.select(F.size(code_tokens(text)).alias("n")).agg(F.count("*").alias("total"), F.avg("n").alias("mean")).first()
+    asked = checkpointed(query_terms(queries, query_key, query_text))
+    terms = asked.select("term").distinct().limit(SENT_ROWS + 1).collect()
+    vocabulary = frozenset(r["term"] for r in terms) if len(terms) <= SENT_ROWS else None
+    counts = checkpointed(term_counts(texts, key, text, vocabulary))
+    stats = counts.where("term = ''").agg(F.count("*").alias("total"), F.avg("length").alias("mean")).first()
     total, mean = stats["total"], stats["mean"] or 1.0
-    asked = queries.select(F.col(query_key), F.explode(code_tokens(query_text)).alias("term")).groupBy(query_key, "term").agg(F.count("*").alias("qf"))
-    asked = sent_if_small(checkpointed(asked))  # a term in every text is no hot key then
-    wanted = counts.join(asked.select("term").distinct(), "term", "left_semi")
+    wanted = counts.where("term != ''")
+    if vocabulary is None:
+        wanted = wanted.join(asked.select("term").distinct(), "term", "left_semi")
     df = wanted.groupBy("term").agg(F.count("*").alias("df"))
     ratio = F.col("tf") + F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("length") / F.lit(float(mean)))
     idf = F.log(F.lit(1.0) + (F.lit(float(total)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = wanted.join(sent_if_small(checkpointed(df)), "term").select("term", key, (idf * F.col("tf") * (K1 + 1) / ratio).alias("w"))
+    weight = wanted.join(sent_if_small(df), "term").select("term", key, (idf * F.col("tf") * (K1 + 1) / ratio).alias("w"))
     scores = (
-        weight.join(asked, "term").groupBy(query_key, key).agg(F.round(F.sum(F.col("qf") * F.col("w")), 6).alias("score")).where("score > 0")
+        weight.join(sent_if_small(asked), "term").groupBy(query_key, key).agg(F.round(F.sum(F.col("qf") * F.col("w")), 6).alias("score")).where("score > 0")
     )
-    named = scores.join(texts.select(key, *[t for t in ties if t != key]), key)
+    named = scores.join(texts.select(F.col(key).cast("long").alias(key), *[t for t in ties if t != key]), key)
     return top_k(named, [query_key], [F.desc("score"), *[F.col(t) for t in ties]], k).select(query_key, key, "score", "place")
 
 

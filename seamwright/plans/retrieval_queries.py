@@ -16,7 +16,7 @@ def _t(spark, d, name):
 
 def token_stats(spark, d):
     counts = r.term_counts(_t(spark, d, "code_chunks"), "id", r.chunk_text())
-    return counts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    return counts.where("term != ''").groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
 def _questions(spark, d):

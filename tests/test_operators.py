@@ -4,7 +4,7 @@ import itertools
 
 from pyspark.sql import functions as F
 
-from seamwright.functions.text import code_tokens
+from seamwright.functions.text import code_tokens, code_tokens_of
 from seamwright.operators import evaluation, learning, retrieval, structure
 
 EVENT = "event_id string, idempotency_key string, learner_id string, project_id string, target_id string, event_order long, event_type string, provenance string, task_id string, validated_outcome_json string, created_at timestamp"
@@ -19,6 +19,8 @@ def test_code_tokens(spark):
     assert tokens(spark, "foo foo") == ["foo", "foo"]
     assert tokens(spark, "读取文件") == ["读取文件", "读", "取", "文", "件", "读取", "取文", "文件"]
     assert tokens(spark, "") == [] and tokens(spark, "?!") == []
+    for t in ("parseHTTPResponse_v2 foo foo", "读取文件 readFile_读取ABc", "__init__ _x A1bC", "", "naïveÉtat 12ab"):
+        assert sorted(code_tokens_of(t)) == sorted(tokens(spark, t))
 
 
 def event(n, kind, prov, outcome, task="t1", target="x", key=None):
