@@ -101,7 +101,7 @@ _BEFORE_NAME = re.compile(
     re.I,
 )
 _AFTER_NAME = re.compile(
-    r"^\s*(?:asked|wrote|writes|said|says|thinks|and I\b|,? who\b|<|\(?[\w.+-]+\s?[@＠]|at [\w.+-]+\s?[@＠\[(]|[,|]\s*(?:[\w.+-]+\s?(?:[@＠]|\[at\])|\+?[(（]?\d)|, backup|reported|filed|mentioned|replied|confirmed|suggested|signed|here\b|[\"']\s*,\s*[\"'](?:tel|email|phone))",
+    r"^\s*(?:asked|wrote|writes|said|says|thinks|agreed|offered|promised|decided|wants|and I\b|,? who\b|<|\(?[\w.+-]+\s?[@＠]|at [\w.+-]+\s?[@＠\[(]|[,|]\s*(?:[\w.+-]+\s?(?:[@＠]|\[at\])|\+?[(（]?\d)|, backup|reported|filed|mentioned|replied|confirmed|suggested|signed|here\b|[\"']\s*,\s*[\"'](?:tel|email|phone))",
     re.I,
 )
 _THING_AFTER = re.compile(r"^\s*(?:release|build|zone|view|table|module|server|cluster|project|library|package|branch|tool|plugin|team|office|station|street|lane|way|road|avenue|bay|(?:[\w-]+\s+)?\d{1,4}[a-z]?,\s*\d{4,5}\b)", re.I)
@@ -174,6 +174,7 @@ def candidates(text: str, gaz: Gazetteer) -> list[Span]:
             before = text[max(0, start - 40) : start]
             zh = re.fullmatch(r"\d{17}[\dXx]", s) is not None
             born = zh and 1900 <= int(s[6:10]) <= 2030 and 1 <= int(s[10:12]) <= 12 and 1 <= int(s[12:14]) <= 31
+            born = born and not _COUNTED.search(before)  # a number of something else may hold a date
             ssn = re.fullmatch(r"\d{3}([- ])\d{2}\1\d{4}", s) is not None
             ni = re.fullmatch(r"[A-Z]{2}[ -]?\d{2}[ -]?\d{2}[ -]?\d{2}[ -]?[A-D]", s) is not None
             out.append(
@@ -241,6 +242,7 @@ def _names(text: str, gaz: Gazetteer, emails: list[tuple[int, int]]) -> list[Spa
         common = any(w in _COMMON for w in real)
         near = any(0 <= a - end < 8 for a, _ in emails)
         initial = re.search(r"(?:^|\s)[A-Z]\.", s) is not None
+        loud = s.isupper() and re.search(r"[A-Z]{2,}\s$", before) is not None and re.match(r"\s[A-Z]{2,}", after) is not None
         out.append(
             Span("name", start, end, (
                 _vote(known_first or (not first and initial), first in gaz.family and last in gaz.given),
@@ -250,7 +252,7 @@ def _names(text: str, gaz: Gazetteer, emails: list[tuple[int, int]]) -> list[Spa
                 _vote(_AFTER_NAME.match(after) is not None or near, _THING_AFTER.match(after) is not None),
                 _vote(initial or comma and known_first and known_last, common),
                 _vote(False, comma and re.search(r"[a-z]\s$", before) is not None and re.search(r"[A-Z][\w-]+\s$", before) is not None or re.search(r"\d\s*$|[\d,]\s+$|\b(?:street|lane|way|road|st\.?|apt \w+),?\s*$", before, re.I) is not None and not known_first),
-                _vote(False, any(w in _COMMON for w in real) or re.search(r"\b[A-Z]\.?$", before) is not None),
+                _vote(False, loud or any(w in _COMMON for w in real) or re.search(r"\b[A-Z]\.?$", before) is not None),
             )))
     if re.search(r"[一-鿿]", text):
         for m in re.finditer(r"[一-鿿]", text):
