@@ -90,11 +90,28 @@ _OBJECT_AFTER = frozenset("= ( , : [ ? return && || ?? ! => ... default typeof n
 _WORD = re.compile(r"(?:[^\W\d]|\$)[\w$]*\Z")
 
 
-def _tokens(text: str) -> tuple[list[str], list[int], dict[int, str]]:
+def _lexemes(text: str, lang_name: str):
+    """(white space, token) of a text; a template with templates inside is one token."""
+    lexemes = JS_LEX.findall(text)
+    if not any(tok == "`" for _, tok in lexemes):
+        return lexemes
+    out, at, scanner = [], 0, _Scanner(text, grammar(lang_name), lang_name)
+    while at < len(text):
+        ws, tok = JS_LEX.match(text, at).groups()
+        at += len(ws)
+        if tok == "`":
+            end = scanner.template(at)
+            tok = text[at:end] if end > 0 else tok
+        at += len(tok)
+        out.append((ws, tok))
+    return out
+
+
+def _tokens(text: str, lang_name: str) -> tuple[list[str], list[int], dict[int, str]]:
     """Tokens, their offsets, and the last comment directly before a token."""
     toks, offs, notes = [], [], {}
     at, note = 0, None
-    for ws, tok in JS_LEX.findall(text):
+    for ws, tok in _lexemes(text, lang_name):
         at += len(ws)
         if not tok:
             break
@@ -125,7 +142,7 @@ def js_symbols(text: str, lang_name: str) -> list[Symbol] | None:
     """Symbols of a JavaScript or TypeScript text in order; None if it does not parse."""
     if not check(text, lang_name).valid:
         return None
-    toks, offs, notes = _tokens(text)
+    toks, offs, notes = _tokens(text, lang_name)
     n = len(toks)
     pair = [-1] * n
     stack: list[int] = []
