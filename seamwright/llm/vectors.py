@@ -28,7 +28,7 @@ from .hnsw import Graph
 
 #: bounds of the router's sample and of one shard; documented parameters
 SAMPLE_ROWS = 8192
-SHARD_ROWS = 16_000
+SHARD_ROWS = 8_000
 MARGIN = 0.08
 MAX_PROBES = 3
 
@@ -72,7 +72,7 @@ def fit_cells(sample: np.ndarray, n: int, shard_rows: int, rounds: int = 8) -> t
 
 def nearest_vectors(
     df: DataFrame, vid: str = "id", group: str = "model_name", blob: str = "vector_blob", dimension: str = "embedding_dimension",
-    k: int = 5, min_similarity: float = -1.0, m: int = 8, ef: int = 28, shard_rows: int = SHARD_ROWS,
+    k: int = 5, min_similarity: float = -1.0, m: int = 10, ef: int = 28, shard_rows: int = SHARD_ROWS,
     sample_rows: int = SAMPLE_ROWS, margin: float = MARGIN, max_probes: int = MAX_PROBES,
 ) -> DataFrame:
     """(id, model, neighbour_id, similarity, rank): the k nearest by cosine within each model.
