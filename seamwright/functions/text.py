@@ -109,10 +109,9 @@ def file_name(path: Column) -> Column:
 
 def signature_text(content: Column, most: int = 20) -> Column:
     """The leading lines of a definition up to the first that ends in a colon, at most ``most``."""
-    lines = F.split(F.regexp_replace(content, r"\r\n?", "\n"), "\n")
-    ends = F.transform(lines, lambda x, i: F.when(F.rtrim(x).endswith(":"), i + 1).otherwise(most))
-    n = F.least(F.lit(most), F.array_min(F.slice(ends, 1, most)))
-    return F.array_join(F.slice(lines, F.lit(1), n), "\n")
+    text = F.regexp_replace(content, r"\r\n?", "\n")
+    told = F.regexp_extract(text, rf"^((?:[^\n]*\n){{0,{most - 1}}}?[^\n]*: *)(?:\n|\z)", 1)
+    return F.when(told != "", told).otherwise(F.regexp_extract(text, rf"^((?:[^\n]*\n){{0,{most - 1}}}[^\n]*)", 1))
 
 
 def searchable_text(path: Column, symbol: Column, qualified: Column, content: Column) -> Column:
