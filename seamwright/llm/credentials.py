@@ -7,6 +7,9 @@ says "password", "token", ... with a literal value that is no placeholder and no
 among the bytes are parsed by their binary grammar (DER, OpenSSH), and what comes out is
 searched the same way; a find inside a layer counts for the literal that encloses it.
 
+A value that is written as several literals (side by side, with ``+``, with a backslash at the
+line's end) is joined before it is judged, and masked in all its pieces.
+
 ``redact`` puts asterisks in place of the values (of the whole enclosing literal for a find
 in a layer) and leaves names, quotes, line breaks and key armour as they are.
 """
@@ -16,6 +19,7 @@ from __future__ import annotations
 import base64
 import binascii
 import re
+from bisect import bisect_right
 from typing import NamedTuple
 from urllib.parse import unquote_to_bytes
 
@@ -30,6 +34,7 @@ class Find(NamedTuple):
     start: int  # of the value in the text
     end: int
     kind: str
+    pieces: tuple[tuple[int, int], ...] = ()  # its parts, if it is written as several literals
 
 
 # How issuers begin their tokens.
@@ -233,6 +238,90 @@ def layer_holds(data: bytes, depth: int = 0) -> str | None:
     return None
 
 
+# ---------------------------------------------------------------------------- literals in pieces
+_SPACE = r"(?:\s|#[^\n]*\n|//[^\n]*\n|/\*(?:(?!\*/).)*\*/)*"
+_PLUS = re.compile(rf"{_SPACE}\+{_SPACE}|[ \t]*\\\r?\n\s*")
+_BESIDE = re.compile(r"(?:\s|#[^\n]*\n)*")
+_PLUS_HINT = re.compile(r"[\"'`]\s*(?:\+|\\\r?\n|#|//|/\*)|\+\s*[rRbBuUfF]{0,2}[\"'`]")
+_BESIDE_HINT = re.compile(r"[\"'](?:\s|#[^\n]*\n)+[rRbBuUfF]{0,2}[\"']|[^\s\"'](?:\"\"|''|\"'|'\")[^\s\"',;:)\]}]")
+_OPEN = re.compile(r"[(\[{](?:\s|#[^\n]*\n)*$")
+_CLOSE = re.compile(r"(?:\s|#[^\n]*\n)*[)\]},:.%]")
+#: code in prose may be Python
+_PROSE = frozenset(["", "md", "markdown", "rst", "txt"])
+
+
+def _chains(text: str, suffix: str) -> list[list[re.Match]]:
+    """Literals that are one value: joined by ``+``, by a backslash at the line's end or, in Python, by standing side by side.
+
+    Side by side over a line's end they are one value only within brackets, else the second
+    is a statement of its own.
+    """
+    python, prose = suffix in ("py", "pyi"), suffix in _PROSE
+    if not (_PLUS_HINT.search(text) or (python or prose) and _BESIDE_HINT.search(text)):
+        return []
+    chains: list[list[re.Match]] = []
+    run: list[re.Match] = []
+    loose = False  # whether the run has to be within brackets
+
+    def close() -> None:
+        if len(run) > 1:
+            opened = _OPEN.search(text, max(0, run[0].start() - 200), run[0].start()) is not None
+            closed = _CLOSE.match(text, run[-1].end()) is not None
+            if not loose or (opened or closed if python else opened and closed):
+                chains.append(list(run))
+
+    for m in _QUOTED.finditer(text):
+        if run:
+            a, b = run[-1].end(), m.start()
+            if _PLUS.fullmatch(text, a, b):
+                run.append(m)
+                continue
+            if (python or prose) and m[1] != "`" != run[-1][1] and m[2] and run[-1][2] and _BESIDE.fullmatch(text, a, b):
+                loose = loose or prose or "\n" in text[a:b]
+                run.append(m)
+                continue
+        close()
+        run, loose = [m], False
+    close()
+    return chains
+
+
+def _joined(text: str, suffix: str) -> tuple[str, list[int], list[int]]:
+    """The text with each chain of literals as one literal, and where its stretches begin: there and in the text."""
+    out, there, here, at, n = [], [0], [0], 0, 0
+
+    def keep(stretch: str) -> None:
+        nonlocal n
+        out.append(stretch)
+        n += len(stretch)
+
+    for chain in _chains(text, suffix):
+        first = chain[0]
+        keep(text[at : first.end(2)])
+        for m in chain[1:]:
+            there.append(n)
+            here.append(m.start(2))
+            keep(m[2].replace(first[1][0], "!"))  # a quote of the other kind must not end the literal
+        there.append(n)
+        here.append(chain[-1].end(2) + len(chain[-1][1]) - len(first[1]))
+        keep(first[1])
+        at = chain[-1].end()
+    keep(text[at:])
+    return "".join(out), there, here
+
+
+def _placed(f: Find, there: list[int], here: list[int]) -> Find:
+    """A find in the joined text as one in the text."""
+    k = bisect_right(there, f.start) - 1
+    pieces, at = [], f.start
+    while at < f.end:
+        stop = min(f.end, there[k + 1] if k + 1 < len(there) else f.end)
+        if stop > at:
+            pieces.append((here[k] + at - there[k], here[k] + stop - there[k]))
+        at, k = stop, k + 1
+    return Find(pieces[0][0], pieces[-1][1], f.kind, tuple(pieces) if len(pieces) > 1 else ())
+
+
 # ---------------------------------------------------------------------------- contexts
 _LINE_HINTS = (
     "pass", "pwd", "psw", "secret", "token", "apikey", "api_key", "api-key", "api key", "_key", "-key", "accesskey", "privatekey", "signing", "credential", "creds",
@@ -271,7 +360,16 @@ def _literals(line: str) -> list[tuple[int, int, str]]:
 
 
 def scan(text: str, suffix: str, depth: int = 0) -> list[Find]:
-    """The credentials of a text, in order, without overlaps."""
+    """The credentials of a text, in order, without overlaps.
+
+    A value written as several literals is judged as one.
+    """
+    whole, there, here = _joined(text, suffix)
+    finds = _scan_joined(whole, suffix, depth)
+    return finds if len(there) == 1 else [_placed(f, there, here) for f in finds]
+
+
+def _scan_joined(text: str, suffix: str, depth: int) -> list[Find]:
     finds: list[Find] = []
     low = text.lower() if text.isascii() or len(text.lower()) == len(text) else text
     code = suffix in CODE_SUFFIXES
@@ -427,13 +525,14 @@ def redact(text: str, finds: list[Find]) -> str:
     """The text with asterisks for the values; line breaks and key armour stay."""
     out, at = [], 0
     for f in finds:
-        out.append(text[at : f.start])
-        value = text[f.start : f.end]
-        head = ""
-        if value.startswith("-----BEGIN"):
-            head = value[: value.index("-----", 11) + 5]
-        out.append(head + re.sub(r"[^\r\n]", "*", value[len(head) :]))
-        at = f.end
+        for k, (start, end) in enumerate(f.pieces or [(f.start, f.end)]):
+            value = text[start:end]
+            head = ""
+            if k == 0 and value.startswith("-----BEGIN"):
+                stop = value.find("-----", 11)
+                head = value if stop < 0 else value[: stop + 5]
+            out.append(text[at:start] + head + re.sub(r"[^\r\n]", "*", value[len(head) :]))
+            at = end
     out.append(text[at:])
     return "".join(out)
 

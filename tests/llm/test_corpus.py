@@ -132,6 +132,23 @@ def test_redaction_keeps_the_rest(spark):
     assert credentials.scan(got[1], "py") == [] and credentials.credential_lines(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("text,suffix,secrets,begins", [
+    ('A_TOKEN = (\n    "ghp_ET0lsAmog4X2mN"\n    "q3YUAPzNi8f9akk8ZXDDsC"\n)\n', "py", ["ghp_ET0lsAmog4X2mN", "q3YUAPzNi8f9akk8ZXDDsC"], [2]), ('let A_TOKEN = "ghp_oLASW4Ihjdoa4A" +\n  "cHeLx0wyXkcXL6anpcQsUO";\n', "ts", ["ghp_oLASW4Ihjdoa4A", "cHeLx0wyXkcXL6anpcQsUO"], [1]),
+    ('PASSWORD = "Quiet" \\\n    "#Harbor4821"\n', "py", ["Quiet", "#Harbor4821"], [1]), ("go(password='Qu' 'iet' + \"Harbor'4821\")\n", "py", ["Qu'", "iet", "4821"], [1]),
+    ("const password = 'Quiet'\n  // second half\n  + '#Harbor4821';\n", "js", ["Quiet", "Harbor4821"], [1]), ('k = (\n  "gh"\n  "p_aB3dE5gH7jK9mN1pQ3sT5v"  # b\n)\n', "py", ["gh\"", "p_aB3d"], [2]),
+    ('A_TOKEN = "k3y9Xz7Qw2Lm"\n"What it is for."\nx = 1\n', "py", ["k3y9Xz7Qw2Lm"], [1]), ('login = ["k3y9Xz7Qw2Lm", "plain"]\n', "py", [], []),
+])
+def test_credentials_in_pieces(text, suffix, secrets, begins):
+    finds = credentials.scan(text, suffix)
+    got = credentials.redact(text, finds)
+    assert lines(text, suffix) == begins and not [x for x in secrets if x in got]
+    hidden = "".join(a if b != "*" else "*" for a, b in zip(text, got))
+    assert len(got) == len(text) and hidden == got and got.count("\n") == text.count("\n")
+    if suffix == "py":
+        compile(got, "x", "exec")
+    assert "What it is for." in got or "What" not in text
+
+
 ITEMS = [(1, "Given that every frozen attempt ends up in the path table, which statement picks the wide index of the seventh module in store_x?"), (2, "哪个模块在第三次重放以后仍然保留了旧的索引并且拒绝了新的批次？"), (3, "short"), (4, None)]
 FILL = "The quick report was written by hand and nobody read any of it before noon. " * 6
 
