@@ -14,6 +14,7 @@ the labelers, not by the corpus.
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -22,7 +23,8 @@ from pyspark.sql import functions as F
 
 from .texts import map_texts
 
-KINDS = ("email", "phone", "id_number", "address", "name")
+#: kinds of candidates; Chinese names have labelers of their own and come out as names
+KINDS = ("email", "phone", "id_number", "address", "name", "name_zh")
 #: vote patterns beyond this many mean that a labeler is not discrete; fitting then refuses
 MAX_PATTERNS = 20_000
 
@@ -34,6 +36,12 @@ class Span(NamedTuple):
     votes: tuple[int, ...]
 
 
+@lru_cache(maxsize=8)
+def _surnames_zh(listed: frozenset) -> re.Pattern:
+    longer = {*(f for f in listed if len(f) > 1), *_COMPOUND}
+    return re.compile(f"(?=({'|'.join(sorted(longer))})?)[{''.join(sorted(_SURNAMES | {f[0] for f in listed | longer}))}]")
+
+
 class Gazetteer(NamedTuple):
     """Known parts of names; also their endings, as parts are formed alike."""
 
@@ -43,6 +51,11 @@ class Gazetteer(NamedTuple):
     family_zh: frozenset
     endings: frozenset
 
+    @property
+    def start_zh(self) -> re.Pattern:
+        """Where a Chinese name can begin: at a surname, listed or common, of one character or two; overlaps count."""
+        return _surnames_zh(self.family_zh)
+
     @staticmethod
     def of(rows) -> Gazetteer:
         """From (token, kind, lang) rows; nulls are left out."""
@@ -77,6 +90,20 @@ _SURNAMES = frozenset(
     "王李张刘陈杨黄赵吴周徐孙马朱胡郭何林罗高郑梁谢宋唐许韩冯邓曹彭曾肖田董袁潘于蒋蔡余杜叶程苏魏吕丁任沈姚卢姜崔钟谭陆汪范金石廖贾夏韦付方白邹孟熊秦邱江尹薛闫段雷侯龙史陶黎贺顾毛郝龚邵万钱严覃武戴莫孔向汤温康施文牛樊葛邢安齐庞伍褚卫尤乔蓝俞柳鲍倪翁"
 )
 
+_COMPOUND = ("欧阳", "上官", "司马", "司徒", "诸葛", "东方", "皇甫", "尉迟", "慕容", "令狐", "夏侯", "长孙", "宇文", "轩辕", "端木", "南宫", "独孤", "公孙", "百里", "呼延")
+#: words that begin with a surname; characters that are grammar rather than part of a name
+_WORDS_ZH = frozenset(
+    "向量 向上 向下 向前 向后 范围 范例 方法 方案 方式 方便 方向 方面 于是 金额 任务 任何 任意 何时 何处 何种 白天 白色 石桥 石头 马上 温度 温和 程序 程度 文件 文档 文本 文字 文章 施加 施工 安全 安装 安排 段落 严格 严重 尤其 万一 "
+    "庞大 齐全 谢谢 史料 周期 周围 周末 时候 高效 高级 高度 余下 余的 陈述 陈旧 孔径 蓝色 常用 易于 单元 成功 毛病 钟头 钱包 汤匙 黄色 黄金 许多 许可 郑重 顾客 顾及 武器 康复 戴上 倪端 龙头 雷达 江河 孙子 于此 路径 路由 邮箱 曾经 田间 董事 叶子 程中 鲍鱼 牛奶 柳树".split()
+)
+_GRAMMAR_ZH = frozenset("的了是在和与或把被对从这那其每没吗呢吧么们着过个些只还跟给让请说")
+_HAN = re.compile(r"[一-鿿]+")
+_LABEL_ZH = re.compile(r"(?:感谢|多谢|[收寄发]件人|负责人|联系人?|作者|姓名|名字|维护者|审[核阅]人?|评审人?|抄送|我叫|我是|昨天和|客户|学员|@)(?:是|为)?[：:\s]*$")
+_WITH_ZH = re.compile(r"[请由找给问和与跟同]$")
+_AFTER_ZH = re.compile(
+    r"(?:提交|老师|同学|先生|女士|教授|博士|主任|经理|写道|说[：:，]|负责(?!人)|指出|问道|提出|讨论|打电话|发邮件|来电|来信|回复|反馈|确认|建议|认为|表示|[\s（(<，,、|：:]*(?:的)?(?:电话|手机|邮箱|邮件|地址|住址|微信|身份证|证件|联系|号码|(?i:tel|phone|e-?mail))|[\s（(<，,、|]+(?:[\w.+-]+\s?[@＠]|[+（(]*\d{3}))"
+)
+
 _EMAIL = re.compile(
     r"(?<![A-Za-z0-9_.+-])(?P<local>[A-Za-z0-9][A-Za-z0-9_.+-]*?)(?P<at>\s?[@＠]\s?|\s*[\[({<]\s*(?:at|AT)\s*[\])}>]\s*|\s+(?:AT)\s+)(?P<domain>[A-Za-z0-9-]+(?:(?:[.．]|\s[.．]\s|\s*[\[({]\s*(?:dot|DOT)\s*[\])}]\s*)[A-Za-z0-9-]+)+)"
 )
@@ -254,31 +281,41 @@ def _names(text: str, gaz: Gazetteer, emails: list[tuple[int, int]]) -> list[Spa
                 _vote(False, comma and re.search(r"[a-z]\s$", before) is not None and re.search(r"[A-Z][\w-]+\s$", before) is not None or re.search(r"\d\s*$|[\d,]\s+$|\b(?:street|lane|way|road|st\.?|apt \w+),?\s*$", before, re.I) is not None and not known_first),
                 _vote(False, loud or any(w in _COMMON for w in real) or re.search(r"\b[A-Z]\.?$", before) is not None),
             )))
-    if re.search(r"[一-鿿]", text):
-        for m in re.finditer(r"[一-鿿]", text):
-            c, start = m[0], m.start()
-            if c not in gaz.family_zh and c not in _SURNAMES:
+    out.extend(_names_zh(text, gaz))
+    return out
+
+
+def _names_zh(text: str, gaz: Gazetteer) -> list[Span]:
+    """Every surname with one or two characters after it; what stands around it votes, the list of given parts only does so too."""
+    out: list[Span] = []
+    for m in gaz.start_zh.finditer(text):
+        start = m.start()
+        before = text[max(0, start - 8) : start]
+        label, word = _LABEL_ZH.search(before) is not None, _WITH_ZH.search(before) is not None
+        inner = re.search(r"[一-鿿]\Z", before) is not None
+        for family in dict.fromkeys((m[1] or m[0], m[0])):
+            if len(family) == 1 and family not in gaz.family_zh and family not in _SURNAMES:
                 continue
-            for n in (3, 2):
+            both = []
+            for n in (len(family) + 2, len(family) + 1):
                 s = text[start : start + n]
-                if len(s) < n or not re.fullmatch(r"[一-鿿]+", s):
-                    continue
-                before, after = text[max(0, start - 8) : start], text[start + n : start + n + 8]
-                right = re.match(r"(?:提交了|老师|同学|先生|女士|教授|写道|说：|负责(?!人)|指出|问道|[（(<，,]\s*[\w.+-]+[@＠])", after) is not None
-                left = re.search(r"(?:感谢|收件人[：:]?|负责人[：:]?|联系人?[：:]?|作者[：:]?|姓名[：:]?|请|由|抄送|@|我叫|我是|问|找|给)$|(?:^|[。！？\n，；])$", before) is not None
-                known = s[1:] in gaz.given_zh
-                if not (known or right):
-                    continue
+                if len(s) == n and _HAN.fullmatch(s):
+                    after = text[start + n : start + n + 24]
+                    both.append((n, s[len(family) :], _AFTER_ZH.match(after) is not None, _HAN.match(after) is not None))
+            for n, given, right, more in both:
+                known = given in gaz.given_zh
+                if not (known or right) and any(r or g in gaz.given_zh for _, g, r, _ in both):
+                    continue  # the same surname with one character more or less is the name
                 out.append(
-                    Span("name", start, start + n, (
-                        _vote(c in gaz.family_zh or c in _SURNAMES, True),
-                        _vote(known, False),
-                        _vote(known or n == 3, n == 2 and not known),
-                        _vote(left, re.search(r"[一-鿿]$", before) is not None and not left),
-                        _vote(right, False),
-                        _vote(known and right, False),
-                        0,
-                        _vote(False, n == 2 and not known),
+                    Span("name_zh", start, start + n, (
+                        _vote(family in gaz.family_zh or len(family) > 1),
+                        _vote(known),
+                        _vote(label, inner and not (label or word or known)),
+                        _vote(word and not label),
+                        _vote(right, more and not known),
+                        _vote(False, any(c in _GRAMMAR_ZH for c in given)),
+                        _vote(not inner and not more),
+                        _vote(False, text[start : start + 2] in _WORDS_ZH),
                     )))
     return out
 
@@ -387,17 +424,17 @@ def spans(text: str, model: Model, memo: dict | None = None) -> list[tuple[str,
         if p >= 0.5:
             scored.append((p, s))
     # a name is not cut short: the longer candidate stands unless it takes in a common word
-    whole = [s for _, s in scored if s.kind == "name" and s.votes[7] == 0]
+    whole = [s for _, s in scored if s.kind in ("name", "name_zh") and s.votes[7] == 0]
     scored = [
         (p, s) for p, s in scored
-        if s.kind != "name" or not any(t.start <= s.start and s.end <= t.end and t.end - t.start > s.end - s.start for t in whole)
+        if s.kind not in ("name", "name_zh") or not any(t.start <= s.start and s.end <= t.end and t.end - t.start > s.end - s.start for t in whole)
     ]
     scored.sort(key=lambda x: (-round(x[0], 3), -(x[1].end - x[1].start), x[1].start))
     taken: list[Span] = []
     for _, s in scored:
         if all(s.end <= t.start or s.start >= t.end for t in taken):
             taken.append(s)
-    return sorted(((s.kind, s.start, s.end) for s in taken), key=lambda x: x[1])
+    return sorted(((s.kind.removesuffix("_zh"), s.start, s.end) for s in taken), key=lambda x: x[1])
 
 
 def masked(text: str, found: list[tuple[str, int, int]]) -> str:

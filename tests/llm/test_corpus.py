@@ -257,6 +257,21 @@ def test_personal_data(model, text, want):
     assert [(k, text[a:b]) for k, a, b in pii.spans(text, model)] == want
 
 
+@pytest.mark.parametrize("text,want", [
+    ("清单负责人：赵景行，电话：190 0000 1199", ["赵景行"]), ("收件人吕景行，地址青禾大道59号", ["吕景行"]), ("如有问题请联系韩书白，邮箱 a.b@lab.test", ["韩书白"]), ("在写回投影之前完成。昨天和钱书白讨论过快照的写法。", ["钱书白"]),
+    ("感谢吕景老师对节点部分的讲解。", ["吕景"]), ("索引负责人：欧阳若水，电话：190 0000 1199", ["欧阳若水"]), ("当向量超过39个时，重建其余的范围，周边的任务和方案一起保存。", []), ("段与向量对齐其余的课程。", []),
+    ("赵景行\n钱书白\n", ["赵景行", "钱书白"]), ("请给赵景行打电话", ["赵景行"]),
+])
+def test_chinese_names_beyond_the_list(model, text, want):
+    assert not {x[1:] for x in want} & model.gaz.given_zh
+    assert [text[a:b] for k, a, b in pii.spans(text, model) if k == "name"] == want
+
+
+def test_listed_chinese_name_needs_no_context(model):
+    text = "今天赵听澜离开了。"
+    assert [(k, text[a:b]) for k, a, b in pii.spans(text, model)] == [("name", "赵听澜")]
+
+
 def test_personal_data_tables(spark, model):
     d = spark.createDataFrame([(1, "x a@lab.test y", "e"), (2, None, "e"), (3, "", "e"), (None, "b@lab.test", "e"), (1, "x a@lab.test y", "e")], "doc_id long, text string, kind string")
     assert sorted((r["doc_id"] or 0, r["kind"], r["start_char"]) for r in pii.personal_data(d, model).collect()) == [(0, "email", 0), (1, "email", 2), (1, "email", 2)]
