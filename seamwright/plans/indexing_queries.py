@@ -23,6 +23,11 @@ def tracked_files(spark, d):
     return readers.tracked_files(_t(spark, d, "repo_files"), 60_000)
 
 
+def tracked_files_whole(spark, d):
+    """With the limits of an import: 50 MB and 2,000 files a snapshot, 1 MB a file."""
+    return readers.tracked_files(_t(spark, d, "repo_files"), 50_000_000, 2_000, 1_000_000)
+
+
 def source_lines(spark, d):
     spans = _t(spark, d, "code_chunks").select(F.col("id").alias("span_id"), "project_id", "path", "start_line", "end_line")
     return readers.source_lines(_t(spark, d, "repo_files"), spans, 20)
@@ -107,7 +112,7 @@ def hierarchy_sequence(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        tracked_files, source_lines, project_report, incremental_chunks, structure_hashes, embed_missing, combined_search, evidence_rows, best_snippets, one_hop_expand,
+        tracked_files, tracked_files_whole, source_lines, project_report, incremental_chunks, structure_hashes, embed_missing, combined_search, evidence_rows, best_snippets, one_hop_expand,
         failure_labels, half_cover, stratified_ci, hierarchy_sequence,
     )
 }
@@ -121,6 +126,14 @@ n AS (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY path, id) AS
 t AS (SELECT id, project_id, path, bytes, k, CASE WHEN bytes <= 60000 THEN bytes ELSE 0 END AS used, bytes <= 60000 AS ok FROM n WHERE k = 1
   UNION ALL SELECT n.id, n.project_id, n.path, n.bytes, n.k, CASE WHEN used + n.bytes <= 60000 THEN used + n.bytes ELSE used END, used + n.bytes <= 60000 FROM t JOIN n ON n.project_id = t.project_id AND n.k = t.k + 1)
 SELECT id, project_id, path, bytes FROM t WHERE ok
+""",
+    "tracked_files_whole": f"""
+WITH RECURSIVE b AS (SELECT id, project_id, {P} AS path, strlen(content) AS bytes FROM repo_files WHERE path IS NOT NULL AND content IS NOT NULL AND project_id IS NOT NULL AND strlen(content) <= 1000000 AND NOT contains(substr(content, 1, 2000), chr(0))),
+n AS (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY path, id) AS k FROM b),
+t AS (SELECT id, project_id, path, bytes, k, bytes AS used, 1 AS files, true AS ok FROM n WHERE k = 1
+  UNION ALL SELECT n.id, n.project_id, n.path, n.bytes, n.k, CASE WHEN files < 2000 AND used + n.bytes <= 50000000 THEN used + n.bytes ELSE used END, CASE WHEN files < 2000 AND used + n.bytes <= 50000000 THEN files + 1 ELSE files END,
+    files < 2000 AND used + n.bytes <= 50000000 FROM t JOIN n ON n.project_id = t.project_id AND n.k = t.k + 1)
+SELECT id, project_id, path, bytes FROM t WHERE ok
 """,
     "source_lines": f"""
 WITH f AS (SELECT project_id, {P} AS path, arg_min(content, id) AS c FROM repo_files WHERE content IS NOT NULL AND path IS NOT NULL GROUP BY 1, 2),

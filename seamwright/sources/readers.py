@@ -40,9 +40,11 @@ def read_checkout(spark: SparkSession, root: str, project_id: str, revision: str
     )
 
 
-def tracked_files(files: DataFrame, most_bytes: int, most_files: int = 100_000) -> DataFrame:
+def tracked_files(files: DataFrame, most_bytes: int, most_files: int = 100_000, most_file_bytes: int = MAX_FILE_BYTES) -> DataFrame:
     """(id, project_id, path, bytes): files of each snapshot in path order under a byte and a file cap.
 
+    Files over ``most_file_bytes`` are left out.
+
     A file that would break the byte cap is passed over and later smaller ones are still
     taken, so this is a running decision, not a prefix sum: partitions sorted by
     (project, path, id) are streamed and hold one snapshot's totals at a time.
@@ -50,7 +52,7 @@ def tracked_files(files: DataFrame, most_bytes: int, most_files: int = 100_000)
     rows = files.where("path IS NOT NULL AND content IS NOT NULL AND project_id IS NOT NULL").select(
         "id", "project_id", compared_path(F.col("path")).alias("path"), F.octet_length("content").cast("long").alias("bytes"), F.instr(F.substring("content", 1, 2000), "\x00").alias("nul")
     )
-    rows = rows.where((F.col("bytes") <= MAX_FILE_BYTES) & (F.col("nul") == 0)).drop("nul")
+    rows = rows.where((F.col("bytes") <= most_file_bytes) & (F.col("nul") == 0)).drop("nul")
 
     def take(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         project, used, n = None, 0, 0

@@ -34,6 +34,16 @@ def test_byte_cap_passes_large_files_over(spark):
     assert readers.tracked_files(df.limit(0), 100).count() == 0
 
 
+def test_import_limits_of_files_and_bytes(spark, tmp_path):
+    from seamwright.plans.indexing_queries import tracked_files_whole
+
+    rows = [(i, "p", f"f{i:04d}", "x" * 100) for i in range(2_001)] + [(5_000 + i, "q", f"{i:03d}", "x" * (1_000_000 - (i == 9))) for i in range(51)] + [(9_000, "r", "a", "x" * 1_000_001), (9_001, "r", "b", "x" * 250_000), (9_002, "q", "z", "x")]
+    schema = "id long, project_id string, path string, content string"
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "repo_files.parquet"))
+    got = {r["id"] for r in tracked_files_whole(spark, str(tmp_path)).collect()}
+    assert got == {*range(2_000), *range(5_000, 5_050), 9_001, 9_002}
+
+
 def test_source_lines_cut_bytes_and_lines(spark):
     files = spark.createDataFrame([(1, "p", "a", "1\n2\n3\n4")], "id long, project_id string, path string, content string")
     spans = spark.createDataFrame([(1, "p", "a", 2, 3), (2, "p", "a", 1, 9), (3, "p", "b", 1, 1)], "span_id long, project_id string, path string, start_line int, end_line int")
