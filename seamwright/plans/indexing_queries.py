@@ -33,6 +33,12 @@ def source_lines(spark, d):
     return readers.source_lines(_t(spark, d, "repo_files"), spans, 20)
 
 
+def source_lines_whole(spark, d):
+    """With the limits of a reading: 200 lines and 32,768 bytes."""
+    spans = _t(spark, d, "code_chunks").select(F.col("id").alias("span_id"), "project_id", "path", "start_line", "end_line")
+    return readers.source_lines(_t(spark, d, "repo_files"), spans)
+
+
 def project_report(spark, d):
     files = _t(spark, d, "repo_files")
     return writers.project_report(catalog.project_summaries(files), catalog.modules(files)).select("project_id", F.sha2("report", 256).alias("report_hash"))
@@ -112,7 +118,7 @@ def hierarchy_sequence(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        tracked_files, tracked_files_whole, source_lines, project_report, incremental_chunks, structure_hashes, embed_missing, combined_search, evidence_rows, best_snippets, one_hop_expand,
+        tracked_files, tracked_files_whole, source_lines, source_lines_whole, project_report, incremental_chunks, structure_hashes, embed_missing, combined_search, evidence_rows, best_snippets, one_hop_expand,
         failure_labels, half_cover, stratified_ci, hierarchy_sequence,
     )
 }
@@ -139,6 +145,15 @@ SELECT id, project_id, path, bytes FROM t WHERE ok
 WITH f AS (SELECT project_id, {P} AS path, arg_min(content, id) AS c FROM repo_files WHERE content IS NOT NULL AND path IS NOT NULL GROUP BY 1, 2),
 s AS (SELECT k.id AS span_id, list_slice(string_split(c, chr(10)), greatest(start_line, 1), greatest(start_line, 1) + least(end_line - start_line + 1, 20) - 1) AS l, end_line - start_line + 1 > 20 AS cut FROM code_chunks k JOIN f USING (project_id, path))
 SELECT span_id, len(l) AS lines, sha256(array_to_string(l, chr(10))) AS text_hash, cut AS truncated FROM s
+""",
+    "source_lines_whole": f"""
+WITH f AS (SELECT project_id, {P} AS path, arg_min(content, id) AS c FROM repo_files WHERE content IS NOT NULL AND path IS NOT NULL GROUP BY 1, 2),
+s AS (SELECT k.id AS span_id, array_to_string(list_slice(string_split(c, chr(10)), greatest(start_line, 1), greatest(start_line, 1) + least(end_line - start_line + 1, 200) - 1), chr(10)) AS t, end_line - start_line + 1 > 200 AS long
+  FROM code_chunks k JOIN f USING (project_id, path)),
+n AS (SELECT *, len(string_split(t, chr(10))) AS lines, strlen(t) > 32768 AS wide,
+  list_max(list_filter(range(least(len(t), 32768) + 1), lambda i: strlen(left(t, i)) <= 32768)) AS fit FROM s WHERE strlen(t) > 32768
+  UNION ALL SELECT *, len(string_split(t, chr(10))), false, len(t) FROM s WHERE strlen(t) <= 32768)
+SELECT span_id, lines, sha256(left(t, fit)) AS text_hash, long OR wide AS truncated FROM n
 """,
     "project_report": f"""
 WITH {BEST}, l AS (SELECT project_id, language, count(*) AS n FROM profiles WHERE language NOT IN ('Markdown', 'JSON', 'TOML', 'YAML', 'Text') GROUP BY 1, 2),

@@ -52,6 +52,19 @@ def test_source_lines_cut_bytes_and_lines(spark):
     assert got == {1: (2, sha("2\n3"), False), 2: (2, sha("1\n2"), True)}
 
 
+def test_source_lines_have_the_limits_of_a_reading(spark, tmp_path):
+    from seamwright.plans.indexing_queries import source_lines_whole
+
+    text = "\n".join(f"line {i}" for i in range(1, 301))
+    files = [(1, "p", "a", text), (2, "p", "b", "é" * 20_000)]
+    spans = [(1, "p", "a", 1, 21), (2, "p", "a", 11, 210), (3, "p", "a", 1, 201), (4, "p", "b", 1, 1)]
+    spark.createDataFrame(files, "id long, project_id string, path string, content string").write.parquet(str(tmp_path / "repo_files.parquet"))
+    spark.createDataFrame(spans, "id long, project_id string, path string, start_line int, end_line int").write.parquet(str(tmp_path / "code_chunks.parquet"))
+    got = {r["span_id"]: (r["lines"], r["text_hash"], r["truncated"]) for r in source_lines_whole(spark, str(tmp_path)).collect()}
+    part = lambda a, b: hashlib.sha256("\n".join(text.split("\n")[a - 1 : b]).encode()).hexdigest()
+    assert got == {1: (21, part(1, 21), False), 2: (200, part(11, 210), False), 3: (200, part(1, 200), True), 4: (1, hashlib.sha256(("é" * 16_384).encode()).hexdigest(), True)}
+
+
 EVENT = "event_id string, idempotency_key string, learner_id string, project_id string, target_id string, event_order long"
 
 
