@@ -179,6 +179,25 @@ def one_hop(ranked: DataFrame, chunks: DataFrame, by: str, seeds: int = 12, per_
     return retrieval.top_k(best, [by], [F.desc("priority"), F.col("target")], targets)
 
 
+def one_hop_relations(ranked: DataFrame, links: DataFrame, by: str, seeds: int = 12, per_seed: int = 8, targets: int = 24) -> DataFrame:
+    """(by, target, priority, paths, place): as ``one_hop``, over calls, imports, references and definitions by their weights.
+
+    ``links`` as of ``structure.relation_links``; the ``per_seed`` edges of a result, in
+    either direction, are the first by their place.
+    """
+    weight = F.lit(0.0)
+    for relation, w in RELATION_WEIGHTS.items():
+        weight = F.when(F.col("relation") == relation, w).otherwise(weight)
+    back = links.select(F.col("target").alias("source"), F.col("source").alias("target"), "relation", F.col("place").alias("edge"))
+    both = links.withColumnRenamed("place", "edge").unionByName(back).where("target LIKE 'chunk:%'").withColumn("weight", weight)
+    start = ranked.where(F.col("place") <= seeds).select(by, "place", F.concat(F.lit("chunk:"), F.col("id")).alias("source"))
+    inside = F.row_number().over(Window.partitionBy(by, "source").orderBy("edge", "target"))
+    near = start.join(both, "source").withColumn("at", inside).where(F.col("at") <= per_seed)
+    near = near.join(start.select(by, F.col("source").alias("target")), [by, "target"], "left_anti")
+    best = near.groupBy(by, "target").agg(F.round(F.max(F.col("weight") / (1 + F.col("place"))), 9).alias("priority"), F.count("*").alias("paths"))
+    return retrieval.top_k(best, [by], [F.desc("priority"), F.col("target")], targets)
+
+
 def failure_labels(ranked: DataFrame, gold: DataFrame, chunks: DataFrame, by: str) -> DataFrame:
     """(by, label) of each query with gold: found_first, found_later, path_only, missed or no_results."""
     want = gold.join(chunks.select("id", "path"), "id").select(by, F.col("id").alias("gold_id"), F.col("path").alias("gold_path"))

@@ -69,7 +69,7 @@ def chunk_rows(text: str) -> list[tuple]:
 
 
 def reference_rows(text: str) -> list[tuple]:
-    """(relation, name, level, source symbol, line, alias): imports, calls and base classes of a file."""
+    """(relation, name, level, source symbol, line, alias): imports, calls and base classes of a file; a base belongs to its class."""
     tree = _tree(text)
     out: list[tuple] = []
     if tree is None:
@@ -93,7 +93,7 @@ def reference_rows(text: str) -> list[tuple]:
             if name:
                 out.append(("calls", name, 0, at, node.lineno, None))
         elif isinstance(node, ast.ClassDef):
-            out.extend(("references", name, 0, at, node.lineno, None) for b in node.bases if (name := dotted(b)))
+            out.extend(("references", name, 0, ".".join((*names, node.name)), node.lineno, None) for b in node.bases if (name := dotted(b)))
     return out
 
 
@@ -293,6 +293,27 @@ def relation_edges(files: DataFrame, projects: DataFrame) -> DataFrame:
     return found.select("project_id", "path", "relation", "source_symbol", "line", "raw_name", status.alias("status"), "target_path", "target_symbol")
 
 
+def relation_links(chunks: DataFrame, relations: DataFrame) -> DataFrame:
+    """(source, target, relation, place): definition edges and resolved relations between nodes as in ``definition_edges``.
+
+    ``relations`` as of ``relation_edges``; only resolved ones count.  A symbol that several
+    chunks of a file bear gives no node, one without a chunk neither; module level is the
+    file.  ``place`` orders the edges of a node: by path, line, relation and name.
+    """
+    file_node = lambda path: F.concat_ws(":", F.lit("file"), "project_id", path)
+    node = F.concat_ws(":", F.lit("chunk"), F.col("id").cast("string"))
+    order = lambda path, line, relation, name, to: F.struct(path.alias("path"), line.cast("long").alias("line"), relation.alias("relation"), name.alias("name"), to.alias("to"))
+    rows = chunks.select(node.alias("target"), "path", "start_line", "qualified_name")
+    defined = definition_edges(chunks).join(rows, "target").select("source", "target", F.lit("defines").alias("relation"), order(F.col("path"), F.col("start_line"), F.lit("defines"), F.col("qualified_name"), F.col("target")).alias("place"))
+    one = chunks.groupBy("project_id", "path", "qualified_name").agg(F.min(node).alias("node"), F.count("*").alias("n")).where("n = 1").drop("n")
+    at = lambda side, path, symbol: one.select("project_id", F.col("path").alias(path), F.col("qualified_name").alias(symbol), F.col("node").alias(side))
+    found = relations.where("status = 'resolved'").join(at("from_node", "path", "source_symbol"), ["project_id", "path", "source_symbol"], "left").join(at("to_node", "target_path", "target_symbol"), ["project_id", "target_path", "target_symbol"], "left")
+    source = F.when(F.col("source_symbol") == "", file_node("path")).otherwise(F.col("from_node"))
+    target = F.when(F.col("target_symbol") == "", file_node("target_path")).otherwise(F.col("to_node"))
+    related = found.select(source.alias("source"), target.alias("target"), "relation", order(F.col("path"), F.col("line"), F.col("relation"), F.col("raw_name"), target).alias("place"))
+    return defined.unionByName(related.where("source IS NOT NULL AND target IS NOT NULL AND source <> target").distinct())
+
+
 def bounded_walk(edges: DataFrame, seeds: DataFrame, depth: int = 2) -> DataFrame:
     """(seed, node, depth): the nodes within ``depth`` edges of a seed, with the least depth.
 

@@ -87,6 +87,12 @@ def one_hop_expand(spark, d):
     return ix.one_hop(bm25_topk(spark, d), _t(spark, d, "code_chunks"), "item_id")
 
 
+def one_hop_relations(spark, d):
+    chunks = _t(spark, d, "code_chunks")
+    links = structure.relation_links(chunks, structure.relation_edges(_t(spark, d, "repo_files"), _t(spark, d, "projects")))
+    return ix.one_hop_relations(bm25_topk(spark, d), links, "item_id")
+
+
 def failure_labels(spark, d):
     lexical, _, gold = _ranked(spark, d)
     return ix.failure_labels(lexical, gold, _t(spark, d, "code_chunks"), "hint_id")
@@ -118,7 +124,7 @@ def hierarchy_sequence(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        tracked_files, tracked_files_whole, source_lines, source_lines_whole, project_report, incremental_chunks, structure_hashes, embed_missing, combined_search, evidence_rows, best_snippets, one_hop_expand,
+        tracked_files, tracked_files_whole, source_lines, source_lines_whole, project_report, incremental_chunks, structure_hashes, embed_missing, combined_search, evidence_rows, best_snippets, one_hop_expand, one_hop_relations,
         failure_labels, half_cover, stratified_ci, hierarchy_sequence,
     )
 }

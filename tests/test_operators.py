@@ -96,6 +96,20 @@ def test_plan_order():
     assert not learning.plan_is_acyclic(3, [(0, 1), (1, 2), (2, 0)])
 
 
+def test_one_hop_follows_every_relation(spark):
+    from seamwright.operators import indexing
+
+    code = {"a.py": "from b import g, K\n\n\ndef f():\n    return g()\n\n\ndef h():\n    from b import g\n\n\nclass L(K):\n    def m(self):\n        pass\n", "b.py": "def g():\n    pass\n\n\nclass K:\n    pass\n"}
+    files = spark.createDataFrame([(i, "p", p, t) for i, (p, t) in enumerate(code.items())], "id long, project_id string, path string, content string")
+    projects = spark.createDataFrame([("p", "o", "r", "ready", "v", 1)], "id string, owner string, repo string, status string, repository_revision string, created_at long")
+    named = [(1, "a.py", "f", 4), (2, "a.py", "h", 8), (3, "a.py", "L", 12), (4, "a.py", "L.m", 13), (5, "b.py", "g", 1), (6, "b.py", "K", 5)]
+    chunks = spark.createDataFrame([(i, "p", p, q, "L" if q == "L.m" else None, n) for i, p, q, n in named], "id long, project_id string, path string, qualified_name string, parent_symbol string, start_line int")
+    links = structure.relation_links(chunks, structure.relation_edges(files, projects))
+    ranked = spark.createDataFrame([(7, 5, 1), (7, 3, 2)], "q long, id long, place long")
+    got = {r["target"]: (r["priority"], r["paths"]) for r in indexing.one_hop_relations(ranked, links, "q").collect()}
+    assert got == {"chunk:1": (0.5, 1), "chunk:2": (0.45, 1), "chunk:6": (round(0.8 / 3, 9), 1), "chunk:4": (round(0.7 / 3, 9), 1)}
+
+
 def test_relation_edges(spark):
     sources = {
         "pkg/a.py": "from pkg.b import work\nimport os\n\ndef run():\n    os.getcwd()\n    print(1)\n    return work()\n",
