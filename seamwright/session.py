@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,14 +28,35 @@ def local_session(cores: int | str = 8, memory: str = "8g", partitions: int = 8)
     return spark
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written once to the cluster's shared checkpoint folder, its lineage cut.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The cluster's shared folder: the session's spark.checkpoint.dir.
 
-    The folder is the session's spark.checkpoint.dir; only where that is unset, as in local
-    tests, one is made.
+    Only where that is unset and the master is this machine, as in tests, a temporary one is
+    made, and removed when the process ends; elsewhere an unset folder is an error.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="seamwright-checkpoints-"))
+    known = sc._jsc.sc().getCheckpointDir()
+    if known.isEmpty():
+        given = sc.getConf().get("spark.checkpoint.dir")
+        if not given:
+            if not re.match(r"local(?:\[|$)", sc.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            given = tempfile.mkdtemp(prefix="seamwright-checkpoints-")
+            atexit.register(shutil.rmtree, given, ignore_errors=True)
+        sc.setCheckpointDir(given)
+        known = sc._jsc.sc().getCheckpointDir()
+    return known.get()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` written once to the cluster's shared checkpoint folder, its lineage cut."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table in the shared checkpoint folder: its lineage is cut, and readers take only their columns."""
+    spark = df.sparkSession
+    path = f"{checkpoint_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
