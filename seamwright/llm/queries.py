@@ -17,7 +17,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return docpairs.own_pairs(table(spark, d, "repo_files"), with_code=False).select("file_id", "qualified_name", "name_line")
+    pairs = docpairs.code_doc_pairs(table(spark, d, "repo_files"), with_code=False)
+    return pairs.where("doc_source = 'own'").select("file_id", "qualified_name", "name_line")
 
 
 def p1_pairs(spark: SparkSession, d: str) -> DataFrame:

@@ -26,15 +26,58 @@ class Symbol(NamedTuple):
     end: int
     doc: str  # its own documentation as written, '' if none
     top: bool  # a statement of the file itself
-    arity: str  # normalised signature: '/'-joined parameter names without types and defaults
+    arity: str  # '/'-joined parameter names without types and defaults
+    typed: str = ""  # the normalised signature: the same with normalised types, `name:type`
+    declares: bool = False  # it stands for definitions elsewhere: a signature, or an abstract method
+    bases: tuple[tuple[str, str], ...] = ()  # of a method: (module as written or '', name) of the bases of its class
 
 
 _EOL = re.compile(r"\r\n|\n|\r")
+_UNION = re.compile(r"(Optional|Union)\[")
+
+
+def normal_type(written: str) -> str:
+    """A type in one spelling: no blanks, quotes or typing prefixes, unions sorted."""
+    t = re.sub(r"[\s\"']+", "", written)
+    t = re.sub(r"\b(?:typing|typing_extensions|t|collections\.abc|builtins)\.", "", t)
+    m = _UNION.match(t)
+    if m and t.endswith("]") and _level(t[m.end() : -1]):
+        parts = _split(t[m.end() : -1], ",")
+        return "|".join(sorted({normal_type(x) for x in parts} | ({"None"} if m[1] == "Optional" else set())))
+    parts = [x for x in _split(t, "|") if x]
+    return "|".join(sorted({normal_type(x) for x in parts})) if len(parts) > 1 else (parts[0] if parts else "")
+
+
+def _level(t: str) -> bool:
+    """Whether the brackets of ``t`` match within it."""
+    depth = 0
+    for c in t:
+        depth += (c in "([{<") - (c in ")]}>")
+        if depth < 0:
+            return False
+    return depth == 0
+
+
+def _split(t: str, sep: str) -> list[str]:
+    """``t`` cut at ``sep`` outside brackets; arrows are no brackets."""
+    out, depth, at = [], 0, 0
+    for k, c in enumerate(t):
+        if c in "([{<":
+            depth += 1
+        elif c in ")]}" or (c == ">" and t[k - 1 : k] != "="):
+            depth -= 1
+        elif c == sep and depth <= 0:
+            out.append(t[at:k])
+            at = k + 1
+    return [*out, t[at:]]
 
 
 # ---------------------------------------------------------------------------- Python
-def python_symbols(text: str) -> list[Symbol] | None:
-    """Symbols of a Python text in order of appearance; None if it does not parse."""
+def python_symbols(text: str, stub: bool = False) -> list[Symbol] | None:
+    """Symbols of a Python text in order of appearance; None if it does not parse.
+
+    In a stub every function is a signature.
+    """
     tree = python_tree(text)
     if tree is None:
         return None
@@ -51,21 +94,82 @@ def python_symbols(text: str) -> list[Symbol] | None:
     def line_no(line: int) -> int:
         return line if newlines is None else bisect_right(newlines, starts[line - 1] - 1) + 1
 
-    stack = [(node, (), False, True) for node in reversed(tree.body)]
+    def of_type(x) -> str:
+        return normal_type(text[offset(x.lineno, x.col_offset) : offset(x.end_lineno, x.end_col_offset)])
+
+    # names bound by imports: (module as written, name in it or None)
+    bound: dict[str, tuple[str, str | None]] = {}
+    todo = list(tree.body) if "class" in text or "overload" in text else []
+    while todo:
+        node = todo.pop()
+        if isinstance(node, (ast.If, ast.Try)):
+            todo += [x for x in ast.iter_child_nodes(node) if isinstance(x, ast.stmt)]
+            todo += [x for h in getattr(node, "handlers", ()) for x in h.body]
+        elif isinstance(node, ast.ImportFrom):
+            where = "." * node.level + (node.module or "")
+            bound.update({x.asname or x.name: (where, x.name) for x in node.names})
+        elif isinstance(node, ast.Import):
+            bound.update({x.asname or x.name: (x.name, None) for x in node.names})
+
+    def based(node) -> tuple[str, str] | None:
+        """(module, name) of a base class."""
+        if isinstance(node, ast.Subscript):
+            node = node.value
+        if isinstance(node, ast.Name):
+            where, name = bound.get(node.id, ("", node.id))
+            return (where, name) if name else None
+        if isinstance(node, ast.Attribute):
+            name, parts = node.attr, []
+            node = node.value
+            while isinstance(node, ast.Attribute):
+                parts.append(node.attr)
+                node = node.value
+            if isinstance(node, ast.Name):
+                written = ".".join((node.id, *reversed(parts)))
+                if written in bound and bound[written][1] is None:
+                    return bound[written][0], name
+                where, inner = bound.get(node.id, ("", None))
+                if inner is not None:
+                    return f"{where}{'' if where.endswith('.') else '.'}{inner}", name
+                if node.id in bound:
+                    return ".".join((where, *reversed(parts))), name
+        return None
+
+    def decorated(node, name: str) -> bool:
+        for d in node.decorator_list:
+            last = d.attr if isinstance(d, ast.Attribute) else d.id if isinstance(d, ast.Name) else ""
+            if last == name or isinstance(d, ast.Name) and bound.get(last, ("", None))[1] == name:
+                return True
+        return False
+
+    def bodiless(body: list) -> bool:
+        """Nothing but documentation, ``...`` or a NotImplementedError."""
+        for x in body:
+            e = x.exc if isinstance(x, ast.Raise) else None
+            e = e.func if isinstance(e, ast.Call) else e
+            if not (isinstance(x, ast.Expr) and isinstance(x.value, ast.Constant) or isinstance(e, ast.Name) and e.id == "NotImplementedError"):
+                return False
+        return True
+
+    stack = [(node, (), None, True) for node in reversed(tree.body)]
     while stack:
-        node, names, in_class, top = stack.pop()
+        node, names, in_class, top = stack.pop()  # in_class: the bases of the class whose body this is, or None
         inner, cls, inner_top = names, in_class, False
         if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
             is_class = isinstance(node, ast.ClassDef)
             first = min([node.lineno, *(d.lineno for d in node.decorator_list)])
-            arity = ""
+            arity = typed = ""
+            overload = abstract = False
             if not is_class:
                 a = node.args
                 args = [*a.posonlyargs, *a.args, *([a.vararg] if a.vararg else []), *a.kwonlyargs, *([a.kwarg] if a.kwarg else [])]
                 arity = "/".join(x.arg for x in args)
+                typed = "/".join(f"{x.arg}:{of_type(x.annotation)}" if x.annotation else x.arg for x in args)
+                overload = stub or decorated(node, "overload")
+                abstract = in_class is not None and (decorated(node, "abstractmethod") or bodiless(node.body))
             out.append(
                 Symbol(
-                    "class" if is_class else "method" if in_class else "function",
+                    "class" if is_class else "signature" if overload else "method" if in_class is not None else "function",
                     node.name,
                     ".".join((*names, node.name)),
                     line_no(node.lineno),
@@ -74,9 +178,12 @@ def python_symbols(text: str) -> list[Symbol] | None:
                     ast.get_docstring(node, clean=True) or "",
                     top,
                     arity,
+                    typed,
+                    overload or abstract,
+                    () if is_class or in_class is None else in_class,
                 )
             )
-            inner, cls = (*names, node.name), is_class
+            inner, cls = (*names, node.name), tuple(filter(None, map(based, node.bases))) if is_class else None
         elif isinstance(node, ast.expr):
             continue
         stack.extend((child, inner, cls, False) for child in reversed(list(ast.iter_child_nodes(node))) if isinstance(child, (ast.stmt, ast.excepthandler, ast.match_case)))
@@ -193,14 +300,22 @@ def js_symbols(text: str, lang_name: str) -> list[Symbol] | None:
                 i += 1
         return i
 
-    def params(i: int) -> str:
-        """Parameter names between the brackets at ``i``."""
-        names, j, stop, due = [], i + 1, pair[i], True
+    def params(i: int) -> tuple[str, str]:
+        """Parameter names between the brackets at ``i``, without and with their types."""
+        names, types, j, stop, due = [], [], i + 1, pair[i], True
         while j < stop:
             t = toks[j]
+            if t == ":" and names and not due and not types[-1]:
+                end = j + 1
+                while end < stop and toks[end] not in (",", "="):
+                    end = generic(end) if toks[end] == "<" else pair[end] + 1 if toks[end] in _OPEN and pair[end] > 0 else end + 1
+                types[-1] = normal_type("".join(toks[j + 1 : end]))
+                j = end
+                continue
             if t in _OPEN and pair[j] > 0:
                 if due and t != "(":
                     names.append("_")
+                    types.append("")
                     due = False
                 j = pair[j]
             elif t == "<":
@@ -209,9 +324,10 @@ def js_symbols(text: str, lang_name: str) -> list[Symbol] | None:
                 due = True
             elif due and is_word(j) and (t not in _MODIFIERS or toks[j + 1] in (",", ":", ")", "=", "?")):
                 names.append(t)
+                types.append("")
                 due = False
             j += 1
-        return "/".join(names)
+        return "/".join(names), "/".join(f"{a}:{b}" if b else a for a, b in zip(names, types))
 
     def doc_before(i: int) -> str:
         note = notes.get(i, "")
@@ -252,7 +368,9 @@ def js_symbols(text: str, lang_name: str) -> list[Symbol] | None:
     def emit(kind, i_name, name, names, first, last, doc_at, top, arity):
         end = offs[last] + len(toks[last]) if last < n else len(text)
         line = bisect_right(newlines, offs[i_name] - 1) + 1
-        out.append((first, Symbol(kind, name, ".".join((*names, name)), line, offs[first], end, doc_of(doc_at, first), top, arity)))
+        plain, typed = arity or ("", "")
+        of = heirs.get(names, ()) if names else ()
+        out.append((first, Symbol(kind, name, ".".join((*names, name)), line, offs[first], end, doc_of(doc_at, first), top, plain, typed, kind == "signature", of)))
 
     def function_tail(i: int):
         """(arity, body index or -1, last token) of a parameter list at ``i``; None if there is none."""
@@ -291,7 +409,7 @@ def js_symbols(text: str, lang_name: str) -> list[Symbol] | None:
                 return tail[0], tail[1], pair[tail[1]], own
             return None
         if is_word(j) and j + 1 < n and toks[j + 1] == "=>":
-            arity, k = toks[j], j + 1
+            arity, k = (toks[j], toks[j]), j + 1
         else:
             tail = function_tail(j)
             if not tail:
@@ -303,6 +421,40 @@ def js_symbols(text: str, lang_name: str) -> list[Symbol] | None:
             return arity, k + 1, pair[k + 1], own
         return arity, -1, arrow_end(k + 1), own
 
+    bound: dict[str, tuple[str, str]] | None = None
+
+    def heritage(a: int, b: int) -> tuple[tuple[str, str], ...]:
+        """(module as written or '', name) of the classes and interfaces named between a class's name and its body."""
+        nonlocal bound
+        found, j, on = [], a, False
+        while j < b:
+            if toks[j] in ("extends", "implements"):
+                on = True
+            elif toks[j] == ",":
+                on = True
+            elif toks[j] == "<":
+                j = generic(j) - 1
+            elif toks[j] in _OPEN and pair[j] > 0:
+                j = pair[j]
+            elif on and is_word(j):
+                parts = [toks[j]]
+                while j + 2 < b and toks[j + 1] == "." and is_word(j + 2):
+                    parts.append(toks[j + 2])
+                    j += 2
+                found.append(parts)
+                on = False
+            j += 1
+        if found and bound is None:
+            bound = js_imports(text)
+        out = []
+        for first, *more in found:
+            where, name = bound.get(first, ("", first))
+            if more:
+                name = ".".join(more) if name == "*" else ".".join((name, *more))
+            out.append((where, name))
+        return tuple(out)
+
+    heirs: dict[tuple[str, ...], tuple[tuple[str, str], ...]] = {}
     contexts: list[tuple[int, str, tuple[str, ...]]] = [(n, "block", ())]
     i = 0
     while i < n:
@@ -374,8 +526,9 @@ def js_symbols(text: str, lang_name: str) -> list[Symbol] | None:
                 if named:
                     first = lead(i, {"export", "default", "abstract", "declare"})
                     statement = first == 0 or toks[first - 1] in (";", "}", "{") or "\n" in text[offs[first - 1] : offs[first]]
-                    emit("class", i + 1, toks[i + 1], names, first, pair[b], i, top and statement and prev not in _OBJECT_AFTER - {"default"}, "")
+                    emit("class", i + 1, toks[i + 1], names, first, pair[b], i, top and statement and prev not in _OBJECT_AFTER - {"default"}, None)
                     bodies[b] = ("class", (*names, toks[i + 1]))
+                    heirs[(*names, toks[i + 1])] = heritage(i + 2, b)
                 else:
                     bodies[b] = ("class", names)
             i = after_class
@@ -435,10 +588,31 @@ def js_symbols(text: str, lang_name: str) -> list[Symbol] | None:
 JS_KIND_OPERATORS = frozenset("=> = + - * / % && || ?? ? : , . ?. ( [ { < > & | ^ ! == === != !== <= >= += -=".split())
 
 
+_IMPORT = re.compile(r"\bimport\s+(?:type\s+)?([\w$\s{},*]+?)\s*from\s*[\"'](\.[^\"'\n]*)[\"']")
+
+
+def js_imports(text: str) -> dict[str, tuple[str, str]]:
+    """Names imported from files beside it: (module as written, name there; ``*`` for the whole)."""
+    out: dict[str, tuple[str, str]] = {}
+    for what, where in _IMPORT.findall(text):
+        head, brace, inner = what.partition("{")
+        for part in head.split(","):
+            words = part.split()
+            if words[:2] == ["*", "as"] and len(words) == 3:
+                out[words[2]] = (where, "*")
+            elif len(words) == 1:
+                out[words[0]] = (where, words[0])  # a default export goes by the name it is bound to
+        for part in inner.rstrip("} \n").split(",") if brace else ():
+            words = part.removeprefix("type ").split()
+            if words:
+                out[words[-1]] = (where, words[0])
+    return out
+
+
 def symbols_of(text: str, suffix: str) -> list[Symbol] | None:
     """Symbols by suffix; None for other suffixes and texts that do not parse."""
-    if suffix == "py":
-        return python_symbols(text)
+    if suffix in ("py", "pyi"):
+        return python_symbols(text, suffix == "pyi")
     if suffix in ("js", "jsx", "ts", "tsx"):
         return js_symbols(text, {"jsx": "js"}.get(suffix, suffix))
     return None

@@ -13,18 +13,40 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_MEMO: dict[tuple, list] = {}
-MEMO_ROWS = 200_000
+#: what a worker remembers of texts seen before, in characters of the results
+MEMO_CHARS = 32_000_000
+
+
+class _Memo:
+    """Results by key; emptied when their strings and rows take more than MEMO_CHARS."""
+
+    def __init__(self) -> None:
+        self.rows: dict[tuple, list] = {}
+        self.size = 0
+
+    def put(self, key: tuple, rows: list) -> None:
+        size = 200 + sum(100 + sum(len(v) for v in row if isinstance(v, str)) for row in rows)
+        if size > MEMO_CHARS // 16:
+            return
+        if self.size + size > MEMO_CHARS:
+            self.rows.clear()
+            self.size = 0
+        self.rows[key] = rows
+        self.size += size
+
+
+_MEMO = _Memo()
 
 
 def map_texts(
-    df: DataFrame, keep: list[str], text: str, arg: str, fn: Callable[[str, str], list[tuple]], schema: str, name: str
-) -> DataFrame:
+    df: DataFrame, keep: list[str], text: str, arg: str, fn: Callable[[str, str], list[tuple]], schema: str, name: str,
+    finish: Callable[[tuple, tuple], tuple] | None = None,
+) -> DataFrame:
     """For each row with a text, the rows of ``fn(text, arg)`` with the columns ``keep`` in front.
 
     ``schema`` is the DDL of the result including ``keep``.  Null texts give no rows.
-    ``name`` tells the memos of different functions apart; the memo of a worker is emptied
-    when it holds ``MEMO_ROWS`` rows.
+    ``name`` tells the memos of different functions apart.  ``finish(keep values, row)`` may
+    complete a row by what is not the text's own, such as its path.
     """
     spark = df.sparkSession
     types = spark.createDataFrame([], schema).schema
@@ -42,15 +64,12 @@ def map_texts(
             for i, key in enumerate(keys):
                 t = texts[i].as_py()
                 at = (name, args[i], blake2b(t.encode("utf-8", "surrogatepass"), digest_size=16).digest())
-                rows = _MEMO.get(at)
+                rows = _MEMO.rows.get(at)
                 if rows is None:
                     rows = fn(t, args[i])
-                    if len(_MEMO) > MEMO_ROWS:
-                        _MEMO.clear()
-                    if len(rows) < 50:
-                        _MEMO[at] = rows
+                    _MEMO.put(at, rows)
                 for row in rows:
-                    for c, v in zip(columns, key + row):
+                    for c, v in zip(columns, key + (finish(key, row) if finish else row)):
                         c.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow)
 

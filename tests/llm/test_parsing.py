@@ -151,7 +151,40 @@ def test_pairs_join_declarations(spark):
     got = {(r["path"], r["qualified_name"], r["doc_source"], r["name_line"]) for r in docpairs.code_doc_pairs(files(spark, rows)).collect()}
     assert got == {("m.ts", "add", "declaration", 1), ("m.ts", "sub", "own", 3), ("o.ts", "find", "declaration", 3), ("n.py", "f", "own", 1)}
     assert docpairs.code_doc_pairs(files(spark, [])).count() == 0
-    assert docpairs.own_pairs(files(spark, [("a.py", None), (None, "x"), ("a.py", "")])).count() == 0
+    assert docpairs.code_doc_pairs(files(spark, [("a.py", None), (None, "x"), ("a.py", "")])).count() == 0
+
+
+def test_declarations_of_other_files(spark):
+    overloads = (
+        "from typing import overload\n@overload\ndef cut(x: int) -> int:\n    \"\"\"Cuts a whole number in two.\"\"\"\n@overload\ndef cut(x: 'typing.Optional[str]') -> str:\n    \"\"\"Cuts a text in two halves.\"\"\"\n"
+    )
+    rows = [
+        ("stubs/pkg/m.pyi", overloads),
+        ("src/pkg/m.py", "def cut(x: None | str):\n    return x\n"),
+        ("pkg/base.py", "import abc\nclass Base(abc.ABC):\n    @abc.abstractmethod\n    def load(self, key):\n        \"\"\"Loads the row of a key.\"\"\"\n"),
+        ("pkg/impl.py", "from .base import Base as B\nclass Own(B):\n    def load(self, key):\n        return key\n    def other(self): pass\n"),
+        ("web/api.ts", "export interface Store {\n  /** Finds the value of a key. */\n  get(key: string): string;\n}\n"),
+        ("web/mem.ts", "import { Store as S } from './api';\nexport class Mem implements S {\n  get(key: string) { return key }\n  put(a) { }\n}\n"),
+    ]
+    got = {(r["path"], r["qualified_name"], r["doc_source"]): r["doc"] for r in docpairs.code_doc_pairs(files(spark, rows)).collect()}
+    assert got == {
+        ("src/pkg/m.py", "cut", "declaration"): "Cuts a text in two halves.",
+        ("pkg/base.py", "Base.load", "own"): "Loads the row of a key.",
+        ("pkg/impl.py", "Own.load", "declaration"): "Loads the row of a key.",
+        ("web/mem.ts", "Mem.get", "declaration"): "Finds the value of a key.",
+    }
+
+
+def test_overloads_that_differ_by_type_only(spark):
+    text = "declare class A {\n  /** Takes the number apart again. */\n  f(x: number): void;\n  /** Takes the text apart again. */\n  f(x: string | undefined): void;\n}\n"
+    rows = [("a.d.ts", text), ("a.ts", "class A {\n  f(x: undefined | string) { }\n}\n"), ("b.ts", "class A {\n  f(x: number) { }\n}\n")]
+    assert [(r["path"], r["doc"]) for r in docpairs.code_doc_pairs(files(spark, rows)).collect()] == [("a.ts", "Takes the text apart again.")]
+
+
+def test_modules_of_paths():
+    for path, module in (("./src/a/b.py", "a/b"), ("a\\b\\__init__.py", "a/b"), ("types/x.d.ts", "x"), ("web/index.js", "web"), ("a-stubs/b.pyi", "a/b")):
+        assert docpairs.module_of(path) == module
+    assert docpairs.resolved("..c.d", "p/q/r.py", True) == "p/c/d" and docpairs.resolved("../c/d.js", "p/q/r.ts", False) == "p/c/d"
 
 
 LIMITS = "language string, max_chars int, overlap_chars int"
