@@ -1,19 +1,19 @@
-"""Learning events: idempotent intake, the fold into mastery, adaptation, continuity.
+"""Learning events: idempotent intake, the state they add up to, adaptation, continuity.
 
-The fold runs over partitions sorted by (key, event_order) and holds one key's state at a
-time, so a key of any length streams through a task.  Corrections are joined to the events
-they reverse before the fold.
+A state is decided by few of its events: the last that sets a mastery, the last carried over
+from another revision with the passes after it, the last that tells the availability.  So
+states are aggregates of latest positions, merged in any order; no key is walked event by
+event, and a key of any length is reduced before the shuffle.  Corrections are joined to the
+events they reverse first.
 """
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import written
+
 KEY = ("learner_id", "project_id", "target_id")
 # Tasks that prove more than recall, and the states a mapping may carry over.
 QUALIFYING = frozenset("explain_symbol trace_static_relation explain_static_relationship analyze_change_impact separate_fact_inference_unknown".split())
@@ -41,101 +41,108 @@ def order_faults(events: DataFrame) -> DataFrame:
     return events.select("*", prev.alias("prev")).where(late).select("event_id", F.col("prev.event_id").alias("before"))
 
 
+OUTCOME = {
+    "verdict": "verdict", "task_type": "task_type", "availability": "availability", "mapping": "mapping_status", "from_mastery": "source_mastery_status",
+    "from_passes": "source_verified_pass_count", "from_qualifying": "source_qualifying_pass_count", "reverses": "reverses_event_id", "new_verdict": "corrected_verdict",
+}
+
+
+def outcomes(events: DataFrame) -> DataFrame:
+    """Events with the fields of their outcome as columns; null where it is no JSON or lacks them."""
+    got = {c: F.get_json_object("validated_outcome_json", f"$.{f}") for c, f in OUTCOME.items()}
+    got |= {c: got[c].cast("int") for c in ("from_passes", "from_qualifying")}
+    return events.select(*KEY, "event_id", "idempotency_key", "event_order", "event_type", "provenance", "task_id", *[v.alias(c) for c, v in got.items()])
+
+
 def with_verdicts(events: DataFrame) -> DataFrame:
-    """Events with verdict, task_type and the other fields of the outcome, corrected ones replaced."""
-    get = lambda f: F.get_json_object("validated_outcome_json", f"$.{f}")
-    rows = events.select(
-        *KEY, "event_id", "event_order", "event_type", "provenance", "task_id",
-        get("verdict").alias("own_verdict"), get("task_type").alias("own_task"), get("availability").alias("availability"), get("mapping_status").alias("mapping"),
-        get("source_mastery_status").alias("from_mastery"), get("source_verified_pass_count").cast("int").alias("from_passes"), get("source_qualifying_pass_count").cast("int").alias("from_qualifying"),
-        get("reverses_event_id").alias("reverses"), get("corrected_verdict").alias("new_verdict"),
-    )
-    fixes = rows.where("event_type = 'evaluation_corrected' AND reverses IS NOT NULL").groupBy(F.col("reverses").alias("event_id")).agg(
-        F.max_by(F.struct("new_verdict", F.col("own_task").alias("new_task")), "event_order").alias("fix")
+    """``outcomes`` with the verdict and task type of the last correction that reverses an event in place of its own."""
+    rows = outcomes(events)
+    fixes = (
+        rows.where("event_type = 'evaluation_corrected' AND reverses IS NOT NULL")
+        .groupBy(F.col("reverses").alias("event_id"))
+        .agg(F.max(F.struct("event_order", F.col("event_id").alias("by"), "new_verdict", "task_type")).alias("fix"))
     )
+    fixed = lambda own, new: F.when(F.col("fix").isNotNull(), F.col(f"fix.{new}")).otherwise(F.col(own)).alias(own)
     joined = rows.drop("new_verdict", "reverses").join(fixes, "event_id", "left")
-    return joined.select(
-        *[c for c in joined.columns if c not in ("fix", "own_verdict", "own_task")],
-        F.when(F.col("fix").isNotNull(), F.col("fix.new_verdict")).otherwise(F.col("own_verdict")).alias("verdict"),
-        F.when(F.col("fix").isNotNull(), F.col("fix.new_task")).otherwise(F.col("own_task")).alias("task_type"),
+    return joined.select(*[c for c in joined.columns if c not in ("fix", "verdict", "task_type")], fixed("verdict", "new_verdict"), fixed("task_type", "task_type"))
+
+
+# What an event class does to a state; a class that is not named sets nothing.
+#: mastery set outright (None: worked out from the passes, or carried over), and the reason for review
+SETS = {"pass": (None, ""), "fail": (None, "validated_failure"), "moved": ("needs_review", "revision_"), "carried": (None, ""), "lost": ("needs_review", "revision_")}
+#: classes that only lift a state from below: from which states, to which
+LIFTS = {"partial": (("unseen", "introduced", "practicing"), "practicing"), "reported": (("unseen",), "introduced")}
+EXACT = ("unchanged_exact", "renamed_exact")
+SHAKEN = ("changed", "missing", "ambiguous", "stale")
+
+
+def event_class(kind, provenance, verdict, task, availability, mapping) -> Column:
+    """reported, pass, partial, fail, tried, moved, settled, carried, lost, or null for an event that changes nothing."""
+    tried = (kind == "attempt_evaluated") & (provenance == "verified_assessment")
+    return (
+        F.when(provenance == "explicit_self_report", "reported")
+        .when(tried & (verdict == "pass") & (task != ""), "pass")
+        .when(tried & verdict.isin("partial", "fail"), verdict)
+        .when(tried, "tried")
+        .when(kind == "revision_revalidated", F.when(F.coalesce(F.nullif(availability, F.lit("")), F.lit("stale")).isin(*SHAKEN), "moved").otherwise("settled"))
+        .when((kind == "continuity_state_derived") & (provenance == "revision_continuity"), F.when(mapping.isin(*EXACT), "carried").otherwise("lost"))
     )
 
 
-def step(state: dict, e) -> None:
-    """Takes one event into a state (see ``fresh``)."""
-    state["last_event_id"], state["events"] = e.event_id, state["events"] + 1
-    if e.provenance == "explicit_self_report":
-        if state["mastery"] == "unseen":
-            state["mastery"] = "introduced"
-    elif e.event_type == "attempt_evaluated" and e.provenance == "verified_assessment":
-        state["availability"] = "current"
-        if e.verdict == "pass" and e.task_id:
-            state["passed"].add(e.task_id)
-            if e.task_type in QUALIFYING:
-                state["qualified"].add(e.task_id)
-            state["mastery"] = "mastered" if len(state["passed"]) >= 2 and state["qualified"] else "demonstrated"
-            state["review_reason"] = ""
-        elif e.verdict == "partial" and state["mastery"] in ("unseen", "introduced", "practicing"):
-            state["mastery"] = "practicing"
-        elif e.verdict == "fail":
-            state["mastery"] = "needs_review" if state["passed"] else "practicing"
-            state["review_reason"] = "validated_failure"
-    elif e.event_type == "revision_revalidated":
-        state["availability"] = e.availability or "stale"
-        if state["availability"] in ("changed", "missing", "ambiguous", "stale"):
-            state["mastery"], state["review_reason"] = "needs_review", f"revision_{state['availability']}"
-    elif e.event_type == "continuity_state_derived" and e.provenance == "revision_continuity":
-        mapping = e.mapping or "unmapped"
-        state["availability"] = e.availability or "stale"
-        if mapping in ("unchanged_exact", "renamed_exact"):
-            came = e.from_mastery or "unseen"
-            state["mastery"] = came if came in MASTERY else "needs_review"
-            state["passed"] = {f"from-{i}" for i in range(_count(e.from_passes))}
-            state["qualified"] = {f"from-{i}" for i in range(_count(e.from_qualifying))}
-            state["review_reason"] = ""
-        else:
-            state["mastery"], state["review_reason"] = "needs_review", f"revision_{mapping}"
-
-
-def _count(v) -> int:
-    return 0 if v is None or v != v else int(v)
-
-
-def fresh() -> dict:
-    return {"mastery": "unseen", "availability": "current", "passed": set(), "qualified": set(), "review_reason": "", "last_event_id": None, "events": 0}
-
-
-def _row(key: tuple, s: dict) -> tuple:
-    return (*key, s["mastery"], s["availability"], len(s["passed"]), len(s["qualified"]), s["review_reason"], s["last_event_id"], s["events"])
-
-
-COLUMNS = ["learner_id", "project_id", "target_id", "mastery", "availability", "passes", "qualifying_passes", "review_reason", "last_event_id", "events"]
-
-
 def learning_states(events: DataFrame) -> DataFrame:
     """The mastery state of each learner and target after all events, in event order.
 
     Redeliveries count once, equal orders go by event_id; null keys form keys of their own.
+    Late events count where their order puts them.
     """
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, state = None, None
-        for pdf in batches:
-            done = []
-            pdf = pdf.astype(object).where(pdf.notna(), None)
-            for e in pdf.itertuples(index=False):
-                at = (e.learner_id, e.project_id, e.target_id)
-                if at != key or state is None:
-                    if state is not None:
-                        done.append(_row(key, state))
-                    key, state = at, fresh()
-                step(state, e)
-            yield pd.DataFrame(done, columns=COLUMNS)
-        if state is not None:
-            yield pd.DataFrame([_row(key, state)], columns=COLUMNS)
-
-    rows = with_verdicts(unique_events(events))
-    return rows.repartition(*KEY).sortWithinPartitions(*KEY, "event_order", "event_id").mapInPandas(fold, STATE_SCHEMA)
+    c = F.col
+    told = F.coalesce(F.nullif("availability", F.lit("")), F.lit("stale"))
+    rows = with_verdicts(unique_events(events)).withColumn("did", event_class(c("event_type"), c("provenance"), c("verdict"), c("task_id"), c("availability"), c("mapping")))
+    did = lambda *names: c("did").isin(*names)
+    at = F.struct("event_order", "event_id").alias("at")
+    last = lambda when, *more: F.max(F.when(when, F.struct(at, *more)))
+    came = F.when(F.coalesce(c("from_mastery"), F.lit("unseen")).isin(*MASTERY), F.coalesce(c("from_mastery"), F.lit("unseen"))).otherwise("needs_review")
+    reason = F.when(did("moved"), F.concat(F.lit("revision_"), told)).when(did("lost"), F.concat(F.lit("revision_"), F.coalesce(F.nullif("mapping", F.lit("")), F.lit("unmapped"))))
+    parts = {
+        "last": last(F.lit(True)),
+        "setter": last(did(*SETS), "did", F.when(did("carried"), came).alias("came"), F.coalesce(reason, F.when(did("fail"), "validated_failure"), F.lit("")).alias("why")),
+        "carried": last(did("carried"), F.greatest(F.coalesce("from_passes", F.lit(0)), F.lit(0)).alias("passes"), F.greatest(F.coalesce("from_qualifying", F.lit(0)), F.lit(0)).alias("qualifying")),
+        "told": last(did("pass", "partial", "fail", "tried", "moved", "settled", "carried", "lost"), F.when(did("moved", "settled", "carried", "lost"), told).otherwise("current").alias("availability")),
+        "partial": last(did("partial")),
+        "reported": last(did("reported")),
+    }
+    # latest positions per task first: a pass counts once a task, and only after what was carried over last
+    tasks = written(
+        rows.groupBy(*KEY, F.when(did("pass"), c("task_id")).alias("task")).agg(
+            F.count("*").alias("n"), *[v.alias(k) for k, v in parts.items()], last(did("pass")).alias("passed"), last(did("pass") & c("task_type").isin(*QUALIFYING)).alias("qualified")
+        )
+    )
+    heads = tasks.groupBy(*KEY).agg(F.sum("n").alias("events"), *[F.max(k).alias(k) for k in parts])
+    floor = heads.select(*[c(k).alias(f"_{k}") for k in KEY], c("carried.at").alias("_from"))
+    same = [c(k).eqNullSafe(c(f"_{k}")) for k in KEY]
+    after = lambda what: c("_from").isNull() | (c(f"{what}.at") > c("_from"))
+    held = (
+        tasks.where("passed IS NOT NULL").select(*KEY, "passed", "qualified").join(floor, same)
+        .groupBy(*[c(f"_{k}") for k in KEY])
+        .agg(F.count_if(after("passed")).alias("own"), F.count_if(c("qualified").isNotNull() & after("qualified")).alias("own_qualifying"))
+    )
+    state = heads.join(held, same, "left")
+    passes = F.coalesce("own", F.lit(0)) + F.coalesce("carried.passes", F.lit(0))
+    qualifying = F.coalesce("own_qualifying", F.lit(0)) + F.coalesce("carried.qualifying", F.lit(0))
+    base = (
+        F.when(c("setter").isNull(), "unseen")
+        .when(c("setter.did") == "pass", F.when((passes >= 2) & (qualifying >= 1), "mastered").otherwise("demonstrated"))
+        .when(c("setter.did") == "fail", F.when(passes > 0, "needs_review").otherwise("practicing"))
+        .otherwise(F.coalesce("setter.came", F.lit("needs_review")))
+    )
+    since = lambda what: c(what).isNotNull() & (c("setter").isNull() | (c(f"{what}.at") > c("setter.at")))
+    mastery = c("base")
+    for what in ("reported", "partial"):
+        mastery = F.when(since(what) & c("base").isin(*LIFTS[what][0]), LIFTS[what][1]).otherwise(mastery)
+    return state.withColumn("base", base).select(
+        *KEY, mastery.alias("mastery"), F.coalesce("told.availability", F.lit("current")).alias("availability"), passes.cast("long").alias("passes"),
+        qualifying.cast("long").alias("qualifying_passes"), F.coalesce("setter.why", F.lit("")).alias("review_reason"), c("last.at.event_id").alias("last_event_id"), "events",
+    )
 
 
 def learner_depth(states: DataFrame) -> DataFrame:
@@ -197,7 +204,3 @@ def plan_is_acyclic(steps: int, edges: list[tuple[int, int]]) -> bool:
                 if waiting[b] == 0:
                     ready.append(b)
     return done == steps
-
-
-def state_key(row) -> str:
-    return json.dumps([row.learner_id, row.project_id, row.target_id])

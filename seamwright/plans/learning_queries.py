@@ -107,28 +107,37 @@ QUERIES = {
 
 UNIQUE = """u AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY idempotency_key ORDER BY event_order, event_id) AS at_row FROM learning_events WHERE idempotency_key IS NOT NULL) WHERE at_row = 1
   UNION ALL SELECT *, 1 FROM learning_events WHERE idempotency_key IS NULL)"""
+_J = lambda f: f"CASE WHEN json_valid(j) THEN json_extract_string(j, '$.{f}') END"
+_SHAKEN = "('changed', 'missing', 'ambiguous', 'stale')"
+_TASKS = ", ".join(f"'{t}'" for t in sorted(ln.QUALIFYING))
+#: the states event by event: a recursive walk, where the operator aggregates latest positions
 STATES = f"""{UNIQUE},
-o AS (SELECT learner_id, project_id, target_id, event_id, event_type, provenance, task_id, validated_outcome_json AS j, row_number() OVER (PARTITION BY learner_id, project_id, target_id ORDER BY event_order, event_id) AS n,
-  count(*) OVER (PARTITION BY learner_id, project_id, target_id) AS total FROM u),
-x AS (SELECT *, CASE WHEN json_valid(j) THEN json_extract_string(j, '$.verdict') END AS verdict, coalesce(CASE WHEN json_valid(j) THEN json_extract_string(j, '$.availability') END, 'stale') AS av,
-  coalesce(CASE WHEN json_valid(j) THEN json_extract_string(j, '$.mapping_status') END, 'unmapped') AS mp,
+o0 AS (SELECT learner_id, project_id, target_id, event_id, event_order, event_type, provenance, task_id, validated_outcome_json AS j FROM u),
+fx AS (SELECT rev AS event_id, arg_max({{'v': nv, 't': tt}}, {{'o': event_order, 'e': event_id}}) AS fix FROM (SELECT event_id, event_order, {_J("reverses_event_id")} AS rev, {_J("corrected_verdict")} AS nv, {_J("task_type")} AS tt FROM o0 WHERE event_type = 'evaluation_corrected') WHERE rev IS NOT NULL GROUP BY 1),
+o AS (SELECT o0.*, fix, row_number() OVER (PARTITION BY learner_id, project_id, target_id ORDER BY event_order, o0.event_id) AS n, count(*) OVER (PARTITION BY learner_id, project_id, target_id) AS total FROM o0 LEFT JOIN fx ON fx.event_id = o0.event_id),
+x AS (SELECT *, CASE WHEN fix IS NULL THEN {_J("verdict")} ELSE fix.v END AS verdict, CASE WHEN fix IS NULL THEN {_J("task_type")} ELSE fix.t END AS tt, coalesce(nullif({_J("availability")}, ''), 'stale') AS av,
+  coalesce(nullif({_J("mapping_status")}, ''), 'unmapped') AS mp, coalesce({_J("source_mastery_status")}, 'unseen') AS came,
+  greatest(coalesce(try_cast({_J("source_verified_pass_count")} AS BIGINT), 0), 0) AS cp, greatest(coalesce(try_cast({_J("source_qualifying_pass_count")} AS BIGINT), 0), 0) AS cq,
   CASE WHEN provenance = 'explicit_self_report' THEN 's' WHEN event_type = 'attempt_evaluated' AND provenance = 'verified_assessment' THEN 'a' WHEN event_type = 'revision_revalidated' THEN 'r'
-    WHEN event_type = 'continuity_state_derived' AND provenance = 'revision_continuity' THEN 'c' ELSE '-' END AS k FROM o),
+    WHEN event_type = 'continuity_state_derived' AND provenance = 'revision_continuity' THEN CASE WHEN {_J("mapping_status")} IN ('unchanged_exact', 'renamed_exact') THEN 'e' ELSE 'c' END ELSE '-' END AS k FROM o),
+y AS (SELECT *, k = 'a' AND verdict = 'pass' AND coalesce(task_id, '') <> '' AS won, CASE WHEN k = 'a' AND verdict = 'pass' AND coalesce(task_id, '') <> '' AND tt IN ({_TASKS}) THEN [task_id] ELSE [] END AS good FROM x),
 f AS (
-  SELECT learner_id, project_id, target_id, 0::BIGINT AS n, 'unseen' AS mastery, 'current' AS availability, []::VARCHAR[] AS passed, '' AS reason, NULL::VARCHAR AS last_event_id, total FROM x WHERE n = 1
+  SELECT learner_id, project_id, target_id, 0::BIGINT AS n, 'unseen' AS mastery, 'current' AS availability, []::VARCHAR[] AS passed, []::VARCHAR[] AS qualified, 0::BIGINT AS bp, 0::BIGINT AS bq, '' AS reason, NULL::VARCHAR AS last_event_id, total FROM y WHERE n = 1
   UNION ALL
-  SELECT f.learner_id, f.project_id, f.target_id, x.n,
-    CASE WHEN k = 's' THEN CASE WHEN mastery = 'unseen' THEN 'introduced' ELSE mastery END
-      WHEN k = 'a' THEN CASE WHEN verdict = 'pass' AND coalesce(task_id, '') <> '' THEN 'demonstrated' WHEN verdict = 'partial' AND mastery IN ('unseen', 'introduced', 'practicing') THEN 'practicing'
-        WHEN verdict = 'fail' THEN CASE WHEN len(passed) > 0 THEN 'needs_review' ELSE 'practicing' END ELSE mastery END
-      WHEN k = 'r' THEN CASE WHEN av IN ('changed', 'missing', 'ambiguous', 'stale') THEN 'needs_review' ELSE mastery END WHEN k = 'c' THEN 'needs_review' ELSE mastery END,
-    CASE WHEN k = 'a' THEN 'current' WHEN k IN ('r', 'c') THEN av ELSE availability END,
-    CASE WHEN k = 'a' AND verdict = 'pass' AND coalesce(task_id, '') <> '' AND NOT list_contains(passed, task_id) THEN list_append(passed, task_id) ELSE passed END,
-    CASE WHEN k = 'a' AND verdict = 'pass' AND coalesce(task_id, '') <> '' THEN '' WHEN k = 'a' AND verdict = 'fail' THEN 'validated_failure'
-      WHEN k = 'r' AND av IN ('changed', 'missing', 'ambiguous', 'stale') THEN 'revision_' || av WHEN k = 'c' THEN 'revision_' || mp ELSE reason END,
-    x.event_id, f.total
-  FROM f JOIN x ON x.learner_id IS NOT DISTINCT FROM f.learner_id AND x.project_id IS NOT DISTINCT FROM f.project_id AND x.target_id IS NOT DISTINCT FROM f.target_id AND x.n = f.n + 1),
-st AS (SELECT learner_id, project_id, target_id, mastery, availability, len(passed) AS passes, 0::BIGINT AS qualifying_passes, reason AS review_reason, last_event_id, total AS events FROM f WHERE n = total)"""
+  SELECT f.learner_id, f.project_id, f.target_id, y.n,
+    CASE WHEN won THEN CASE WHEN len(list_distinct(list_append(passed, task_id))) + bp >= 2 AND len(list_distinct(list_concat(qualified, good))) + bq >= 1 THEN 'mastered' ELSE 'demonstrated' END
+      WHEN k = 's' THEN CASE WHEN mastery = 'unseen' THEN 'introduced' ELSE mastery END
+      WHEN k = 'a' AND verdict = 'partial' AND mastery IN ('unseen', 'introduced', 'practicing') THEN 'practicing'
+      WHEN k = 'a' AND verdict = 'fail' THEN CASE WHEN len(passed) + bp > 0 THEN 'needs_review' ELSE 'practicing' END
+      WHEN k = 'r' AND av IN {_SHAKEN} OR k = 'c' THEN 'needs_review' WHEN k = 'e' THEN CASE WHEN came IN ({", ".join(f"'{m}'" for m in ln.MASTERY)}) THEN came ELSE 'needs_review' END ELSE mastery END,
+    CASE WHEN k = 'a' THEN 'current' WHEN k IN ('r', 'c', 'e') THEN av ELSE availability END,
+    CASE WHEN won THEN list_distinct(list_append(passed, task_id)) WHEN k = 'e' THEN [] ELSE passed END,
+    CASE WHEN won THEN list_distinct(list_concat(qualified, good)) WHEN k = 'e' THEN [] ELSE qualified END,
+    CASE WHEN k = 'e' THEN cp ELSE bp END, CASE WHEN k = 'e' THEN cq ELSE bq END,
+    CASE WHEN won OR k = 'e' THEN '' WHEN k = 'a' AND verdict = 'fail' THEN 'validated_failure' WHEN k = 'r' AND av IN {_SHAKEN} THEN 'revision_' || av WHEN k = 'c' THEN 'revision_' || mp ELSE reason END,
+    y.event_id, f.total
+  FROM f JOIN y ON y.learner_id IS NOT DISTINCT FROM f.learner_id AND y.project_id IS NOT DISTINCT FROM f.project_id AND y.target_id IS NOT DISTINCT FROM f.target_id AND y.n = f.n + 1),
+st AS (SELECT learner_id, project_id, target_id, mastery, availability, len(passed) + bp AS passes, len(qualified) + bq AS qualifying_passes, reason AS review_reason, last_event_id, total AS events FROM f WHERE n = total)"""
 RANKED = _bm25_sql("x", "code_chunks", "id", CHUNK_TEXT, "SELECT id AS q, qualified_name AS qtext FROM code_chunks WHERE id % 50 = 0", "c.path, c.start_line, c.end_line, c.id", 8)
 GOLD = "gd AS (SELECT id AS hint_id, id FROM code_chunks WHERE id % 50 = 0 UNION SELECT c.id, f.id FROM code_chunks c JOIN (SELECT content_hash, min(id) AS id FROM code_chunks GROUP BY 1) f USING (content_hash) WHERE c.id % 50 = 0), gs AS (SELECT hint_id, count(*) AS gold FROM gd GROUP BY 1)"
 

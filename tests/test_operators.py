@@ -68,27 +68,68 @@ def test_fold_does_not_depend_on_row_order(spark):
     assert len({str(states(spark, list(p))["x"]) for p in itertools.permutations(rows)}) == 1
 
 
-def test_stream_equals_batch(spark, tiny, tmp_path):
+def streamed(spark, parts, path):
+    """The last states a stream of the given batches puts out."""
     from seamwright.streaming.fold import stream_states
 
-    events = spark.read.parquet(f"{tiny}/learning_events.parquet")
-    ready = learning.with_verdicts(learning.unique_events(events))
-    cut = ready.approxQuantile("event_order", [0.5], 0.0)[0]
-    for i, part in enumerate((ready.where(F.col("event_order") <= cut), ready.where(F.col("event_order") > cut))):
-        part.coalesce(1).write.mode("overwrite").parquet(str(tmp_path / "in" / f"part={i}"))
-    stream = spark.readStream.schema(ready.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+    for i, part in enumerate(parts):
+        part.coalesce(1).write.mode("overwrite").parquet(str(path / "in" / f"part={i}"))
+    stream = spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(path / "in"))
     seen = {}
 
     def take(df, n):
         for r in df.collect():
             seen.setdefault((r["learner_id"], r["project_id"], r["target_id"]), []).append(r)
 
-    q = stream_states(stream).writeStream.outputMode("update").foreachBatch(take).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q = stream_states(stream).writeStream.outputMode("update").foreachBatch(take).option("checkpointLocation", str(path / "c")).trigger(availableNow=True).start()
     q.awaitTermination()
+    return {k: max(v, key=lambda r: r["events"]) for k, v in seen.items()}
+
+
+def test_stream_equals_batch(spark, tiny, tmp_path):
+    events = spark.read.parquet(f"{tiny}/learning_events.parquet")
+    # the later half first: every other event comes late
+    parts = [events.where("event_order % 2 = 1"), events.where("event_order % 2 = 0")]
+    last = streamed(spark, parts, tmp_path)
     batch = {(r["learner_id"], r["project_id"], r["target_id"]): r for r in learning.learning_states(events).collect()}
-    last = {k: max(v, key=lambda r: r["events"]) for k, v in seen.items()}
-    assert last.keys() == batch.keys()
-    assert all(last[k]["mastery"] == batch[k]["mastery"] and last[k]["events"] == batch[k]["events"] for k in batch)
+    assert {k: tuple(v) for k, v in last.items()} == {k: tuple(v) for k, v in batch.items()}
+
+
+#: events of one key that bring every rule to bear: mastered, exact and lost mappings, corrections, lifts
+RULES = [
+    [event(1, *S, "{}"), event(2, *A, '{"verdict": "partial"}'), event(3, *A, '{"verdict": "pass", "task_type": "explain_symbol"}', "t1"), event(4, *A, '{"verdict": "pass"}', "t2")],
+    [event(1, *A, '{"verdict": "pass", "task_type": "explain_symbol"}', "t1"), event(2, *R, '{"availability": "current"}', None), event(3, *A, '{"verdict": "fail"}', "t9"), event(4, *S, "{}")],
+    [event(1, *A, '{"verdict": "pass"}'), event(2, "continuity_state_derived", "revision_continuity", '{"mapping_status": "renamed_exact", "availability": "current", "source_mastery_status": "introduced", "source_verified_pass_count": 1, "source_qualifying_pass_count": 1}', None), event(3, *A, '{"verdict": "partial"}'), event(4, *A, '{"verdict": "pass"}', "t1")],
+    [event(1, *A, '{"verdict": "pass"}'), event(2, "continuity_state_derived", "revision_continuity", '{"mapping_status": "ambiguous"}', None), event(3, *A, '{"verdict": "partial"}')],
+    [event(1, *A, '{"verdict": "fail"}'), event(2, *A, '{"verdict": "pass"}', "t2"), event(3, "evaluation_corrected", "verified_assessment", '{"reverses_event_id": "e1", "corrected_verdict": "pass", "task_type": "explain_symbol"}')],
+    [event(1, *A, '{"verdict": "pass"}', ""), event(2, "continuity_state_derived", "revision_continuity", '{"mapping_status": "unchanged_exact", "source_mastery_status": "wise"}', None), event(3, *S, "{}")],
+    [event(1, *A, '{"verdict": "fail"}'), event(2, *S, "{}"), event(3, *A, '{"verdict": "odd"}'), event(4, *R, "{}", None), event(5, *R, '{"availability": "current"}', None)],
+]
+EXPECTED = [
+    ("mastered", "current", 2, 1, ""), ("needs_review", "current", 1, 1, "validated_failure"), ("mastered", "current", 2, 1, ""), ("needs_review", "current", 1, 0, "revision_ambiguous"),
+    ("mastered", "current", 2, 1, ""), ("needs_review", "stale", 0, 0, ""), ("needs_review", "current", 0, 0, "revision_stale"),
+]
+
+
+def test_states_of_every_rule_in_any_order_batch_and_stream(spark, tmp_path):
+    rows = [(*e[:2], e[2] + str(k), *e[3:]) for k, events in enumerate(RULES) for e in events]
+    # ids and idempotency keys are unique over the table
+    rows = [(f"{e[0]}-{e[2]}", f"{e[1]}-{e[2]}", *e[2:9], e[9].replace('"e1"', f'"e1-{e[2]}"'), e[10]) for e in rows]
+    frame = spark.createDataFrame(rows, EVENT)
+    pick = lambda r: (r["mastery"], r["availability"], r["passes"], r["qualifying_passes"], r["review_reason"])
+    batch = {r["learner_id"]: pick(r) for r in learning.learning_states(frame).collect()}
+    assert [batch[f"l{k}"] for k in range(len(RULES))] == EXPECTED
+    # the SQL the tables are compared with gives the same
+    import duckdb
+
+    from seamwright.plans.learning_queries import SQL
+
+    con = duckdb.connect()
+    con.register("learning_events", frame.toPandas())
+    got = con.execute(SQL["learning_state"]).df()
+    assert {r.learner_id: (r.mastery, r.availability, r.passes, r.qualifying_passes, r.review_reason) for r in got.itertuples()} == batch
+    last = streamed(spark, [frame.where("event_order > 2"), frame.where("event_order <= 2")], tmp_path)
+    assert [pick(last[f"l{k}", "p", "x"]) for k in range(len(RULES))] == EXPECTED
 
 
 def test_plan_order():
