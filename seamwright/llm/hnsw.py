@@ -2,9 +2,10 @@
 
 A graph holds the vectors of one shard.  Node levels are geometric (by a hash of the id, so
 that a repeated task gives the same graph).  The nodes above level 0 are few and are linked
-exactly; the others are inserted in batches of doubling size: a batch is searched for in
-the graph built so far and compared with itself, gets diverse neighbours, and is linked
-back.  All distance work is done for whole batches with numpy.
+exactly; the others are inserted in batches of at most ``batch`` nodes: a batch is searched
+for in the graph built so far and compared with itself, gets diverse neighbours, and is
+linked back.  What is asked of a graph is always searched for in the finished graph.  All
+distance work is done for whole batches with numpy.
 """
 
 from __future__ import annotations
@@ -24,13 +25,12 @@ def _top(sims: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndar
 class Graph:
     """``x``: unit vectors (n, d) float32; ``seeds``: an integer per vector that fixes its level."""
 
-    def __init__(self, x: np.ndarray, seeds: np.ndarray, m: int = 8, ef: int = 32, batch: int = 2048):
+    def __init__(self, x: np.ndarray, seeds: np.ndarray, m: int = 16, ef: int = 128, batch: int = 512):
         self.x, self.m, self.m0, self.ef = x, m, 2 * m, ef
         n = len(x)
         u = (_mix(seeds.astype(np.uint64)) >> np.uint64(11)).astype(np.float64) / 2**53
         level = np.floor(-np.log(np.maximum(u, 1e-300)) / np.log(m)).astype(int) if n else np.zeros(0, int)
         order = np.lexsort((_mix(seeds.astype(np.uint64) + np.uint64(7)), -level))
-        self.found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # (node, other, similarity) seen while building
         self.layers: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # (nodes, position of node or -1, neighbours)
         for lv in range(1, int(level.max(initial=0)) + 1):
             nodes = order[level[order] >= lv]
@@ -44,8 +44,7 @@ class Graph:
         done = 0
         upper = int((level > 0).sum())
         while done < n:
-            size = max(upper, min(batch, n)) if done == 0 else min(done, batch)
-            new = order[done : done + size]
+            new = order[done : done + (max(upper, 32) if done == 0 else min(done, batch))]
             self._insert(new, done)
             done += len(new)
 
@@ -86,7 +85,8 @@ class Graph:
         return out
 
     def _insert(self, new: np.ndarray, done: int) -> None:
-        c = self.ef
+        c = min(self.ef, 3 * self.m)
+        linked: list[tuple[np.ndarray, np.ndarray]] = []
         for a in range(0, len(new), 1024):
             part = new[a : a + 1024]
             sims = self.x[part] @ self.x[new].T
@@ -95,17 +95,12 @@ class Graph:
             if done:
                 s2, i2 = self.search(self.x[part], c)
                 s, i = _top(np.hstack([s, s2]), np.hstack([i, i2]), c)
-            keep = (s > -1.5) & (i >= 0)
-            who = np.repeat(part, i.shape[1]).reshape(i.shape)
-            self.found.append((who[keep], i[keep], s[keep]))
-            self._pending = getattr(self, "_pending", [])
-            self._pending.append((part, self._diverse(s, i, self.m)))
-        pending, self._pending = self._pending, []
-        for part, links in pending:
-            self.nbr[part, : self.m] = links
+            linked.append((part, self._diverse(s, i, self.m)))
+        for part, links in linked:
+            self.nbr[part, : links.shape[1]] = links
             self.deg[part] = (links >= 0).sum(1)
-        part = np.concatenate([p for p, _ in pending])
-        links = np.concatenate([x for _, x in pending])
+        part = np.concatenate([p for p, _ in linked])
+        links = np.concatenate([x for _, x in linked])
         src = np.repeat(part, links.shape[1]).reshape(links.shape)
         keep = links >= 0
         self._link_back(links[keep], src[keep])
@@ -177,73 +172,80 @@ class Graph:
         return out_s, out_i
 
     def _beam(self, q: np.ndarray, start: np.ndarray, ef: int, pos: np.ndarray | None, nbr: np.ndarray):
-        b, n = len(q), len(self.x)
-        seen = np.zeros((b, n), bool)
-        ids = np.full((b, ef), -1, np.int64)
+        """The ``ef`` best nodes met from ``start`` on; the best open nodes of each beam are followed, several at once."""
+        b, n, m = len(q), len(self.x), nbr.shape[1]
+        wide = max(1, min(4, ef // 4))
+        seen = np.zeros((b, n + 1), bool)
+        ids = np.full((b, ef), -1, np.int32)
         sims = np.full((b, ef), -2, np.float32)
         w = min(ef, start.shape[1])
         ids[:, :w] = start[:, :w]
-        has = ids >= 0
-        r, c = np.nonzero(has)
+        r, c = np.nonzero(ids >= 0)
         sims[r, c] = np.einsum("ij,ij->i", q[r], self.x[ids[r, c]])
         seen[r, ids[r, c]] = True
-        open_ = has.copy()
+        open_ = ids >= 0
         rows = np.arange(b)
-        while len(rows):
-            best = np.where(open_[rows], sims[rows], -3).argmax(1)
-            live = open_[rows, best]
-            rows, best = rows[live], best[live]
+        while True:
+            rows = rows[open_[rows].any(1)]
             if not len(rows):
                 break
-            open_[rows, best] = False
-            node = ids[rows, best]
+            score = np.where(open_[rows], sims[rows], -3)
+            best = np.argpartition(-score, wide - 1, axis=1)[:, :wide] if ef > wide else np.broadcast_to(np.arange(ef), score.shape)
+            live = np.take_along_axis(score, best, 1) > -3
+            node = np.take_along_axis(ids[rows], best, 1)
+            open_[rows[:, None], best] = False
             near = nbr[node if pos is None else pos[node]]
-            fresh = (near >= 0) & ~seen[rows[:, None], np.maximum(near, 0)]
+            near[~live] = -1
+            near = near.reshape(len(rows), -1)
+            near.sort(axis=1)
+            fresh = (near >= 0) & ~seen[rows[:, None], near]
+            fresh[:, 1:] &= near[:, 1:] != near[:, :-1]
             r, c = np.nonzero(fresh)
             if not len(r):
                 continue
             other = near[r, c]
-            qr = rows[r]
-            seen[qr, other] = True
-            s = np.einsum("ij,ij->i", q[qr], self.x[other])
-            # rows whose beam takes none of the new ones are left as they are
-            worst = sims[rows].min(1)
-            use = s > worst[r]
-            if not use.any():
+            at = rows[r]
+            seen[at, other] = True
+            s = np.einsum("ij,ij->i", q[at], self.x[other])
+            use = s > sims[rows].min(1)[r]
+            r, other, s = r[use], other[use], s[use]
+            if not len(r):
                 continue
-            r, c, other, s = r[use], c[use], other[use], s[use]
-            touched, back = np.unique(r, return_inverse=True)
-            m = near.shape[1]
-            all_s = np.full((len(touched), ef + m), -2, np.float32)
-            all_i = np.full((len(touched), ef + m), -1, np.int64)
-            all_o = np.zeros((len(touched), ef + m), bool)
-            t = rows[touched]
+            # only beams that take something in are sorted anew
+            first = np.flatnonzero(np.r_[True, r[1:] != r[:-1]])
+            count = np.diff(np.r_[first, len(r)])
+            col = np.arange(len(r)) - np.repeat(first, count)
+            line = np.repeat(np.arange(len(first)), count)
+            t = rows[r[first]]
+            width = int(count.max())
+            all_s = np.full((len(t), ef + width), -2, np.float32)
+            all_i = np.full((len(t), ef + width), -1, np.int32)
+            all_o = np.zeros((len(t), ef + width), bool)
             all_s[:, :ef], all_i[:, :ef], all_o[:, :ef] = sims[t], ids[t], open_[t]
-            all_s[back, ef + c], all_i[back, ef + c], all_o[back, ef + c] = s, other, True
-            at = np.argpartition(-all_s, ef - 1, axis=1)[:, :ef]
-            sims[t] = np.take_along_axis(all_s, at, 1)
-            ids[t] = np.take_along_axis(all_i, at, 1)
-            open_[t] = np.take_along_axis(all_o, at, 1) & (ids[t] >= 0)
+            all_s[line, ef + col], all_i[line, ef + col], all_o[line, ef + col] = s, other, True
+            keep = np.argpartition(-all_s, ef - 1, axis=1)[:, :ef]
+            sims[t] = np.take_along_axis(all_s, keep, 1)
+            ids[t] = np.take_along_axis(all_i, keep, 1)
+            open_[t] = np.take_along_axis(all_o, keep, 1)
         return _top(sims, ids, ef)
 
-    def neighbours(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(node, other, similarity) of the k best others of each node among all pairs that
-        were compared while building, in both directions."""
-        if not self.found:
+    def neighbours(self, k: int, ef: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(node, other, similarity): the k best others of each node, searched for in the finished graph from the node on."""
+        n = len(self.x)
+        ef = max(k + 1, ef or self.ef)
+        step = max(64, min(1024, 40_000_000 // max(1, n)))
+        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for a in range(0, n, step):
+            me = np.arange(a, min(a + step, n), dtype=np.int32)
+            s, i = self._beam(self.x[me], me[:, None], min(ef, n), None, self.nbr)
+            ok = (i >= 0) & (i != me[:, None])
+            ok &= np.cumsum(ok, axis=1) <= k
+            r, c = np.nonzero(ok)
+            out.append((me[r].astype(np.int64), i[r, c].astype(np.int64), s[r, c]))
+        if not out:
             z = np.zeros(0, np.int64)
             return z, z, np.zeros(0, np.float32)
-        a = np.concatenate([f[0] for f in self.found]).astype(np.int64)
-        b = np.concatenate([f[1] for f in self.found]).astype(np.int64)
-        s = np.concatenate([f[2] for f in self.found])
-        a, b, s = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([s, s])
-        _, at = np.unique(a * len(self.x) + b, return_index=True)
-        a, b, s = a[at], b[at], s[at]
-        at = np.lexsort((b, -s, a))
-        a, b, s = a[at], b[at], s[at]
-        first = np.flatnonzero(np.r_[True, a[1:] != a[:-1]])
-        rank = np.arange(len(a)) - np.repeat(first, np.diff(np.r_[first, len(a)]))
-        keep = rank < k
-        return a[keep], b[keep], s[keep]
+        return tuple(np.concatenate([o[j] for o in out]) for j in range(3))
 
 
 def _mix(x: np.ndarray) -> np.ndarray:

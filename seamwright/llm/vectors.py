@@ -2,19 +2,24 @@
 
 * Blobs are checked (length, finite, not all zero); equal vectors become one representative
   with its ``k + 1`` smallest ids, cut to that before the shuffle.
-* Shards are the cells of centres fitted on a bounded sample; a cell larger than
-  ``shard_rows`` by its share of the sample is split further by hash, so that no shard
-  grows with the data.
+* Shards are the cells of centres fitted on a sample.  Their number grows with the vectors:
+  up to ``TOP_CELLS`` cells by one fit on the driver; beyond, every such cell is fitted
+  again on its own part of a larger sample, in parallel, so that a cell holds about
+  ``shard_rows`` vectors at any size and dense regions have more cells.
 * In each shard a small-world graph is built (``hnsw.Graph``).  A representative is placed
-  in its nearest cell and searched for there and in each other cell whose centre is within
-  ``margin`` of the nearest one.
+  in its nearest cell and searched for there, and in up to ``max_probes - 1`` other cells
+  whose centre is within ``margin`` of the nearest one, however many cells there are.
 * The results of the shards are merged and the copies are put back; copies beyond the
   first ``k + 1`` of a vector have the first ``k`` as their neighbours.
+
+``m`` and ``ef`` are the width of the graph and of its search.  Neighbours that are near
+(similarity 0.8 or more, ``similar_pairs``) are found with a narrow search; to find the
+nearest ones among vectors without structure takes the wide one of ``nearest_vectors``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from hashlib import md5
 
 import numpy as np
@@ -26,11 +31,15 @@ from pyspark.sql import functions as F
 from ..session import checkpointed
 from .hnsw import Graph
 
-#: bounds of the router's sample and of one shard; documented parameters
+#: the router's sample on the driver, and the vectors of one shard; documented parameters
 SAMPLE_ROWS = 8192
 SHARD_ROWS = 8_000
 MARGIN = 0.08
 MAX_PROBES = 3
+#: cells of the first fit, sampled vectors for each cell of the second, and cells in all (their centres are sent to every task)
+TOP_CELLS = 256
+ROWS_PER_CELL = 24
+MOST_CELLS = 65_536
 
 
 def _valid(df: DataFrame, vid: str, group: str, blob: str, dimension: str) -> DataFrame:
@@ -54,25 +63,117 @@ def _unit(blobs) -> np.ndarray:
     return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
 
 
-def fit_cells(sample: np.ndarray, n: int, shard_rows: int, rounds: int = 8) -> tuple[np.ndarray, np.ndarray]:
-    """(centres, sub-shards per cell) for ``n`` vectors from a sample of unit vectors."""
-    cells = max(1, min(-(-n // shard_rows), len(sample) // 16 or 1))
-    centres = sample[np.linspace(0, len(sample) - 1, cells).astype(int)].copy()
-    for _ in range(rounds if cells > 1 else 0):
+def fit_cells(sample: np.ndarray, cells: int, rounds: int = 8) -> np.ndarray:
+    """At most ``cells`` centres of a sample of unit vectors.
+
+    Centres follow the density: after each round the emptiest take half of the fullest.
+    """
+    cells = max(1, min(cells, len(sample) // 8 or 1))
+    centres = sample[np.linspace(0, len(sample) - 1, cells).astype(int)].astype(np.float32)
+    for k in range(rounds if cells > 1 else 0):
         home = (sample @ centres.T).argmax(1)
-        for c in range(cells):
-            mine = sample[home == c]
-            if len(mine):
-                mean = mine.mean(0)
-                centres[c] = mean / (np.linalg.norm(mean) or 1)
-    home = (sample @ centres.T).argmax(1)
-    share = np.bincount(home, minlength=cells) / max(1, len(sample))
-    return centres.astype(np.float32), np.maximum(1, np.ceil(share * n / (1.5 * shard_rows))).astype(int)
+        count = np.bincount(home, minlength=cells)
+        order = np.argsort(home, kind="stable")
+        ends = np.cumsum(count)
+        for c in np.flatnonzero(count):
+            mean = sample[order[ends[c] - count[c] : ends[c]]].mean(0)
+            centres[c] = mean / (np.linalg.norm(mean) or 1)
+        if k < rounds - 2:
+            mean_count = len(sample) / cells
+            full = [c for c in np.argsort(-count) if count[c] > 2 * mean_count]
+            for c, e in zip(full, np.argsort(count)):
+                if count[e] * 4 > mean_count:
+                    break
+                mine = sample[order[ends[c] - count[c] : ends[c]]]
+                far = mine[(mine @ centres[c]).argmin()]
+                two = centres[c] + far
+                centres[e] = two / (np.linalg.norm(two) or 1)
+    return centres
+
+
+class Router:
+    """Centres in two levels; ``probes`` gives the cells of vectors, nearest first.
+
+    ``top``: (c, d) centres; ``below``: for each, the (b, d) centres within it.  Cells are
+    numbered through.
+    """
+
+    def __init__(self, top: np.ndarray, below: list[np.ndarray]):
+        self.top, self.below = top, below
+        self.first = np.cumsum([0, *map(len, below)])
+
+    @property
+    def cells(self) -> int:
+        return int(self.first[-1])
+
+    def probes(self, x: np.ndarray, most: int, margin: float) -> tuple[np.ndarray, np.ndarray]:
+        """(cells, wanted), both (n, most): the nearest cells and whether they are within the margin."""
+        near = self.top @ x.T
+        ways = min(most, len(self.top))
+        upper = np.argsort(-near, axis=0, kind="stable")[:ways].T
+        sims = np.full((len(x), ways * most), -2, np.float32)
+        cells = np.zeros((len(x), ways * most), np.int64)
+        for j in range(ways):
+            for c in np.unique(upper[:, j]):
+                rows = np.flatnonzero(upper[:, j] == c)
+                s = x[rows] @ self.below[c].T
+                at = np.argsort(-s, axis=1, kind="stable")[:, :most]
+                w = at.shape[1]
+                sims[rows, j * most : j * most + w] = np.take_along_axis(s, at, 1)
+                cells[rows, j * most : j * most + w] = self.first[c] + at
+        at = np.argsort(-sims, axis=1, kind="stable")[:, :most]
+        sims, cells = np.take_along_axis(sims, at, 1), np.take_along_axis(cells, at, 1)
+        wanted = sims >= sims[:, :1] - margin
+        wanted[:, 0] = True
+        return cells, wanted & (sims > -2)
+
+
+def cells_for(n: int, shard_rows: int = SHARD_ROWS) -> int:
+    """How many cells ``n`` vectors get."""
+    return max(1, min(MOST_CELLS, -(-n // shard_rows)))
+
+
+def fit_router(draw: Callable[[int], DataFrame], n: int, shard_rows: int, sample_rows: int) -> Router | None:
+    """The router of ``n`` vectors of one dimension; None if there is nothing to fit on.
+
+    ``draw(rows)`` gives about so many of them as (id, blob).
+    """
+    cells = cells_for(n, shard_rows)
+    sample = [r["blob"] for r in draw(sample_rows).select("blob").limit(2 * sample_rows).collect()]
+    if not sample:
+        return None
+    x = _unit(sample)
+    if cells <= TOP_CELLS:
+        centres = fit_cells(x, cells)
+        return Router(centres, [centres[c : c + 1] for c in range(len(centres))])
+    top = fit_cells(x, TOP_CELLS)
+    share = cells * ROWS_PER_CELL
+
+    def home(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            b = batch.column(1).to_pylist()
+            at = (_unit(b) @ top.T).argmax(1) if b else []
+            yield pa.RecordBatch.from_pydict({"cell": at, "id": batch.column(0), "blob": b}, schema=pa.schema([("cell", pa.int64()), ("id", pa.int64()), ("blob", pa.binary())]))
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        part = _unit(pdf.sort_values("id")["blob"])
+        centres = fit_cells(part, -(-len(part) // ROWS_PER_CELL))
+        return pd.DataFrame({"cell": pdf["cell"].iloc[0], "centre": [c.astype("<f4").tobytes() for c in centres]})
+
+    wide = draw(share).select("id", "blob").mapInArrow(home, "cell long, id long, blob binary")
+    # a region that holds more of the sample than a task should is fitted in parts
+    parts = Window.partitionBy("cell").orderBy(F.xxhash64("id"))
+    cut = wide.withColumn("part", F.floor((F.row_number().over(parts) - 1) / (2 * sample_rows)))
+    fitted = cut.groupBy("cell", "part").applyInPandas(lambda pdf: fit(pdf.drop(columns="part")), "cell long, centre binary").collect()
+    inner: list[list] = [[] for _ in top]
+    for r in sorted(fitted, key=lambda r: (r["cell"], r["centre"])):
+        inner[r["cell"]].append(np.frombuffer(r["centre"], "<f4"))
+    return Router(top, [np.stack(c) if c else top[k : k + 1] for k, c in enumerate(inner)])
 
 
 def nearest_vectors(
     df: DataFrame, vid: str = "id", group: str = "model_name", blob: str = "vector_blob", dimension: str = "embedding_dimension",
-    k: int = 5, min_similarity: float = -1.0, m: int = 10, ef: int = 28, shard_rows: int = SHARD_ROWS,
+    k: int = 5, min_similarity: float = -1.0, m: int = 16, ef: int = 128, shard_rows: int = SHARD_ROWS,
     sample_rows: int = SAMPLE_ROWS, margin: float = MARGIN, max_probes: int = MAX_PROBES,
 ) -> DataFrame:
     """(id, model, neighbour_id, similarity, rank): the k nearest by cosine within each model.
@@ -94,26 +195,21 @@ def nearest_vectors(
         .where("model IS NOT NULL")
         .collect()
     )
-    router: dict[tuple[str, int], tuple[np.ndarray, np.ndarray]] = {}
+    router: dict[tuple[str, int], Router] = {}
     for row in lengths:
         if row["count"] <= shard_rows:
             continue
-        # a hash of the id below a bound: about sample_rows rows in all, from every partition
-        bound = int(min(1.0, sample_rows / row["count"]) * 2**62)
-        sample = (
-            df.where((F.col(group) == row["model"]) & (F.col(dimension) == row["dim"]) & (F.octet_length(blob) == 4 * row["dim"]))
-            .where(F.shiftrightunsigned(F.xxhash64(F.col(vid).cast("string")), 2) < bound)
-            .select(F.col(blob).alias("blob"))
-            .limit(2 * sample_rows)
-            .collect()
-        )
-        x = np.stack([np.frombuffer(r["blob"], "<f4") for r in sample]).astype(np.float64)
-        with np.errstate(all="ignore"):
-            norm = np.sqrt((x * x).sum(1))
-        x = x[np.isfinite(norm) & (norm > 0)]
-        norm = norm[np.isfinite(norm) & (norm > 0)]
-        if len(x):
-            router[row["model"], row["dim"]] = fit_cells((x / norm[:, None]).astype(np.float32), row["count"], shard_rows)
+
+        def draw(rows: int, row=row) -> DataFrame:
+            # by the hash of the id, so that every part of the table and every run gives the same
+            below = int(min(1.0, rows / row["count"]) * 2**62)
+            some = df.where((F.col(group).cast("string") == row["model"]) & (F.col(dimension) == row["dim"]) & (F.shiftrightunsigned(F.xxhash64(F.col(vid).cast("string")), 2) < below))
+            return _valid(some, vid, group, blob, dimension)
+
+        fitted = fit_router(draw, row["count"], shard_rows, sample_rows)
+        if fitted is not None:
+            router[row["model"], row["dim"]] = fitted
+    sent = spark.sparkContext.broadcast(router)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -123,28 +219,22 @@ def nearest_vectors(
             for i, (model, b) in enumerate(zip(t["model"], t["blob"])):
                 by.setdefault((model, len(b) // 4), []).append(i)
             for (model, dim), rows in by.items():
-                fitted = router.get((model, dim))
+                fitted = sent.value.get((model, dim))
                 if fitted is None:
-                    probes = [[(0, True)]] * len(rows)
-                    subs = np.ones(1, int)
+                    cells, wanted = np.zeros((len(rows), 1), np.int64), np.ones((len(rows), 1), bool)
                 else:
-                    centres, subs = fitted
-                    s = _unit([t["blob"][i] for i in rows]) @ centres.T
-                    order = np.argsort(-s, axis=1, kind="stable")[:, :max_probes]
-                    top = np.take_along_axis(s, order, 1)
-                    probes = [[(int(c), j == 0) for j, c in enumerate(o) if j == 0 or v[j] >= v[0] - margin] for o, v in zip(order, top)]
-                for i, cells in zip(rows, probes):
-                    for cell, home in cells:
-                        mine = t["ids"][i][0] % subs[cell]
-                        for sub in range(subs[cell]):
-                            out["shard"].append(f"{model}\x00{dim}\x00{cell}\x00{sub}")
-                            out["home"].append(home and sub == mine)
+                    cells, wanted = fitted.probes(_unit([t["blob"][i] for i in rows]), max_probes, margin)
+                for i, some, want in zip(rows, cells.tolist(), wanted.tolist()):
+                    for j, cell in enumerate(some):
+                        if want[j]:
+                            out["shard"].append(f"{model}\x00{dim}\x00{cell}")
+                            out["home"].append(j == 0)
                             out["blob"].append(t["blob"][i])
                             out["ids"].append(t["ids"][i])
             yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("shard", pa.string()), ("home", pa.bool_()), ("blob", pa.binary()), ("ids", pa.list_(pa.int64()))]))
 
     routed = reps.select("model", "blob", "ids").mapInArrow(route, "shard string, home boolean, blob binary, ids array<long>")
-    shards = int(sum(int(subs.sum()) for _, subs in router.values())) + len(lengths)
+    shards = sum(r.cells for r in router.values()) + len(lengths)
 
     def shard(pdf: pd.DataFrame) -> pd.DataFrame:
         home = pdf["home"].to_numpy()
@@ -203,7 +293,7 @@ def nearest_vectors(
     return ranked.unionByName(later).select("id", "model", "neighbour_id", F.col("similarity"), "rank")
 
 
-def similar_pairs(df: DataFrame, k: int = 5, min_similarity: float = 0.8, **options) -> DataFrame:
-    """(id_a, id_b), id_a < id_b: one of the two is among the k nearest of the other."""
-    near = nearest_vectors(df, k=k, min_similarity=min_similarity, **options)
+def similar_pairs(df: DataFrame, k: int = 5, min_similarity: float = 0.8, m: int = 10, ef: int = 24, **options) -> DataFrame:
+    """(id_a, id_b), id_a < id_b: one of the two is among the k nearest of the other, and that near."""
+    near = nearest_vectors(df, k=k, min_similarity=min_similarity, m=m, ef=ef, **options)
     return near.select(F.least("id", "neighbour_id").alias("id_a"), F.greatest("id", "neighbour_id").alias("id_b")).distinct()

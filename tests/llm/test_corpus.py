@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from seamwright.llm import credentials, leakage, mixing, pii, vectors
 from seamwright.llm.hnsw import Graph
@@ -52,6 +53,38 @@ def test_graph_recall():
     assert (again.nbr == g.nbr).all()
 
 
+def test_recall_without_structure(spark):
+    """Vectors without structure and no bound on similarity: the defaults find nine in ten of the five nearest."""
+    x = np.random.default_rng(5).normal(size=(4000, 64)).astype(np.float32)
+    got = {(r["id"], r["neighbour_id"]) for r in near(spark, [(i, "m", blob(v), 64) for i, v in enumerate(x)], k=5).collect()}
+    assert len(truth(x, 5, -1) & got) >= 0.9 * 5 * len(x) and len(got) == 5 * len(x)
+
+
+def test_copies_of_a_vector_do_not_grow_with_the_cells(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "TOP_CELLS", 4)
+    x = clustered(6000, 24, seed=8)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    frame = spark.createDataFrame([(i, blob(v)) for i, v in enumerate(x)], "id long, blob binary")
+    draw = lambda rows: frame.where((F.shiftrightunsigned(F.xxhash64("id"), 2) / F.lit(2.0**62)) < min(1.0, rows / len(x)))
+    copies = []
+    for shard_rows in (3000, 250, 120):
+        router = vectors.fit_router(draw, len(x), shard_rows, 1024)
+        cells, wanted = router.probes(x, 3, 0.08)
+        copies.append(wanted.sum() / len(x))
+        assert router.cells >= 0.8 * len(x) / shard_rows and (cells[wanted] < router.cells).all()
+        # no cell is far above the size asked for, as centres follow the density
+        assert np.bincount(cells[:, 0]).max() <= 5 * shard_rows
+    assert max(copies) <= 3 and vectors.cells_for(160_000) == 20 and vectors.cells_for(50_000_000) == 6250
+
+
+def test_pairs_over_two_levels_of_cells(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "TOP_CELLS", 4)
+    x = clustered(3000, 24, seed=3)
+    df = near(spark, [(i, "m", blob(v), 24) for i, v in enumerate(x)], k=5, min_similarity=0.8, shard_rows=300, sample_rows=512, margin=0.2)
+    want = truth(x, 5, 0.8)
+    assert len(want & {(r["id"], r["neighbour_id"]) for r in df.collect()}) >= 0.93 * len(want)
+
+
 def test_pairs_over_shards(spark):
     x = clustered(3000, 24, seed=3)
     rows = [(i, "m", blob(v), 24) for i, v in enumerate(x)]
