@@ -2,9 +2,11 @@
 
 Layout statistics decide first: maximum and mean line length, the share of white space,
 of letters and digits, of numeric literals and of long encoded runs, with thresholds per
-language.  They find minified and bundled code, encoded blobs and bulk data.  Tool output
-and third-party copies of ordinary layout have no statistics of their own; those are told
-by what their header says of the file itself and by the directory they lie in.
+language.  They find minified and bundled code, encoded blobs, bulk data and lists of
+digests that package managers write, in texts of any length.  Tool output and third-party
+copies of ordinary layout have no statistics of their own; only where the layout says
+nothing are files told by what a comment says of the file itself and by the directory they
+lie in.  ``sign`` names what decided: layout, path or header.
 """
 
 from __future__ import annotations
@@ -21,10 +23,13 @@ from .texts import map_texts
 
 
 class Limits(NamedTuple):
-    """Thresholds of one language; a file is minified if its lines are long and dense."""
+    """Thresholds of one language; a file is minified if its lines are long and dense.
+
+    A value beyond what a share can be (2) turns a statistic off.
+    """
 
     mean_line: float = 150  # mean length of a line
-    long_line: int = 300  # a line is long from here
+    long_line: int = 200  # a line is long from here
     long_share: float = 0.8  # or share of the text in long lines
     space_share: float = 0.12  # white space of minified text stays below
     alnum_share: float = 0.8  # and letters and digits below this, as it is full of operators
@@ -36,13 +41,19 @@ class Limits(NamedTuple):
     digit_share: float = 0.3  # of letters and digits, numerals
 
 
-CODE = Limits()
+_NO_DATA = {"literal_share": 2, "digit_share": 2}
+#: configuration and prose hold values and paragraphs on lines of their own: only much of it is telling
 BY_LANGUAGE = {
-    "Python": CODE,
-    "JavaScript": CODE,
-    "TypeScript": CODE,
-    "CSS": Limits(space_share=0.05, literal_share=2, digit_share=2),
-    "HTML": Limits(space_share=0.04, mean_line=400, long_line=1000, literal_share=2, digit_share=2),
+    "Python": Limits(space_share=0.11, alnum_share=0.82),
+    "JavaScript": Limits(),
+    "TypeScript": Limits(alnum_share=0.82),
+    "CSS": Limits(space_share=0.05, **_NO_DATA),
+    "HTML": Limits(space_share=0.04, mean_line=400, long_line=1000, **_NO_DATA),
+    "JSON": Limits(space_share=0.02, mean_line=2000, long_line=4000, encoded_share=0.3, encoded_chars=1200, **_NO_DATA),
+    "TOML": Limits(space_share=0.02, mean_line=1000, long_line=2000, encoded_share=0.3, encoded_chars=1200, **_NO_DATA),
+    "YAML": Limits(space_share=0.02, mean_line=1000, long_line=2000, encoded_share=0.3, encoded_chars=1200, **_NO_DATA),
+    "Markdown": Limits(space_share=0.02, mean_line=4000, long_line=8000, encoded_share=0.6, encoded_chars=8000, **_NO_DATA),
+    "Text": Limits(space_share=0, encoded_share=0.8, encoded_chars=20_000, **_NO_DATA),
 }
 
 # Directories that hold copies of other projects, and files package managers write.
@@ -72,24 +83,26 @@ _TOOL_HEADER = re.compile(
     r"this (?:file|code|module) (?:is|was|has been) (?:generated|created by|produced by)\b|"
     r"(?:automatically|auto) (?:generated|created|produced)\b|code generated\b|"
     r"do not (?:edit|modify|change|touch)\b(?! .{0,40}without)|don't (?:edit|modify) this\b|not meant (?:for|to be) (?:hand|manual|edit)|"
-    r"output of [\w./-]+\s*[-–—:,]?\s*do not|source: \S+\.(?:proto|graphql|gql|thrift|fbs|avsc|wsdl|xsd)\b)",
+    r"output of [\w./-]+\s*[-–—:,]?\s*do not|source: \S+\.(?:proto|graphql|gql|thrift|fbs|avsc|wsdl|xsd)\b|"
+    r"(?:注意|警告|提示)?\s*[:：!！]?\s*(?:(?:本|此|该|这个)(?:文件|代码|模块|脚本|源码)\s*(?:由|为|是|系|通过|使用).{0,40}?(?:生成|输出|产生|产物|导出|编译|写出)|"
+    r"(?:由|通过|使用).{1,40}?(?:自动)?(?:生成|输出|产生|导出|编译)|(?:代码|文件)?自动(?:生成|产生)|(?:请勿|勿|不要|切勿|禁止)(?:手动|手工|直接|人工)?(?:修改|编辑|改动|更改)|手[工动]?(?:改动|修改|编辑).{0,8}覆盖))",
     re.I,
 )
 _COPY_HEADER = re.compile(
     r"(?:third[- ]party (?:code|source|file|library)|vendored(?:\s*:|\s+(?:from|copy))|copied (?:unchanged |verbatim |as is |unmodified )?from\b.*(?:\d+\.\d+|licen[cs]e|https?://)|"
     r"upstream (?:fixes|changes) must|(?:this file is )?(?:taken|imported|copied) (?:unchanged|verbatim|unmodified)|"
     r"@?[\w.-]+ v\d+(?:\.\d+)+\s*[|,-].*\b(?:licen[cs]e|licensed|mit|bsd|apache|mpl|isc)\b|@license\b.*|"
-    r"copyright (?:\(c\) |©\s*)?(?:\d{4}(?:-\d{4})?,? )?the [\w.-]+ (?:contributors|authors|developers|project))",
+    r"copyright (?:\(c\) |©\s*)?(?:\d{4}(?:-\d{4})?,? )?the [\w.-]+ (?:contributors|authors|developers|project)|"
+    r"(?:(?:本|此|该)(?:文件|代码|模块|目录)?)?\s*(?:为|是|系)?\s*(?:第三方(?:代码|源码|文件|库)|(?:原样|直接|逐字|未经修改|未改动)?(?:地)?(?:复制|拷贝|搬运|引入|取|摘|抄)自.{0,60}(?:\d+\.\d+|许可|协议|https?://|上游)))",
     re.I,
 )
-_NEGATED = re.compile(r"\bnot (?:auto(?:matically)?[- ]?)?generated\b|\b(?:kept|written|maintained|edited) by hand\b|rewritten for|idea taken", re.I)
-HEADER_LINES = 15
+_NEGATED = re.compile(r"\bnot (?:auto(?:matically)?[- ]?)?generated\b|\b(?:kept|written|maintained|edited) by hand\b|rewritten for|idea taken|(?:非|不是|并非)(?:自动)?生成|手(?:工|动)?(?:维护|编写|写成|写的)|人工维护", re.I)
 
 
 def header_reason(text: str) -> str | None:
     """``generated`` or ``vendored`` if a comment above the first code says so of the file."""
     in_block = ""
-    for line in text.split("\n", HEADER_LINES)[:HEADER_LINES]:
+    for line in text.split("\n"):
         bare = line.strip().removeprefix("\ufeff")
         if not bare:
             continue
@@ -114,22 +127,12 @@ def header_reason(text: str) -> str | None:
     return None
 
 
-#: Words one of which every header has
-_HEADER_WORDS = (
-    "generated", "created", "produced", "emitted", "compiled", "do not ", "don't ", "not meant", "written", "source: ",
-    "third", "vendored", "copied", "upstream", "taken", "imported", "license", "licence", "copyright",
-)
-
-
 def late_header_reason(text: str, language: str) -> str | None:
     """As ``header_reason``, for whole comments at the margin further down: tools also put
     their line below imports or at the end.  Text inside string literals is no comment."""
-    low = text.lower()
-    if not any(w in low for w in _HEADER_WORDS):
-        return None
     lines = {}
     for k, line in enumerate(text.split("\n")):
-        if line[:1] in ("#", "/") or line.startswith(" *"):
+        if line[:1] in ("#", "/", "<", "-", ";") or line.startswith(" *"):
             said = _COMMENT.match(line)
             said = said[1].strip(" *#/") if said else ""
             if said and not _NEGATED.search(said):
@@ -162,6 +165,24 @@ def comment_lexemes(text: str, language: str):
                 yield "", len(ws)
             if x:
                 yield (x if x[:2] in ("//", "/*") else ""), len(x)
+    else:
+        comment = _COMMENTS.get(language, _COMMENTS["Text"])
+        at = 0
+        for m in comment.finditer(text):
+            if m.start() > at:
+                yield "", m.start() - at
+            yield m[0], len(m[0])
+            at = m.end()
+
+
+#: comments of languages that have no strings over lines
+_COMMENTS = {
+    "CSS": re.compile(r"/\*(?:[^*]|\*(?!/))*\*/"),
+    "HTML": re.compile(r"<!--(?:[^-]|-(?!->))*-->"),
+    "Markdown": re.compile(r"<!--(?:[^-]|-(?!->))*-->"),
+    "JSON": re.compile(r"(?!)"),
+    "Text": re.compile(r"(?m)^[#;][^\n]*"),
+}
 
 
 def path_reason(path: str) -> str | None:
@@ -182,7 +203,7 @@ class Layout(NamedTuple):
 
     max_line: int = 0
     mean_line: float = 0.0  # of the lines that are not empty
-    long_share: float = 0.0  # in lines of CODE.long_line characters or more
+    long_share: float = 0.0  # in lines of LONG_LINE characters or more
     space_share: float = 0.0
     alnum_share: float = 0.0
     encoded_share: float = 0.0  # in long encoded runs
@@ -192,12 +213,13 @@ class Layout(NamedTuple):
     digit_share: float = 0.0  # of digits among letters and digits
 
 
+LONG_LINE = 200
 _NOT_DIGITS = bytes(x for x in range(256) if not 48 <= x <= 57)
 _NOT_ALNUM = bytes(x for x in range(256) if not (48 <= x <= 57 or 65 <= x <= 90 or 97 <= x <= 122 or x >= 192))
 
 
 def layout(text: str) -> Layout:
-    """Layout statistics in a few passes; the costly ones only where a cheaper one allows a hit."""
+    """Layout statistics in a few passes; the costly ones only where one that is cheaper shows a hit is possible."""
     n = len(text)
     if not n:
         return Layout()
@@ -207,16 +229,13 @@ def layout(text: str) -> Layout:
     alnum = len(raw.translate(None, _NOT_ALNUM))
     digits = len(raw.translate(None, _NOT_DIGITS))
     encoded = 0
-    if "\\x" in text or "\\0" in text or max(map(len, words), default=0) >= 80:
+    if "\\" in text or max(map(len, words), default=0) >= 80:
         encoded = sum(map(len, _ENCODED.findall(text)))
-    literal: list[int] = []
-    ends = sum(text.count(x) for x in (",\n", ",\r", '"\n', '"\r', "'\n", "'\r", "]\n", "}\n"))
-    if ends >= 0.3 * len(lengths):
-        literal = [len(m) for m in _LITERAL_LINE.findall(text)]
+    literal = [len(m) for m in _LITERAL_LINE.findall(text)]
     return Layout(
         max(lengths),
         sum(lengths) / len(lengths),
-        sum(x for x in lengths if x >= CODE.long_line) / n,
+        sum(x for x in lengths if x >= LONG_LINE) / n,
         (n - sum(map(len, words))) / n,
         alnum / n,
         encoded / n,
@@ -230,7 +249,7 @@ def layout(text: str) -> Layout:
 def layout_reason(text: str, language: str) -> str | None:
     """``minified``, ``encoded`` or ``data`` by the layout thresholds of the language."""
     limits = BY_LANGUAGE.get(language)
-    if limits is None or len(text) < 400:
+    if limits is None or not text:
         return None
     x = layout(text)
     dense = x.space_share < limits.space_share and x.alnum_share < limits.alnum_share
@@ -246,20 +265,25 @@ def layout_reason(text: str, language: str) -> str | None:
 
 def reason_rows(text: str, arg: str) -> list[tuple]:
     language, _, path = arg.partition("\t")
-    reason = path_reason(path) or layout_reason(text, language) or header_reason(text) or late_header_reason(text, language)
+    reason, sign = layout_reason(text, language), "layout"
+    if reason is None:
+        reason, sign = path_reason(path), "path"
+    if reason is None:
+        reason, sign = header_reason(text) or late_header_reason(text, language), "header"
     if reason is None and language == "JSON" and '"lockfileVersion"' in text:
         reason = "lock"
-    return [(reason,)] if reason else []
+    return [(reason, sign)] if reason else []
 
 
 def not_handwritten(files: DataFrame) -> DataFrame:
-    """(file_id, reason) of the files nobody wrote by hand.
+    """(file_id, reason, sign) of the files nobody wrote by hand.
 
     Reads ``id, path, content``; the size column is stale in deliveries, so sizes are taken
     from the content.  Null contents are no case; an empty text is one only by its path.
-    Reasons: lock, vendored, generated, minified, encoded, data.
+    Reasons: lock, vendored, generated, minified, encoded, data; ``sign`` tells what decided:
+    layout, path or header.
     """
     texts = files.select(
         "id", "content", F.concat_ws("\t", language_of(F.col("path")), compared_path(F.col("path"))).alias("arg")
     ).where(F.col("path").isNotNull())
-    return map_texts(texts, ["id"], "content", "arg", reason_rows, "file_id long, reason string", "handwritten")
+    return map_texts(texts, ["id"], "content", "arg", reason_rows, "file_id long, reason string, sign string", "handwritten")

@@ -38,7 +38,7 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_reasons(spark: SparkSession, d: str) -> DataFrame:
-    return handwritten.not_handwritten(table(spark, d, "repo_files")).groupBy("reason").agg(F.count("*").alias("files"))
+    return handwritten.not_handwritten(table(spark, d, "repo_files")).groupBy("reason", "sign").agg(F.count("*").alias("files"))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:

@@ -251,7 +251,7 @@ def test_hand_written(path, text, reason):
     from seamwright.functions.paths import LANGUAGE_BY_SUFFIX
 
     language = LANGUAGE_BY_SUFFIX.get(path.rsplit(".", 1)[-1], "Text")
-    got = handwritten.reason_rows(text, f"{language}\t{path}")
+    got = [r[:1] for r in handwritten.reason_rows(text, f"{language}\t{path}")]
     assert got == ([(reason,)] if reason else [])
 
 
@@ -259,4 +259,15 @@ def test_hand_written_tables(spark):
     got = handwritten.not_handwritten(files(spark, [("./x\\vendor\\a.py", "1"), ("a.py", None), (None, "x"), ("a.py", "y = 1\n" * 100_000)]))
     assert [(r["file_id"], r["reason"]) for r in got.collect()] == [(0, "vendored")]
     assert handwritten.not_handwritten(files(spark, [])).count() == 0
-    assert re.match("x", "x")
+
+
+def test_layout_of_short_texts_and_late_headers():
+    """No size below which layout is not looked at, no line after which a header is not read."""
+    short = "var a=function(b,c){return b?c(b):0},d=[],e={};" * 5
+    assert len(short) < 266 and handwritten.reason_rows(short, "JavaScript\tx.js") == [("minified", "layout")]
+    long_head = "".join(f"# note {i}\n" for i in range(40)) + "# Code generated by foo. DO NOT EDIT.\nx = 1\n"
+    assert handwritten.reason_rows(long_head, "Python\tx.py") == [("generated", "header")]
+    assert handwritten.reason_rows("a {\n}\n/* 此文件由工具自动生成，请勿手动修改 */\n", "CSS\tx.css") == [("generated", "header")]
+    assert handwritten.reason_rows("# 手工维护，并非自动生成\nx = 1\n", "Python\tx.py") == []
+    lines = "[[package]]\nname = 'x'\n" + "".join(f'hash = "{"ab12" * 20}{i:04d}"\n' for i in range(20))
+    assert handwritten.reason_rows(lines, "TOML\tdeps.toml") == [("encoded", "layout")]
