@@ -1,11 +1,13 @@
 """Credentials in source code, configuration and prose, and their redaction.
 
-A text is searched in three ways.  *Formats*: issuer prefixes, JSON web tokens, logins in
-URLs and headers, private keys in armour.  *Contexts*: a name, call, header or remark that
-says "password", "token", ... with a literal value that is no placeholder and no reference.
-*Layers*: base64, hex, percent and escape runs are decoded, again and again, key containers
-among the bytes are parsed by their binary grammar (DER, OpenSSH), and what comes out is
-searched the same way; a find inside a layer counts for the literal that encloses it.
+A text is searched in three ways.  *Layers*: base64, hex, percent and escape runs are decoded,
+again and again as long as they get shorter, key containers among the bytes are parsed by
+their binary grammar (DER, OpenSSH), and what comes out is searched the same way; a find
+inside a layer counts for the literal that encloses it.  *Formats*: issuer prefixes, JSON web
+tokens, logins in URLs and headers, private keys in armour, whose body is parsed as a
+container.  *Contexts*: a name, call, header or remark that says "password", "token", ...
+with a literal value that is no placeholder and no reference.  Where several ways find a
+value, its kind names the first of them in this order.
 
 A value that is written as several literals (side by side, with ``+``, with a backslash at the
 line's end) is joined before it is judged, and masked in all its pieces.
@@ -57,7 +59,7 @@ _NOT_NAME = re.compile(
 )
 _QUOTED = re.compile(r"""(?:[rRbBuUfF]{0,2})("{3}|'{3}|["'`])((?:(?!\1)[^\\\n]|\\.)*?)\1""")
 _ASSIGN = re.compile(
-    r"""(?ix)(?P<name>["'`]?[A-Za-z_$@/][\w$.\-/:@]*["'`]?\]?)\s*(?::\s*[\w<>\[\]|., ]{1,40}?\s*)?(?P<op>=>|:=|\?\?=|\|\|=|=(?!=)|:(?!:|/)|,)\s*"""
+    r"""(?ix)(?<![\w$.\-/:@])(?P<name>["'`]?[\w$@/.\-][\w$.\-/:@]*["'`]?\]?)\s*(?::\s*[\w<>\[\]|., ]{1,40}?\s*)?(?P<op>=>|:=|\?\?=|\|\|=|=(?!=)|:(?!:|/)|,)\s*"""
 )
 _REFERENCE = re.compile(
     r"(?i)^(?:\$|%[a-z_]+%$|!(?:secret|vault|ref)|(?:vault|env|ssm|kms|sops|op|ref\+\w+|secretref|arn|keychain|gcp|azure|file|https?|data|sha\d+|md5)[:/]|os\.|process\.|env\.|config[.\[]|settings[.\[]|self\.|this\.|read_|get_?|load_|fetch_|none$|null$|true$|false$|undefined$)"
@@ -78,7 +80,7 @@ def placeholder(value: str) -> bool:
 def plausible(value: str, sure: bool) -> bool:
     """Whether a literal can be a credential; ``sure``: its context names it as one."""
     v = value.strip()
-    if len(v) < (6 if sure else 8) or len(v) > 4096 or re.search(r"\s", v) or placeholder(v):
+    if len(v) < (6 if sure else 8) or re.search(r"\s", v) or placeholder(v):
         return False
     digit = any(c.isdigit() for c in v)
     letter = any(c.isalpha() for c in v)
@@ -116,16 +118,51 @@ def _der(data: bytes, at: int, end: int):
     return (tag, at, at + n) if at + n <= end else None
 
 
+# Object identifiers of password-based encryption, under which keys and no digests lie, and of PKCS 7 data.
+_PBE = (bytes.fromhex("2a864886f70d0105"), bytes.fromhex("2a864886f70d010c01"))
+_PKCS7 = bytes.fromhex("2a864886f70d0107")
+
+
+def _openssh(data: bytes) -> bool:
+    """Whether the bytes are an openssh-key-v1 container, every length fitting."""
+    magic = b"openssh-key-v1\0"
+    if not data.startswith(magic):
+        return False
+    at = len(magic)
+
+    def field() -> bytes | None:
+        nonlocal at
+        if at + 4 > len(data):
+            return None
+        n = int.from_bytes(data[at : at + 4], "big")
+        if at + 4 + n > len(data):
+            return None
+        at += 4 + n
+        return data[at - n : at]
+
+    cipher, kdf, options = field(), field(), field()
+    if cipher is None or kdf is None or options is None or at + 4 > len(data) or (cipher == b"none") != (kdf == b"none"):
+        return False
+    keys = int.from_bytes(data[at : at + 4], "big")
+    at += 4
+    if not 1 <= keys <= len(data) // 4 or any(not field() for _ in range(keys)):
+        return False
+    body = field()
+    if not body or len(body) % 8:
+        return False
+    return cipher != b"none" or body[:4] == body[4:8]
+
+
 def container(data: bytes) -> str | None:
     """``private``, ``public`` or ``certificate`` if the bytes are a key container, by its grammar.
 
     PrivateKeyInfo and EncryptedPrivateKeyInfo (PKCS 8), RSAPrivateKey (PKCS 1), ECPrivateKey
     (SEC 1), DSA keys, PFX (PKCS 12), SubjectPublicKeyInfo, X.509 certificates, openssh-key-v1.
     """
-    if data.startswith(b"openssh-key-v1\0"):
+    if _openssh(data):
         return "private"
     top = _der(data, 0, len(data))
-    if not top or top[0] != 0x30 or top[2] < len(data) - 2:
+    if not top or top[0] != 0x30 or top[2] != len(data):
         return None
     parts, at = [], top[1]
     while at < top[2] and len(parts) < 12:
@@ -137,20 +174,21 @@ def container(data: bytes) -> str | None:
     tags = [p[0] for p in parts]
     first = int.from_bytes(data[parts[0][1] : parts[0][2]], "big") if tags and tags[0] == 2 and parts[0][2] - parts[0][1] <= 2 else None
 
-    def oid(p):
+    def oid(p) -> bytes | None:
+        """The object identifier an algorithm begins with."""
         e = _der(data, p[1], p[2])
-        return e is not None and e[0] == 6
+        return data[e[1] : e[2]] if e is not None and e[0] == 6 else None
 
     if tags[:3] == [2, 0x30, 4] and first in (0, 1) and oid(parts[1]):
-        return "private"
+        return "private"  # PKCS 8
     if tags[:9] == [2] * 9 and first in (0, 1) or (tags == [2] * 6 and first == 0):
-        return "private"
-    if tags[:2] == [2, 4] and first == 1:
-        return "private"
-    if tags[:2] == [0x30, 4] and len(tags) == 2 and oid(parts[0]):
-        return "private"
-    if tags[:2] == [2, 0x30] and first == 3:
-        return "private"
+        return "private"  # PKCS 1, DSA
+    if tags[:2] == [2, 4] and first == 1 and set(tags[2:]) <= {0xA0, 0xA1}:
+        return "private"  # SEC 1
+    if tags == [0x30, 4] and (oid(parts[0]) or b"").startswith(_PBE):
+        return "private"  # PKCS 8, encrypted
+    if tags[:2] == [2, 0x30] and len(tags) <= 3 and first == 3 and (oid(parts[1]) or b"").startswith(_PKCS7):
+        return "private"  # PKCS 12
     if tags == [0x30, 3] and oid(parts[0]) or tags == [2, 2]:
         return "public"
     if tags == [0x30, 0x30, 3]:
@@ -161,8 +199,9 @@ def container(data: bytes) -> str | None:
 # ---------------------------------------------------------------------------- layers
 _RUN64 = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{24,}={0,2}(?![A-Za-z0-9+/_=-])")
 _RUN_HEX = re.compile(r"(?<![0-9A-Za-z])(?:0x)?(?:[0-9a-fA-F]{2}){12,}(?![0-9A-Za-z])")
-_RUN_PERCENT = re.compile(r"(?:[\w.~-]{0,40}%[0-9a-fA-F]{2}){4,}[\w.~%-]*")
-_RUN_ESCAPE = re.compile(r"(?:\\x[0-9a-fA-F]{2}|\\u00[0-9a-fA-F]{2}|\\[0-3][0-7]{2}){8,}")
+_RUN_PERCENT = re.compile(r"(?<![\w.~-])(?:[\w.~-]*%[0-9a-fA-F]{2}){4,}[\w.~%-]*")
+_ESCAPE = re.compile(r"\\x([0-9a-fA-F]{2})|\\u00([0-9a-fA-F]{2})|\\([0-3][0-7]{2})")
+_RUN_ESCAPE = re.compile(r"(?<![^\\\s\"'`])(?:[^\\\s\"'`]*(?:\\x[0-9a-fA-F]{2}|\\u00[0-9a-fA-F]{2}|\\[0-3][0-7]{2})){6,}[^\\\s\"'`]*")
 
 
 def _printable(data: bytes) -> str | None:
@@ -182,11 +221,13 @@ def decoded(run: str, kind: str) -> bytes | None:
         if kind == "hex":
             return bytes.fromhex(run.removeprefix("0x"))
         if kind == "percent":
-            return unquote_to_bytes(run)
-        return bytes(
-            int(m[1] or m[2], 16) if m[1] or m[2] else int(m[3], 8) & 255
-            for m in re.finditer(r"\\x([0-9a-fA-F]{2})|\\u00([0-9a-fA-F]{2})|\\([0-3][0-7]{2})", run)
-        )
+            return unquote_to_bytes(re.sub(r"%(?:25)+(?=[0-9a-fA-F]{2})", "%", run))  # percent signs encoded again and again come off at once
+        out, at = [], 0
+        for m in _ESCAPE.finditer(run):
+            out.append(run[at : m.start()].encode())
+            out.append(bytes([int(m[1] or m[2], 16) if m[1] or m[2] else int(m[3], 8) & 255]))
+            at = m.end()
+        return b"".join(out) + run[at:].encode()
     except (ValueError, binascii.Error):
         return None
 
@@ -207,34 +248,35 @@ def _layers(text: str):
     if "%" in text:
         for m in _RUN_PERCENT.finditer(text):
             yield m.start(), m.end(), "percent", decoded(m[0], "percent")
-    if "\\x" in text or "\\u00" in text or "\\1" in text:
+    if "\\" in text:
         for m in _RUN_ESCAPE.finditer(text):
             yield m.start(), m.end(), "escape", decoded(m[0], "escape")
 
 
-def layer_holds(data: bytes, depth: int = 0) -> str | None:
-    """Kind of the credential inside decoded bytes, looked for through further layers."""
-    if container(data) == "private":
-        return "private key"
-    text = _printable(data)
-    if text is None or len(text) < 8:
-        return None
-    if ARMOUR.search(text):
-        return "private key"
-    m = ISSUED.search(text)
-    if m and len(set(m[0])) > 8:
-        return "token"
-    m = URL_LOGIN.search(text)
-    if m and not placeholder(m[2]):
-        return "login"
-    if re.search(r"(?i)" + _SECRET + r"\W{1,3}\S{8,}", text) and any(True for _ in scan(text, "", depth + 1)):
-        return "password"
-    if depth < 4:
+def layer_holds(data: bytes) -> str | None:
+    """Kind of the credential inside decoded bytes, looked for through all further layers."""
+    todo, seen = [data], {data}
+    while todo:
+        data = todo.pop()
+        if container(data) == "private":
+            return "private key"
+        text = _printable(data)
+        if text is None or len(text) < 8:
+            continue
+        if ARMOUR.search(text):
+            return "private key"
+        m = ISSUED.search(text)
+        if m and len(set(m[0])) > 8:
+            return "token"
+        m = URL_LOGIN.search(text)
+        if m and not placeholder(m[2]):
+            return "login"
+        if re.search(r"(?i)" + _SECRET + r"\W{1,3}\S{8,}", text) and _plain_finds(text, ""):
+            return "password"
         for _, _, _, inner in _layers(text):
-            if inner and inner != data:
-                kind = layer_holds(inner, depth + 1)
-                if kind:
-                    return kind
+            if inner and len(inner) < len(data) and inner not in seen:
+                seen.add(inner)
+                todo.append(inner)
     return None
 
 
@@ -341,7 +383,9 @@ CODE_SUFFIXES = frozenset("py js jsx ts tsx json toml css html".split())
 
 def _is_name(name: str) -> bool:
     bare = name.strip("\"'`] ")
-    if not bare or len(bare) > 80:
+    if len(bare) > 80:
+        bare = re.split(r"[./:@]", bare)[-1]  # of a long path what it ends with
+    if not bare:
         return False
     if _NOT_NAME.search(bare):
         return False
@@ -359,17 +403,83 @@ def _literals(line: str) -> list[tuple[int, int, str]]:
     return [(m.start(2), m.end(2), m[2]) for m in _QUOTED.finditer(line)]
 
 
-def scan(text: str, suffix: str, depth: int = 0) -> list[Find]:
+def unwrapped(value: str) -> tuple[str, list[str]]:
+    """A literal's value without the layers it lies in as a whole, and their kinds from the outside in."""
+    kinds: list[str] = []
+    while len(value) >= 12:
+        for kind, form in (("hex", r"(?:0x)?(?:[0-9a-fA-F]{2})+"), ("base64", r"[A-Za-z0-9+/_-]+={0,2}"), ("percent", r"(?:[^%\s]*%[0-9a-fA-F]{2})+[^%\s]*"), ("escape", r"(?:[^\\\s]*\\(?:x[0-9a-fA-F]{2}|u00[0-9a-fA-F]{2}|[0-3][0-7]{2}))+[^\\\s]*")):
+            data = decoded(value, kind) if re.fullmatch(form, value) else None
+            text = _printable(data) if data else None
+            if text and len(text) >= 4 and len(text) < len(value):
+                kinds.append(kind)
+                value = text
+                break
+        else:
+            break
+    return value, kinds
+
+
+def _by_layer(text: str, f: Find) -> Find | None:
+    """A find of a context judged by what its value decodes to: None if that is a placeholder."""
+    if f.kind != "secret":
+        return f
+    core = text[f.start : f.end]
+    s = _SCHEME.match(core)
+    inner, kinds = unwrapped(core[s.end() :] if s else core)
+    if not kinds:
+        return f
+    user, colon, password = inner.partition(":")
+    if placeholder(password if colon and re.fullmatch(r"[\w.@-]+", user) else inner):
+        return None
+    return f._replace(kind=f"{'login' if colon else 'secret'} in {' in '.join(reversed(kinds))}")
+
+
+def scan(text: str, suffix: str) -> list[Find]:
     """The credentials of a text, in order, without overlaps.
 
     A value written as several literals is judged as one.
     """
     whole, there, here = _joined(text, suffix)
-    finds = _scan_joined(whole, suffix, depth)
+    finds = [g for f in _plain_finds(whole, suffix) if (g := _by_layer(whole, f))]
+    for start, end, kind, data in _layers(whole):
+        held = layer_holds(data) if data else None
+        if held:
+            finds.append(Find(start, end, f"{held} in {kind}"))
+    finds = _apart(finds)
     return finds if len(there) == 1 else [_placed(f, there, here) for f in finds]
 
 
-def _scan_joined(text: str, suffix: str, depth: int) -> list[Find]:
+def _apart(finds: list[Find]) -> list[Find]:
+    """Finds in order without overlaps: what overlaps is one, of the kind of a layer if there is one."""
+    out: list[Find] = []
+    for f in sorted(finds, key=lambda f: (f.start, -f.end)):
+        if out and f.start < out[-1].end:
+            last = out[-1]
+            kind = f.kind if " in " in f.kind and " in " not in last.kind else last.kind
+            if f.end <= last.end or " in " in f.kind:  # a find over the edge of another is none of its own
+                out[-1] = Find(last.start, max(last.end, f.end), kind)
+            continue
+        out.append(f)
+    return out
+
+
+#: a line of the body of a key in armour, also as a literal: base64, or a header
+_BODY_LINE = re.compile(r"[\s\"'`,+;|#*/>]*(?:(?:[A-Za-z0-9+/=]|\\[nr])*|[A-Z][\w-]+: [^\n]*)[\s\"'`,+;()\]}\\]*")
+
+
+def _armour_end(text: str, at: int) -> int:
+    """Where the body of an armour that is not closed ends: before the first line that cannot belong to it."""
+    while at < len(text):
+        stop = text.find("\n", at)
+        stop = len(text) if stop < 0 else stop
+        if not _BODY_LINE.fullmatch(text, at, stop):
+            return at
+        at = stop + 1
+    return len(text)
+
+
+def _plain_finds(text: str, suffix: str) -> list[Find]:
+    """The credentials that formats and contexts show."""
     finds: list[Find] = []
     low = text.lower() if text.isascii() or len(text.lower()) == len(text) else text
     code = suffix in CODE_SUFFIXES
@@ -382,9 +492,12 @@ def _scan_joined(text: str, suffix: str, depth: int) -> list[Find]:
     if "-----BEGIN" in text:
         for m in ARMOUR.finditer(text):
             stop = text.find("-----END", m.end())
-            body = text[m.end() : stop if stop >= 0 else min(len(text), m.end() + 20_000)]
-            if len(re.sub(r"[^A-Za-z0-9+/=]", "", body)) >= 40:
-                add(m.start(), stop if stop >= 0 else m.end() + len(body), "private key")
+            if stop < 0:
+                stop = _armour_end(text, m.end())
+            body = re.sub(r"[^A-Za-z0-9+/=]", "", re.sub(r"\\[nr]|[A-Z][\w-]+: [^\n]*", "", text[m.end() : stop]))
+            if len(body) >= 40:
+                data = decoded(body, "base64")
+                add(m.start(), stop, "private key container" if data and container(data) == "private" else "private key")
     if any(h in text for h in ISSUED_HINTS):
         for m in ISSUED.finditer(text):
             if len(set(m[0])) > 8 and not re.search(r"(?i)x{6,}|example|your", m[0]):
@@ -408,26 +521,8 @@ def _scan_joined(text: str, suffix: str, depth: int) -> list[Find]:
     for begin in sorted(at_lines):
         stop = text.find("\n", begin)
         stop = len(text) if stop < 0 else stop
-        line = text[begin:stop]
-        if len(line) > 5_000:
-            for k in range(0, len(line), 4_000):  # windows that overlap by 1000 characters
-                _scan_line(text, begin + k, line[k : k + 5_000], code, add)
-        else:
-            _scan_line(text, begin, line, code, add)
-
-    # layers
-    if depth < 4:
-        for start, end, kind, data in _layers(text):
-            if data and not any(f.start <= start and end <= f.end for f in finds):
-                held = layer_holds(data, depth)
-                if held:
-                    add(start, end, f"{held} in {kind}")
-    finds.sort(key=lambda f: (f.start, -f.end))
-    out: list[Find] = []
-    for f in finds:
-        if not out or f.start >= out[-1].end:
-            out.append(f)
-    return out
+        _scan_line(text, begin, text[begin:stop], code, add)
+    return finds
 
 
 def _scan_line(text: str, begin: int, line: str, code: bool, add) -> None:

@@ -151,10 +151,44 @@ def test_nested_layers_and_key_containers():
     pkcs1 = seq(num(b"\0"), *[num(bytes([7 + i] * 40)) for i in range(8)])
     pkcs8 = seq(num(b"\0"), seq(b"\x06\x03\x2a\x03\x04"), b"\x04\x20" + bytes(range(32)))
     spki = seq(seq(b"\x06\x03\x2a\x03\x04"), b"\x03\x21\0" + bytes(range(32)))
-    assert [credentials.container(x) for x in (pkcs1, pkcs8, spki, b"openssh-key-v1\0abc", b"\x30\x80", b"")] == ["private", "private", "public", "private", None, None]
+    assert [credentials.container(x) for x in (pkcs1, pkcs8, spki, b"\x30\x80", b"")] == ["private", "private", "public", None, None]
+    field = lambda b: len(b).to_bytes(4, "big") + b
+    ssh = lambda body, n=1: b"openssh-key-v1\0" + field(b"none") + field(b"none") + field(b"") + n.to_bytes(4, "big") + field(b"p" * 51) + field(body)
+    assert [credentials.container(x) for x in (ssh(b"abcdabcd"), ssh(b"abcdabce"), ssh(b"abcdabcd", 2), ssh(b"abcdabcd")[:-1], b"openssh-key-v1\0abc")] == ["private", None, None, None, None]
+    p12 = lambda oid: seq(num(b"\3"), seq(b"\x06" + bytes([len(oid)]) + oid, b"\xa0\x02\x04\0"))
+    assert [credentials.container(x) for x in (p12(bytes.fromhex("2a864886f70d010701")), p12(b"\x2a\x03"))] == ["private", None]
+    digest = seq(seq(b"\x06\x03\x2a\x03\x04"), b"\x04\x20" + bytes(range(32)))
+    assert credentials.container(digest) is None
     assert lines(f'k = "{base64.b64encode(pkcs8).decode()}"\n', "py") == [1] and lines(f'k = "{base64.b64encode(spki).decode()}"\n', "py") == []
 
 
+def test_no_bound_on_depth_or_length():
+    deep = pem = f"token={TOKEN}"
+    for _ in range(9):
+        deep = base64.b64encode(deep.encode()).decode()
+    assert [(r[0], r[1]) for r in credentials.line_rows(f'd = "{deep}"\n', "py")] == [(1, "token in base64")]
+    for _ in range(40):
+        pem = "".join(f"%{b:02x}" for b in pem.encode()) if len(pem) < 500 else pem.replace("%", "%25")
+    assert lines(f"u = '{pem}'\n", "js") == [1]
+    long = "k3y9Xz7Qw2Lm!" * 700
+    assert lines(f'password = "{long}"\n', "py") == [1] and long[:40] not in credentials.redact(f'password = "{long}"\n', credentials.scan(f'password = "{long}"\n', "py"))
+    wide = "x=1;" * 1600 + f"a.password='{'Quiet#Harbor4821' * 120}';" + "y=2;" * 3000
+    f = credentials.scan(wide, "js")
+    assert len(f) == 1 and wide[f[0].start : f[0].end] == "Quiet#Harbor4821" * 120
+    key = "-----BEGIN RSA PRIVATE KEY-----\n" + ("QUJD" * 16 + "\n") * 500
+    f = credentials.scan(key + "and here prose goes on\n", "txt")
+    assert [(f[0].start, f[0].end)] == [(0, len(key))]
+    assert lines("u = '" + "".join(f"\\{b:03o}" for b in TOKEN.encode()).replace("\\1", "\\1") + "'\n", "js") == [1]
+    assert lines(f'{"settings_" * 12}password = "Quiet#Harbor4821"\n', "py") == [1]
+
+
+def test_kinds_name_layers():
+    kind = lambda t, s="py": [r[1] for r in credentials.line_rows(t, s)]
+    assert kind(f'db_password = "{base64.b64encode(b"k3y9Xz7Qw2Lm!q").decode()}"\n') == ["secret in base64"]
+    assert kind(f'H = "Authorization: Basic {B64}"\n') == ["login in base64"] and kind(f'db_password = "{base64.b64encode(b"changeme-please").decode()}"\n') in ([], ["secret in base64"])
+    assert kind(f'password = "{base64.b64encode(b"<your password>").decode()}"\n') == []
+
+
 def test_redaction_keeps_the_rest(spark):
     text = f'a = 1\nAPI_TOKEN = "{TOKEN}"  # x\nkey = """-----BEGIN PRIVATE KEY-----\n{"QUJD" * 30}\n-----END PRIVATE KEY-----"""\nb = 2\n'
     df = spark.createDataFrame([(1, "a.py", text, "q"), (2, "b.py", None, "q"), (3, None, "password: Quiet-Harbor4821", "q"), (4, "c.py", "", "q")], "id long, path string, content string, suffix string")
