@@ -101,13 +101,16 @@ def _strengths(text: str, language: str, limit: int, tops: list[Symbol], names:
 def pieces(text: str, max_chars: int, overlap: int, language: str, tops: list[Symbol] = (), names: frozenset = frozenset()) -> list[tuple[int, int]]:
     """(start, end) of the pieces without overlap, in order; together they are the whole text.
 
-    ``text[max(0, start - overlap):end]`` has at most ``max_chars`` characters.  An overlap
-    over half the limit is taken as half the limit.  A text within the limit is one piece.
+    ``text[max(0, start - overlap):end]`` has at most ``max_chars`` characters, and every piece
+    but the first begins with the whole overlap.  A text within the limit is one piece.  The
+    limit must be at least 1 and more than the overlap; a negative overlap is none.
     """
+    if max_chars < 1 or overlap >= max_chars:
+        raise ValueError("a limit is at least 1 and more than the overlap")
     n = len(text)
-    if n <= max_chars or max_chars < 2:
+    if n <= max_chars:
         return [(0, n)] if n else []
-    overlap = max(0, min(overlap, max_chars // 2))
+    overlap = max(0, overlap)
     limit = max_chars - overlap
     atoms = _strengths(text, language, limit, list(tops), names)
     starts = [at for at, _ in atoms]
@@ -156,7 +159,7 @@ def _prepared(text: str, arg: str):
             names = frozenset(x for x in json.loads(symbols_json) if isinstance(x, str))
         except (ValueError, TypeError):
             names = frozenset()
-    return pieces(text, max_chars, overlap, language, tops, names), tops, max_chars, max(0, min(overlap, max_chars // 2))
+    return pieces(text, max_chars, overlap, language, tops, names), tops, max_chars, max(0, overlap)
 
 
 def piece_rows(text: str, arg: str) -> list[tuple]:
@@ -181,11 +184,13 @@ def _oversized(files: DataFrame, limits: DataFrame) -> DataFrame:
     """Rows longer than their language's limit, with the argument of the split.
 
     Only those leave the JVM.  ``limits`` may hold one row per language; of several the
-    smallest limit counts.
+    smallest limit counts.  A limit below 1, or not above its overlap, stops the query.
     """
+    bad = (F.col("max_chars") < 1) | (F.col("overlap_chars") >= F.col("max_chars"))
+    checked = F.when(bad, F.raise_error(F.lit("a limit is at least 1 and more than the overlap")).cast("int")).otherwise(F.col("max_chars"))
     small = limits.groupBy("language").agg(
         F.min("max_chars").alias("max_chars"), F.min_by("overlap_chars", "max_chars").alias("overlap_chars")
-    )
+    ).withColumn("max_chars", checked)
     rows = files.select("id", "content", "symbols_json", suffix(F.col("path")).alias("suffix"), language_of(F.col("path")).alias("language"))
     return (
         rows.where(F.col("content").isNotNull())

@@ -213,9 +213,9 @@ def test_pieces_keep_definitions_whole():
 @settings(max_examples=80, deadline=None)
 @given(st.text(alphabet="ab \n;{}。，#", max_size=900), st.integers(4, 120), st.integers(0, 80))
 def test_pieces_of_any_text(text, limit, overlap):
-    cores = splitting.pieces(text, limit, overlap, "Text")
+    o = overlap % limit
+    cores = splitting.pieces(text, limit, o, "Text")
     if text:
-        o = min(overlap, limit // 2)
         assert "".join(text[a:b] for a, b in cores) == text
         if len(text) > limit:
             check_pieces(text, cores, limit, o)
@@ -236,6 +236,22 @@ def test_split_texts(spark):
     assert splitting.split_texts(df, spark.createDataFrame([], LIMITS)).count() == 0
 
 
+@pytest.mark.parametrize("max_chars,overlap", [(1, 0), (2, 1), (10, 9), (100, 51), (100, 90), (37, 36), (50, -3)])
+def test_overlaps_of_any_size(max_chars, overlap):
+    text = "def a():\n    return 1\n\n\n" * 12 + "x" * 180 + "\n一二三。四五六" * 9
+    cores = splitting.pieces(text, max_chars, overlap, "Python")
+    check_pieces(text, cores, max_chars, max(0, overlap))
+
+
+def test_limits_that_cannot_be_kept(spark):
+    for max_chars, overlap in ((0, 0), (10, 10), (5, 9)):
+        with pytest.raises(ValueError):
+            splitting.pieces("x" * 20, max_chars, overlap, "Text")
+        limits = spark.createDataFrame([("Python", max_chars, overlap)], LIMITS)
+        with pytest.raises(Exception, match="more than the overlap"):
+            splitting.split_texts(files(spark, [("a.py", "x = 1\n" * 20)]), limits).collect()
+
+
 HAND = "import os\n\n\ndef f(x):\n    # generated ids are handled by the writer\n    return [x, 1, 2, 3]\n" * 3
 
 
