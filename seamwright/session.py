@@ -60,3 +60,18 @@ def written(df: DataFrame) -> DataFrame:
     path = f"{checkpoint_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+_MOVES = re.compile(r"^\W*(?:Join|Aggregate|Sort|Window|Repartition\w*|Rebalance\w*|Distinct|Deduplicate|GlobalLimit|LocalLimit|FlatMapGroups\w*|FlatMapCoGroups\w*)\b", re.M)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A scanned table over all cores, for work that is heavy for its size.
+
+    Only a table with fewer parts than the cluster has cores is moved, which is small; larger
+    ones, and what has been shuffled already, stay as they are.
+    """
+    wanted = df.sparkSession.sparkContext.defaultParallelism
+    if _MOVES.search(df._jdf.queryExecution().optimizedPlan().toString()) or df.rdd.getNumPartitions() >= wanted:
+        return df
+    return df.repartition(wanted)
