@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import checkpointed
+from ..session import checkpointed, spread
 
 TOKENIZER_DIR = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -68,7 +68,7 @@ def counted_texts(documents: DataFrame, vocabulary: str = f"{TOKENIZER_DIR}/{VOC
     rows = documents.select(
         F.sha2("text", 256).alias("key"), F.col("doc_id").cast("long").alias("doc_id"), source_name(F.col("source")).alias("source"), "text"
     ).where("text IS NOT NULL AND text != '' AND doc_id IS NOT NULL")
-    counted = rows.mapInArrow(count, "key string, doc_id long, source string, tokens long")
+    counted = spread(rows).mapInArrow(count, "key string, doc_id long, source string, tokens long")
     best = F.min(F.struct(F.col("source").isNull(), "doc_id", "source", "tokens"))
     return counted.groupBy("key").agg(best.alias("b")).select("key", "b.doc_id", "b.source", "b.tokens")
 

@@ -1,6 +1,7 @@
 """Running a Python function over whole texts, Arrow batch by Arrow batch.
 
-No shuffle: rows stay where they were read.  Repeated texts (deliveries repeat files) are
+No shuffle: rows stay where they were read, but for tables of fewer parts than there are
+cores.  Repeated texts (deliveries repeat files) are
 worked on once per worker, by digest.
 """
 
@@ -13,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 #: what a worker remembers of texts seen before, in characters of the results
 MEMO_CHARS = 32_000_000
 
@@ -73,8 +76,5 @@ def map_texts(
                         c.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow)
 
-    return (
-        df.where(F.col(text).isNotNull() & F.col(arg).isNotNull())
-        .select(F.col(text), F.col(arg), *keep)
-        .mapInArrow(run, types)
-    )
+    rows = df.where(F.col(text).isNotNull() & F.col(arg).isNotNull()).select(F.col(text), F.col(arg), *keep)
+    return spread(rows).mapInArrow(run, types)

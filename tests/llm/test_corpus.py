@@ -234,6 +234,29 @@ def test_leaks(spark):
     assert leakage.leaks(d.limit(0), i).count() == 0 and leakage.leaks(d, i.limit(0)).count() == 0
 
 
+def test_leaks_do_not_depend_on_what_stands_next_to_an_item(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    vocabulary = [f"w{a}{b}" for a in "abcdefgh" for b in range(40)]
+    many = [(100 + k, " ".join(rng.choice(vocabulary, 30))) for k in range(60)]
+    docs = [(k, FILL + " ".join(many[k][1].split()[5 : 5 + 18]) + FILL) for k in range(0, 60, 3)]
+    d = spark.createDataFrame([(k, t, "z") for k, t in docs], "doc_id long, text string, item_id string")
+    i = spark.createDataFrame(ITEMS + many, "item_id long, question string")
+    rows = lambda: sorted((r["item_id"], r["doc_id"], round(r["share"], 9)) for r in leakage.leaks(d, i).collect())
+    together = rows()
+    assert {(x, y) for x, y, _ in together} == {(100 + k, k) for k, _ in docs}
+    monkeypatch.setattr(leakage, "ITEMS_PER_TABLE", 7)
+    assert rows() == together
+    monkeypatch.setattr(leakage, "PASS_BYTES", 1)
+    assert rows() == together
+
+
+def test_half_of_a_short_item(spark):
+    item = "which ledger keeps orphan shards after late merges settle their final counts".split()
+    d = spark.createDataFrame([(1, FILL + " ".join(item[:7]) + FILL, "z"), (2, FILL + " ".join(item[6:]) + FILL, "z"), (3, FILL + " ".join(item[:4]) + FILL, "z")], "doc_id long, text string, item_id string")
+    i = spark.createDataFrame([(1, " ".join(item))], "item_id long, question string")
+    assert sorted(r["doc_id"] for r in leakage.leaks(d, i).collect()) == [1, 2]
+
+
 def test_fingerprints_within_the_radius_are_all_found():
     rng = np.random.default_rng(5)
     prints = rng.integers(0, 2**63, 50, dtype=np.uint64)
