@@ -209,6 +209,9 @@ class Index:
     @staticmethod
     def _chain(item: list[str], weight: list[int], region: list[str]) -> float:
         size = 2 if len(item) >= 4 else 1
+        there = set(region)
+        if sum(w in there for w in item) < max(WORD_SHARE * len(item), min(MIN_WORDS, len(item))):
+            return 0.0  # no chain can hold enough
         where: dict[tuple, list[int]] = {}
         for j in range(len(region) - size + 1):
             where.setdefault(tuple(region[j : j + size]), []).append(j)

@@ -17,11 +17,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from hashlib import blake2b
-from math import floor
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import checkpointed, spread
@@ -35,7 +35,8 @@ _ENCODERS: dict[str, object] = {}
 
 
 def encoder(path: str):
-    """The tokenizer of a vocabulary file; read once a process."""
+    """The tokenizer of a vocabulary file that was sent along with the job; read once a process."""
+    path = SparkFiles.get(path.rsplit("/", 1)[-1])
     if path not in _ENCODERS:
         import base64
 
@@ -59,6 +60,8 @@ def counted_texts(documents: DataFrame, vocabulary: str = f"{TOKENIZER_DIR}/{VOC
     whose copies have no source keep a null source.
     """
 
+    documents.sparkSession.sparkContext.addFile(vocabulary)
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(vocabulary)
         for batch in batches:
@@ -73,18 +76,28 @@ def counted_texts(documents: DataFrame, vocabulary: str = f"{TOKENIZER_DIR}/{VOC
     return counted.groupBy("key").agg(best.alias("b")).select("key", "b.doc_id", "b.source", "b.tokens")
 
 
-def plan_shares(available: dict[str, int], targets: dict[str, tuple[float, int]], total: float | None = None) -> tuple[float, dict[str, float]]:
-    """(total tokens, repeats of each source): the largest total all sources can serve.
+def plan_repeats(available: DataFrame, targets: DataFrame, total_tokens: int | None = None) -> DataFrame:
+    """(source, repeats, planned): how often each source is used, and the tokens planned for it.
 
-    ``available``: tokens of the distinct texts by source; ``targets``: share and most repeats.
+    ``available`` (source, available) holds the tokens of the distinct texts.  The total is the
+    largest at which no source is needed more often than it may be repeated, or
+    ``total_tokens`` if that is less.  Sources without documents, share or repeats are left
+    out and the other shares scaled up.  Of several rows of a source the largest share counts.
     """
-    usable = {s: (w, r) for s, (w, r) in targets.items() if w > 0 and r > 0 and available.get(s, 0) > 0}
-    scale = sum(w for w, _ in usable.values())
-    if not usable:
-        return 0.0, {}
-    most = min(available[s] * r * scale / w for s, (w, r) in usable.items())
-    total = most if total is None else min(total, most)
-    return total, {s: min(r, total * w / scale / available[s]) for s, (w, r) in usable.items()}
+    goals = (
+        targets.select(source_name(F.col("source")).alias("source"), F.col("target_share").cast("double").alias("share"), F.col("max_repeats").cast("int").alias("most"))
+        .where("source IS NOT NULL AND share > 0 AND most > 0")
+        .groupBy("source")
+        .agg(F.max(F.struct("share", "most")).alias("goal"))
+        .select("source", "goal.share", "goal.most")
+    )
+    usable = goals.join(available.where("available > 0"), "source")
+    top = usable.agg(F.sum("share").alias("scale"), F.min(F.col("available") * F.col("most") / F.col("share")).alias("reach")).first()
+    scale = top["scale"] or 1.0
+    total = (top["reach"] or 0.0) * scale
+    total = total if total_tokens is None else min(total, float(total_tokens))
+    planned = F.lit(total) * F.col("share") / F.lit(scale)
+    return usable.select("source", F.least(F.col("most").cast("double"), planned / F.col("available")).alias("repeats"), planned.alias("planned"))
 
 
 def _uniform(*parts) -> float:
@@ -145,45 +158,38 @@ def land(units: list[tuple[str, float, float]], seed: int, into) -> None:
 
 
 def mix(
-    documents: DataFrame, targets: DataFrame, total_tokens: int | None = None, seed: int = 17, vocabulary: str = f"{TOKENIZER_DIR}/{VOCABULARY}"
-) -> DataFrame:
-    """(doc_id, source, tokens, uses): how often each text is used; texts of no use are left out.
-
-    ``targets`` (source, target_share, max_repeats) may list a source once; of several rows
-    the first by share counts; null and non-positive shares and repeats exclude a source.
-    Empty documents or targets give an empty result.
+    documents: DataFrame, targets: DataFrame, total_tokens: int | None = None, seed: int = 17, vocabulary: str = f"{TOKENIZER_DIR}/{VOCABULARY}",
+    keep_unused: bool = False,
+) -> DataFrame:
+    """(doc_id, source, tokens, uses): how often each text is used.
+
+    Texts of no use, and those of sources that take no part, are left out, unless
+    ``keep_unused``; then they have 0 uses.  ``targets`` (source, target_share, max_repeats) may
+    list a source once; of several rows the one of the largest share counts; null and
+    non-positive shares and repeats exclude a source.  Empty documents or targets give an
+    empty result (with ``keep_unused`` one without uses).
     """
-    spark = documents.sparkSession
     texts = checkpointed(counted_texts(documents, vocabulary).where("source IS NOT NULL"))
-    goals = {}
-    for r in targets.select(source_name(F.col("source")).alias("s"), "target_share", "max_repeats").orderBy("s", F.desc("target_share")).limit(100_000).collect():
-        if r["s"] and r["target_share"] and r["max_repeats"]:
-            goals.setdefault(r["s"], (float(r["target_share"]), int(r["max_repeats"])))
-    # one row per listed source
-    listed = texts.where(F.col("source").isin(*goals)) if goals else texts.limit(0)
-    available = {r["source"]: r["t"] for r in listed.groupBy("source").agg(F.sum("tokens").alias("t")).collect()}
-    _, repeats = plan_shares(available, goals, total_tokens)
-    out_schema = "key string, doc_id long, source string, tokens long, p double"
-    if not repeats:
-        return spark.createDataFrame([], "doc_id long, source string, tokens long, uses long")
-    part = {s: r - floor(r) for s, r in repeats.items()}
+    plan = checkpointed(plan_repeats(texts.groupBy("source").agg(F.sum("tokens").alias("available")), targets, total_tokens))
+    out_schema = "key string, doc_id long, source string, tokens long, base long, p double"
+    names = ["key", "doc_id", "source", "tokens", "base", "p"]
 
     def fly(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[str, list] = {}
         rows: dict[str, tuple] = {}
         for pdf in batches:
             done: list[tuple] = []
-            for key, doc, source, tokens in pdf.itertuples(index=False):
-                rows[key] = (key, doc, source, tokens)
+            for row in pdf.itertuples(index=False):
+                key, source, p = row[0], row[2], row[5]
+                rows[key] = row[:5]
                 decide = lambda k, v: done.append((*rows.pop(k), float(v)))  # noqa: E731, B023
-                held[source] = walk([*held.get(source, ()), (key, part[source], float(tokens))], seed, decide)
-            yield pd.DataFrame(done, columns=["key", "doc_id", "source", "tokens", "p"])
+                held[source] = walk([*held.get(source, ()), (key, p, float(row[3]))], seed, decide)
+            yield pd.DataFrame(done, columns=names)
         left = [(*rows[k], p) for units in held.values() for k, p, _ in units]
-        yield pd.DataFrame(left, columns=["key", "doc_id", "source", "tokens", "p"])
+        yield pd.DataFrame(left, columns=names)
 
-    flown = checkpointed(
-        listed.where(F.col("source").isin(*part)).select("key", "doc_id", "source", "tokens").sortWithinPartitions("source", "key").mapInPandas(fly, out_schema)
-    )
+    listed = texts.join(plan, "source").select("key", "doc_id", "source", "tokens", F.floor("repeats").alias("base"), (F.col("repeats") - F.floor("repeats")).alias("p"))
+    flown = checkpointed(listed.sortWithinPartitions("source", "key").mapInPandas(fly, out_schema))
 
     def finish(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("key")
@@ -194,30 +200,31 @@ def mix(
 
     settled = flown.where("p = 0 OR p = 1")
     landed = flown.where("p > 0 AND p < 1").groupBy("source").applyInPandas(finish, out_schema)
-    base = F.lit(0)
-    for s, r in repeats.items():
-        base = F.when(F.col("source") == s, floor(r)).otherwise(base)
-    return (
-        settled.unionByName(landed)
-        .select("doc_id", "source", "tokens", (base + F.col("p")).cast("long").alias("uses"))
-        .where("uses > 0")
-    )
+    out = settled.unionByName(landed).select("doc_id", "source", "tokens", (F.col("base") + F.col("p")).cast("long").alias("uses"))
+    if not keep_unused:
+        return out.where("uses > 0")
+    absent = texts.join(plan, "source", "left_anti").select("doc_id", "source", "tokens", F.lit(0).cast("long").alias("uses"))
+    return out.unionByName(absent)
 
 
 def mix_report(mixed: DataFrame, targets: DataFrame) -> DataFrame:
-    """(source, target_share, max_repeats, texts, most_uses, used_tokens, share): what was reached per listed source."""
+    """(source, target_share, max_repeats, texts, most_uses, used_tokens, share, available_tokens, unused_tokens) per listed source.
+
+    ``share`` is what was reached.  ``available_tokens`` are those of the texts in ``mixed`` and
+    ``unused_tokens`` those of texts of no use among them; with ``mix(..., keep_unused=True)``
+    these are all texts, so that they tell what the scarcest source costs.
+    """
+    used = F.col("uses") > 0
     got = mixed.groupBy("source").agg(
-        F.count("*").alias("texts"), F.max("uses").alias("most_uses"), F.sum(F.col("uses") * F.col("tokens")).alias("used_tokens")
-    )
-    got = got.withColumn("whole", F.sum("used_tokens").over(Window.partitionBy(F.lit(1))))  # a row per source
+        F.count_if(used).alias("texts"), F.max("uses").alias("most_uses"), F.sum(F.col("uses") * F.col("tokens")).alias("used_tokens"),
+        F.sum("tokens").alias("available_tokens"), F.sum(F.when(~used, F.col("tokens")).otherwise(0)).alias("unused_tokens"),
+    )
     named = targets.select(source_name(F.col("source")).alias("source"), "target_share", "max_repeats").dropDuplicates(["source"])
-    return (
-        named.join(got, "source", "left")
-        .select(
-            "source", "target_share", "max_repeats",
-            F.coalesce("texts", F.lit(0)).alias("texts"),
-            F.coalesce("most_uses", F.lit(0)).alias("most_uses"),
-            F.coalesce("used_tokens", F.lit(0)).alias("used_tokens"),
-            F.round(F.coalesce(F.col("used_tokens") / F.greatest("whole", F.lit(1)), F.lit(0.0)), 6).alias("share"),
-        )
+    listed = named.join(got, "source", "left")
+    whole = listed.agg(F.sum("used_tokens").alias("whole"))  # one row
+    none = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return listed.join(F.broadcast(whole)).select(
+        "source", "target_share", "max_repeats", none("texts"), none("most_uses"), none("used_tokens"),
+        F.round(F.coalesce(F.col("used_tokens") / F.greatest("whole", F.lit(1)), F.lit(0.0)), 6).alias("share"),
+        none("available_tokens"), none("unused_tokens"),
     )

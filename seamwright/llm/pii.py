@@ -7,20 +7,24 @@ corpus estimates how reliable each labeler is, and from the resulting soft label
 logistic span classifier is trained on all patterns.  The classifier decides; overlapping
 spans are resolved by its probability, then by length.
 
-Only pattern counts reach the driver: a row per distinct combination of votes, bounded by
-the labelers, not by the corpus.
+Candidates and their votes are found once and kept as a table; the fit counts its patterns
+and the classifier runs over it.  Only pattern counts reach the driver: a row per distinct
+combination of votes, bounded by the labelers, not by the corpus.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import written
 from .texts import map_texts
 
 #: kinds of candidates; Chinese names have labelers of their own and come out as names
@@ -79,8 +83,7 @@ class Gazetteer(NamedTuple):
 # Words that begin sentences or name things, titles, street words, surnames.
 _COMMON = frozenset(
     "the a an on in at by to of for from and or but if when while after before as it its this that these those we you he she they i my our your his her their what which who why how where there here not no yes "
-    "please run add ask see clone install chapter section bytes ticket lesson decision steps step still one return works callers keep keeps compare split merge fold load score rank scan trim prune group sort link "
-    "parse encode render project validate annotate bucket defer estimate align attach collect count expand fetch flush index locate normalize promote rebuild refresh replay resolve sample settle stale suppose assume given "
+    "please run add ask see install chapter section ticket lesson step steps still one return keep compare split merge load sort link project count "
     "according thanks regards dear hi hello note notes monday tuesday wednesday thursday friday saturday sunday january february march april may june july august september october november december "
     "number contact phone tel passport ssn id file author reviewed signed someone quoted my answer view table release build zone street bay apt unit suite room floor north south east west new old".split()
 )
@@ -124,7 +127,7 @@ _NAME = re.compile(
 _NAME_ZH = re.compile(r"(?=([一-鿿]{2,3}))")
 
 _BEFORE_NAME = re.compile(
-    r"(?:\bping|\bcc:?|\bby:|\bby|-by:|author\s*=\s*[\"'`]|author:?|\bam|\bI'm|\buser[\"']?:\s*[\"']|\bname[\"']?\s*[:=]\s*[\"']?|goes to|\baccording to|owner is|backup is|\bis|\bfrom|\bwith|contact:?|[—–]|\b(?:Dr|Mr|Mrs|Ms|Prof)\.?|thanks to|\bHi|\bDear|\bHello|\bday|\||to:|\bcontact|\bvia|\basked)\s*$",
+    r"(?:\bping|\bcc:?|\bby:|\bby|-by:|author\s*=\s*[\"'`]|author:?|\bam|\bI'm|\buser[\"']?:\s*[\"']|\bname[\"']?\s*[:=]\s*[\"']?|\baccording to|\bis|\bfrom|\bwith|contact:?|[—–]|\b(?:Dr|Mr|Mrs|Ms|Prof)\.?|thanks to|\bHi|\bDear|\bHello|\bday|\||to:|\bcontact|\bvia|\basked)\s*$",
     re.I,
 )
 _AFTER_NAME = re.compile(
@@ -217,7 +220,7 @@ def candidates(text: str, gaz: Gazetteer) -> list[Span]:
             out.append(
                 Span("address", start, end, (
                     1,
-                    _vote(_LIVING.search(before) is not None or re.search(r"goes to [^.\n]{0,50},\s*$", before) is not None, _COUNTED.search(before) is not None),
+                    _vote(_LIVING.search(before) is not None, _COUNTED.search(before) is not None),
                     _vote(re.search(r"\d{5}|Apt|Suite|Unit|Flat", m["more"] or "") is not None or m["zip"] is not None),
                     _vote(False, re.match(r"\s*(?:rows|ms|of the|build|release|zone|files)", after) is not None),
                 )))
@@ -384,39 +387,68 @@ class Model(NamedTuple):
     weights: dict[str, np.ndarray]
 
 
-def fit(documents: DataFrame, names: DataFrame, text: str = "text") -> Model:
-    """The span classifier, fitted on the vote patterns of all documents.
+def gazetteer(names: DataFrame) -> Gazetteer:
+    """The list of name parts (token, kind, lang), which is short and known to be incomplete.
 
-    ``names`` (token, kind, lang) is a short list that is known to be incomplete; it is
-    collected, at most 100 000 rows of it are accepted.
+    It is collected; at most 100 000 rows of it are accepted.
     """
     rows = names.select("token", "kind", "lang").limit(100_001).collect()
     if len(rows) > 100_000:
         raise ValueError("the list of name parts is too long to be sent to every task")
-    gaz = Gazetteer.of([tuple(r) for r in rows])
+    return Gazetteer.of([tuple(r) for r in rows])
 
-    def patterns(t: str, _: str) -> list[tuple]:
-        return [(s.kind, ",".join(map(str, s.votes))) for s in candidates(t, gaz)]
 
-    tag = f"pii-votes-{hash(gaz) & 0xFFFFFFFF:x}"
-    votes = map_texts(documents.select(F.col(text).alias("text"), F.lit("").alias("arg")), [], "text", "arg", patterns, "kind string, votes string", tag)
-    counted = votes.groupBy("kind", "votes").count().limit(MAX_PATTERNS + 1).collect()
+_SIGNS = {-1: "-", 0: "0", 1: "+"}
+_VOTES = {v: k for k, v in _SIGNS.items()}
+
+
+def _packed(found: list[Span]) -> str:
+    return "\n".join(f"{s.kind} {s.start} {s.end} {''.join(map(_SIGNS.__getitem__, s.votes))}" for s in found)
+
+
+def _unpacked(packed: str) -> list[Span]:
+    out = []
+    for line in packed.split("\n") if packed else ():
+        kind, start, end, votes = line.split(" ")
+        out.append(Span(kind, int(start), int(end), tuple(map(_VOTES.__getitem__, votes))))
+    return out
+
+
+def candidate_spans(documents: DataFrame, gaz: Gazetteer, with_text: bool = False) -> DataFrame:
+    """(doc_id, text, spans): the candidates of every document with their votes, written once; null texts are left out.
+
+    ``text`` is null unless ``with_text``.
+    """
+    rows = lambda t, _: [(t if with_text else None, _packed(candidates(t, gaz)))]
+    tag = f"pii-{with_text}-{hash(gaz) & 0xFFFFFFFF:x}"
+    df = documents.select("doc_id", "text", F.lit("").alias("arg"))
+    return written(map_texts(df, ["doc_id"], "text", "arg", rows, "doc_id long, text string, spans string", tag))
+
+
+def fit(spans: DataFrame, gaz: Gazetteer) -> Model:
+    """The span classifier, fitted on the vote patterns of all candidates (see ``candidate_spans``)."""
+    each = spans.where("spans != ''").select(F.explode(F.split("spans", "\n")).alias("s")).select(F.split("s", " ").alias("s"))
+    counted = each.groupBy(F.col("s")[0].alias("kind"), F.col("s")[3].alias("votes")).count().limit(MAX_PATTERNS + 1).collect()
     if len(counted) > MAX_PATTERNS:
         raise ValueError("too many vote patterns")
     weights = {}
     for kind in KINDS:
         mine = sorted((r["votes"], r["count"]) for r in counted if r["kind"] == kind)
         if mine:
-            v = np.array([[int(x) for x in p.split(",")] for p, _ in mine])
+            v = np.array([[_VOTES[x] for x in p] for p, _ in mine])
             weights[kind] = fit_kind(v, np.array([float(c) for _, c in mine]))
     return Model(gaz, weights)
 
 
 def spans(text: str, model: Model, memo: dict | None = None) -> list[tuple[str, int, int]]:
     """(kind, start, end) of the personal data in a text, in order, without overlaps."""
-    memo = {} if memo is None else memo
+    return chosen(candidates(text, model.gaz), model, {} if memo is None else memo)
+
+
+def chosen(found: list[Span], model: Model, memo: dict) -> list[tuple[str, int, int]]:
+    """(kind, start, end) of the candidates the classifier takes, in order, without overlaps."""
     scored = []
-    for s in candidates(text, model.gaz):
+    for s in found:
         key = (s.kind, s.votes)
         p = memo.get(key)
         if p is None:
@@ -446,24 +478,27 @@ def masked(text: str, found: list[tuple[str, int, int]]) -> str:
     return "".join(out) + text[at:]
 
 
-def personal_data(documents: DataFrame, model: Model, with_text: bool = False) -> DataFrame:
+def personal_data(documents: DataFrame, names: DataFrame | None = None, with_text: bool = False, model: Model | None = None) -> DataFrame:
     """(doc_id, kind, start_char, end_char), or with ``with_text`` (doc_id, n_spans, text) masked.
 
-    Null texts give no rows; a repeated document gives its rows again.
+    Null texts give no rows; a repeated document gives its rows again.  ``names`` see
+    ``gazetteer``; the classifier is fitted on these documents unless a ``model`` is given.
     """
-    memo: dict = {}
-
-    def rows(t: str, _: str) -> list[tuple]:
-        return spans(t, model, memo)
-
-    def texts(t: str, _: str) -> list[tuple]:
-        found = spans(t, model, memo)
-        return [(len(found), masked(t, found))]
-
-    df = documents.select("doc_id", "text", F.lit("").alias("arg"))
-    import uuid
-
-    tag = uuid.uuid4().hex  # a memo of its own for each model
-    if with_text:
-        return map_texts(df, ["doc_id"], "text", "arg", texts, "doc_id long, n_spans int, text string", f"pii-text-{tag}")
-    return map_texts(df, ["doc_id"], "text", "arg", rows, "doc_id long, kind string, start_char long, end_char long", f"pii-{tag}")
+    gaz = model.gaz if model else gazetteer(names)
+    table = candidate_spans(documents, gaz, with_text)
+    model = model or fit(table, gaz)
+    schema = "doc_id long, n_spans int, text string" if with_text else "doc_id long, kind string, start_char long, end_char long"
+    names_of = [c.split()[0] for c in schema.split(", ")]
+    arrow = pa.schema([(n, pa.string() if n in ("kind", "text") else pa.int32() if n == "n_spans" else pa.int64()) for n in names_of])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo: dict = {}
+        for batch in batches:
+            rows: list[tuple] = []
+            for doc, text, packed in zip(*(c.to_pylist() for c in batch.columns)):
+                found = chosen(_unpacked(packed), model, memo)
+                rows.extend([(doc, len(found), masked(text, found))] if with_text else [(doc, *f) for f in found])
+            columns = zip(*rows) if rows else [[]] * len(arrow)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow)
+
+    return table.mapInArrow(run, schema)

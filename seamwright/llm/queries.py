@@ -7,12 +7,7 @@ from pyspark.sql import functions as F
 
 from . import credentials, docpairs, handwritten, leakage, mixing, parsecheck, pii, splitting, vectors
 
-#: rows of an Arrow batch handed to Python: bounds a worker's memory with long texts
-ARROW_ROWS = 1000
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -75,18 +70,16 @@ def p9_mix(spark: SparkSession, d: str) -> DataFrame:
 
 def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     targets = table(spark, d, "mix_targets")
-    return mixing.mix_report(mixing.mix(table(spark, d, "documents"), targets), targets)
+    return mixing.mix_report(mixing.mix(table(spark, d, "documents"), targets, keep_unused=True), targets)
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
-    documents = table(spark, d, "documents")
-    model = pii.fit(documents, table(spark, d, "contributor_names"))
-    return pii.personal_data(documents, model).select("doc_id", "kind", "start_char")
+    found = pii.personal_data(table(spark, d, "documents"), table(spark, d, "contributor_names"))
+    return found.select("doc_id", "kind", "start_char")
 
 
 def p10_masked(spark: SparkSession, d: str) -> DataFrame:
-    documents = table(spark, d, "documents")
-    return pii.personal_data(documents, pii.fit(documents, table(spark, d, "contributor_names")), with_text=True)
+    return pii.personal_data(table(spark, d, "documents"), table(spark, d, "contributor_names"), with_text=True)
 
 
 QUERIES = {name: f for name, f in globals().items() if name[0] == "p" and name[1].isdigit()}

@@ -252,7 +252,7 @@ def test_leaks_do_not_depend_on_what_stands_next_to_an_item(spark, monkeypatch):
 
 def test_half_of_a_short_item(spark):
     item = "which ledger keeps orphan shards after late merges settle their final counts".split()
-    d = spark.createDataFrame([(1, FILL + " ".join(item[:7]) + FILL, "z"), (2, FILL + " ".join(item[6:]) + FILL, "z"), (3, FILL + " ".join(item[:4]) + FILL, "z")], "doc_id long, text string, item_id string")
+    d = spark.createDataFrame([(1, FILL + " ".join(item[:7]) + FILL, "z"), (2, FILL + " " + " ".join(item[6:]) + " " + FILL, "z"), (3, FILL + " ".join(item[:4]) + FILL, "z")], "doc_id long, text string, item_id string")
     i = spark.createDataFrame([(1, " ".join(item))], "item_id long, question string")
     assert sorted(r["doc_id"] for r in leakage.leaks(d, i).collect()) == [1, 2]
 
@@ -319,12 +319,26 @@ def test_mix_of_nothing(spark):
     assert [r["share"] for r in mixing.mix_report(mixing.mix(empty, t), t).collect()] == [0.0]
 
 
-@settings(max_examples=50, deadline=None)
-@given(st.dictionaries(st.sampled_from("abcd"), st.integers(0, 1000)), st.dictionaries(st.sampled_from("abcd"), st.tuples(st.floats(0, 1), st.integers(0, 4))))
-def test_shares_are_never_over_the_repeats(available, targets):
-    total, repeats = mixing.plan_shares(available, targets)
-    assert all(0 <= r <= targets[s][1] + 1e-9 for s, r in repeats.items())
-    assert abs(sum(available[s] * r for s, r in repeats.items()) - total) < 1e-6 * max(1, total)
+def test_repeats_are_never_over_the_targets(spark):
+    rng = np.random.default_rng(4)
+    for round_ in range(4):
+        sources = [f"s{k}" for k in range(7)]
+        available = spark.createDataFrame([(x, int(rng.integers(0, 1000))) for x in sources], "source string, available long")
+        rows = [(x, float(rng.random()), int(rng.integers(0, 4))) for x in sources]
+        got = {r["source"]: (r["repeats"], r["planned"]) for r in mixing.plan_repeats(available, spark.createDataFrame(rows, TARGETS)).collect()}
+        tokens, goal = dict(available.collect()), {x: (w, r) for x, w, r in rows}
+        assert set(got) == {x for x in sources if tokens[x] and goal[x][0] > 0 and goal[x][1]}
+        assert all(0 <= r <= goal[x][1] + 1e-9 and abs(r * tokens[x] - t) < 1e-6 for x, (r, t) in got.items())
+        assert not got or any(abs(r - goal[x][1]) < 1e-9 for x, (r, _) in got.items())
+
+
+def test_mix_of_very_many_sources(spark):
+    """No bound on the number of targets."""
+    n = 3000
+    docs = spark.range(2 * n).selectExpr("id AS doc_id", "concat('some words ', id) AS text", f"concat('source ', id % {n}) AS source", "'' AS key", "'' AS tokens")
+    targets = spark.range(n).selectExpr("concat('source ', id) AS source", "0.5D AS target_share", "1 AS max_repeats")
+    report = mixing.mix_report(mixing.mix(docs, targets, keep_unused=True), targets)
+    assert report.where("used_tokens > 0").count() == n and report.where("available_tokens >= used_tokens").count() == n
 
 
 NAMES = [("Neddra", "given", "en"), ("Lunmira", "given", "en"), ("Tamira", "given", "en"), ("Jarmira", "given", "en"), ("Hartlow", "family", "en"), ("Dunlow", "family", "en"), ("Ostlow", "family", "en"), ("赵", "family", "zh"), ("听澜", "given", "zh"), (None, None, None)]
@@ -333,7 +347,8 @@ NAMES = [("Neddra", "given", "en"), ("Lunmira", "given", "en"), ("Tamira", "give
 @pytest.fixture(scope="module")
 def model(spark, tiny):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
-    return pii.fit(docs, spark.read.parquet(f"{tiny}/contributor_names.parquet"))
+    gaz = pii.gazetteer(spark.read.parquet(f"{tiny}/contributor_names.parquet"))
+    return pii.fit(pii.candidate_spans(docs, gaz), gaz)
 
 
 @pytest.mark.parametrize("text,want", [
@@ -364,10 +379,12 @@ def test_listed_chinese_name_needs_no_context(model):
 
 def test_personal_data_tables(spark, model):
     d = spark.createDataFrame([(1, "x a@lab.test y", "e"), (2, None, "e"), (3, "", "e"), (None, "b@lab.test", "e"), (1, "x a@lab.test y", "e")], "doc_id long, text string, kind string")
-    assert sorted((r["doc_id"] or 0, r["kind"], r["start_char"]) for r in pii.personal_data(d, model).collect()) == [(0, "email", 0), (1, "email", 2), (1, "email", 2)]
-    assert {r["text"] for r in pii.personal_data(d, model, with_text=True).collect()} == {"x [EMAIL] y", "", "[EMAIL]"}
-    empty = pii.fit(d.limit(0), spark.createDataFrame(NAMES, "token string, kind string, lang string"))
-    assert pii.spans("a@lab.test", empty) == [] and pii.personal_data(d.limit(0), empty).count() == 0
+    assert sorted((r["doc_id"] or 0, r["kind"], r["start_char"]) for r in pii.personal_data(d, model=model).collect()) == [(0, "email", 0), (1, "email", 2), (1, "email", 2)]
+    assert {r["text"] for r in pii.personal_data(d, with_text=True, model=model).collect()} == {"x [EMAIL] y", "", "[EMAIL]"}
+    names = spark.createDataFrame(NAMES, "token string, kind string, lang string")
+    gaz = pii.gazetteer(names)
+    empty = pii.fit(pii.candidate_spans(d.limit(0), gaz), gaz)
+    assert pii.spans("a@lab.test", empty) == [] and pii.personal_data(d.limit(0), names).count() == 0
 
 
 def test_label_model_finds_the_reliable_labeler():
