@@ -184,6 +184,7 @@ def directory_tree(files: DataFrame) -> DataFrame:
     )
 
 
+# Frameworks by what dependency files name.
 _DEPENDENCY_MARKERS = {"fastapi": "FastAPI", "flask": "Flask", "django": "Django", "streamlit": "Streamlit", "pytest": "Pytest"}
 _PACKAGE_MARKERS = {"react": "React", "vite": "Vite", "next": "Next.js", "express": "Express", "vue": "Vue", "svelte": "Svelte"}
 
@@ -211,21 +212,50 @@ def frameworks(files: DataFrame) -> DataFrame:
     return files.where("path IS NOT NULL").select("project_id", F.explode(marks).alias("framework")).distinct()
 
 
-def start_commands(files: DataFrame, most: int = 10) -> DataFrame:
-    """(project_id, command, place): commands that start a project, from its readme files, by path and line."""
+def stored_files(files: DataFrame, keys: DataFrame) -> DataFrame:
+    """(project_id, path, content): of each asked path of a snapshot the delivery of the smallest id with a content.
+
+    ``keys``: project_id and path in the compared form, repeated as they may be.  The ids are
+    chosen on narrow columns; contents are moved of the chosen files only.
+    """
     path = compared_path(F.col("path"))
-    readme = files.where("path IS NOT NULL AND content IS NOT NULL").select("project_id", path.alias("path"), "id", F.posexplode(F.split("content", r"\r?\n")).alias("line", "text")).where(
-        F.lower(file_name(F.col("path"))).startswith("readme")
-    )
+    named = files.where("content IS NOT NULL AND path IS NOT NULL").select("project_id", path.alias("path"), "id")
+    chosen = named.join(keys.select("project_id", "path").distinct(), ["project_id", "path"]).groupBy("project_id", "path").agg(F.min("id").alias("id"))
+    whole = files.where("content IS NOT NULL AND path IS NOT NULL").select("id", F.col("project_id").alias("_p"), path.alias("_path"), "content")
+    same = (F.col("_p") == F.col("project_id")) & (F.col("_path") == F.col("path"))
+    return whole.join(chosen, "id").where(same).select("project_id", "path", "content")
+
+
+# Scripts of a package that start it, in the order they are named.
+NPM_SCRIPTS = ("dev", "start", "serve", "preview", "test")
+
+
+def start_commands(files: DataFrame, most: int = 10) -> DataFrame:
+    """(project_id, command, place): commands that start a project.
+
+    First the scripts of the package at its root, then command lines of its readme files by
+    path and line, then ``python main.py`` if there is such a file.  Of a package delivered
+    several times any counts; a package that is no JSON names none.
+    """
+    rows = files.where("path IS NOT NULL").select("project_id", compared_path(F.col("path")).alias("path"), "id", "content")
+    at = lambda rank, path, i, line: F.struct(rank.cast("int").alias("rank"), path.alias("path"), i.alias("id"), line.cast("int").alias("line"))
+    none = F.lit(0).cast("long"), F.lit(0)
+    package = rows.where("path = 'package.json' AND try_parse_json(content) IS NOT NULL")
+    keys = F.json_object_keys(F.get_json_object("content", "$.scripts"))
+    scripts = package.select("project_id", F.posexplode(F.array(*(F.when(F.array_contains(keys, n), f"npm run {n}") for n in NPM_SCRIPTS))).alias("rank", "command"))
+    named = scripts.where("command IS NOT NULL").select("project_id", "command", at(F.col("rank"), F.lit(""), *none).alias("at"))
+    readme = rows.where("content IS NOT NULL").where(F.lower(file_name(F.col("path"))).startswith("readme")).select("project_id", "path", "id", F.posexplode(F.split("content", r"\r?\n")).alias("line", "text"))
     command = F.regexp_replace("text", r"^[` >]+|[` >]+$", "")
-    lines = readme.select("project_id", "path", "id", "line", command.alias("command")).where(F.col("command").rlike(r"^(npm|pnpm|yarn|python|uvicorn|streamlit|pytest)\b"))
-    first = lines.groupBy("project_id", "command").agg(F.min(F.struct("path", "id", "line")).alias("at"))
+    told = readme.select("project_id", command.alias("command"), at(F.lit(len(NPM_SCRIPTS)), F.col("path"), F.col("id"), F.col("line")).alias("at")).where(F.col("command").rlike(r"^(npm|pnpm|yarn|python|uvicorn|streamlit|pytest)\b"))
+    main = rows.where(file_name(F.col("path")) == "main.py").select("project_id", F.lit("python main.py").alias("command"), at(F.lit(len(NPM_SCRIPTS) + 1), F.lit(""), *none).alias("at"))
+    first = named.unionByName(told).unionByName(main).groupBy("project_id", "command").agg(F.min("at").alias("at"))
     order = Window.partitionBy("project_id").orderBy("at", "command")
     return first.withColumn("place", F.row_number().over(order).cast("long")).where(F.col("place") <= most).select("project_id", "command", "place")
 
 
 def script_symbols(files: DataFrame) -> DataFrame:
     """Imports, requires, exports, functions, classes and arrow functions of JavaScript and TypeScript texts, by patterns."""
+    # the five patterns are fixed values
     text = F.col("content")
     get = lambda pattern: F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
     rows = files.where(language_of(F.col("path")).isin("JavaScript", "TypeScript") & text.isNotNull())

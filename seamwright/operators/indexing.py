@@ -135,25 +135,26 @@ def evidence_rows(ranked: DataFrame, chunks: DataFrame, by: str, excerpt: int =
     return rows.select(by, F.concat(F.lit("E"), F.col("place")).alias("evidence_id"), "id", token.alias("token"), F.sha2(F.substring("content", 1, excerpt), 256).alias("excerpt_hash"))
 
 
-def best_snippets(ranked: DataFrame, documents: DataFrame, questions: list[tuple[int, list[str]]], by: str, key: str, text: str, most: int = 1200) -> DataFrame:
+def best_snippets(ranked: DataFrame, documents: DataFrame, questions: DataFrame, by: str, key: str, text: str, most: int = 1200) -> DataFrame:
     """(by, key, line, hits, snippet): the lines around the line with most of a question's words.
 
-    Two lines before to five after, at most ``most`` characters; ties by line.  ``questions``
-    is a block of (id, words); texts meet only the questions they rank for.
+    Two lines before to five after, at most ``most`` characters; ties by line.  ``questions``:
+    (by, words); texts meet only the questions they rank for.
     """
-    words = dict(questions)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for q, k, t in pdf.itertuples(index=False):
+            for q, k, t, words in pdf.itertuples(index=False):
                 lines = t.replace("\r\n", "\n").split("\n")
-                hits = [sum(w in x for w in words.get(q, ())) for x in (y.lower() for y in lines)]
+                hits = [sum(w in x for w in words) for x in (y.lower() for y in lines)]
                 at = max(range(len(lines)), key=lambda i: (hits[i], -i))
                 out.append((q, k, at + 1, hits[at], "\n".join(lines[max(0, at - 2) : at + 6])[:most]))
             yield pd.DataFrame(out, columns=[by, key, "line", "hits", "snippet"])
 
-    rows = ranked.select(by, key).join(documents.select(key, F.col(text).alias("_t")).where("_t IS NOT NULL"), key).select(by, key, "_t")
+    texts = documents.select(key, F.col(text).alias("_t")).where("_t IS NOT NULL")
+    words = questions.select(by, F.coalesce("words", F.array().cast("array<string>")).alias("_words"))
+    rows = ranked.select(by, key).join(words, by).join(texts, key).select(by, key, "_t", "_words")
     return rows.mapInPandas(run, f"{by} long, {key} long, line long, hits long, snippet string")
 
 

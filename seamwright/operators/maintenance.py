@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.paths import compared_path
 from ..functions.text import safe_relative_path
+from .catalog import stored_files
 
 
 def snapshot_entries(files: DataFrame) -> DataFrame:
@@ -100,8 +101,7 @@ def evidence_checks(chunks: DataFrame, files: DataFrame, projects: DataFrame) ->
     the stored content; digest.  Of a path delivered twice the smallest file id counts.  Lines
     end at \\n.
     """
-    path = compared_path(F.col("path"))
-    one = files.where("content IS NOT NULL AND path IS NOT NULL").groupBy("project_id", path.alias("path")).agg(F.min_by("content", "id").alias("file_content"))
+    one = stored_files(files, chunks).withColumnRenamed("content", "file_content")
     snap = projects.select(F.col("id").alias("project_id"), F.col("repository_revision").alias("revision_now"))
     rows = chunks.join(one, ["project_id", "path"], "left").join(snap, "project_id", "left")
     lines = F.split("file_content", "\n")

@@ -1,48 +1,45 @@
 """Ranked retrieval: BM25, dense, symbol and file ranking, fusion, query analysis.
 
 Queries are a stated set that is small against what is searched.  Their terms, vectors and
-hints are taken in blocks of ``BLOCK`` to the tasks; everything searched stays where it was
-read and is cut to the best k per partition before anything is moved.
+words are taken in blocks of ``BLOCK`` to the tasks; what is searched stays where it was read
+and is cut to the best k per query and partition before it is moved.
 """
 
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.paths import compared_path
 from ..functions.text import _RAW, normal_identifier, searchable_text, word_tokens
-from ..session import checkpointed
+from ..session import spread
 
 K1, B = 1.5, 0.75
 RRF_K = 60
 #: queries of one pass
 BLOCK = 1024
-#: rows of a side that is sent to every task
+#: terms of the queries of one pass, which are sent to every task
 SENT_ROWS = 200_000
 
 
-def sent_if_small(df: DataFrame, rows: int = SENT_ROWS) -> DataFrame:
-    """``df`` marked for broadcast if it has at most so many rows; else it is joined by a shuffle."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 def top_k(rows: DataFrame, by: list[str], order: list[Column], k: int, name: str = "place") -> DataFrame:
     """The first k rows of each group in a total order, numbered from 1 (cut before the shuffle)."""
     at = F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("long")
     return rows.withColumn(name, at).where(F.col(name) <= k)
 
 
-def term_counts(texts: DataFrame, key: str, text: Column, vocabulary: frozenset[str] | None = None) -> DataFrame:
+def term_counts(texts: DataFrame, key: str, text: Column) -> DataFrame:
     """(key, term, tf, length): the code tokens of each text with their counts and the text's number of tokens.
 
-    A text is counted whole where it was read; nothing is shuffled.  With a vocabulary only
-    its terms are given.  Each text also gives a row of the empty term with tf 0, so that
+    A text is counted whole where it was read; nothing is shuffled.  Each text also gives a row of the empty term with tf 0, so that
     texts without tokens are seen.  Keys are unique; null texts count as empty.
     """
 
@@ -50,53 +47,153 @@ def term_counts(texts: DataFrame, key: str, text: Column, vocabulary: frozenset[
         for batch in batches:
             out: tuple[list, list, list, list] = ([], [], [], [])
             for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                counts: dict[str, int] = {}
-                for w, n in Counter(_RAW.findall(t or "")).items():
-                    for x in word_tokens(w):
-                        counts[x] = counts.get(x, 0) + n
+                counts = _counted(t)
                 length = sum(counts.values())
-                rows = [("", 0), *(counts.items() if vocabulary is None else ((x, n) for x, n in counts.items() if x in vocabulary))]
+                rows = [("", 0), *counts.items()]
                 out[0].extend([k] * len(rows))
                 out[1].extend(x for x, _ in rows)
                 out[2].extend(n for _, n in rows)
                 out[3].extend([length] * len(rows))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.string(), pa.int64(), pa.int64()))], names=[key, "term", "tf", "length"])
 
-    return texts.select(F.col(key).cast("long"), text.alias("_text")).mapInArrow(count, f"{key} long, term string, tf long, length long")
+    return spread(texts.select(F.col(key).cast("long"), text.alias("_text"))).mapInArrow(count, f"{key} long, term string, tf long, length long")
+
+
+def _counted(text: str | None) -> dict[str, int]:
+    """The code tokens of a text and how often it holds them."""
+    counts: dict[str, int] = {}
+    for w, n in Counter(_RAW.findall(text or "")).items():
+        for x in word_tokens(w):
+            counts[x] = counts.get(x, 0) + n
+    return counts
+
+
+class _Asked:
+    """The terms of a block of queries: rows of (query, weight) per term."""
+
+    def __init__(self, queries: list[tuple[int, dict[str, int]]]):
+        self.keys = np.asarray([q for q, _ in queries], np.int64)
+        by: dict[str, list[tuple[int, int]]] = {}
+        for j, (_, terms) in enumerate(queries):
+            for t, n in terms.items():
+                by.setdefault(t, []).append((j, n))
+        self.term = {t: i for i, t in enumerate(by)}
+        self.first = np.cumsum([0, *(len(p) for p in by.values())])
+        self.query = np.asarray([j for p in by.values() for j, _ in p], np.int64)
+        self.count = np.asarray([n for p in by.values() for _, n in p], np.float64)
+
+
+def _blocks(queries: DataFrame, key: str, text: Column) -> Iterator[_Asked]:
+    """The queries in blocks of at most BLOCK queries and, but for a single one, SENT_ROWS terms."""
+    block: list[tuple[int, dict[str, int]]] = []
+    terms = 0
+    rows = queries.select(F.col(key).cast("long").alias("k"), text.alias("t")).where("k IS NOT NULL").orderBy("k")
+    for r in rows.toLocalIterator():
+        counts = _counted(r["t"])
+        if not counts:
+            continue
+        if block and (len(block) == BLOCK or terms + len(counts) > SENT_ROWS):
+            yield _Asked(block)
+            block, terms = [], 0
+        block.append((r["k"], counts))
+        terms += len(counts)
+    if block:
+        yield _Asked(block)
+
+
+def _document_frequencies(texts: DataFrame, asked: _Asked) -> tuple[int, float, np.ndarray]:
+    """(texts, mean number of tokens, texts that hold each term of the block)."""
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df, n, length = np.zeros(len(asked.term), np.int64), 0, 0
+        for batch in batches:
+            for t in batch.column(0).to_pylist():
+                counts = _counted(t)
+                n, length = n + 1, length + sum(counts.values())
+                for x in counts.keys() & asked.term.keys():
+                    df[asked.term[x]] += 1
+        at = np.flatnonzero(df)
+        yield pa.RecordBatch.from_pydict({"term": np.r_[[-2, -1], at], "n": np.r_[[n, length], df[at]]}, schema=pa.schema([("term", pa.int64()), ("n", pa.int64())]))
 
-def query_terms(queries: DataFrame, key: str, text: Column) -> DataFrame:
-    """(key, term, qf): the terms of each query and how often it holds them."""
-    return term_counts(queries, key, text).where("term != ''").select(key, "term", F.col("tf").alias("qf"))
+    got = {r["term"]: r["n"] for r in texts.mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
+    n, length = got.pop(-2, 0), got.pop(-1, 0)
+    df = np.zeros(len(asked.term), np.int64)
+    df[list(got)] = list(got.values())
+    return n, length / n if n else 1.0, df
 
 
 def bm25(texts: DataFrame, key: str, text: Column, queries: DataFrame, query_key: str, query_text: Column, ties: list[str], k: int = 20) -> DataFrame:
     """(query_key, key, score, place): BM25 of every query against all texts, the best k each.
 
     Statistics are those of the texts given, so filters belong before.  The idf is
-    ln(1 + (N - df + .5) / (df + .5)); a term counts as often as the query holds it.  Texts
-    are tokenized once; what leaves that pass are counts of terms some query asks for, and
-    the terms of the queries are sent to them, so a term in every text is no hot key.
-    Scores of 0 and empty texts do not appear; ties go by the columns ``ties`` of the texts.
+    ln(1 + (N - df + .5) / (df + .5)); a term counts as often as the query holds it.  Two
+    passes over the texts for a block of queries: one counts in how many texts their terms
+    are, one scores each text whole where it was read and keeps the best k per query and
+    partition, so that nothing else is moved, however common a term is.  Scores of 0 and
+    empty texts do not appear; ties go by the columns ``ties`` of the texts, which travel along.
     """
-    asked = checkpointed(query_terms(queries, query_key, query_text))
-    terms = asked.select("term").distinct().limit(SENT_ROWS + 1).collect()
-    vocabulary = frozenset(r["term"] for r in terms) if len(terms) <= SENT_ROWS else None
-    counts = checkpointed(term_counts(texts, key, text, vocabulary))
-    stats = counts.where("term = ''").agg(F.count("*").alias("total"), F.avg("length").alias("mean")).first()
-    total, mean = stats["total"], stats["mean"] or 1.0
-    wanted = counts.where("term != ''")
-    if vocabulary is None:
-        wanted = wanted.join(asked.select("term").distinct(), "term", "left_semi")
-    df = wanted.groupBy("term").agg(F.count("*").alias("df"))
-    ratio = F.col("tf") + F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("length") / F.lit(float(mean)))
-    idf = F.log(F.lit(1.0) + (F.lit(float(total)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = wanted.join(sent_if_small(df), "term").select("term", key, (idf * F.col("tf") * (K1 + 1) / ratio).alias("w"))
-    scores = (
-        weight.join(sent_if_small(asked), "term").groupBy(query_key, key).agg(F.round(F.sum(F.col("qf") * F.col("w")), 6).alias("score")).where("score > 0")
-    )
-    named = scores.join(texts.select(F.col(key).cast("long").alias(key), *[t for t in ties if t != key]), key)
-    return top_k(named, [query_key], [F.desc("score"), *[F.col(t) for t in ties]], k).select(query_key, key, "score", "place")
+    more = [t for t in ties if t != key]
+    types = {f.name: f.dataType for f in texts.schema.fields}
+    source = spread(texts.select(text.alias("_text"), F.col(key).cast("long").alias(key), *more))
+    schema = T.StructType([T.StructField(query_key, T.LongType()), T.StructField(key, T.LongType()), T.StructField("score", T.DoubleType()), *[T.StructField(t, types[t]) for t in more]])
+    arrow = to_arrow_schema(schema)
+    order = [1 + ([key, *more].index(t)) for t in ties]
+    out = texts.sparkSession.createDataFrame([], schema)
+    for asked in _blocks(queries, query_key, query_text):
+        total, mean, df = _document_frequencies(source.select("_text"), asked)
+        idf = np.log(1.0 + (total - df + 0.5) / (df + 0.5))
+
+        def score(batches: Iterator[pa.RecordBatch], asked=asked, idf=idf, mean=mean or 1.0) -> Iterator[pa.RecordBatch]:
+            best: list[list[tuple]] = [[] for _ in asked.keys]
+            least = np.zeros(len(best))
+
+            def cut(j: int) -> None:
+                best[j].sort(key=lambda r: (-r[0], *((r[c] is not None, r[c]) for c in order)))
+                del best[j][k:]
+                if len(best[j]) == k:
+                    least[j] = best[j][-1][0]
+
+            def take(rows: list[tuple], entry: list[int], term: list[int], weight: list[float]) -> None:
+                at = np.asarray(term, np.int64)
+                n = asked.first[at + 1] - asked.first[at]
+                post = np.arange(n.sum()) + np.repeat(asked.first[at] - np.cumsum(n) + n, n)
+                cell = np.repeat(np.asarray(entry, np.int64), n) * len(best) + asked.query[post]
+                sums = np.bincount(cell, np.repeat(np.asarray(weight), n) * asked.count[post], len(rows) * len(best)).reshape(len(rows), -1)
+                sums = np.round(sums, 6)
+                for i, j in zip(*np.nonzero((sums > 0) & (sums >= least))):
+                    best[j].append((float(sums[i, j]), *rows[i]))
+                    if len(best[j]) > 4 * k + 64:
+                        cut(j)
+
+            for batch in batches:
+                columns = [c.to_pylist() for c in batch.columns]
+                rows: list[tuple] = []
+                entry: list[int] = []
+                term: list[int] = []
+                weight: list[float] = []
+                work = 0
+                for t, *row in zip(*columns):
+                    counts = _counted(t)
+                    length = sum(counts.values())
+                    for x in counts.keys() & asked.term.keys():
+                        e, tf = asked.term[x], counts[x]
+                        entry.append(len(rows))
+                        term.append(e)
+                        weight.append(idf[e] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean)))
+                        work += int(asked.first[e + 1] - asked.first[e])
+                    rows.append(tuple(row))
+                    if work + len(rows) * len(best) > 2_000_000:
+                        take(rows, entry, term, weight)
+                        rows, entry, term, weight, work = [], [], [], [], 0
+                if rows:
+                    take(rows, entry, term, weight)
+            for j in range(len(best)):
+                cut(j)
+            held = [(int(asked.keys[j]), r[1], r[0], *r[2:]) for j, rows in enumerate(best) for r in rows]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held) if held else [[]] * len(arrow), arrow)], schema=arrow)
+
+        out = out.unionByName(source.mapInArrow(score, schema))
+    return top_k(out, [query_key], [F.desc("score"), *[F.col(t) for t in ties]], k).select(query_key, key, "score", "place")
 
 
 def dense(vectors: DataFrame, key: str, vector: str, queries: DataFrame, query_key: str, query_vector: str, k: int = 5) -> DataFrame:
@@ -276,36 +373,38 @@ def chunk_text() -> Column:
     return searchable_text(F.col("path"), F.col("symbol_name"), F.col("qualified_name"), F.col("content"))
 
 
-def rank_files(profiles: DataFrame, contents: DataFrame, questions: list[tuple[int, list[str]]], k: int = 6) -> DataFrame:
+def rank_files(profiles: DataFrame, contents: DataFrame, questions: Iterable[tuple[int, list[str]]], k: int = 6) -> DataFrame:
     """(query_id, id, score, place): files by the words of a question in path and content.
 
     8 a word in the path, up to 8 occurrences of it in the content, 5 for core files, the
-    importance up to 100 over 25.  ``questions``: a block of (id, words), at most BLOCK.
+    importance up to 100 over 25.  ``questions``: (id, words); they are taken in blocks of
+    BLOCK, a pass over the contents each.
     """
-    if len(questions) > BLOCK:
-        raise ValueError("more questions than one block takes")
-    block = [(i, ws) for i, ws in questions if ws]
+    schema = "query_id long, id long, words_score long"
+    texts = spread(contents.select("id", compared_path(F.col("path")).alias("path"), "content").where("path IS NOT NULL AND content IS NOT NULL"))
+    hits = contents.sparkSession.createDataFrame([], schema)
+    todo = ((i, ws) for i, ws in questions if ws)
+    while block := list(islice(todo, BLOCK)):
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: tuple[list, list, list] = ([], [], [])
-            for i, path, text in zip(*(c.to_pylist() for c in batch.columns)):
-                path, text = path.lower(), text.lower()
-                seen: dict[str, int] = {}
-                for q, ws in block:
-                    n = 0
-                    for w in ws:
-                        if w not in seen:
-                            seen[w] = (8 if w in path else 0) + min(8, text.count(w))
-                        n += seen[w]
-                    if n:
-                        out[0].append(q)
-                        out[1].append(i)
-                        out[2].append(n)
-            yield pa.RecordBatch.from_pydict({"query_id": out[0], "id": out[1], "words_score": out[2]}, schema=pa.schema([("query_id", pa.int64()), ("id", pa.int64()), ("words_score", pa.int64())]))
-
-    texts = contents.select("id", compared_path(F.col("path")).alias("path"), "content").where("path IS NOT NULL AND content IS NOT NULL")
-    hits = texts.mapInArrow(count, "query_id long, id long, words_score long")
+        def count(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                out: tuple[list, list, list] = ([], [], [])
+                for i, path, text in zip(*(c.to_pylist() for c in batch.columns)):
+                    path, text = path.lower(), text.lower()
+                    seen: dict[str, int] = {}
+                    for q, ws in block:
+                        n = 0
+                        for w in ws:
+                            if w not in seen:
+                                seen[w] = (8 if w in path else 0) + min(8, text.count(w))
+                            n += seen[w]
+                        if n:
+                            out[0].append(q)
+                            out[1].append(i)
+                            out[2].append(n)
+                yield pa.RecordBatch.from_pydict({"query_id": out[0], "id": out[1], "words_score": out[2]}, schema=pa.schema([("query_id", pa.int64()), ("id", pa.int64()), ("words_score", pa.int64())]))
+
+        hits = hits.unionByName(texts.mapInArrow(count, schema))
     scored = hits.join(profiles.select("id", "path", "importance", "is_core"), "id")
     score = F.round(F.col("words_score") + F.when(F.col("is_core"), 5).otherwise(0) + F.least(F.col("importance"), F.lit(100.0)) / 25, 6)
     scored = scored.select("query_id", "id", "path", score.alias("score"))

@@ -1,7 +1,7 @@
 """Code structure: chunks of Python sources, spans and their parents, relation graph, bounded walks.
 
-Spans of one file are compared through windows and equi-joins on the file; no pairs of a
-file's spans are emitted.  The relation graph is built by one pass over each file and
+Spans of one file are compared by a sweep over the sorted spans that holds a stack of the open
+ones, so no pairs of a file's spans are emitted.  The relation graph is built by one pass over each file and
 resolved by joins with the symbol table of its snapshot.
 """
 
@@ -13,17 +13,19 @@ import warnings
 from collections.abc import Iterator
 from hashlib import sha256
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.paths import compared_path
 from ..functions.text import module_name
+from ..session import checkpointed, spread, written
 
 CHUNK_SCHEMA = (
     "file_id long, path string, chunk_type string, symbol_name string, qualified_name string, parent_symbol string, start_line int, end_line int, content string, content_hash string"
 )
-REFERENCE_SCHEMA = "file_id long, path string, relation string, name string, level int, source_symbol string, line int, alias string"
+REFERENCE_SCHEMA = "file_id long, path string, project_id string, relation string, name string, level int, source_symbol string, line int, alias string"
 
 
 def _tree(text: str) -> ast.Module | None:
@@ -69,7 +71,10 @@ def chunk_rows(text: str) -> list[tuple]:
 
 
 def reference_rows(text: str) -> list[tuple]:
-    """(relation, name, level, source symbol, line, alias): imports, calls and base classes of a file; a base belongs to its class."""
+    """(relation, name, level, source symbol, line, alias): definitions, imports, calls and base classes of a file.
+
+    A base belongs to its class; a definition's name is its qualified name.
+    """
     tree = _tree(text)
     out: list[tuple] = []
     if tree is None:
@@ -84,6 +89,8 @@ def reference_rows(text: str) -> list[tuple]:
 
     for node, names, _ in _walk(tree):
         at = ".".join(names)
+        if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
+            out.append(("defines", ".".join((*names, node.name)), 0, at, node.lineno, None))
         if isinstance(node, ast.Import):
             out.extend(("imports", a.name, 0, at, node.lineno, a.asname or a.name.split(".")[0]) for a in node.names)
         elif isinstance(node, ast.ImportFrom):
@@ -97,7 +104,8 @@ def reference_rows(text: str) -> list[tuple]:
     return out
 
 
-def _per_file(files: DataFrame, fn, schema: str) -> DataFrame:
+def _per_file(files: DataFrame, fn, schema: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The rows ``fn`` gives for each Python text, behind file_id, path and the columns ``keep`` (strings)."""
     types = files.sparkSession.createDataFrame([], schema).schema
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -106,19 +114,20 @@ def _per_file(files: DataFrame, fn, schema: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             columns: list[list] = [[] for _ in arrow]
-            for i, path, text in zip(*(batch.column(j).to_pylist() for j in range(3))):
+            for text, *key in zip(*(c.to_pylist() for c in batch.columns)):
                 for row in fn(text):
-                    for c, v in zip(columns, (i, path, *row)):
+                    for c, v in zip(columns, (*key, *row)):
                         c.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow)
 
-    rows = files.select("id", compared_path(F.col("path")).alias("path"), "content").where(F.col("path").endswith(".py") & F.col("content").isNotNull())
-    return rows.mapInArrow(run, types)
+    rows = files.select("content", "id", compared_path(F.col("path")).alias("path"), *keep).where(F.col("path").endswith(".py") & F.col("content").isNotNull())
+    return spread(rows).mapInArrow(run, types)
 
 
-def python_chunks(files: DataFrame) -> DataFrame:
+def python_chunks(files: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Every function, method and class of the Python files that parse; a file that does not gives none."""
-    return _per_file(files, chunk_rows, CHUNK_SCHEMA)
+    front, _, back = CHUNK_SCHEMA.partition(", chunk_type")
+    return _per_file(files, chunk_rows, ", ".join((front, *(f"{c} string" for c in keep))) + ", chunk_type" + back, keep)
 
 
 def latest_ready(projects: DataFrame) -> DataFrame:
@@ -132,47 +141,82 @@ def latest_ready(projects: DataFrame) -> DataFrame:
     return last.select(F.col("b.at.id").alias("project_id"), F.col("b.repository_revision").alias("repository_revision"))
 
 
-def indexed_chunks(files: DataFrame, projects: DataFrame) -> DataFrame:
-    """Chunks of the latest ready snapshots; of a path delivered twice the smallest id counts."""
+def indexed_files(files: DataFrame, projects: DataFrame) -> DataFrame:
+    """The Python files of the latest ready snapshots; of a path delivered twice the smallest id counts.
+
+    Ids are chosen on narrow columns before contents are moved.
+    """
     path = compared_path(F.col("path"))
-    mine = files.join(latest_ready(projects), "project_id", "left_semi").where("content IS NOT NULL")
+    mine = files.where(path.endswith(".py") & F.col("content").isNotNull()).join(latest_ready(projects).select("project_id"), "project_id", "left_semi")
     first = mine.groupBy("project_id", path.alias("p")).agg(F.min("id").alias("id"))
-    kept = mine.join(first.select("id"), "id", "left_semi")
-    chunks = python_chunks(kept)
-    return chunks.join(kept.select(F.col("id").alias("file_id"), "project_id"), "file_id").drop("file_id")
+    return mine.join(first.select("id"), "id", "left_semi")
+
+
+def indexed_chunks(files: DataFrame, projects: DataFrame) -> DataFrame:
+    """Chunks of ``indexed_files``."""
+    return python_chunks(indexed_files(files, projects), ("project_id",)).drop("file_id")
 
 
 # ---------------------------------------------------------------------------- spans
 SCOPE = ("project_id", "repository_revision", "path")
 
 
+def _swept(rows: DataFrame, order: list, schema: str, visit) -> DataFrame:
+    """Rows of a file in ``order``, file by file, through ``visit(stack, row)``, which yields result rows.
+
+    A partition holds one file's open spans at a time, however many spans the file has.
+    """
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def sweep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        scope, stack = None, []
+        for pdf in batches:
+            out: list[tuple] = []
+            for row in pdf.astype(object).where(pdf.notna(), None).itertuples(index=False):
+                at = row[:3]
+                if at != scope:
+                    scope, stack = at, []
+                out.extend(visit(stack, row))
+            yield pd.DataFrame(out, columns=names)
+
+    return rows.repartition(*SCOPE).sortWithinPartitions(*SCOPE, *order).mapInPandas(sweep, schema)
+
+
 def span_parents(chunks: DataFrame) -> DataFrame:
     """(id, parent_id, authority, ambiguous): the parent chunk of every chunk within its file.
 
     A chunk that names its parent takes the smallest chunk of that name that strictly
     contains it; one that names none the smallest that strictly contains it.  Several of the
-    smallest size, or a named parent that is not there, make it ambiguous.  The containing
-    chunks are found by an equi-join on the file with a range condition.
+    smallest size, or a named parent that is not there, make it ambiguous.  Spans come in
+    order of their start, wider ones first, and those still open are the candidates.
     """
-    left = chunks.select(*SCOPE, "id", "start_line", "end_line", F.coalesce("parent_symbol", F.lit("")).alias("named"))
-    right = chunks.select(*SCOPE, F.col("id").alias("other"), F.col("start_line").alias("s2"), F.col("end_line").alias("e2"), F.col("qualified_name").alias("q2"))
-    around = (F.col("s2") <= F.col("start_line")) & (F.col("e2") >= F.col("end_line")) & ((F.col("s2") != F.col("start_line")) | (F.col("e2") != F.col("end_line")))
-    # a named parent is an equality; only chunks that name none are compared by their spans
-    by_name = left.where("named != ''").join(right.withColumn("named", F.col("q2")), [*SCOPE, "named"])
-    by_span = left.where("named = ''").join(right, list(SCOPE))
-    held = by_name.unionByName(by_span).where((F.col("id") != F.col("other")) & around)
-    size = F.col("e2") - F.col("s2") + 1
-    # the smallest and how many share its size, by one aggregate over (size, id)
-    near = held.groupBy("id").agg(F.min(F.struct(size.alias("size"), F.col("other"))).alias("first"), F.max(F.struct((-size).alias("size"), F.col("other"))).alias("last"))
-    near = near.select("id", F.col("first.other").alias("parent_id"), (F.col("first.other") != F.col("last.other")).alias("several"))
-    out = left.select("id", "named").join(near, "id", "left")
-    ambiguous = F.coalesce("several", F.lit(False)) | ((F.col("named") != "") & F.col("parent_id").isNull())
-    return out.select(
-        "id",
-        F.when(~ambiguous, F.col("parent_id")).alias("parent_id"),
-        F.when(~ambiguous & F.col("parent_id").isNotNull(), F.when(F.col("named") != "", "explicit_structural_metadata").otherwise("span_inference")).alias("authority"),
-        ambiguous.alias("ambiguous"),
-    )
+    rows = chunks.select(*SCOPE, "start_line", "end_line", "id", F.coalesce("parent_symbol", F.lit("")).alias("named"), "qualified_name")
+
+    def visit(stack: list, row) -> Iterator[tuple]:
+        start, end, key, named, name = row[3:]
+        if start is None or end is None:
+            yield key, None, None, named != ""
+            return
+        while stack and stack[-1][1] < start:
+            stack.pop()
+        best, many, found = None, 0, None
+        for s, e, other, q in stack:
+            if e >= end and (s, e) != (start, end) and (not named or q == named):
+                size = e - s + 1
+                if best is None or size < best:
+                    best, many, found = size, 1, other
+                elif size == best:
+                    many += 1
+        unsure = many > 1 or (named != "" and best is None)
+        parent = None if unsure else found
+        yield key, parent, None if parent is None else "explicit_structural_metadata" if named else "span_inference", unsure
+        # a span that ends before others is put below them, so that what is over comes off the top
+        at = len(stack)
+        while at and stack[at - 1][1] < end:
+            at -= 1
+        stack.insert(at, (start, end, key, name))
+
+    return _swept(rows, ["start_line", F.desc("end_line"), "id"], "id long, parent_id long, authority string, ambiguous boolean", visit)
 
 
 def span_relation(s1: Column, e1: Column, s2: Column, e2: Column) -> Column:
@@ -196,10 +240,30 @@ def span_sequence(chunks: DataFrame) -> DataFrame:
 
 
 def innermost_spans(points: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(point_id, id): the smallest chunk around a line of a file; ties: later start, then id."""
-    held = points.join(chunks.select("project_id", "path", "id", "start_line", "end_line"), ["project_id", "path"]).where("line BETWEEN start_line AND end_line")
-    best = F.min(F.struct((F.col("end_line") - F.col("start_line")).alias("n"), (-F.col("start_line")).alias("s"), F.col("id")))
-    return held.groupBy("point_id").agg(best.alias("b")).select("point_id", F.col("b.id").alias("id"))
+    """(point_id, id): the smallest chunk around a line of a file; ties: later start, then id.
+
+    Points and spans of a file are merged by line; at a point the open spans are the candidates.
+    """
+    scope = ["project_id", F.lit("").alias("repository_revision"), "path"]
+    spans = chunks.select(*scope, F.col("start_line").cast("long").alias("line"), F.lit(0).alias("what"), F.col("end_line").cast("long").alias("end"), "id")
+    asked = points.select(*scope, F.col("line").cast("long").alias("line"), F.lit(1).alias("what"), F.lit(0).cast("long").alias("end"), F.col("point_id").alias("id"))
+    rows = spans.where("line IS NOT NULL AND end IS NOT NULL").unionByName(asked.where("line IS NOT NULL"))
+
+    def visit(stack: list, row) -> Iterator[tuple]:
+        line, what, end, key = row[3:]
+        while stack and stack[-1][1] < line:
+            stack.pop()
+        if what == 0:
+            at = len(stack)
+            while at and stack[at - 1][1] < end:
+                at -= 1
+            stack.insert(at, (line, end, key))
+        elif stack:
+            open_ = [(e - s, -s, k) for s, e, k in stack if e >= line]
+            if open_:
+                yield key, min(open_)[2]
+
+    return _swept(rows, ["line", "what", "id"], "point_id long, id long", visit)
 
 
 def family_roots(parents: DataFrame, rounds: int = 16) -> DataFrame:
@@ -208,8 +272,6 @@ def family_roots(parents: DataFrame, rounds: int = 16) -> DataFrame:
     ``rounds`` doublings reach 2**rounds levels; ambiguous chunks are their own root.
     """
     at = parents.select("id", F.coalesce("parent_id", "id").alias("root"))
-    from ..session import checkpointed
-
     for _ in range(rounds):
         up = at.select(F.col("id").alias("root"), F.col("root").alias("next"))
         step = checkpointed(at.join(up, "root", "left").select("id", F.coalesce("next", "root").alias("root"), (F.col("next") != F.col("root")).alias("moved")))
@@ -251,13 +313,13 @@ def relation_edges(files: DataFrame, projects: DataFrame) -> DataFrame:
     among the built-ins; a name of several definitions gives one ambiguous row each.
     """
     snapshots = latest_ready(projects).select("project_id")
-    mine = files.join(snapshots, "project_id", "left_semi").where("content IS NOT NULL")
-    owner = mine.select(F.col("id").alias("file_id"), "project_id")
+    mine = files.where("content IS NOT NULL AND project_id IS NOT NULL").join(snapshots, "project_id", "left_semi")
     module = lambda c: F.regexp_replace(module_name(c), r"^(?:src|lib)\.", "")
-    chunks = python_chunks(mine).select("file_id", "path", "qualified_name").join(owner, "file_id").select("project_id", "path", "qualified_name").distinct()
-    symbols = chunks.select("project_id", "path", "qualified_name", module(F.col("path")).alias("module"))
-    modules = mine.where(F.col("path").endswith(".py")).select("project_id", compared_path(F.col("path")).alias("path")).distinct().withColumn("module", module(F.col("path")))
-    refs = _per_file(mine, reference_rows, REFERENCE_SCHEMA).join(owner, "file_id").drop("file_id").distinct()
+    # a file is parsed once: what it defines and what it refers to
+    parsed = written(_per_file(mine, reference_rows, REFERENCE_SCHEMA, ("project_id",)).drop("file_id").distinct())
+    symbols = parsed.where("relation = 'defines'").select("project_id", "path", F.col("name").alias("qualified_name"), module(F.col("path")).alias("module")).distinct()
+    modules = mine.select("project_id", compared_path(F.col("path")).alias("path")).where(F.col("path").endswith(".py")).distinct().withColumn("module", module(F.col("path")))
+    refs = parsed.where("relation != 'defines'")
     # absolute names of relative imports
     package = F.array_join(F.slice(F.split("path", "/"), F.lit(1), F.greatest(F.size(F.split("path", "/")) - F.col("level"), F.lit(0))), ".")
     full = F.when(F.col("level") > 0, F.concat_ws(".", F.nullif(package, F.lit("")), "name")).otherwise(F.col("name"))
@@ -283,7 +345,7 @@ def relation_edges(files: DataFrame, projects: DataFrame) -> DataFrame:
         .unionByName(modules.select("project_id", F.col("module").alias("key"), F.col("path").alias("target_path"), F.lit("").alias("target_symbol")))
         .distinct()
     )
-    counted = targets.join(targets.groupBy("project_id", "key").agg(F.count("*").alias("n")), ["project_id", "key"])
+    counted = targets.withColumn("n", F.count("*").over(Window.partitionBy("project_id", "key")))
     own_heads = modules.select("project_id", F.element_at(F.split("module", r"\."), 1).alias("top")).distinct().withColumn("ours", F.lit(True))
     found = every.join(counted, ["project_id", "key"], "left").withColumn("top", F.element_at(F.split("full", r"\."), 1)).join(own_heads, ["project_id", "top"], "left")
     status = (

@@ -110,10 +110,14 @@ k AS (SELECT project_id, unnest(list_concat(coalesce(json_keys(t, '$.dependencie
         ]
     ),
     "start_commands": f"""
-WITH f AS (SELECT project_id, {P} AS p, id, content FROM repo_files WHERE path IS NOT NULL AND content IS NOT NULL),
-l AS (SELECT project_id, p, id, unnest(string_split(replace(content, chr(13) || chr(10), chr(10)), chr(10))) AS x, generate_subscripts(string_split(replace(content, chr(13) || chr(10), chr(10)), chr(10)), 1) AS n FROM f WHERE lower({NAME}) LIKE 'readme%'),
-c AS (SELECT project_id, p, id, n, regexp_replace(x, '^[` >]+|[` >]+$', '', 'g') AS command FROM l),
-g AS (SELECT project_id, command, min((p, id, n)) AS first_at FROM c WHERE regexp_matches(command, '^(npm|pnpm|yarn|python|uvicorn|streamlit|pytest)\\b') GROUP BY 1, 2)
+WITH f AS (SELECT project_id, {P} AS p, id, content FROM repo_files WHERE path IS NOT NULL),
+l AS (SELECT project_id, p, id, unnest(string_split(replace(content, chr(13) || chr(10), chr(10)), chr(10))) AS x, generate_subscripts(string_split(replace(content, chr(13) || chr(10), chr(10)), chr(10)), 1) AS n FROM f WHERE content IS NOT NULL AND lower({NAME}) LIKE 'readme%'),
+c AS (SELECT project_id, (5, p, id, n) AS spot, regexp_replace(x, '^[` >]+|[` >]+$', '', 'g') AS command FROM l),
+k AS (SELECT project_id, json_keys(content, '$.scripts') AS names FROM f WHERE p = 'package.json' AND json_valid(content)),
+u AS (SELECT project_id, spot, command FROM c WHERE regexp_matches(command, '^(npm|pnpm|yarn|python|uvicorn|streamlit|pytest)\\b')
+  UNION ALL SELECT project_id, (i, '', 0, 0), 'npm run ' || name FROM k, (SELECT unnest(range(5)) AS i, unnest(['dev', 'start', 'serve', 'preview', 'test']) AS name) WHERE list_contains(names, name)
+  UNION ALL SELECT project_id, (6, '', 0, 0), 'python main.py' FROM f WHERE {NAME} = 'main.py'),
+g AS (SELECT project_id, command, min(spot) AS first_at FROM u GROUP BY 1, 2)
 SELECT * FROM (SELECT project_id, command, row_number() OVER (PARTITION BY project_id ORDER BY first_at, command) AS place FROM g) WHERE place <= 10
 """.replace("\\\\b", "\\b"),
     "script_symbols": rf"""

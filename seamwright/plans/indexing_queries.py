@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.paths import compared_path
-from ..operators import catalog, evaluation, maintenance, retrieval, structure
+from ..operators import catalog, evaluation, maintenance, structure
 from ..operators import indexing as ix
 from ..sources import readers, writers
 from .catalog_queries import BEST, P
 from .learning_queries import GOLD, RANKED, _ranked
 from .maintenance_queries import _pairs
-from .retrieval_queries import CHUNK_TEXT, WORDS, _bm25_sql, _questions, bm25_documents, bm25_topk
+from .retrieval_queries import CHUNK_TEXT, WORDS, _bm25_sql, _questions, asked_words, bm25_documents, bm25_topk
 from .structure_queries import EDGES, PARENTS
 
 
@@ -20,20 +20,11 @@ def _t(spark, d, name):
 
 
 def tracked_files(spark, d):
-    return readers.tracked_files(_t(spark, d, "repo_files"), 60_000)
-
-
-def tracked_files_whole(spark, d):
     """With the limits of an import: 50 MB and 2,000 files a snapshot, 1 MB a file."""
     return readers.tracked_files(_t(spark, d, "repo_files"), 50_000_000, 2_000, 1_000_000)
 
 
 def source_lines(spark, d):
-    spans = _t(spark, d, "code_chunks").select(F.col("id").alias("span_id"), "project_id", "path", "start_line", "end_line")
-    return readers.source_lines(_t(spark, d, "repo_files"), spans, 20)
-
-
-def source_lines_whole(spark, d):
     """With the limits of a reading: 200 lines and 32,768 bytes."""
     spans = _t(spark, d, "code_chunks").select(F.col("id").alias("span_id"), "project_id", "path", "start_line", "end_line")
     return readers.source_lines(_t(spark, d, "repo_files"), spans)
@@ -77,9 +68,8 @@ def evidence_rows(spark, d):
 
 
 def best_snippets(spark, d):
-    asked = _questions(spark, d).orderBy("item_id").select("item_id", F.array_distinct(F.filter(F.transform(F.regexp_extract_all("question", F.lit(r"([A-Za-z0-9_\-/.]+)"), F.lit(1)), F.lower), lambda w: F.char_length(w) > 1)).alias("ws"))
-    block = [(x["item_id"], list(x["ws"])) for x in asked.limit(retrieval.BLOCK).toLocalIterator()]
-    got = ix.best_snippets(bm25_documents(spark, d).where("place <= 6"), _t(spark, d, "documents"), block, "item_id", "doc_id", "text", 1200)
+    asked = _questions(spark, d).select("item_id", asked_words("question").alias("words"))
+    got = ix.best_snippets(bm25_documents(spark, d).where("place <= 6"), _t(spark, d, "documents"), asked, "item_id", "doc_id", "text", 1200)
     return got.select("item_id", "doc_id", "line", "hits")
 
 
@@ -124,7 +114,7 @@ def hierarchy_sequence(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        tracked_files, tracked_files_whole, source_lines, source_lines_whole, project_report, incremental_chunks, structure_hashes, embed_missing, combined_search, evidence_rows, best_snippets, one_hop_expand, one_hop_relations,
+        tracked_files, source_lines, project_report, incremental_chunks, structure_hashes, embed_missing, combined_search, evidence_rows, best_snippets, one_hop_expand, one_hop_relations,
         failure_labels, half_cover, stratified_ci, hierarchy_sequence,
     )
 }
@@ -133,13 +123,6 @@ XRK = _bm25_sql("x", "code_chunks", "id", CHUNK_TEXT, "SELECT item_id AS q, ques
 
 SQL = {
     "tracked_files": f"""
-WITH RECURSIVE b AS (SELECT id, project_id, {P} AS path, strlen(content) AS bytes FROM repo_files WHERE path IS NOT NULL AND content IS NOT NULL AND project_id IS NOT NULL AND strlen(content) <= 200000 AND NOT contains(substr(content, 1, 2000), chr(0))),
-n AS (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY path, id) AS k FROM b),
-t AS (SELECT id, project_id, path, bytes, k, CASE WHEN bytes <= 60000 THEN bytes ELSE 0 END AS used, bytes <= 60000 AS ok FROM n WHERE k = 1
-  UNION ALL SELECT n.id, n.project_id, n.path, n.bytes, n.k, CASE WHEN used + n.bytes <= 60000 THEN used + n.bytes ELSE used END, used + n.bytes <= 60000 FROM t JOIN n ON n.project_id = t.project_id AND n.k = t.k + 1)
-SELECT id, project_id, path, bytes FROM t WHERE ok
-""",
-    "tracked_files_whole": f"""
 WITH RECURSIVE b AS (SELECT id, project_id, {P} AS path, strlen(content) AS bytes FROM repo_files WHERE path IS NOT NULL AND content IS NOT NULL AND project_id IS NOT NULL AND strlen(content) <= 1000000 AND NOT contains(substr(content, 1, 2000), chr(0))),
 n AS (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY path, id) AS k FROM b),
 t AS (SELECT id, project_id, path, bytes, k, bytes AS used, 1 AS files, true AS ok FROM n WHERE k = 1
@@ -149,11 +132,6 @@ SELECT id, project_id, path, bytes FROM t WHERE ok
 """,
     "source_lines": f"""
 WITH f AS (SELECT project_id, {P} AS path, arg_min(content, id) AS c FROM repo_files WHERE content IS NOT NULL AND path IS NOT NULL GROUP BY 1, 2),
-s AS (SELECT k.id AS span_id, list_slice(string_split(c, chr(10)), greatest(start_line, 1), greatest(start_line, 1) + least(end_line - start_line + 1, 20) - 1) AS l, end_line - start_line + 1 > 20 AS cut FROM code_chunks k JOIN f USING (project_id, path))
-SELECT span_id, len(l) AS lines, sha256(array_to_string(l, chr(10))) AS text_hash, cut AS truncated FROM s
-""",
-    "source_lines_whole": f"""
-WITH f AS (SELECT project_id, {P} AS path, arg_min(content, id) AS c FROM repo_files WHERE content IS NOT NULL AND path IS NOT NULL GROUP BY 1, 2),
 s AS (SELECT k.id AS span_id, array_to_string(list_slice(string_split(c, chr(10)), greatest(start_line, 1), greatest(start_line, 1) + least(end_line - start_line + 1, 200) - 1), chr(10)) AS t, end_line - start_line + 1 > 200 AS long
   FROM code_chunks k JOIN f USING (project_id, path)),
 n AS (SELECT *, len(string_split(t, chr(10))) AS lines, strlen(t) > 32768 AS wide,

@@ -79,11 +79,15 @@ def symbol_hints(spark, d):
     return r.symbol_hints(_t(spark, d, "documents"), "doc_id", "text")
 
 
+def asked_words(question):
+    """The distinct words of a question, of two characters or more, in lower case."""
+    return F.array_distinct(F.filter(F.transform(F.regexp_extract_all(question, F.lit(r"([A-Za-z0-9_\-/.]+)"), F.lit(1)), F.lower), lambda w: F.char_length(w) > 1))
+
+
 def file_ranking(spark, d):
     files = _t(spark, d, "repo_files")
-    asked = _questions(spark, d).orderBy("item_id").select("item_id", F.array_distinct(F.filter(F.transform(F.regexp_extract_all("question", F.lit(r"([A-Za-z0-9_\-/.]+)"), F.lit(1)), F.lower), lambda w: F.char_length(w) > 1)).alias("ws"))
-    block = [(x["item_id"], list(x["ws"])) for x in asked.limit(r.BLOCK).toLocalIterator()]
-    return r.rank_files(catalog.file_profiles(files), files, block, 6)
+    asked = _questions(spark, d).orderBy("item_id").select("item_id", asked_words("question").alias("ws"))
+    return r.rank_files(catalog.file_profiles(files), files, ((x["item_id"], list(x["ws"])) for x in asked.toLocalIterator()), 6)
 
 
 QUERIES = {

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.paths import compared_path, language_of
-from ..operators.catalog import MAX_FILE_BYTES, interesting_text_file
+from ..operators.catalog import MAX_FILE_BYTES, interesting_text_file, stored_files
 from .schemas import conformed, schema
 
 
@@ -76,7 +76,7 @@ def source_lines(files: DataFrame, spans: DataFrame, most_lines: int = 200, most
     ``spans``: span_id, project_id, path, start_line, end_line.  Lines end at \\n; the byte
     limit never cuts a character in two.  Of a path delivered twice the smallest id counts.
     """
-    one = files.where("content IS NOT NULL AND path IS NOT NULL").groupBy("project_id", compared_path(F.col("path")).alias("path")).agg(F.min_by("content", "id").alias("content"))
+    one = stored_files(files, spans)
     n = F.least(F.col("end_line") - F.col("start_line") + 1, F.lit(most_lines))
     got = F.array_join(F.slice(F.split("content", "\n"), F.greatest("start_line", F.lit(1)), F.greatest(n, F.lit(0))), "\n")
     rows = spans.join(one, ["project_id", "path"]).select("span_id", got.alias("t"), (F.col("end_line") - F.col("start_line") + 1 > most_lines).alias("long"))

@@ -35,12 +35,12 @@ def test_byte_cap_passes_large_files_over(spark):
 
 
 def test_import_limits_of_files_and_bytes(spark, tmp_path):
-    from seamwright.plans.indexing_queries import tracked_files_whole
+    from seamwright.plans.indexing_queries import tracked_files
 
     rows = [(i, "p", f"f{i:04d}", "x" * 100) for i in range(2_001)] + [(5_000 + i, "q", f"{i:03d}", "x" * (1_000_000 - (i == 9))) for i in range(51)] + [(9_000, "r", "a", "x" * 1_000_001), (9_001, "r", "b", "x" * 250_000), (9_002, "q", "z", "x")]
     schema = "id long, project_id string, path string, content string"
     spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "repo_files.parquet"))
-    got = {r["id"] for r in tracked_files_whole(spark, str(tmp_path)).collect()}
+    got = {r["id"] for r in tracked_files(spark, str(tmp_path)).collect()}
     assert got == {*range(2_000), *range(5_000, 5_050), 9_001, 9_002}
 
 
@@ -53,14 +53,14 @@ def test_source_lines_cut_bytes_and_lines(spark):
 
 
 def test_source_lines_have_the_limits_of_a_reading(spark, tmp_path):
-    from seamwright.plans.indexing_queries import source_lines_whole
+    from seamwright.plans.indexing_queries import source_lines
 
     text = "\n".join(f"line {i}" for i in range(1, 301))
     files = [(1, "p", "a", text), (2, "p", "b", "é" * 20_000)]
     spans = [(1, "p", "a", 1, 21), (2, "p", "a", 11, 210), (3, "p", "a", 1, 201), (4, "p", "b", 1, 1)]
     spark.createDataFrame(files, "id long, project_id string, path string, content string").write.parquet(str(tmp_path / "repo_files.parquet"))
     spark.createDataFrame(spans, "id long, project_id string, path string, start_line int, end_line int").write.parquet(str(tmp_path / "code_chunks.parquet"))
-    got = {r["span_id"]: (r["lines"], r["text_hash"], r["truncated"]) for r in source_lines_whole(spark, str(tmp_path)).collect()}
+    got = {r["span_id"]: (r["lines"], r["text_hash"], r["truncated"]) for r in source_lines(spark, str(tmp_path)).collect()}
     part = lambda a, b: hashlib.sha256("\n".join(text.split("\n")[a - 1 : b]).encode()).hexdigest()
     assert got == {1: (21, part(1, 21), False), 2: (200, part(11, 210), False), 3: (200, part(1, 200), True), 4: (1, hashlib.sha256(("é" * 16_384).encode()).hexdigest(), True)}
 
