@@ -5,9 +5,11 @@ of ``chunk_rows`` begins a chunk, so that an insertion or removal moves no other
 Chunks of two consecutive snapshots with equal digests hold equal rows and are discarded;
 only the rows of unmatched chunks are joined by key and classified.
 
-The work needs one shuffle, by (pair of snapshots, lane): a lane is a fixed share of the
-keys by hash, so that one huge snapshot is spread over ``lanes`` tasks and both snapshots
-of a pair meet.  Within a lane everything streams over sorted rows of key and digest.
+Every snapshot is cut once, whatever the number of pairs it is in: its rows of key and digest
+are shuffled by (snapshot, lane), a lane being a fixed share of the keys by hash, so that one
+huge snapshot is spread over ``lanes`` tasks.  The chunks are written as a table; of it only
+the chunk digests are compared between snapshots, and rows are read again of unmatched chunks
+alone.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.paths import compared_path
+from ..session import written
 
 
 def consecutive_pairs(deliveries: DataFrame, entity: str, snapshot: str, at: str) -> DataFrame:
@@ -40,8 +43,8 @@ def snapshot_changes(
 
     ``rows`` holds one digest per snapshot and key.  Of a key delivered several times in a
     snapshot the row of the largest ``version`` counts, one with a digest before one
-    without.  A null digest means that the content is unknown: such a key is no case in
-    either direction.  Null keys and snapshots are left out.
+    without.  A null digest means that the content is unknown: such a key is there, so that
+    it can be added or removed, but it is never changed.  Null keys and snapshots are left out.
     """
     base = rows.select(
         F.col(snapshot).alias("snapshot"), F.col(key).alias("key"), F.col(digest).alias("digest"), F.col(version).alias("version")
@@ -56,32 +59,30 @@ def snapshot_changes(
         F.col("new_id").alias("pair"),
     ).select("r.*", "pair")
     lane = F.pmod(F.xxhash64("key"), F.lit(lanes)).cast("int")
-    spread = base.join(roles, "snapshot").select("pair", "newer", "key", "digest", "version", lane.alias("lane")).repartition("pair", "lane")
     known = F.when(F.col("digest").isNotNull(), F.col("version"))
-    single = spread.groupBy("pair", "lane", "newer", "key").agg(F.max_by("digest", known).alias("digest"))
+    laned = base.join(roles.select("snapshot").distinct(), "snapshot", "left_semi").withColumn("lane", lane).repartition("snapshot", "lane")
+    single = laned.groupBy("snapshot", "lane", "key").agg(F.max_by("digest", known).alias("digest"))
 
     # content-defined chunks: a running count of boundary keys over the key-sorted lane
-    by_key = Window.partitionBy("pair", "lane", "newer").orderBy("key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    by_key = Window.partitionBy("snapshot", "lane").orderBy("key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     boundary = F.pmod(F.xxhash64(F.lit("chunk"), F.col("key")), F.lit(chunk_rows)) == 0
     chunked = single.withColumn("chunk", F.sum(boundary.cast("int")).over(by_key))
-    chunks = chunked.groupBy("pair", "lane", "newer", "chunk").agg(
-        F.array_sort(F.collect_list(F.struct("key", "digest"))).alias("members")
-    )
-    signed = chunks.withColumn("sign", F.sha2(F.to_json("members", {"ignoreNullFields": "false"}), 256))
-    same = Window.partitionBy("pair", "lane", "sign")
-    unmatched = signed.withColumn("sides", F.count("*").over(same)).where("sides = 1")
+    chunks = chunked.groupBy("snapshot", "lane", "chunk").agg(F.array_sort(F.collect_list(F.struct("key", "digest"))).alias("members"))
+    table = written(chunks.withColumn("sign", F.sha2(F.to_json("members", {"ignoreNullFields": "false"}), 256)))
 
-    left = unmatched.select("pair", "lane", "newer", F.explode("members").alias("m")).select("pair", "lane", "newer", "m.*")
+    # equal digests of the two sides of a pair are discarded; only they are moved here
+    same = Window.partitionBy("pair", "lane", "sign")
+    signs = table.select("snapshot", "lane", "chunk", "sign").join(roles, "snapshot")
+    unmatched = signs.withColumn("sides", F.count("*").over(same)).where("sides = 1").select("snapshot", "lane", "chunk", "pair", "newer")
+    left = table.join(unmatched, ["snapshot", "lane", "chunk"]).select("pair", "lane", "newer", F.explode("members").alias("m")).select("pair", "lane", "newer", "m.*")
     sides = left.groupBy("pair", "lane", "key").agg(
         F.bool_or(~F.col("newer")).alias("was"),
         F.bool_or("newer").alias("now"),
-        F.bool_or(F.col("digest").isNull()).alias("unknown"),
         F.max(F.when(~F.col("newer"), F.col("digest"))).alias("before"),
         F.max(F.when(F.col("newer"), F.col("digest"))).alias("after"),
     )
     change = (
-        F.when(F.col("unknown"), None)
-        .when(~F.col("was"), "added")
+        F.when(~F.col("was"), "added")
         .when(~F.col("now"), "removed")
         .when(F.col("before") != F.col("after"), "changed")
     )

@@ -149,7 +149,7 @@ def indexed_files(files: DataFrame, projects: DataFrame) -> DataFrame:
     path = compared_path(F.col("path"))
     mine = files.where(path.endswith(".py") & F.col("content").isNotNull()).join(latest_ready(projects).select("project_id"), "project_id", "left_semi")
     first = mine.groupBy("project_id", path.alias("p")).agg(F.min("id").alias("id"))
-    return mine.join(first.select("id"), "id", "left_semi")
+    return spread(mine.join(first.select("id"), "id", "left_semi"), files)
 
 
 def indexed_chunks(files: DataFrame, projects: DataFrame) -> DataFrame:
@@ -316,7 +316,7 @@ def relation_edges(files: DataFrame, projects: DataFrame) -> DataFrame:
     mine = files.where("content IS NOT NULL AND project_id IS NOT NULL").join(snapshots, "project_id", "left_semi")
     module = lambda c: F.regexp_replace(module_name(c), r"^(?:src|lib)\.", "")
     # a file is parsed once: what it defines and what it refers to
-    parsed = written(_per_file(mine, reference_rows, REFERENCE_SCHEMA, ("project_id",)).drop("file_id").distinct())
+    parsed = written(_per_file(spread(mine, files), reference_rows, REFERENCE_SCHEMA, ("project_id",)).drop("file_id").distinct())
     symbols = parsed.where("relation = 'defines'").select("project_id", "path", F.col("name").alias("qualified_name"), module(F.col("path")).alias("module")).distinct()
     modules = mine.select("project_id", compared_path(F.col("path")).alias("path")).where(F.col("path").endswith(".py")).distinct().withColumn("module", module(F.col("path")))
     refs = parsed.where("relation != 'defines'")

@@ -28,8 +28,7 @@ WITH d AS (
   SELECT p.new_id AS pair, f.path, f.dg FROM p JOIN f ON f.project_id = p.old_id WHERE old_id IS NOT NULL
 ), j AS (
   SELECT coalesce(n.pair, o.pair) AS project_id, coalesce(n.path, o.path) AS path,
-    CASE WHEN o.path IS NULL THEN CASE WHEN n.dg IS NOT NULL THEN 'added' END
-         WHEN n.path IS NULL THEN CASE WHEN o.dg IS NOT NULL THEN 'removed' END
+    CASE WHEN o.path IS NULL THEN 'added' WHEN n.path IS NULL THEN 'removed'
          WHEN n.dg <> o.dg THEN 'changed' END AS change_type
   FROM n FULL JOIN o ON n.pair = o.pair AND n.path = o.path
 )

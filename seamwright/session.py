@@ -65,13 +65,15 @@ def written(df: DataFrame) -> DataFrame:
 _MOVES = re.compile(r"^\W*(?:Join|Aggregate|Sort|Window|Repartition\w*|Rebalance\w*|Distinct|Deduplicate|GlobalLimit|LocalLimit|FlatMapGroups\w*|FlatMapCoGroups\w*)\b", re.M)
 
 
-def spread(df: DataFrame) -> DataFrame:
+def spread(df: DataFrame, scanned: DataFrame | None = None) -> DataFrame:
     """A scanned table over all cores, for work that is heavy for its size.
 
     Only a table with fewer parts than the cluster has cores is moved, which is small; larger
-    ones, and what has been shuffled already, stay as they are.
+    ones, and what has been shuffled already, stay as they are.  ``scanned``: the table ``df``
+    is a selection of.
     """
+    scanned = df if scanned is None else scanned
     wanted = df.sparkSession.sparkContext.defaultParallelism
-    if _MOVES.search(df._jdf.queryExecution().optimizedPlan().toString()) or df.rdd.getNumPartitions() >= wanted:
+    if _MOVES.search(scanned._jdf.queryExecution().optimizedPlan().toString()) or scanned.rdd.getNumPartitions() >= wanted:
         return df
     return df.repartition(wanted)

@@ -27,8 +27,10 @@ def test_null_contents_and_keys(spark):
     files = [
         (1, "a", "x", None), (2, "a", "y", "1"), (3, "a", "z", None), (4, "b", "x", "1"), (5, "b", "y", None), (6, "b", "n", None),
         (7, None, "q", "1"), (8, "b", None, "1"), (9, "a", "k", "1"), (10, "a", "k", None), (11, "b", "k", "1"),
+        (12, "a", "m", None), (13, "b", "u", None), (14, "a", "u", None),
     ]
-    assert changes(spark, files, PAIR) == []
+    # an unknown content can come and go, but is never changed: x, y, z to nothing, n and m
+    assert changes(spark, files, PAIR) == [("b", "m", "removed"), ("b", "n", "added"), ("b", "z", "removed")]
 
 
 def test_failed_and_late_snapshots(spark):
