@@ -204,3 +204,78 @@ def plan_is_acyclic(steps: int, edges: list[tuple[int, int]]) -> bool:
                 if waiting[b] == 0:
                     ready.append(b)
     return done == steps
+
+
+def targets(events: DataFrame) -> DataFrame:
+    """(learner_id, project_id, target_id, first_seen, last_seen, attempts, evaluations): the targets learners work on."""
+    return unique_events(events).groupBy(*KEY).agg(
+        F.min("created_at").alias("first_seen"), F.max("created_at").alias("last_seen"), F.countDistinct("attempt_id").alias("attempts"), F.countDistinct("evaluation_id").alias("evaluations")
+    )
+
+
+def states_of_targets(known: DataFrame, states: DataFrame) -> DataFrame:
+    """(learner_id, project_id, target_id, mastery, place): every target with its state, ``unseen`` without one.
+
+    ``place`` orders a learner's targets: by state, the last seen first, then by project and target.
+    """
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in KEY]
+    rows = known.join(states.select(*[F.col(k).alias(f"_{k}") for k in KEY], "mastery"), same, "left").withColumn("mastery", F.coalesce("mastery", F.lit("unseen")))
+    rank = F.array_position(F.array(*map(F.lit, ("needs_review", "practicing", "introduced", "demonstrated", "mastered", "unseen"))), F.col("mastery"))
+    order = Window.partitionBy("learner_id").orderBy(rank, F.desc("last_seen"), "project_id", "target_id")
+    return rows.select(*KEY, "mastery", F.row_number().over(order).cast("long").alias("place"))
+
+
+def next_actions(ordered: DataFrame) -> DataFrame:
+    """(learner_id, action, project_id, target_id): what a learner does next, from ``states_of_targets``: review, practise, prove, or start."""
+    first = ordered.groupBy("learner_id").agg(F.min(F.struct("place", "project_id", "target_id", "mastery")).alias("f"))
+    m = F.col("f.mastery")
+    action = F.when(m == "needs_review", "review").when(m.isin("practicing", "introduced"), "practise").when(m == "demonstrated", "prove").when(m == "mastered", "done").otherwise("start")
+    return first.select("learner_id", action.alias("action"), "f.project_id", "f.target_id")
+
+
+def last_events(events: DataFrame, most: int = 8) -> DataFrame:
+    """(learner_id, event_id, place): the last events of each learner, the latest first."""
+    order = Window.partitionBy("learner_id").orderBy(F.desc("created_at"), F.desc("event_order"), F.desc("event_id"))
+    return unique_events(events).withColumn("place", F.row_number().over(order).cast("long")).where(F.col("place") <= most).select("learner_id", "event_id", "place")
+
+
+def state_audit(stored: DataFrame, made: DataFrame) -> DataFrame:
+    """(learner_id, project_id, target_id, fault): stored states against those made anew from the events.
+
+    missing, orphan, stale_mastered (stored as mastered though its availability is not current), or
+    the first column that differs: mastery, availability, passes, qualifying_passes,
+    review_reason, last_event_id, events.
+    """
+    columns = ("mastery", "availability", "passes", "qualifying_passes", "review_reason", "last_event_id", "events")
+    side = lambda df, p: df.select(*[F.coalesce(F.col(k), F.lit("")).alias(k) for k in KEY], F.lit(True).alias(f"{p}_is"), *[F.col(c).alias(f"{p}_{c}") for c in columns])
+    rows = side(stored, "s").join(side(made, "m"), list(KEY), "full")
+    fault = F.when(F.col("s_is").isNull(), "missing").when(F.col("m_is").isNull(), "orphan").when((F.col("s_mastery") == "mastered") & (F.col("s_availability") != "current"), "stale_mastered")
+    for c in columns:
+        fault = fault.when(~F.col(f"s_{c}").eqNullSafe(F.col(f"m_{c}")), c)
+    return rows.select(*KEY, fault.alias("fault")).where("fault IS NOT NULL")
+
+
+def target_checks(known: DataFrame, old: DataFrame, new: DataFrame) -> DataFrame:
+    """(name, path, status): what became of targets (name, path, digest) between two chunk lists of (name, path, digest).
+
+    Seven statuses, the first that holds: unchanged_exact (same path and digest), renamed_exact
+    (the one chunk of that digest, elsewhere), modified (same path and name), moved (the one
+    of that name, elsewhere), ambiguous (several of that digest or name), unmapped (nothing
+    of it), or invalid_source if the target is not in the older list.  A chunk that several
+    targets map to is ambiguous for all of them.
+    """
+    c = F.col
+    has = old.select("name", "path", "digest").distinct().withColumn("there", F.lit(True))
+    exact = new.select("name", "path", "digest").distinct().withColumn("same", F.lit(True))
+    by_path = new.groupBy("name", "path").agg(F.count("*").alias("at_path"))
+    by_digest = new.groupBy("digest").agg(F.countDistinct("path", "name").alias("of_digest"), F.min(F.struct("path", "name")).alias("to_digest"))
+    by_name = new.groupBy("name").agg(F.countDistinct("path").alias("of_name"), F.min("path").alias("to_name"))
+    rows = known.select("name", "path", "digest").distinct().join(has, ["name", "path", "digest"], "left").join(exact, ["name", "path", "digest"], "left").join(by_path, ["name", "path"], "left").join(by_digest, "digest", "left").join(by_name, "name", "left")
+    status = (
+        F.when(c("there").isNull(), "invalid_source").when(c("same"), "unchanged_exact").when(c("of_digest") == 1, "renamed_exact").when(c("of_digest") > 1, "ambiguous").when(c("at_path") > 0, "modified")
+        .when(c("of_name") == 1, "moved").when(c("of_name") > 1, "ambiguous").otherwise("unmapped")
+    )
+    to = F.when(status == "renamed_exact", F.concat_ws("\t", "to_digest.path", "to_digest.name")).when(status == "moved", F.concat_ws("\t", "to_name", "name"))
+    rows = rows.select("name", "path", status.alias("status"), to.alias("to"))
+    clash = F.col("to").isNotNull() & (F.count("*").over(Window.partitionBy("to")) > 1)
+    return rows.select("name", "path", F.when(clash, "ambiguous").otherwise(F.col("status")).alias("status"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.paths import compared_path, language_of
 from ..functions.text import file_name, module_name, normal_identifier, safe_relative_path
 
 
@@ -93,3 +94,133 @@ def scoped_chunks(chunks: DataFrame, most: int = 8) -> DataFrame:
     """(id, place): the first ``most`` chunks of each file in hierarchy order (start, -end, name, type, id)."""
     order = Window.partitionBy("project_id", "repository_revision", "path").orderBy("start_line", F.desc("end_line"), "qualified_name", "chunk_type", "id")
     return chunks.select("id", F.row_number().over(order).cast("long").alias("place"), "project_id", "repository_revision", "path").where(F.col("place") <= most).select("id", "place")
+
+
+def project_bundle(files: DataFrame, chunks: DataFrame, most: int = 20) -> DataFrame:
+    """(project_id, kind, place, key): the first ``most`` rows of each ordered scan a project is opened with.
+
+    Files by importance and path, modules (the first part of a path) by name, chunks by path,
+    start and qualified name.
+    """
+    path = compared_path(F.col("path"))
+    scans = [
+        ("file", files.where("path IS NOT NULL").select("project_id", path.alias("k"), F.struct((-F.coalesce("importance", F.lit(0.0))).alias("a"), path.alias("b"), F.col("id").alias("c")).alias("o"))),
+        ("module", files.where("path IS NOT NULL").select("project_id", F.element_at(F.split(path, "/"), 1).alias("k")).distinct().select("project_id", "k", F.struct(F.lit(0.0).alias("a"), F.col("k").alias("b"), F.lit(0).cast("long").alias("c")).alias("o"))),
+        ("chunk", chunks.select("project_id", F.col("qualified_name").alias("k"), F.struct(F.lit(0.0).alias("a"), F.concat_ws("\t", "path", F.format_string("%09d", "start_line"), "qualified_name").alias("b"), F.col("id").alias("c")).alias("o"))),
+    ]
+    order = Window.partitionBy("project_id").orderBy("o")
+    parts = [df.withColumn("place", F.row_number().over(order).cast("long")).where(F.col("place") <= most).select("project_id", F.lit(kind).alias("kind"), "place", F.col("k").alias("key")) for kind, df in scans]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def chunk_scan(chunks: DataFrame, path: str | None = None, symbol: str | None = None, chunk_type: str | None = None, language: str | None = None) -> DataFrame:
+    """Chunks by optional filters: path, symbol or qualified name, type, language regardless of case; ``place`` orders them by path, start and name."""
+    rows = chunks
+    if path is not None:
+        rows = rows.where(F.col("path") == path)
+    if symbol is not None:
+        rows = rows.where((F.col("symbol_name") == symbol) | (F.col("qualified_name") == symbol))
+    if chunk_type is not None:
+        rows = rows.where(F.col("chunk_type") == chunk_type)
+    if language is not None:
+        rows = rows.where(F.lower("language") == language.lower())
+    order = Window.partitionBy("project_id").orderBy("path", "start_line", "qualified_name", "id")
+    return rows.withColumn("place", F.row_number().over(order).cast("long"))
+
+
+def by_ids(rows: DataFrame, ids: DataFrame, key: str, most: int = 64) -> DataFrame:
+    """(key, place, truncated): the rows of the asked ids, by id, at most ``most``; ``truncated`` if there were more."""
+    found = rows.join(ids.select(key).distinct(), key, "left_semi").orderBy(key).limit(most + 1)
+    at = found.select(key, F.row_number().over(Window.orderBy(key)).cast("long").alias("place"), (F.count("*").over(Window.partitionBy()) > most).alias("truncated"))
+    return at.where(F.col("place") <= most)
+
+
+def project_lookup(projects: DataFrame) -> DataFrame:
+    """(source_identity, id, deliveries): the project a source identity stands for: its first delivery."""
+    rows = projects.where("source_identity IS NOT NULL")
+    return rows.groupBy("source_identity").agg(F.min(F.struct("created_at", "id")).alias("f"), F.count("*").alias("deliveries")).select("source_identity", F.col("f.id").alias("id"), "deliveries")
+
+
+def workspaces(projects: DataFrame, files: DataFrame, chunks: DataFrame, offset: int = 0, limit: int = 50) -> DataFrame:
+    """(id, status, language, files, chunks, place): a page of the projects, the last updated first, with what they hold.
+
+    The language is shown of ready projects only.
+    """
+    n = lambda df, name: df.groupBy(F.col("project_id").alias("id")).agg(F.count("*").alias(name))
+    rows = projects.join(n(files, "files"), "id", "left").join(n(chunks, "chunks"), "id", "left")
+    order = Window.orderBy(F.desc_nulls_last("updated_at"), F.desc_nulls_last("created_at"), F.lower("repo"), "id")
+    shown = rows.select("updated_at", "created_at", "repo", "id", "status", F.when(F.col("status") == "ready", F.coalesce("primary_language", F.lit("Unknown"))).otherwise("").alias("language"), F.coalesce("files", F.lit(0)).alias("files"), F.coalesce("chunks", F.lit(0)).alias("chunks"))
+    page = shown.orderBy(F.desc_nulls_last("updated_at"), F.desc_nulls_last("created_at"), F.lower("repo"), "id").offset(max(0, offset)).limit(min(100, max(1, limit)))
+    return page.withColumn("place", (F.row_number().over(order) + max(0, offset)).cast("long")).select("id", "status", "language", "files", "chunks", "place")
+
+
+def in_directory(files: DataFrame, directories: DataFrame) -> DataFrame:
+    """(project_id, directory, files): files that are a directory's path or lie below it; ``directories``: project_id, directory.
+
+    Every path meets its own prefixes, so this is an equality.
+    """
+    parts = F.split(compared_path(F.col("path")), "/")
+    rows = files.where("path IS NOT NULL").select("project_id", "id", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))).alias("directory"))
+    return rows.join(directories.select("project_id", "directory").distinct(), ["project_id", "directory"]).groupBy("project_id", "directory").agg(F.count("*").alias("files"))
+
+
+def unit_norms(vectors: DataFrame, key: str, vector: str, tolerance: float = 1e-3) -> DataFrame:
+    """(key, unit): whether a vector is of unit length within the tolerance."""
+    norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+    return vectors.select(key, (F.abs(norm - 1) <= tolerance * F.greatest(norm, F.lit(1.0))).alias("unit"))
+
+
+def embedding_identities(embeddings: DataFrame) -> DataFrame:
+    """(identity, model_name, dimension, vectors): the effective identity vectors were made under, as a digest of its canonical parts."""
+    parts = ("model_name", "resolved_revision", "embedding_dimension", "embedding_dtype", "text_format_version", "embedding_config_hash", "identity_schema_version")
+    named = F.to_json(F.struct(*(F.coalesce(F.col(p).cast("string"), F.lit("")).alias(p) for p in sorted(parts))))
+    return embeddings.groupBy(F.sha2(named, 256).alias("identity"), "model_name", F.col("embedding_dimension").alias("dimension")).agg(F.count("*").alias("vectors"))
+
+
+def readme_excerpts(files: DataFrame, most: int = 1200) -> DataFrame:
+    """(project_id, path, excerpt_hash): the head of each project's first readme by path."""
+    path = compared_path(F.col("path"))
+    rows = files.where("path IS NOT NULL AND content IS NOT NULL").where(F.startswith(F.lower(file_name(path)), F.lit("readme")))
+    first = rows.groupBy("project_id").agg(F.min(F.struct(path.alias("path"), F.col("id"))).alias("f")).select("f.id", "f.path", "project_id")
+    return rows.select("id", "content").join(first, "id").select("project_id", "path", F.sha2(F.substring("content", 1, most), 256).alias("excerpt_hash"))
+
+
+def file_summaries(files: DataFrame) -> DataFrame:
+    """(id, summary): a sentence on a file from its symbols and imports, the first three of each."""
+    names = F.from_json("symbols_json", "array<string>")
+    imports = F.from_json("imports_json", "array<string>")
+    join = lambda a: F.array_join(F.slice(a, 1, 3), ", ")
+    text = (
+        F.when(F.size(names) > 0, F.concat(F.lit("Defines "), join(names), F.lit("."))).when(F.size(imports) > 0, F.concat(F.lit("Uses "), join(imports), F.lit(".")))
+        .otherwise(F.concat(F.lit("A file of "), F.coalesce(language_of(F.col("path")), F.lit("Text")), F.lit(".")))
+    )
+    return files.select("id", text.alias("summary"))
+
+
+def priced_usage(usage: DataFrame, by: str, tokens_in: str, tokens_out: str, price_in: float, price_out: float, unit: int = 1_000_000) -> DataFrame:
+    """(by, cost, status): what usage costs: known_zero without tokens, unknown if a count is missing, else calculated."""
+    missing = F.count_if(F.col(tokens_in).isNull() | F.col(tokens_out).isNull())
+    rows = usage.groupBy(by).agg(F.sum(tokens_in).alias("i"), F.sum(tokens_out).alias("o"), missing.alias("m"))
+    cost = F.round((F.col("i") * price_in + F.col("o") * price_out) / unit, 9)
+    status = F.when(F.col("m") > 0, "unknown").when((F.col("i") == 0) & (F.col("o") == 0), "known_zero").otherwise("calculated")
+    return rows.select(by, F.when(F.col("m") == 0, cost).alias("cost"), status.alias("status"))
+
+
+def dataset_shape(questions: DataFrame, least: int) -> DataFrame:
+    """(category, items, answerable, short): questions per category, and whether they are fewer than needed."""
+    return questions.groupBy("category").agg(F.count("*").alias("items"), F.count_if("answerable").alias("answerable")).withColumn("short", F.col("items") < least)
+
+
+def run_differences(one: DataFrame, two: DataFrame, by: str) -> DataFrame:
+    """(by, place, first, second): where two runs of the same ranking (by, id, place) differ; no rows if they are equal."""
+    a, b = one.select(by, "place", F.col("id").alias("first")), two.select(by, "place", F.col("id").alias("second"))
+    return a.join(b, [by, "place"], "full").where(~F.col("first").eqNullSafe(F.col("second"))).select(by, "place", "first", "second")
+
+
+def containment_matches(ranked: DataFrame, gold: DataFrame, chunks: DataFrame, by: str) -> DataFrame:
+    """(by, id, gold_id): results whose span holds a gold span of the same file and revision without being it."""
+    facts = chunks.select("id", "project_id", "repository_revision", "path", "start_line", "end_line")
+    want = gold.select(by, F.col("id").alias("gold_id")).join(facts.select(F.col("id").alias("gold_id"), "project_id", "repository_revision", "path", F.col("start_line").alias("s"), F.col("end_line").alias("e")), "gold_id")
+    got = ranked.select(by, "id").join(facts, "id")
+    holds = (F.col("start_line") <= F.col("s")) & (F.col("end_line") >= F.col("e")) & (F.col("id") != F.col("gold_id"))
+    return got.join(want, [by, "project_id", "repository_revision", "path"]).where(holds).select(by, "id", "gold_id")

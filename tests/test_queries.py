@@ -2,9 +2,9 @@
 
 import pytest
 
-from seamwright.plans import catalog_queries, corpus_queries, graph_queries, indexing_queries, learning_queries, lookup_queries, maintenance_queries, retrieval_queries, structure_queries
+from seamwright.plans import catalog_queries, corpus_queries, evidence_queries, graph_queries, indexing_queries, learning_queries, lookup_queries, maintenance_queries, retrieval_queries, structure_queries
 
-MODULES = (corpus_queries, catalog_queries, retrieval_queries, structure_queries, maintenance_queries, learning_queries, indexing_queries, lookup_queries, graph_queries)
+MODULES = (corpus_queries, catalog_queries, retrieval_queries, structure_queries, maintenance_queries, learning_queries, indexing_queries, lookup_queries, graph_queries, evidence_queries)
 CASES = [(m, name) for m in MODULES for name in m.QUERIES]
 
 
