@@ -187,3 +187,22 @@ def dataset_faults(questions: DataFrame, chunks: DataFrame, files: DataFrame) ->
     no_symbol = questions.where("expected_symbol IS NOT NULL").join(names, "expected_symbol", "left_anti").select("item_id", F.lit("unknown_symbol").alias("fault"))
     empty = questions.where("answerable AND expected_file_path IS NULL AND expected_symbol IS NULL").select("item_id", F.lit("no_expectation").alias("fault"))
     return dup.unionByName(no_path).unionByName(no_symbol).unionByName(empty)
+
+
+# What five runs of a query say about each other, by the runs that hit (A lexical, B fused, C with hierarchy, D with relations, E with both).
+PATH_LABELS = {
+    "all paths hit": "A AND B AND C AND D AND E", "all paths miss": "NOT (A OR B OR C OR D OR E)", "v2 fixes v1": "B AND NOT A", "v2 regresses v1": "A AND NOT B", "hierarchy gain": "C AND NOT B",
+    "hierarchy noise": "B AND NOT C", "relation gain": "D AND NOT B", "relation noise": "B AND NOT D", "hierarchy + relation complementary": "E AND NOT C AND NOT D", "hierarchy + relation conflict": "(C OR D) AND NOT E",
+}
+#: what the warnings of a run say
+WARNING_LABELS = {"ambiguous": "ambiguous relation target", "external": "external relation", "stale": "stale relation graph", "scope": "scope conflict", "unavailable": "relation unavailable", "truncated": "budget truncation"}
+
+
+def path_labels(hits: DataFrame, by: str, warnings: DataFrame | None = None) -> DataFrame:
+    """(by, label): how the five runs of a query compare (``hits``: by, A to E as booleans), and what their warnings (by, warning) say."""
+    labels = F.array_compact(F.array(*(F.when(F.expr(rule), name) for name, rule in PATH_LABELS.items())))
+    out = hits.select(by, F.explode(labels).alias("label"))
+    if warnings is None:
+        return out
+    said = F.array_compact(F.array(*(F.when(F.lower("warning").contains(word), name) for word, name in WARNING_LABELS.items())))
+    return out.unionByName(warnings.select(by, F.explode(said).alias("label"))).distinct()

@@ -163,3 +163,92 @@ def expand(edges: DataFrame, seeds: DataFrame, direction: str = "both", per_node
     paths2 = two.select("seed", F.lit(2).alias("depth"), F.col("e").cast("long").alias("at"), "edge_1", F.col("edge_id").alias("edge_2"), F.col("neighbour").alias("node"), status.alias("status"))
     place = F.row_number().over(Window.partitionBy("seed").orderBy("depth", "at")).cast("long")
     return paths1.unionByName(paths2).withColumn("place", place).where(F.col("place") <= most_paths).select("seed", "place", "depth", "edge_1", "edge_2", "node", "status")
+
+
+CHAIN_NODES, CHAIN_EDGES = 64, 128
+
+
+def chains(paths: DataFrame) -> DataFrame:
+    """Paths as evidence chains: (chain_id, seed, nodes, edges, directions) of ``expand``'s paths with their edges' ends.
+
+    ``paths``: seed, edges (array of edge_id), nodes (array, the seed first), directions (array).
+    The id is a digest of seed, nodes and edges.
+    """
+    flat = lambda c: F.array_join(c, ",")
+    return paths.select(json_id("c:", F.col("seed"), flat("nodes"), flat("edges")).alias("chain_id"), "seed", "nodes", "edges", "directions")
+
+
+def path_chains(paths: DataFrame, edges: DataFrame) -> DataFrame:
+    """The chains of ``expand``'s paths that end in a node."""
+    ends = edges.select(F.col("edge_id"), "source_id", "target_id")
+    rows = paths.where("node IS NOT NULL")
+    first = ends.select(F.col("edge_id").alias("edge_1"), F.col("source_id").alias("s1"), F.col("target_id").alias("t1"))
+    second = ends.select(F.col("edge_id").alias("edge_2"), F.col("source_id").alias("s2"))
+    rows = rows.join(first, "edge_1").join(second, "edge_2", "left")
+    mid = F.when(F.col("s1") == F.col("seed"), F.col("t1")).otherwise(F.col("s1"))
+    way = lambda source, at: F.when(source == at, "outgoing").otherwise("incoming")
+    two = F.col("depth") == 2
+    return chains(
+        rows.select(
+            "seed", F.when(two, F.array("seed", mid, "node")).otherwise(F.array("seed", "node")).alias("nodes"), F.when(two, F.array("edge_1", "edge_2")).otherwise(F.array("edge_1")).alias("edges"),
+            F.when(two, F.array(way(F.col("s1"), F.col("seed")), way(F.col("s2"), mid))).otherwise(F.array(way(F.col("s1"), F.col("seed")))).alias("directions"),
+        )
+    )
+
+
+def chain_checks(stored: DataFrame, nodes: DataFrame, edges: DataFrame, fresh: DataFrame) -> DataFrame:
+    """(key, reason): the first rule a stored chain (``key`` and the columns of ``chains``) breaks; null if it holds.
+
+    Rules in order: its id; limits; nodes there; edges there; edge ids; shape; every edge
+    resolved or ambiguous; directions and ends; its chunk nodes in ``fresh`` (node_id) not stale.
+    Steps are checked row by row and brought together; no chain is longer than the limits.
+    """
+    flat = lambda c: F.array_join(c, ",")
+    rows = stored.withColumn("bad_id", ~F.col("chain_id").eqNullSafe(json_id("c:", F.col("seed"), flat("nodes"), flat("edges")))).withColumn("long", (F.size("nodes") > CHAIN_NODES) | (F.size("edges") > CHAIN_EDGES))
+    each = rows.select("key", F.posexplode("nodes").alias("at", "node_id")).join(nodes.select("node_id", "kind").distinct(), "node_id", "left").join(fresh.select("node_id", F.lit(True).alias("fresh")).distinct(), "node_id", "left")
+    on_nodes = each.groupBy("key").agg(F.bool_or(F.col("kind").isNull()).alias("lost_node"), F.bool_or((F.col("kind") == "chunk") & F.col("fresh").isNull()).alias("stale"))
+    steps = rows.select("key", "nodes", "directions", F.posexplode("edges").alias("at", "edge_id")).join(edges.select("edge_id", "source_id", "target_id", "relation", "status", "line", F.lit(True).alias("there")), "edge_id", "left")
+    a, b, way = F.try_element_at("nodes", F.col("at") + 1), F.try_element_at("nodes", F.col("at") + 2), F.try_element_at("directions", F.col("at") + 1)
+    wrong = F.when(way == "outgoing", (F.col("source_id") != a) | (F.col("target_id") != b)).when(way == "incoming", (F.col("target_id") != a) | (F.col("source_id") != b)).otherwise(True)
+    on_edges = steps.groupBy("key").agg(
+        F.bool_or(F.col("there").isNull()).alias("lost_edge"), F.bool_or(F.col("edge_id") != json_id("e:", F.col("source_id"), F.col("relation"), F.col("target_id"), F.col("line"))).alias("bad_edge"),
+        F.bool_or(~F.col("status").isin("resolved", "ambiguous")).alias("closed"), F.bool_or(F.coalesce(wrong, F.lit(True))).alias("wrong"),
+    )
+    got = rows.join(on_nodes, "key", "left").join(on_edges, "key", "left")
+    shape = F.size("nodes") != F.size("edges") + 1
+    names = [
+        ("bad_id", "chain identity is invalid"), ("long", "chain exceeds validator limits"), ("lost_node", "relation node no longer exists"), ("lost_edge", "relation edge no longer exists"), ("bad_edge", "relation edge identity is invalid"),
+        ("shape", "invalid chain shape"), ("closed", "chain contains a non-traversable edge"), ("wrong", "relation direction is invalid"), ("stale", "relation node content is stale"),
+    ]
+    got = got.withColumn("shape", shape)
+    return got.select("key", F.coalesce(*(F.when(F.coalesce(F.col(c), F.lit(False)), t) for c, t in names)).alias("reason"))
+
+
+def relation_aware(ranked: DataFrame, related: DataFrame, by: str, k: int = 8) -> DataFrame:
+    """(by, id, place): a ranked list with related candidates in some of its places.
+
+    ``ranked``: by, id, place; ``related``: by, id, seed, family, priority.  Related rows get no
+    place if k < 3, else min(3, max(1, floor(.3 k))): the best by priority, of those that
+    are no result and whose seed is shown, one a seed and two a family; each follows its
+    seed, and places left over go to further results.
+    """
+    slots = 0 if k < 3 else min(3, max(1, int(0.3 * k)))
+    w = lambda *p: Window.partitionBy(by, *p)
+    direct = ranked.where(F.col("place") <= k).select(by, "id", "place")
+    base = direct.where(F.col("place") <= k - slots)
+    seeds = base.select(by, F.col("id").alias("seed"), F.col("place").alias("anchor"))
+    rows = related.join(seeds, [by, "seed"]).join(base.select(by, "id"), [by, "id"], "left_anti")
+    # greedy by priority; as a place needs a seed and a family of its own, a few rounds decide
+    best = [F.desc("priority"), F.col("anchor"), F.col("id")]
+    chosen, left = None, rows
+    for _ in range(slots):
+        top = left.withColumn("n", F.row_number().over(w().orderBy(*best))).where("n = 1").drop("n")
+        chosen = top if chosen is None else chosen.unionByName(top)
+        full = chosen.groupBy(by, "family").count().where("count >= 2").drop("count")
+        left = rows.join(chosen.select(by, "seed"), [by, "seed"], "left_anti").join(chosen.select(by, "id"), [by, "id"], "left_anti").join(full, [by, "family"], "left_anti")
+    shown = base.select(by, "id", F.col("place").alias("a"), F.lit(0).alias("b"))
+    if chosen is not None:
+        shown = shown.unionByName(chosen.select(by, "id", F.col("anchor").alias("a"), F.lit(1).alias("b")))
+        rest = direct.where(F.col("place") > k - slots).join(chosen.select(by, "id"), [by, "id"], "left_anti")
+        shown = shown.unionByName(rest.select(by, "id", (F.col("place") + k).alias("a"), F.lit(0).alias("b")))
+    return shown.withColumn("n", F.row_number().over(w().orderBy("a", "b")).cast("long")).where(F.col("n") <= k).select(by, "id", F.col("n").alias("place"))

@@ -389,39 +389,3 @@ def bounded_walk(edges: DataFrame, seeds: DataFrame, depth: int = 2) -> DataFram
         frontier = step.join(out.select("seed", "node"), ["seed", "node"], "left_anti").withColumn("depth", F.lit(level))
         out = out.unionByName(frontier)
     return out
-
-
-def relation_slots(direct: list[dict], related: list[dict], k: int) -> list[dict]:
-    """The k rows shown when related candidates may take slots of a ranked list.
-
-    Related rows get 0 slots if k < 3, else min(3, max(1, floor(.3 k))); at most one per
-    seed and two per family (type and direction); each follows its seed; free places are
-    filled with further direct rows.  Rows: id, for related ones seed, family, priority.
-    """
-    slots = 0 if k < 3 else min(3, max(1, int(0.3 * k)))
-    base = direct[: k - slots]
-    shown = {r["id"] for r in base}
-    place = {r["id"]: i for i, r in enumerate(base)}
-    seeds: set = set()
-    family: dict = {}
-    chosen = []
-    for r in sorted(related, key=lambda r: (-r["priority"], place.get(r["seed"], len(place)), r["id"])):
-        if len(chosen) == slots:
-            break
-        if r["id"] in shown or r["seed"] not in place or r["seed"] in seeds or family.get(r["family"], 0) >= 2:
-            continue
-        seeds.add(r["seed"])
-        family[r["family"]] = family.get(r["family"], 0) + 1
-        shown.add(r["id"])
-        chosen.append(r)
-    out = []
-    for r in base:
-        out.append(r)
-        out.extend(c for c in chosen if c["seed"] == r["id"])
-    for r in direct[k - slots :]:
-        if len(out) >= k:
-            break
-        if r["id"] not in shown:
-            shown.add(r["id"])
-            out.append(r)
-    return out[:k]

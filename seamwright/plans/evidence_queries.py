@@ -6,13 +6,14 @@ from pyspark.sql import functions as F
 
 from ..functions.paths import LANGUAGE_BY_SUFFIX
 from ..operators import citations as c
+from ..operators import evaluation as ev
 from ..operators import learning as ln
 from ..operators import lookups as k
 from .catalog_queries import P
 from .indexing_queries import XRK
-from .learning_queries import GOLD, RANKED, STATES, UNIQUE, _ranked
+from .learning_queries import GOLD, LEXICAL, RANKED, STATES, SYMBOL, UNIQUE, _ranked
 from .maintenance_queries import _pairs
-from .retrieval_queries import bm25_topk
+from .retrieval_queries import SYMBOL_SQL, bm25_topk
 
 
 def _t(spark, d, name):
@@ -162,11 +163,20 @@ def target_checks(spark, d):
     return ln.target_checks(old, old, side("new_id").distinct())
 
 
+def path_labels(spark, d):
+    """Five runs of the chunk questions: eight and five results by words and by symbols, and the first three of either."""
+    lexical, symbol, gold = _ranked(spark, d)
+    a, b = (ev.query_metrics(x, gold, "hint_id", "id") for x in (lexical, symbol))
+    hit = lambda c: F.col(c) > 0
+    runs = a.select("hint_id", hit("hit_at_8").alias("A"), hit("hit_at_5").alias("C"), hit("hit_at_3").alias("x")).join(b.select("hint_id", hit("hit_at_8").alias("B"), hit("hit_at_5").alias("D"), hit("hit_at_3").alias("y")), "hint_id")
+    return ev.path_labels(runs.withColumn("E", F.col("x") | F.col("y")), "hint_id")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         citation_checks, citation_batches, evidence_store, rendered_answers, project_bundle, method_scan, chunks_by_ids, project_lookup, project_workspaces, directory_files, unit_norms,
-        embedding_identities, readme_excerpts, file_summaries, priced_usage, dataset_shape, run_differences, containment_matches, learning_targets, target_states, next_actions, last_events, state_audit, target_checks,
+        embedding_identities, readme_excerpts, file_summaries, priced_usage, dataset_shape, run_differences, containment_matches, learning_targets, target_states, next_actions, last_events, state_audit, target_checks, path_labels,
     )
 }
 
@@ -267,3 +277,7 @@ SELECT coalesce(a.learner_id, b.learner_id, '') AS learner_id, coalesce(a.projec
   CASE WHEN b.events IS NULL THEN 'missing' WHEN a.events IS NULL THEN 'orphan' WHEN b.mastery = 'mastered' AND b.availability <> 'current' THEN 'stale_mastered' {" ".join(f"WHEN a.{x} IS DISTINCT FROM b.{x} THEN '{x}'" for x in _COLUMNS)} END AS fault
 FROM a FULL JOIN b ON {_SAME.format(a="a", b="b")} WHERE fault IS NOT NULL
 """
+SQL["path_labels"] = f"""
+WITH {RANKED}, {SYMBOL_SQL}, {GOLD}, {LEXICAL}, {SYMBOL}, hp AS (SELECT hint_id, ml.hit_at_8 > 0 AS A, ms.hit_at_8 > 0 AS B, ml.hit_at_5 > 0 AS C, ms.hit_at_5 > 0 AS D, greatest(ml.hit_at_3, ms.hit_at_3) > 0 AS E FROM ml JOIN ms USING (hint_id))
+{" UNION ALL ".join(f"SELECT hint_id, '{name}' AS label FROM hp WHERE {rule}" for name, rule in ev.PATH_LABELS.items())}
+"""

@@ -108,11 +108,30 @@ def hierarchy_scope(spark, d):
     return h.in_scope(chunks, chunks.where("id % 50 = 0"), 6)
 
 
+def chain_checks(spark, d):
+    """The chains of all walks, one in eight with another's seed; nodes of classes count as stale."""
+    chunks = _chunks(spark, d)
+    nodes, edges = g.relation_nodes(chunks), g.stored_edges(chunks)
+    made = g.path_chains(g.expand(edges, nodes.where("kind = 'file' OR chunk_id % 50 = 0")), edges).withColumn("key", F.col("chain_id"))
+    odd = F.substring("chain_id", 3, 1).isin("0", "8")
+    stored = made.withColumn("seed", F.when(odd, F.concat("seed", F.lit("x"))).otherwise(F.col("seed")))
+    return g.chain_checks(stored, nodes, edges, nodes.join(chunks.where("chunk_type != 'class'").select(F.col("id").alias("chunk_id")), "chunk_id", "left_semi"))
+
+
+def relation_aware(spark, d):
+    """Questions' results with the chunks that the walk of their definitions reaches."""
+    ranked = bm25_topk(spark, d)
+    near = h.ancestors(structure.span_parents(_chunks(spark, d)), 1).select(F.col("id").alias("seed"), F.col("ancestor").alias("id"), F.lit("defined_by").alias("family"))
+    near = near.unionByName(near.select(F.col("id").alias("seed"), F.col("seed").alias("id"), F.lit("defines").alias("family")))
+    related = ranked.select("item_id", F.col("id").alias("seed"), "place").join(near, "seed").select("item_id", "id", "seed", "family", (F.lit(0.7) / (1 + F.col("place"))).alias("priority"))
+    return g.relation_aware(ranked, related, "item_id")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         relation_nodes, stored_edges, neighbour_edges, outgoing_edges, edge_rejections, node_resolutions, graph_identities, graph_expand, chunk_ancestors, hierarchy_cycles,
-        hierarchy_relations, exact_spans, group_ids, hierarchy_expand, hierarchy_normalised, hierarchy_scope,
+        hierarchy_relations, exact_spans, group_ids, hierarchy_expand, hierarchy_normalised, hierarchy_scope, chain_checks, relation_aware,
     )
 }
 
@@ -145,6 +164,8 @@ bs AS (SELECT q, id, min((place, depth, rnk, anchor)) AS b FROM ht GROUP BY 1, 2
 xp AS (SELECT q AS item_id, id, kind, depth, anchor, row_number() OVER (PARTITION BY q ORDER BY o1, o2) AS place FROM (SELECT q, anchor AS id, 'direct' AS kind, 0::BIGINT AS depth, anchor, 0 AS o1, place AS o2 FROM st
   UNION ALL SELECT q, id, list_extract(['parent', 'child', 'ancestor', 'descendant'], b[3] + 1), b[2], b[4], 1, k FROM bk WHERE k <= 24))"""
 
+_WALK_END = "SELECT * FROM (SELECT seed, row_number() OVER (PARTITION BY seed ORDER BY depth, e) AS place"
+
 SQL = {
     "relation_nodes": f"WITH {NODES} SELECT * FROM nd",
     "stored_edges": f"WITH {EDGES} SELECT edge_id, source_id, target_id, relation, status, row_number() OVER (PARTITION BY project_id, repository_revision ORDER BY {ORDER}) AS place FROM eg",
@@ -221,3 +242,9 @@ r AS (SELECT id, row_number() OVER w AS place, count(*) OVER (PARTITION BY proje
 SELECT * FROM r WHERE place <= 6
 """,
 }
+SQL["chain_checks"] = SQL["graph_expand"].replace(_WALK_END, f", wk AS ({_WALK_END}").rstrip() + """),
+cg AS (SELECT w.seed, w.depth, e1.source_id AS s1, CASE WHEN e1.source_id = w.seed THEN e1.target_id ELSE e1.source_id END AS mid, w.edge_1, w.edge_2, w.node FROM wk w JOIN eg e1 ON e1.edge_id = w.edge_1),
+ci AS (SELECT *, 'c:' || sha256(to_json([seed, concat_ws(',', seed, CASE WHEN depth = 2 THEN mid END, node), concat_ws(',', edge_1, edge_2)])::VARCHAR) AS key FROM cg),
+cl AS (SELECT node_id FROM nd JOIN code_chunks k ON k.id = chunk_id WHERE chunk_type = 'class')
+SELECT key, CASE WHEN substr(key, 3, 1) IN ('0', '8') THEN 'chain identity is invalid' WHEN seed IN (SELECT * FROM cl) OR node IN (SELECT * FROM cl) OR depth = 2 AND mid IN (SELECT * FROM cl) THEN 'relation node content is stale' END AS reason FROM ci
+"""

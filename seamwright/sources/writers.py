@@ -50,3 +50,66 @@ def project_report(summaries: DataFrame, modules: DataFrame) -> DataFrame:
     row = F.concat(F.lit("- "), "module", F.lit(" ("), F.col("files"), F.lit(")"))
     listed = modules.select("project_id", F.struct("module", row.alias("line")).alias("m")).groupBy("project_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("m")), lambda m: m["line"]), "\n").alias("body"))
     return summaries.join(listed, "project_id", "left").select("project_id", F.concat_ws("\n\n", head, "body").alias("report"))
+
+
+def replace_relation_index(nodes: DataFrame, edges: DataFrame, directory: str) -> None:
+    """Writes nodes and edges of whole snapshots; refuses repeated ids and several revisions of one project.
+
+    Only the snapshots in the tables are replaced.
+    """
+    for table, key in ((nodes, "node_id"), (edges, "edge_id")):
+        if not table.groupBy(key).count().where("count > 1").isEmpty():
+            raise ValueError(f"{key} is not unique")
+        if not table.groupBy("project_id").agg(F.countDistinct("repository_revision").alias("n")).where("n > 1").isEmpty():
+            raise ValueError("an index holds one revision of a project")
+    replace_partitions(nodes, f"{directory}/relation_nodes.parquet")
+    replace_partitions(edges, f"{directory}/relation_edges.parquet")
+
+
+def without_project(tables: dict[str, DataFrame], project: str) -> dict[str, DataFrame]:
+    """The tables without a project: ``id`` of projects, ``project_id`` of all others that have one."""
+    own = {n: "id" if n == "projects" else "project_id" for n in tables}
+    return {n: df.where(~F.col(own[n]).eqNullSafe(project)) if own[n] in df.columns else df for n, df in tables.items()}
+
+
+def with_runs(runs: DataFrame, asked: DataFrame) -> DataFrame:
+    """Update runs with those asked for: one per (project_id, revision, config), which may be there already.
+
+    A new run is ``queued``, or ``unchanged`` if the revision is the one the project has
+    (``current``); repeated requests and those known change nothing.
+    """
+    key = ["project_id", "revision", "config"]
+    new = asked.groupBy(*key).agg(F.min("current").alias("current")).join(runs.select(*key), key, "left_anti")
+    return runs.unionByName(new.select(*key, F.when(F.col("current") == F.col("revision"), "unchanged").otherwise("queued").alias("status")))
+
+
+def activated(revisions: DataFrame, requests: DataFrame) -> DataFrame:
+    """Workspace revisions (workspace_id, version, snapshot, state) after requests (workspace_id, expected, snapshot).
+
+    A request counts only if the active version is the one it expects; of several the
+    smallest snapshot wins.  The active row becomes superseded and a row of the next version
+    is added; the first version of a workspace is asked for with 0.
+    """
+    now = revisions.where("state = 'active'").groupBy("workspace_id").agg(F.max("version").alias("at"))
+    ok = requests.join(now, "workspace_id", "left").where(F.col("expected") == F.coalesce("at", F.lit(0))).groupBy("workspace_id").agg(F.min("snapshot").alias("snapshot"), F.max("expected").alias("expected"))
+    moved = revisions.join(ok.select("workspace_id", F.lit(True).alias("moves")), "workspace_id", "left")
+    kept = moved.select("workspace_id", "version", moved["snapshot"], F.when(F.col("moves") & (F.col("state") == "active"), "superseded").otherwise(F.col("state")).alias("state"))
+    return kept.unionByName(ok.select("workspace_id", (F.col("expected") + 1).alias("version"), "snapshot", F.lit("active").alias("state")))
+
+
+def write_artifacts(results: dict[str, DataFrame], directory: str) -> DataFrame:
+    """Writes results as JSON lines and CSV, each once, and gives their inventory: (name, kind, rows, digest).
+
+    The digest is taken over the digests of the rows, in their order by value, so that it
+    tells equal results whatever files they are in.
+    """
+    rows = None
+    for name, df in sorted(results.items()):
+        write_once(df, f"{directory}/{name}.json")
+        df.write.mode("errorifexists").option("header", "true").csv(f"{directory}/{name}.csv")
+        one = df.select(F.sha2(F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"}), 256).alias("h"))
+        lanes = one.groupBy(F.substring("h", 1, 2).alias("lane")).agg(F.count("*").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("d"))
+        whole = lanes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("lane", "d"))), lambda x: x["d"]), ""), 256).alias("digest"))
+        part = whole.select(F.lit(name).alias("name"), F.explode(F.array(F.lit("json"), F.lit("csv"))).alias("kind"), "rows", "digest")
+        rows = part if rows is None else rows.unionByName(part)
+    return rows

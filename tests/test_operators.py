@@ -183,13 +183,6 @@ def test_walk_ends_on_cycles(spark):
     assert sorted((r["node"], r["depth"]) for r in structure.bounded_walk(edges, seeds, 3).collect()) == [("a", 0), ("b", 1), ("c", 2), ("d", 3)]
 
 
-def test_relation_slots():
-    direct = [{"id": i} for i in range(10)]
-    related = [{"id": 100, "seed": 0, "family": "f", "priority": 1.0}, {"id": 101, "seed": 0, "family": "f", "priority": 0.9}, {"id": 102, "seed": 3, "family": "f", "priority": 0.5}, {"id": 103, "seed": 4, "family": "f", "priority": 0.4}]
-    assert [r["id"] for r in structure.relation_slots(direct, related, 8)] == [0, 100, 1, 2, 3, 102, 4, 5]
-    assert [r["id"] for r in structure.relation_slots(direct, related, 2)] == [0, 1]
-    assert [r["id"] for r in structure.relation_slots(direct, [], 4)] == [0, 1, 2, 3]
-
 
 def test_bm25_statistics_follow_the_filter_and_order_does_not_matter(spark):
     rows = [(1, "alpha beta"), (2, "alpha alpha gamma"), (3, "beta"), (4, "")]
