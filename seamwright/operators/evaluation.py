@@ -206,3 +206,44 @@ def path_labels(hits: DataFrame, by: str, warnings: DataFrame | None = None) ->
         return out
     said = F.array_compact(F.array(*(F.when(F.lower("warning").contains(word), name) for word, name in WARNING_LABELS.items())))
     return out.unionByName(warnings.select(by, F.explode(said).alias("label"))).distinct()
+
+
+def paired_by_repository(one: DataFrame, two: DataFrame, by: str, repository: str, metric: str) -> DataFrame:
+    """(repository, queries, improved, unchanged, regressed, gained, lost, mean_first, mean_second, mean_difference) of two runs of the same queries.
+
+    ``gained`` and ``lost`` count queries that hit in one run only (the metric above 0).
+    """
+    x, y = F.col("x"), F.col("y")
+    both = one.select(by, repository, F.col(metric).alias("x")).join(two.select(by, repository, F.col(metric).alias("y")), [by, repository])
+    mean = lambda c: F.round(F.avg(c), 6)
+    return both.groupBy(repository).agg(
+        F.count("*").alias("queries"), F.count_if(y > x).alias("improved"), F.count_if(y == x).alias("unchanged"), F.count_if(y < x).alias("regressed"), F.count_if((y > 0) & (x == 0)).alias("gained"),
+        F.count_if((x > 0) & (y == 0)).alias("lost"), mean(x).alias("mean_first"), mean(y).alias("mean_second"), mean(y - x).alias("mean_difference"),
+    )
+
+
+def scenario_metrics(ranked: DataFrame, gold: DataFrame, chunks: DataFrame, by: str, k: int = 10) -> DataFrame:
+    """(by, files, gold_files, precision, recall, f1, hit_at_1, hit_at_5, mrr_at_10, relevant): the files of a ranking against the gold files.
+
+    Every query with gold has a row.  ``relevant`` is the share of the results that lie in a gold
+    file or bear a gold symbol.
+    """
+    facts = chunks.select("id", "path", "symbol_name", "project_id", "start_line", "end_line")
+    want = gold.select(by, F.col("id").alias("gold_id")).distinct().join(facts.select(F.col("id").alias("gold_id"), *[F.col(c).alias(f"g_{c}") for c in facts.columns if c != "id"]), "gold_id")
+    got = ranked.where(F.col("place") <= k).select(by, "id", "place").join(facts, "id")
+    files = got.groupBy(by, "path").agg(F.min("place").alias("place"))
+    right = files.join(want.select(by, F.col("g_path").alias("path")).distinct(), [by, "path"], "left_semi")
+    near = (F.col("path") == F.col("g_path")) | (F.col("symbol_name") == F.col("g_symbol_name"))
+    relevant = got.join(want, by).where(near).select(by, "id").distinct().groupBy(by).agg(F.count("*").alias("relevant_n"))
+    n = files.groupBy(by).agg(F.count("*").alias("files")).join(got.groupBy(by).agg(F.count("*").alias("results")), by)
+    hits = right.groupBy(by).agg(F.count("*").alias("right"), F.min("place").alias("first"))
+    rows = want.groupBy(by).agg(F.countDistinct("g_path").alias("gold_files")).join(n, by, "left").join(hits, by, "left").join(relevant, by, "left")
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    precision, recall = zero("right") / F.greatest(zero("files"), F.lit(1)), zero("right") / F.col("gold_files")
+    f1 = F.when(precision + recall > 0, 2 * precision * recall / (precision + recall)).otherwise(0.0)
+    r = lambda c: F.round(c, 6)
+    hit = lambda at: F.coalesce(F.col("first") <= at, F.lit(False))
+    return rows.select(
+        by, zero("files").alias("files"), "gold_files", r(precision).alias("precision"), r(recall).alias("recall"), r(f1).alias("f1"), hit(1).alias("hit_at_1"), hit(5).alias("hit_at_5"),
+        r(F.coalesce(1.0 / F.col("first"), F.lit(0.0))).alias("mrr_at_10"), r(zero("relevant_n") / F.greatest(zero("results"), F.lit(1))).alias("relevant"),
+    )

@@ -279,3 +279,34 @@ def target_checks(known: DataFrame, old: DataFrame, new: DataFrame) -> DataFrame
     rows = rows.select("name", "path", status.alias("status"), to.alias("to"))
     clash = F.col("to").isNotNull() & (F.count("*").over(Window.partitionBy("to")) > 1)
     return rows.select("name", "path", F.when(clash, "ambiguous").otherwise(F.col("status")).alias("status"))
+
+
+def published_states(states: DataFrame, mappings: DataFrame) -> DataFrame:
+    """(learner_id, project_id, target_id, mastery, review_reason): states carried into a new revision.
+
+    ``mappings``: the key and a status as of ``target_checks``.  An exact mapping keeps the
+    state, a modified target has to be reviewed, any other is left behind.
+    """
+    exact = F.col("status").isin(*EXACT)
+    rows = states.join(mappings.select(*KEY, "status"), list(KEY)).where(exact | (F.col("status") == "modified"))
+    return rows.select(*KEY, F.when(exact, F.col("mastery")).otherwise("needs_review").alias("mastery"), F.when(exact, "").otherwise("revision_modified").alias("review_reason"))
+
+
+def goal_lineage(goals: DataFrame, mappings: DataFrame) -> DataFrame:
+    """(learner_id, goal_id, targets, lineage): what becomes of goals (learner_id, goal_id, project_id, target_id) in a new revision.
+
+    carried if every target is mapped exactly, history_only if none is mapped at all, else
+    needs_review.
+    """
+    rows = goals.select("learner_id", "goal_id", "project_id", "target_id").distinct().join(mappings.select(*KEY, "status"), list(KEY), "left")
+    exact = F.coalesce(F.col("status").isin(*EXACT), F.lit(False))
+    some = exact | F.coalesce(F.col("status").isin("modified", "moved"), F.lit(False))
+    out = rows.groupBy("learner_id", "goal_id").agg(F.count("*").alias("targets"), F.bool_and(exact).alias("all"), F.bool_or(some).alias("any"))
+    return out.select("learner_id", "goal_id", "targets", F.when(F.col("all"), "carried").when(F.col("any"), "needs_review").otherwise("history_only").alias("lineage"))
+
+
+def fitted(rows: DataFrame, by: str, order: list[Column], text: Column, most_bytes: int = 16_384) -> DataFrame:
+    """The first rows of each group whose texts fit the byte limit together, with ``used`` bytes so far and ``truncated``."""
+    window = Window.partitionBy(by).orderBy(*order)
+    used = rows.withColumn("used", F.sum(F.octet_length(text)).over(window.rowsBetween(Window.unboundedPreceding, Window.currentRow)).cast("long"))
+    return used.withColumn("truncated", F.max("used").over(Window.partitionBy(by)) > most_bytes).where(F.col("used") <= most_bytes)

@@ -224,3 +224,28 @@ def containment_matches(ranked: DataFrame, gold: DataFrame, chunks: DataFrame, b
     got = ranked.select(by, "id").join(facts, "id")
     holds = (F.col("start_line") <= F.col("s")) & (F.col("end_line") >= F.col("e")) & (F.col("id") != F.col("gold_id"))
     return got.join(want, [by, "project_id", "repository_revision", "path"]).where(holds).select(by, "id", "gold_id")
+
+
+def snapshot_faults(projects: DataFrame, chunks: DataFrame, embeddings: DataFrame) -> DataFrame:
+    """(id, fault): the first thing that keeps a snapshot from being activated; null if nothing does.
+
+    snapshot_incomplete (not ready), revision_mixed (a chunk of another revision),
+    embeddings_incomplete (a chunk without a vector of its content).
+    """
+    have = embeddings.select(F.col("code_chunk_id").alias("id"), "content_hash").distinct()
+    bare = chunks.join(have, ["id", "content_hash"], "left_anti").groupBy(F.col("project_id").alias("id")).agg(F.count("*").alias("bare"))
+    mixed = chunks.join(projects.select(F.col("id").alias("project_id"), F.col("repository_revision").alias("now")), "project_id").where(~F.col("now").eqNullSafe(F.col("repository_revision")))
+    mixed = mixed.groupBy(F.col("project_id").alias("id")).agg(F.count("*").alias("mixed"))
+    rows = projects.select("id", "status").join(bare, "id", "left").join(mixed, "id", "left")
+    fault = F.when(F.coalesce("status", F.lit("")) != "ready", "snapshot_incomplete").when(F.col("mixed") > 0, "revision_mixed").when(F.col("bare") > 0, "embeddings_incomplete")
+    return rows.select("id", fault.alias("fault"))
+
+
+def validated_policies(routes: DataFrame, key: str, pool: str = "pool", least: float = 0.05, most: float = 10.0, most_pool: int = 50, neutral_pool: int = 24) -> DataFrame:
+    """(key, dense_weight, lexical_weight, symbol_weight, pool, neutral): routing values, or the neutral ones if any is out of bounds, missing or not finite."""
+    names = ("dense_weight", "lexical_weight", "symbol_weight")
+    fine = F.coalesce(F.col(pool).between(1, most_pool), F.lit(False))
+    for n in names:
+        fine = fine & F.coalesce(~F.isnan(n) & F.col(n).between(least, most), F.lit(False))
+    weights = [F.when(fine, F.col(n)).otherwise(1.0).alias(n) for n in names]
+    return routes.select(key, *weights, F.when(fine, F.col(pool)).otherwise(neutral_pool).cast("long").alias("pool"), (~fine).alias("neutral"))

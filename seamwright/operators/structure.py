@@ -130,6 +130,27 @@ def python_chunks(files: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     return _per_file(files, chunk_rows, ", ".join((front, *(f"{c} string" for c in keep))) + ", chunk_type" + back, keep)
 
 
+def profile_rows(text: str) -> list[tuple]:
+    """(imports, symbols): the top packages a text imports, sorted, and its first 40 definitions, outer ones first."""
+    tree = _tree(text)
+    if tree is None:
+        return [([], [])]
+    imports, symbols = set(), []
+    for node in ast.walk(tree):
+        if isinstance(node, ast.Import):
+            imports.update(a.name.split(".")[0] for a in node.names)
+        elif isinstance(node, ast.ImportFrom) and node.module:
+            imports.add(node.module.split(".")[0])
+        elif isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
+            symbols.append(node.name)
+    return [(sorted(imports), symbols[:40])]
+
+
+def python_profiles(files: DataFrame) -> DataFrame:
+    """(file_id, path, imports, symbols) of every Python file with a content; empty for one that does not parse."""
+    return _per_file(files, profile_rows, "file_id long, path string, imports array<string>, symbols array<string>")
+
+
 def latest_ready(projects: DataFrame) -> DataFrame:
     """Id and revision of each repository's latest ready revision.
 

@@ -9,6 +9,7 @@ from ..operators import citations as c
 from ..operators import evaluation as ev
 from ..operators import learning as ln
 from ..operators import lookups as k
+from ..operators import structure
 from .catalog_queries import P
 from .indexing_queries import XRK
 from .learning_queries import GOLD, LEXICAL, RANKED, STATES, SYMBOL, UNIQUE, _ranked
@@ -172,11 +173,89 @@ def path_labels(spark, d):
     return ev.path_labels(runs.withColumn("E", F.col("x") | F.col("y")), "hint_id")
 
 
+def snapshot_faults(spark, d):
+    return k.snapshot_faults(_t(spark, d, "projects"), _t(spark, d, "code_chunks"), _t(spark, d, "code_chunk_embeddings"))
+
+
+def validated_policies(spark, d):
+    """Weights and pools that run over the bounds with the questions' numbers."""
+    n = F.col("item_id")
+    rows = _t(spark, d, "eval_questions").select("item_id", (n / 40).alias("dense_weight"), F.when(n % 7 == 0, F.lit(float("nan"))).otherwise(1.0).alias("lexical_weight"), F.when(n % 11 != 0, n / 30).alias("symbol_weight"), (n % 60).alias("pool"))
+    return k.validated_policies(rows, "item_id")
+
+
+def _mappings(spark, d):
+    """A status for every target, by the number in its name."""
+    n = F.regexp_extract("target_id", r"(\d+)$", 1).try_cast("int") % 5
+    names = F.element_at(F.array(*map(F.lit, ("unchanged_exact", "modified", "ambiguous", "unmapped", "renamed_exact"))), F.coalesce(n, F.lit(3)) + 1)
+    return _t(spark, d, "learning_events").select(*ln.KEY).distinct().select("*", names.alias("status"))
+
+
+def _ruled(spark, d):
+    """The events with outcomes that bring every rule to bear: qualifying tasks, exact mappings, availabilities, corrections of a key's first attempt."""
+    events = _t(spark, d, "learning_events")
+    tried = events.where("event_type = 'attempt_evaluated'").groupBy(*[F.col(c).alias(f"_{c}") for c in ln.KEY]).agg(F.min(F.struct("event_order", "event_id")).alias("f"))
+    rows = events.join(tried, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in ln.KEY], "left")
+    n, kind = F.col("event_order"), F.col("event_type")
+    verdict = F.coalesce(F.get_json_object("validated_outcome_json", "$.verdict"), F.lit("none"))
+    pick = lambda values, by: F.element_at(F.array(*map(F.lit, values)), (n % by + 1).cast("int"))
+    told = (
+        F.when(kind == "attempt_evaluated", F.format_string('{"verdict": "%s", "task_type": "%s"}', verdict, pick(("explain_symbol", "recall"), 2)))
+        .when(kind == "revision_revalidated", pick(('{"availability": "current"}', '{"availability": "changed"}', "{}"), 3))
+        .when(kind == "continuity_state_derived", pick(RULED_MAPPINGS, 4))
+        .when(kind == "evaluation_corrected", F.format_string('{"reverses_event_id": "%s", "corrected_verdict": "%s", "task_type": "explain_symbol"}', F.coalesce("f.event_id", F.lit("")), pick(("pass", "fail", "partial"), 3)))
+        .otherwise(F.col("validated_outcome_json"))
+    )
+    return rows.withColumn("validated_outcome_json", told).select(*events.columns)
+
+
+RULED_MAPPINGS = (
+    '{"mapping_status": "unchanged_exact", "availability": "current", "source_mastery_status": "mastered", "source_verified_pass_count": 2, "source_qualifying_pass_count": 1}',
+    '{"mapping_status": "renamed_exact", "availability": "current", "source_mastery_status": "introduced"}', '{"mapping_status": "ambiguous", "availability": "ambiguous"}', '{"mapping_status": "modified"}',
+)
+
+
+def learning_state_ruled(spark, d):
+    return ln.learning_states(_ruled(spark, d))
+
+
+def published_states(spark, d):
+    return ln.published_states(ln.learning_states(_t(spark, d, "learning_events").where("event_type != 'revision_revalidated'")), _mappings(spark, d))
+
+
+def goal_lineage(spark, d):
+    return ln.goal_lineage(_t(spark, d, "learning_events").where("goal_id IS NOT NULL"), _mappings(spark, d))
+
+
+def fitted_events(spark, d):
+    events = ln.unique_events(_t(spark, d, "learning_events")).where("validated_outcome_json IS NOT NULL AND learner_id IS NOT NULL")
+    kept = ln.fitted(events, "learner_id", [F.desc("created_at"), F.desc("event_order"), F.desc("event_id")], F.col("validated_outcome_json"), 512)
+    return kept.select("event_id", "used", "truncated")
+
+
+def paired_by_repository(spark, d):
+    lexical, symbol, gold = _ranked(spark, d)
+    of = _t(spark, d, "code_chunks").select(F.col("id").alias("hint_id"), "project_id")
+    a, b = (ev.query_metrics(x, gold, "hint_id", "id").join(of, "hint_id") for x in (lexical, symbol))
+    return ev.paired_by_repository(a, b, "hint_id", "project_id", "mrr_at_8")
+
+
+def scenario_metrics(spark, d):
+    lexical, _, gold = _ranked(spark, d)
+    return ev.scenario_metrics(lexical, gold, _t(spark, d, "code_chunks"), "hint_id")
+
+
+def python_profiles(spark, d):
+    rows = structure.python_profiles(_t(spark, d, "repo_files"))
+    return rows.select("file_id", F.array_join("imports", ",").alias("imports"), F.array_join("symbols", ",").alias("symbols"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         citation_checks, citation_batches, evidence_store, rendered_answers, project_bundle, method_scan, chunks_by_ids, project_lookup, project_workspaces, directory_files, unit_norms,
-        embedding_identities, readme_excerpts, file_summaries, priced_usage, dataset_shape, run_differences, containment_matches, learning_targets, target_states, next_actions, last_events, state_audit, target_checks, path_labels,
+        embedding_identities, readme_excerpts, file_summaries, priced_usage, dataset_shape, run_differences, containment_matches, learning_targets, target_states, next_actions, last_events, state_audit, target_checks, path_labels, snapshot_faults,
+        validated_policies, published_states, goal_lineage, fitted_events, paired_by_repository, scenario_metrics, python_profiles, learning_state_ruled,
     )
 }
 
@@ -281,3 +360,46 @@ SQL["path_labels"] = f"""
 WITH {RANKED}, {SYMBOL_SQL}, {GOLD}, {LEXICAL}, {SYMBOL}, hp AS (SELECT hint_id, ml.hit_at_8 > 0 AS A, ms.hit_at_8 > 0 AS B, ml.hit_at_5 > 0 AS C, ms.hit_at_5 > 0 AS D, greatest(ml.hit_at_3, ms.hit_at_3) > 0 AS E FROM ml JOIN ms USING (hint_id))
 {" UNION ALL ".join(f"SELECT hint_id, '{name}' AS label FROM hp WHERE {rule}" for name, rule in ev.PATH_LABELS.items())}
 """
+SQL |= {
+    "snapshot_faults": """
+WITH b AS (SELECT DISTINCT project_id FROM code_chunks WHERE (id, content_hash) NOT IN (SELECT (code_chunk_id, content_hash) FROM code_chunk_embeddings)), m AS (SELECT DISTINCT c.project_id FROM code_chunks c JOIN projects p ON p.id = c.project_id AND p.repository_revision IS DISTINCT FROM c.repository_revision)
+SELECT id, CASE WHEN coalesce(status, '') <> 'ready' THEN 'snapshot_incomplete' WHEN id IN (SELECT * FROM m) THEN 'revision_mixed' WHEN id IN (SELECT * FROM b) THEN 'embeddings_incomplete' END AS fault FROM projects
+""",
+    "validated_policies": """
+WITH r AS (SELECT item_id, item_id / 40 AS d, item_id % 7 = 0 AS nan, CASE WHEN item_id % 11 <> 0 THEN item_id / 30 END AS s, item_id % 60 AS p FROM eval_questions), f AS (SELECT *, p BETWEEN 1 AND 50 AND NOT nan AND d BETWEEN 0.05 AND 10 AND coalesce(s BETWEEN 0.05 AND 10, false) AS ok FROM r)
+SELECT item_id, CASE WHEN ok THEN d ELSE 1.0 END AS dense_weight, 1.0::DOUBLE AS lexical_weight, CASE WHEN ok THEN s ELSE 1.0 END AS symbol_weight, CASE WHEN ok THEN p ELSE 24 END AS pool, NOT ok AS neutral FROM f
+""",
+    "fitted_events": f"""
+WITH {UNIQUE}, w AS (SELECT event_id, learner_id, sum(strlen(validated_outcome_json)) OVER (PARTITION BY learner_id ORDER BY created_at DESC, event_order DESC, event_id DESC ROWS UNBOUNDED PRECEDING)::BIGINT AS used FROM u WHERE validated_outcome_json IS NOT NULL AND learner_id IS NOT NULL)
+SELECT event_id, used, truncated FROM (SELECT *, max(used) OVER (PARTITION BY learner_id) > 512 AS truncated FROM w) WHERE used <= 512
+""",
+    "paired_by_repository": f"""
+WITH {RANKED}, {SYMBOL_SQL}, {GOLD}, {LEXICAL}, {SYMBOL}, p AS (SELECT project_id, ml.mrr_at_8 AS x, ms.mrr_at_8 AS y FROM ml JOIN ms USING (hint_id) JOIN code_chunks c ON c.id = hint_id)
+SELECT project_id, count(*) AS queries, count(*) FILTER (y > x) AS improved, count(*) FILTER (y = x) AS unchanged, count(*) FILTER (y < x) AS regressed, count(*) FILTER (y > 0 AND x = 0) AS gained, count(*) FILTER (x > 0 AND y = 0) AS lost,
+  round(avg(x), 6) AS mean_first, round(avg(y), 6) AS mean_second, round(avg(y - x), 6) AS mean_difference FROM p GROUP BY 1
+""",
+    "scenario_metrics": f"""
+WITH {RANKED}, {GOLD}, w AS (SELECT DISTINCT hint_id, path, symbol_name FROM gd JOIN code_chunks c ON c.id = gd.id), gt AS (SELECT q AS hint_id, k AS id, place, path, symbol_name FROM xrk JOIN code_chunks c ON c.id = k WHERE place <= 10),
+fs AS (SELECT hint_id, path, min(place) AS place FROM gt GROUP BY 1, 2), rg AS (SELECT hint_id, count(*) AS r, min(place) AS first FROM fs WHERE (hint_id, path) IN (SELECT (hint_id, path) FROM w) GROUP BY 1),
+rv AS (SELECT gt.hint_id, count(DISTINCT gt.id) AS rel FROM gt JOIN w ON w.hint_id = gt.hint_id AND (w.path = gt.path OR w.symbol_name = gt.symbol_name) GROUP BY 1),
+n AS (SELECT hint_id, count(DISTINCT path) AS f, count(*) AS res FROM gt GROUP BY 1), z AS (SELECT hint_id, coalesce(f, 0) AS files, gold_files, coalesce(r, 0) / greatest(coalesce(f, 0), 1) AS p, coalesce(r, 0) / gold_files AS rc, first, coalesce(rel, 0) / greatest(coalesce(res, 0), 1) AS rel
+  FROM (SELECT hint_id, count(DISTINCT path) AS gold_files FROM w GROUP BY 1) LEFT JOIN n USING (hint_id) LEFT JOIN rg USING (hint_id) LEFT JOIN rv USING (hint_id))
+SELECT hint_id, files, gold_files, round(p, 6) AS precision, round(rc, 6) AS recall, round(CASE WHEN p + rc > 0 THEN 2 * p * rc / (p + rc) ELSE 0 END, 6) AS f1, coalesce(first <= 1, false) AS hit_at_1, coalesce(first <= 5, false) AS hit_at_5, round(coalesce(1.0::DOUBLE / first, 0), 6) AS mrr_at_10, round(rel, 6) AS relevant FROM z
+""",
+}
+_MAPPED = r"""mp AS (SELECT DISTINCT learner_id, project_id, target_id, (['unchanged_exact', 'modified', 'ambiguous', 'unmapped', 'renamed_exact'])[coalesce(try_cast(regexp_extract(target_id, '(\d+)$', 1) AS INT) % 5, 3) + 1] AS status FROM learning_events)"""
+SQL["published_states"] = f"""
+WITH {_MAPPED}, b AS (WITH RECURSIVE {_PART} SELECT * FROM st)
+SELECT learner_id, project_id, target_id, CASE WHEN status LIKE '%_exact' THEN mastery ELSE 'needs_review' END AS mastery, CASE WHEN status LIKE '%_exact' THEN '' ELSE 'revision_modified' END AS review_reason FROM b JOIN mp USING (learner_id, project_id, target_id) WHERE status LIKE '%_exact' OR status = 'modified'
+"""
+SQL["goal_lineage"] = f"""
+WITH {_MAPPED}, g AS (SELECT DISTINCT learner_id, goal_id, project_id, target_id FROM learning_events WHERE goal_id IS NOT NULL)
+SELECT learner_id, goal_id, count(*) AS targets, CASE WHEN bool_and(coalesce(status, '') LIKE '%_exact') THEN 'carried' WHEN bool_or(coalesce(status, '') LIKE '%_exact' OR status = 'modified') THEN 'needs_review' ELSE 'history_only' END AS lineage FROM g LEFT JOIN mp USING (learner_id, project_id, target_id) GROUP BY 1, 2
+"""
+_LX = f"""
+lx AS (WITH t AS (SELECT learner_id, project_id, target_id, arg_min(event_id, (event_order, event_id)) AS f FROM learning_events WHERE event_type = 'attempt_evaluated' GROUP BY 1, 2, 3)
+SELECT e.* REPLACE (CASE event_type WHEN 'attempt_evaluated' THEN '{{{{"verdict": "' || coalesce(CASE WHEN json_valid(validated_outcome_json) THEN json_extract_string(validated_outcome_json, '$.verdict') END, 'none') || '", "task_type": "' || CASE WHEN event_order % 2 = 0 THEN 'explain_symbol' ELSE 'recall' END || '"}}}}'
+  WHEN 'revision_revalidated' THEN (['{{{{"availability": "current"}}}}', '{{{{"availability": "changed"}}}}', '{{{{}}}}'])[event_order % 3 + 1] WHEN 'continuity_state_derived' THEN (MAPPINGS)[event_order % 4 + 1]
+  WHEN 'evaluation_corrected' THEN '{{{{"reverses_event_id": "' || coalesce(f, '') || '", "corrected_verdict": "' || (['pass', 'fail', 'partial'])[event_order % 3 + 1] || '", "task_type": "explain_symbol"}}}}' ELSE validated_outcome_json END AS validated_outcome_json)
+FROM learning_events e LEFT JOIN t ON {_SAME.format(a="e", b="t")}),""".replace("{{", "{").replace("}}", "}").replace("MAPPINGS", "[" + ", ".join(f"'{m}'" for m in RULED_MAPPINGS) + "]")
+SQL["learning_state_ruled"] = f"WITH RECURSIVE {_LX} {STATES.replace('FROM learning_events', 'FROM lx')} SELECT * FROM st"
