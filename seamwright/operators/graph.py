@@ -252,3 +252,18 @@ def relation_aware(ranked: DataFrame, related: DataFrame, by: str, k: int = 8) -
         rest = direct.where(F.col("place") > k - slots).join(chosen.select(by, "id"), [by, "id"], "left_anti")
         shown = shown.unionByName(rest.select(by, "id", (F.col("place") + k).alias("a"), F.lit(0).alias("b")))
     return shown.withColumn("n", F.row_number().over(w().orderBy("a", "b")).cast("long")).where(F.col("n") <= k).select(by, "id", F.col("n").alias("place"))
+
+
+def reached_chunks(paths: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(seed, chunk_id): the chunks that the paths of a seed lead to, each once."""
+    return paths.join(nodes.where("chunk_id IS NOT NULL").select(F.col("node_id").alias("node"), "chunk_id"), "node").select("seed", "chunk_id").distinct()
+
+
+def walk_diagnostics(paths: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(level, project_id, kind, seeds, paths, second, mean_paths): what walks gave, by project, by kind of seed, and in all."""
+    rows = paths.join(nodes.select(F.col("node_id").alias("seed"), "project_id", "kind"), "seed")
+    sets = rows.groupingSets([[F.col("project_id")], [F.col("kind")], []], F.col("project_id"), F.col("kind")).agg(
+        F.countDistinct("seed").alias("seeds"), F.count("*").alias("paths"), F.count_if(F.col("depth") == 2).alias("second"), F.grouping_id().alias("g")
+    )
+    level = F.when(F.col("g") == 1, "project").when(F.col("g") == 2, "kind").otherwise("all")
+    return sets.select(level.alias("level"), "project_id", "kind", "seeds", "paths", "second", F.round(F.col("paths") / F.col("seeds"), 6).alias("mean_paths"))

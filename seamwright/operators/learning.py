@@ -310,3 +310,17 @@ def fitted(rows: DataFrame, by: str, order: list[Column], text: Column, most_byt
     window = Window.partitionBy(by).orderBy(*order)
     used = rows.withColumn("used", F.sum(F.octet_length(text)).over(window.rowsBetween(Window.unboundedPreceding, Window.currentRow)).cast("long"))
     return used.withColumn("truncated", F.max("used").over(Window.partitionBy(by)) > most_bytes).where(F.col("used") <= most_bytes)
+
+
+def task_checks(events: DataFrame, states: DataFrame) -> DataFrame:
+    """(learner_id, project_id, target_id, task_id, status): the tasks of the events and whether they still stand.
+
+    ``stale`` if what is known of the target is not current, ``passed`` if an attempt at it passed
+    (corrections counted), else ``open``.
+    """
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in KEY]
+    passed = (F.col("event_type") == "attempt_evaluated") & (F.col("provenance") == "verified_assessment") & (F.col("verdict") == "pass")
+    tasks = with_verdicts(unique_events(events)).where("task_id IS NOT NULL").groupBy(*KEY, "task_id").agg(F.bool_or(F.coalesce(passed, F.lit(False))).alias("passed"))
+    rows = tasks.join(states.select(*[F.col(k).alias(f"_{k}") for k in KEY], "availability"), same, "left")
+    status = F.when(F.coalesce("availability", F.lit("current")) != "current", "stale").when(F.col("passed"), "passed").otherwise("open")
+    return rows.select(*KEY, "task_id", status.alias("status"))

@@ -249,3 +249,14 @@ def validated_policies(routes: DataFrame, key: str, pool: str = "pool", least: f
         fine = fine & F.coalesce(~F.isnan(n) & F.col(n).between(least, most), F.lit(False))
     weights = [F.when(fine, F.col(n)).otherwise(1.0).alias(n) for n in names]
     return routes.select(key, *weights, F.when(fine, F.col(pool)).otherwise(neutral_pool).cast("long").alias("pool"), (~fine).alias("neutral"))
+
+
+# Fixed value: keys whose values are never written out.
+SECRET_KEYS = r"(?i)(\"[a-z0-9_\-]*(?:password|passwd|secret|token|api_?key|authorization|credential)[a-z0-9_\-]*\"\s*:\s*)\"[^\"\\]*\""
+
+
+def redacted_json(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, redacted, text_hash): JSON texts with the string values of secret keys replaced, at any depth, and how many were."""
+    found = F.regexp_count(F.col(text), F.lit(SECRET_KEYS))
+    clean = F.regexp_replace(F.col(text), SECRET_KEYS, '$1"[redacted]"')
+    return rows.where(F.col(text).isNotNull()).select(key, found.cast("long").alias("redacted"), F.sha2(clean, 256).alias("text_hash"))

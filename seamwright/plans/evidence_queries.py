@@ -233,6 +233,15 @@ def fitted_events(spark, d):
     return kept.select("event_id", "used", "truncated")
 
 
+def task_checks(spark, d):
+    events = _ruled(spark, d)
+    return ln.task_checks(events, ln.learning_states(events))
+
+
+def redacted_json(spark, d):
+    return k.redacted_json(_t(spark, d, "repo_files").where(F.lower("path").endswith(".json")), "id", "content")
+
+
 def paired_by_repository(spark, d):
     lexical, symbol, gold = _ranked(spark, d)
     of = _t(spark, d, "code_chunks").select(F.col("id").alias("hint_id"), "project_id")
@@ -255,7 +264,7 @@ QUERIES = {
     for f in (
         citation_checks, citation_batches, evidence_store, rendered_answers, project_bundle, method_scan, chunks_by_ids, project_lookup, project_workspaces, directory_files, unit_norms,
         embedding_identities, readme_excerpts, file_summaries, priced_usage, dataset_shape, run_differences, containment_matches, learning_targets, target_states, next_actions, last_events, state_audit, target_checks, path_labels, snapshot_faults,
-        validated_policies, published_states, goal_lineage, fitted_events, paired_by_repository, scenario_metrics, python_profiles, learning_state_ruled,
+        validated_policies, published_states, goal_lineage, fitted_events, paired_by_repository, scenario_metrics, python_profiles, learning_state_ruled, task_checks, redacted_json,
     )
 }
 
@@ -403,3 +412,11 @@ SELECT e.* REPLACE (CASE event_type WHEN 'attempt_evaluated' THEN '{{{{"verdict"
   WHEN 'evaluation_corrected' THEN '{{{{"reverses_event_id": "' || coalesce(f, '') || '", "corrected_verdict": "' || (['pass', 'fail', 'partial'])[event_order % 3 + 1] || '", "task_type": "explain_symbol"}}}}' ELSE validated_outcome_json END AS validated_outcome_json)
 FROM learning_events e LEFT JOIN t ON {_SAME.format(a="e", b="t")}),""".replace("{{", "{").replace("}}", "}").replace("MAPPINGS", "[" + ", ".join(f"'{m}'" for m in RULED_MAPPINGS) + "]")
 SQL["learning_state_ruled"] = f"WITH RECURSIVE {_LX} {STATES.replace('FROM learning_events', 'FROM lx')} SELECT * FROM st"
+SQL["task_checks"] = f"""
+WITH RECURSIVE {_LX} {STATES.replace('FROM learning_events', 'FROM lx')}, tk AS (SELECT learner_id, project_id, target_id, task_id, bool_or(k = 'a' AND coalesce(verdict, '') = 'pass') AS passed FROM x WHERE task_id IS NOT NULL GROUP BY 1, 2, 3, 4)
+SELECT tk.learner_id, tk.project_id, tk.target_id, task_id, CASE WHEN coalesce(availability, 'current') <> 'current' THEN 'stale' WHEN passed THEN 'passed' ELSE 'open' END AS status FROM tk LEFT JOIN st ON {_SAME.format(a="tk", b="st")}
+"""
+_KEYS = k.SECRET_KEYS
+SQL["redacted_json"] = f"""
+SELECT id, len(regexp_extract_all(content, '{_KEYS}')) AS redacted, sha256(regexp_replace(content, '{_KEYS}', '\\1"[redacted]"', 'g')) AS text_hash FROM repo_files WHERE content IS NOT NULL AND lower(path) LIKE '%.json'
+"""

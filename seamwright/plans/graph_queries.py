@@ -118,6 +118,19 @@ def chain_checks(spark, d):
     return g.chain_checks(stored, nodes, edges, nodes.join(chunks.where("chunk_type != 'class'").select(F.col("id").alias("chunk_id")), "chunk_id", "left_semi"))
 
 
+def _walks(spark, d):
+    nodes = g.relation_nodes(_chunks(spark, d))
+    return g.expand(g.stored_edges(_chunks(spark, d)), nodes.where("kind = 'file' OR chunk_id % 50 = 0")), nodes
+
+
+def reached_chunks(spark, d):
+    return g.reached_chunks(*_walks(spark, d))
+
+
+def walk_diagnostics(spark, d):
+    return g.walk_diagnostics(*_walks(spark, d))
+
+
 def relation_aware(spark, d):
     """Questions' results with the chunks that the walk of their definitions reaches."""
     ranked = bm25_topk(spark, d)
@@ -131,7 +144,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         relation_nodes, stored_edges, neighbour_edges, outgoing_edges, edge_rejections, node_resolutions, graph_identities, graph_expand, chunk_ancestors, hierarchy_cycles,
-        hierarchy_relations, exact_spans, group_ids, hierarchy_expand, hierarchy_normalised, hierarchy_scope, chain_checks, relation_aware,
+        hierarchy_relations, exact_spans, group_ids, hierarchy_expand, hierarchy_normalised, hierarchy_scope, chain_checks, relation_aware, reached_chunks, walk_diagnostics,
     )
 }
 
@@ -248,3 +261,8 @@ ci AS (SELECT *, 'c:' || sha256(to_json([seed, concat_ws(',', seed, CASE WHEN de
 cl AS (SELECT node_id FROM nd JOIN code_chunks k ON k.id = chunk_id WHERE chunk_type = 'class')
 SELECT key, CASE WHEN substr(key, 3, 1) IN ('0', '8') THEN 'chain identity is invalid' WHEN seed IN (SELECT * FROM cl) OR node IN (SELECT * FROM cl) OR depth = 2 AND mid IN (SELECT * FROM cl) THEN 'relation node content is stale' END AS reason FROM ci
 """
+_WALKS = SQL["graph_expand"].replace(_WALK_END, f", wk AS ({_WALK_END}").rstrip() + ")"
+SQL["reached_chunks"] = f"{_WALKS} SELECT DISTINCT seed, chunk_id FROM wk JOIN nd ON node_id = node WHERE chunk_id IS NOT NULL"
+SQL["walk_diagnostics"] = f"""{_WALKS}, ws AS (SELECT wk.*, project_id, kind FROM wk JOIN nd ON node_id = seed)
+SELECT CASE WHEN grouping(project_id) = 0 THEN 'project' WHEN grouping(kind) = 0 THEN 'kind' ELSE 'all' END AS level, project_id, kind, count(DISTINCT seed) AS seeds, count(*) AS paths, count(*) FILTER (depth = 2) AS second, round(count(*) / count(DISTINCT seed), 6) AS mean_paths
+FROM ws GROUP BY GROUPING SETS ((project_id), (kind), ())"""
