@@ -134,8 +134,13 @@ class Index:
         """
         if len(self.rows) > 400_000:
             self.rows, self.table = {}, np.zeros((0, 64), np.int16)
-        row = self._row
-        at = np.fromiter((row(w) for ws in texts for w in ws), np.int64)
+        flat = [w for ws in texts for w in ws]
+        at = list(map(self.rows.get, flat))
+        if None in at:
+            for w in set(flat) - self.rows.keys():
+                self._row(w)
+            at = list(map(self.rows.get, flat))
+        at = np.asarray(at, np.int64)
         out = np.zeros((len(at) + 1, 64), np.int16)
         if len(at):
             np.cumsum(self.table[at], axis=0, dtype=np.int16, out=out[1:])
@@ -342,13 +347,9 @@ def corpus_weights(docs: DataFrame) -> Weights:
             hit: list[int] = []
             for t in batch.column(1).to_pylist():
                 n += 1
-                mine = set()
-                for w in set(words(t)):
-                    b = bucket.get(w)
-                    if b is None:
-                        b = bucket[w] = _bucket(w)
-                    mine.add(b)
-                hit.extend(mine)
+                distinct = set(words(t))
+                bucket.update({w: _bucket(w) for w in distinct - bucket.keys()})
+                hit.extend(set(map(bucket.get, distinct)))
             df += np.bincount(np.asarray(hit, np.int64), minlength=BUCKETS)
         lanes = np.flatnonzero(df.reshape(LANES, width).any(1))
         yield pa.RecordBatch.from_pydict(
