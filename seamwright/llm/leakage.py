@@ -137,7 +137,7 @@ class Index:
         flat = [w for ws in texts for w in ws]
         at = list(map(self.rows.get, flat))
         if None in at:
-            for w in set(flat) - self.rows.keys():
+            for w in set(flat):
                 self._row(w)
             at = list(map(self.rows.get, flat))
         at = np.asarray(at, np.int64)
@@ -348,7 +348,7 @@ def corpus_weights(docs: DataFrame) -> Weights:
             for t in batch.column(1).to_pylist():
                 n += 1
                 distinct = set(words(t))
-                bucket.update({w: _bucket(w) for w in distinct - bucket.keys()})
+                bucket.update({w: _bucket(w) for w in distinct if w not in bucket})
                 hit.extend(set(map(bucket.get, distinct)))
             df += np.bincount(np.asarray(hit, np.int64), minlength=BUCKETS)
         lanes = np.flatnonzero(df.reshape(LANES, width).any(1))
