@@ -7,6 +7,7 @@ and is cut to the best k per query and partition before it is moved.
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from itertools import islice
@@ -241,12 +242,66 @@ def dense(vectors: DataFrame, key: str, vector: str, queries: DataFrame, query_k
     return top_k(out, [query_key], [F.desc("score"), F.col(key)], k)
 
 
-TIERS = ((0, 1.0, "exact_qualified"), (1, 0.95, "exact_symbol_context"), (2, 0.85, "exact_leaf"), (3, 0.75, "normalized_identifier"))
+# How names can match a hint, with scores.
+TIERS = (
+    (0, 1.0, "exact_qualified"), (1, 0.95, "exact_symbol_context"), (2, 0.85, "exact_leaf"), (3, 0.75, "normalized_identifier"), (4, 0.55, "lexical_prefix"), (5, 0.35, "lexical_contains"),
+)
 
 
-def symbol_matches(chunks: DataFrame, hints: DataFrame, k: int = 20) -> DataFrame:
+def _loose_matches(sides: DataFrame, hints: DataFrame, last: int, k: int) -> DataFrame:
+    """Chunks whose names begin with a hint (tier 4) or, if ``last`` is 5, hold it, but match by no better tier.
+
+    The hints go to the tasks in blocks as one automaton, which every name is run through once;
+    a partition keeps the best k of each hint.
+    """
+    schema = "hint_id long, id long, qualified string, c_path string, start_line int, end_line int, tier long"
+    names = [c.split()[0] for c in schema.split(", ")]
+    arrow = pa.schema([(c, pa.string() if c in ("qualified", "c_path") else pa.int32() if c.endswith("line") else pa.int64()) for c in names])
+    wanted = hints.select(F.col("hint_id").cast("long"), F.lower("value").alias("needle"), "path").where("needle != '' AND hint_id IS NOT NULL").orderBy("hint_id")
+    todo = ((r["hint_id"], r["needle"], r["path"]) for r in wanted.toLocalIterator())
+    rows = sides.select("id", "qualified", "symbol", "c_path", F.col("start_line").cast("int"), F.col("end_line").cast("int"))
+    out = sides.sparkSession.createDataFrame([], schema)
+    place = lambda p: (p or "").replace("\\", "/").lstrip("/").lower()
+    bare = lambda x: re.sub("[^a-z0-9]", "", x)
+    while block := list(islice(todo, BLOCK)):
+        by: dict[str, list] = {}
+        for i, needle, path in block:
+            by.setdefault(needle, []).append((i, None if path is None else place(path)))
+
+        def run(batches: Iterator[pa.RecordBatch], by=by) -> Iterator[pa.RecordBatch]:
+            import ahocorasick
+
+            automaton = ahocorasick.Automaton()
+            for needle in by:
+                automaton.add_word(needle, needle)
+            automaton.make_automaton()
+            best: dict[int, list[tuple]] = {}
+            for batch in batches:
+                for i, qualified, symbol, path, start, end in zip(*(c.to_pylist() for c in batch.columns)):
+                    for needle in {n for name in (qualified, symbol) for _, n in automaton.iter(name)}:
+                        if needle in (qualified, symbol) or needle.rsplit(".", 1)[-1] == symbol or bare(needle) and bare(needle) in (bare(qualified), bare(symbol)):
+                            continue
+                        tier = 4 if qualified.startswith(needle) or symbol.startswith(needle) else 5
+                        for hint, where in by[needle] if tier <= last else ():
+                            if where is None or place(path) == where:
+                                rows = best.setdefault(hint, [])
+                                rows.append((tier, qualified, path or "", -1 if start is None else start, -1 if end is None else end, i, path, start, end))
+                                if len(rows) > 4 * k + 64:
+                                    rows.sort(key=lambda r: r[:6])
+                                    del rows[k:]
+            found = [(hint, r[5], r[1], r[6], r[7], r[8], r[0]) for hint, rows in best.items() for r in sorted(rows, key=lambda r: r[:6])[:k]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found) if found else [[]] * len(arrow), arrow)], schema=arrow)
+
+        out = out.unionByName(rows.mapInArrow(run, schema))
+    return out
+
+
+def symbol_matches(chunks: DataFrame, hints: DataFrame, k: int = 20, mode: str = "auto") -> DataFrame:
     """(hint_id, id, tier, score, match_type, place): chunks whose names match a hint, best tier first.
 
+    ``mode``: auto takes the exact tiers, prefix also names that begin with the hint, fuzzy
+    also names that hold it.
+
     ``hints``: hint_id, value, path (null for none).  Tiers: the qualified name; the symbol
     with the hint's path; the symbol or the hint's last part; names that agree without signs
     and case.  Every tier is an equality, so hints and chunks meet on shared keys instead of
@@ -280,6 +335,10 @@ def symbol_matches(chunks: DataFrame, hints: DataFrame, k: int = 20) -> DataFram
         .otherwise(3)
     )
     best = hit.withColumn("tier", tier.cast("long")).groupBy("hint_id", "id", "qualified", "c_path", "start_line", "end_line").agg(F.min("tier").alias("tier"))
+    if mode not in ("auto", "prefix", "fuzzy"):
+        raise ValueError("a mode is auto, prefix or fuzzy")
+    if mode != "auto":
+        best = best.unionByName(_loose_matches(sides, hints, 4 if mode == "prefix" else 5, k))
     score, kind = F.lit(None).cast("double"), F.lit(None).cast("string")
     for t, s, m in TIERS:
         score, kind = F.when(F.col("tier") == t, F.lit(s)).otherwise(score), F.when(F.col("tier") == t, F.lit(m)).otherwise(kind)

@@ -46,6 +46,14 @@ def symbol_match_tiers(spark, d):
     return r.symbol_matches(_t(spark, d, "code_chunks"), _hints(spark, d), 20)
 
 
+def symbol_match_fuzzy(spark, d):
+    """Parts of names as hints: the first two words of some symbols, the last word of the others."""
+    chunks = _t(spark, d, "code_chunks").where("id % 50 = 0")
+    words = F.split("symbol_name", "_")
+    part = F.when((F.col("id") % 100 == 0) & (F.size(words) > 1), F.concat_ws("_", F.element_at(words, 1), F.try_element_at(words, F.lit(2)))).otherwise(F.element_at(words, -1))
+    return r.symbol_matches(_t(spark, d, "code_chunks"), chunks.select(F.col("id").alias("hint_id"), part.alias("value"), F.when(F.col("id") % 150 == 0, F.col("path")).alias("path")), 20, "fuzzy")
+
+
 def _two_lists(spark, d):
     chunks = _t(spark, d, "code_chunks")
     asked = chunks.where("id % 50 = 0").select(F.col("id").alias("hint_id"), F.col("qualified_name").alias("value"))
@@ -92,7 +100,7 @@ def file_ranking(spark, d):
 
 QUERIES = {
     f.__name__: f
-    for f in (token_stats, bm25_topk, bm25_documents, dense_topk, symbol_match_tiers, rrf_two_lists, rrf_three_lists, query_intents, symbol_hints, file_ranking)
+    for f in (token_stats, bm25_topk, bm25_documents, dense_topk, symbol_match_tiers, symbol_match_fuzzy, rrf_two_lists, rrf_three_lists, query_intents, symbol_hints, file_ranking)
 }
 
 _LINES = r"string_split(regexp_replace(coalesce(content, ''), '\r\n?', chr(10), 'g'), chr(10))"
@@ -127,7 +135,19 @@ sy AS (SELECT * FROM (SELECT hint_id, id, tier, CASE tier WHEN 0 THEN 1.0::DOUBL
 TWO_SQL = _bm25_sql("x", "code_chunks", "id", CHUNK_TEXT, "SELECT id AS q, qualified_name AS qtext FROM code_chunks WHERE id % 50 = 0", "c.path, c.start_line, c.end_line, c.id", 20) + "," + SYMBOL_SQL
 WORDS = r"list_distinct(list_filter(list_transform(regexp_extract_all(question, '[A-Za-z0-9_\-/.]+'), lambda w: lower(w)), lambda w: length(w) > 1))"
 
+_FUZZY = """
+h AS (SELECT id AS hint_id, lower(CASE WHEN id % 100 = 0 AND len(string_split(symbol_name, '_')) > 1 THEN string_split(symbol_name, '_')[1] || '_' || string_split(symbol_name, '_')[2] ELSE string_split(symbol_name, '_')[-1] END) AS needle,
+  CASE WHEN id % 150 = 0 THEN path END AS h_path FROM code_chunks WHERE id % 50 = 0), hn AS (SELECT *, string_split(needle, '.')[-1] AS leaf, regexp_replace(needle, '[^a-z0-9]', '', 'g') AS plain FROM h WHERE needle <> ''),
+c AS (SELECT id, path, lower(coalesce(symbol_name, '')) AS symbol, lower(coalesce(qualified_name, '')) AS qualified, start_line, end_line FROM code_chunks),
+mt AS (SELECT hint_id, id, path, qualified, start_line, end_line, CASE WHEN needle = qualified THEN 0 WHEN needle = symbol AND h_path IS NOT NULL THEN 1 WHEN needle = symbol OR leaf = symbol THEN 2
+    WHEN plain <> '' AND plain IN (regexp_replace(qualified, '[^a-z0-9]', '', 'g'), regexp_replace(symbol, '[^a-z0-9]', '', 'g')) THEN 3 WHEN starts_with(qualified, needle) OR starts_with(symbol, needle) THEN 4 WHEN contains(qualified, needle) OR contains(symbol, needle) THEN 5 END AS tier
+  FROM hn, c WHERE h_path IS NULL OR c.path = h_path)"""
+
 SQL = {
+    "symbol_match_fuzzy": f"""
+WITH {_FUZZY} SELECT * FROM (SELECT hint_id, id, tier::BIGINT AS tier, ([1.0::DOUBLE, 0.95, 0.85, 0.75, 0.55, 0.35])[tier + 1] AS score, (['exact_qualified', 'exact_symbol_context', 'exact_leaf', 'normalized_identifier', 'lexical_prefix', 'lexical_contains'])[tier + 1] AS match_type,
+  row_number() OVER (PARTITION BY hint_id ORDER BY tier, qualified, path, start_line, end_line, id) AS place FROM mt WHERE tier IS NOT NULL) WHERE place <= 20
+""",
     "token_stats": f"SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf FROM (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest({tokens_sql(CHUNK_TEXT)}) AS term FROM code_chunks) GROUP BY ALL) GROUP BY 1",
     "bm25_topk": "WITH " + _bm25_sql("x", "code_chunks", "id", CHUNK_TEXT, "SELECT item_id AS q, question AS qtext FROM eval_questions WHERE item_id % 50 = 0", "c.path, c.start_line, c.end_line, c.id", 20) + " SELECT q AS item_id, k AS id, score, place FROM xrk",
     "bm25_documents": "WITH docs AS (SELECT * FROM documents WHERE text IS NOT NULL), " + _bm25_sql("x", "docs", "doc_id", "text", "SELECT item_id AS q, question AS qtext FROM eval_questions WHERE item_id % 50 = 0", "k", 20) + " SELECT q AS item_id, k AS doc_id, score, place FROM xrk",
