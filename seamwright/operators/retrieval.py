@@ -432,27 +432,45 @@ def chunk_text() -> Column:
     return searchable_text(F.col("path"), F.col("symbol_name"), F.col("qualified_name"), F.col("content"))
 
 
-def rank_files(profiles: DataFrame, contents: DataFrame, questions: Iterable[tuple[int, list[str]]], k: int = 6) -> DataFrame:
+# What a question about files is after, by words in it, and the file names that answer it.
+FILE_INTENTS = {
+    "start": (("启动", "运行", "run", "start", "dev", "serve", "命令"), ("README.md", "package.json", "pyproject.toml", "requirements.txt", "main.py")),
+    "entry": (("入口", "entry", "main", "首先", "开始"), ("main.py", "app.py", "server.py", "index.js", "main.tsx", "app.tsx")),
+    "core": (("核心", "模块", "架构", "结构", "重要"), ()),
+}
+
+
+def file_intents(questions: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, intent): what each question is after; one row per intent, none for a question without."""
+    low = F.lower(F.coalesce(F.col(text), F.lit("")))
+    has = lambda words: F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(low, w))
+    return questions.select(key, F.explode(F.array_compact(F.array(*(F.when(has(words), name) for name, (words, _) in FILE_INTENTS.items())))).alias("intent"))
+
+
+def rank_files(profiles: DataFrame, contents: DataFrame, questions: Iterable[tuple[int, list[str], list[str]]], k: int = 6) -> DataFrame:
     """(query_id, id, score, place): files by the words of a question in path and content.
 
-    8 a word in the path, up to 8 occurrences of it in the content, 5 for core files, the
-    importance up to 100 over 25.  ``questions``: (id, words); they are taken in blocks of
-    BLOCK, a pass over the contents each.
+    8 a word in the path, up to 8 occurrences of it in the content, 30 for a name that answers
+    an intent, 5 for core files, the importance up to 100 over 25; a file without a word or
+    such a name is no result.  ``questions``: (id, words, intents); they are taken in blocks
+    of BLOCK, a pass over the contents each.
     """
     schema = "query_id long, id long, words_score long"
     texts = spread(contents.select("id", compared_path(F.col("path")).alias("path"), "content").where("path IS NOT NULL AND content IS NOT NULL"))
     hits = contents.sparkSession.createDataFrame([], schema)
-    todo = ((i, ws) for i, ws in questions if ws)
+    names = lambda intents: Counter(n for x in intents for n in FILE_INTENTS[x][1])
+    todo = ((i, ws, names(intents)) for i, ws, intents in questions if ws or intents)
     while block := list(islice(todo, BLOCK)):
 
         def count(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 out: tuple[list, list, list] = ([], [], [])
                 for i, path, text in zip(*(c.to_pylist() for c in batch.columns)):
+                    name = path.rsplit("/", 1)[-1]
                     path, text = path.lower(), text.lower()
                     seen: dict[str, int] = {}
-                    for q, ws in block:
-                        n = 0
+                    for q, ws, wanted in block:
+                        n = 30 * wanted[name]
                         for w in ws:
                             if w not in seen:
                                 seen[w] = (8 if w in path else 0) + min(8, text.count(w))

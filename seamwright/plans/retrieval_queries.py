@@ -92,15 +92,21 @@ def asked_words(question):
     return F.array_distinct(F.filter(F.transform(F.regexp_extract_all(question, F.lit(r"([A-Za-z0-9_\-/.]+)"), F.lit(1)), F.lower), lambda w: F.char_length(w) > 1))
 
 
+def file_intents(spark, d):
+    return r.file_intents(_t(spark, d, "eval_questions"), "item_id", "question")
+
+
 def file_ranking(spark, d):
     files = _t(spark, d, "repo_files")
-    asked = _questions(spark, d).orderBy("item_id").select("item_id", asked_words("question").alias("ws"))
-    return r.rank_files(catalog.file_profiles(files), files, ((x["item_id"], list(x["ws"])) for x in asked.toLocalIterator()), 6)
+    asked = _questions(spark, d).select("item_id", asked_words("question").alias("ws"))
+    intents = file_intents(spark, d).groupBy("item_id").agg(F.collect_list("intent").alias("intents"))
+    rows = asked.join(intents, "item_id", "left").orderBy("item_id")
+    return r.rank_files(catalog.file_profiles(files), files, ((x["item_id"], list(x["ws"]), list(x["intents"] or ())) for x in rows.toLocalIterator()), 6)
 
 
 QUERIES = {
     f.__name__: f
-    for f in (token_stats, bm25_topk, bm25_documents, dense_topk, symbol_match_tiers, symbol_match_fuzzy, rrf_two_lists, rrf_three_lists, query_intents, symbol_hints, file_ranking)
+    for f in (token_stats, bm25_topk, bm25_documents, dense_topk, symbol_match_tiers, symbol_match_fuzzy, rrf_two_lists, rrf_three_lists, query_intents, symbol_hints, file_intents, file_ranking)
 }
 
 _LINES = r"string_split(regexp_replace(coalesce(content, ''), '\r\n?', chr(10), 'g'), chr(10))"
@@ -187,10 +193,13 @@ a AS (SELECT doc_id, list_concat(
   list_filter(regexp_extract_all(v, '[A-Za-z0-9_]+'), lambda x: regexp_full_match(x, '[A-Z][A-Za-z0-9]*[A-Z][A-Za-z0-9]*') AND regexp_matches(x, '[a-z]'))) AS h FROM t)
 SELECT doc_id, unnest(list_distinct(list_transform(h, lambda x: lower(x)))) AS hint FROM a
 """,
+    "file_intents": " UNION ALL ".join(f"SELECT item_id, '{n}' AS intent FROM eval_questions WHERE " + " OR ".join(f"contains(lower(question), '{w}')" for w in words) for n, (words, _) in r.FILE_INTENTS.items()),
     "file_ranking": f"""
 WITH {PROFILES}, q AS (SELECT item_id AS query_id, {WORDS} AS ws FROM eval_questions WHERE item_id % 50 = 0),
-f AS (SELECT p.id, p.path, lower(p.path) AS low, lower(r.content) AS text, p.importance, p.is_core FROM profiles p JOIN repo_files r USING (id) WHERE r.content IS NOT NULL),
-s AS (SELECT query_id, id, path, importance, is_core, list_sum(list_transform(ws, lambda w: CASE WHEN contains(low, w) THEN 8 ELSE 0 END + least(8, (length(text) - length(replace(text, w, ''))) // length(w)))) AS ws FROM f, q),
+it AS (SELECT * FROM ({" UNION ALL ".join(f"SELECT item_id AS query_id, '{name}' AS name FROM eval_questions WHERE item_id % 50 = 0 AND (" + " OR ".join(f"contains(lower(question), '{w}')" for w in words) + ")" for _, (words, names) in r.FILE_INTENTS.items() for name in names)})),
+bn AS (SELECT query_id, name, count(*) * 30 AS bonus FROM it GROUP BY 1, 2),
+f AS (SELECT p.id, p.path, string_split(p.path, '/')[-1] AS name, lower(p.path) AS low, lower(r.content) AS text, p.importance, p.is_core FROM profiles p JOIN repo_files r USING (id) WHERE r.content IS NOT NULL),
+s AS (SELECT q.query_id, id, path, importance, is_core, list_sum(list_transform(ws, lambda w: CASE WHEN contains(low, w) THEN 8 ELSE 0 END + least(8, (length(text) - length(replace(text, w, ''))) // length(w)))) + coalesce(bonus, 0) AS ws FROM f CROSS JOIN q LEFT JOIN bn ON bn.query_id = q.query_id AND bn.name = f.name),
 z AS (SELECT query_id, id, path, round(ws + CASE WHEN is_core THEN 5 ELSE 0 END + least(importance, 100) / 25, 6) AS score FROM s WHERE ws > 0)
 SELECT query_id, id, score, place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, path, id) AS place FROM z) WHERE place <= 6
 """,
