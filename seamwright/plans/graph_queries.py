@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from ..operators import graph as g
 from ..operators import hierarchy as h
 from ..operators import structure
+from ..session import checkpointed
 from .indexing_queries import XRK
-from .retrieval_queries import bm25_topk
+from .retrieval_queries import SQL as RETRIEVAL_SQL
+from .retrieval_queries import bm25_topk, rrf_two_lists
 from .structure_queries import PARENTS
 
 
@@ -103,6 +105,16 @@ def hierarchy_normalised(spark, d):
     return h.normalised(found, structure.family_roots(parents), parents, h.exact_spans(chunks), "item_id")
 
 
+def fused_search(spark, d):
+    """The search in stages: word and symbol lists fused, widened in the hierarchy, normalised."""
+    chunks = _chunks(spark, d)
+    parents = structure.span_parents(chunks)
+    fused = checkpointed(rrf_two_lists(spark, d).select("hint_id", "id", "place"))
+    above = h.ancestors(parents)
+    kept = h.normalised(h.expand(fused, above, "hint_id"), structure.family_roots(parents), parents, h.exact_spans(chunks), "hint_id")
+    return kept.select("hint_id", "id", "place")
+
+
 def hierarchy_scope(spark, d):
     chunks = _chunks(spark, d)
     return h.in_scope(chunks, chunks.where("id % 50 = 0"), 6)
@@ -144,7 +156,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         relation_nodes, stored_edges, neighbour_edges, outgoing_edges, edge_rejections, node_resolutions, graph_identities, graph_expand, chunk_ancestors, hierarchy_cycles,
-        hierarchy_relations, exact_spans, group_ids, hierarchy_expand, hierarchy_normalised, hierarchy_scope, chain_checks, relation_aware, reached_chunks, walk_diagnostics,
+        hierarchy_relations, exact_spans, group_ids, hierarchy_expand, hierarchy_normalised, fused_search, hierarchy_scope, chain_checks, relation_aware, reached_chunks, walk_diagnostics,
     )
 }
 
@@ -266,3 +278,4 @@ SQL["reached_chunks"] = f"{_WALKS} SELECT DISTINCT seed, chunk_id FROM wk JOIN n
 SQL["walk_diagnostics"] = f"""{_WALKS}, ws AS (SELECT wk.*, project_id, kind FROM wk JOIN nd ON node_id = seed)
 SELECT CASE WHEN grouping(project_id) = 0 THEN 'project' WHEN grouping(kind) = 0 THEN 'kind' ELSE 'all' END AS level, project_id, kind, count(DISTINCT seed) AS seeds, count(*) AS paths, count(*) FILTER (depth = 2) AS second, round(count(*) / count(DISTINCT seed), 6) AS mean_paths
 FROM ws GROUP BY GROUPING SETS ((project_id), (kind), ())"""
+SQL["fused_search"] = SQL["hierarchy_normalised"].replace(XRK, f"xrk AS (SELECT hint_id AS q, id AS k, place FROM ({RETRIEVAL_SQL['rrf_two_lists']}))").replace('SELECT item_id, id, grp AS "group", final AS place', "SELECT item_id AS hint_id, id, final AS place")
