@@ -347,6 +347,23 @@ def symbol_matches(chunks: DataFrame, hints: DataFrame, k: int = 20, mode: str =
     return top_k(ranked, ["hint_id"], order, k).select("hint_id", "id", "tier", "score", "match_type", "place")
 
 
+def symbol_candidates(chunks: DataFrame, hints: DataFrame, key: str, pool: int = 24, most_hints: int = 8) -> DataFrame:
+    """(key, id, hints, tier, score, match_types, place): one list of candidates for queries of several hints.
+
+    ``hints``: key, hint_id, value, path.  Of a query the first ``most_hints`` hints count, each
+    with its share of the pool (rounded up).  A chunk that several hints find has the best
+    place and score among them, and the union of their match types.
+    """
+    ranked = hints.withColumn("at", F.row_number().over(Window.partitionBy(key).orderBy("hint_id"))).where(F.col("at") <= most_hints)
+    share = ranked.groupBy(key).agg(F.ceil(F.lit(pool) / F.count("*")).alias("share"))
+    found = symbol_matches(chunks, ranked.select("hint_id", "value", "path"), pool).join(ranked.select(key, "hint_id"), "hint_id").join(share, key).where(F.col("place") <= F.col("share"))
+    one = found.groupBy(key, "id").agg(
+        F.countDistinct("hint_id").alias("hints"), F.min(F.struct("place", (-F.col("score")).alias("low"), "tier")).alias("b"), F.array_join(F.array_sort(F.collect_set("match_type")), ",").alias("match_types")
+    )
+    rows = one.select(key, "id", "hints", F.col("b.tier").alias("tier"), (-F.col("b.low")).alias("score"), "match_types", F.col("b.place").alias("best"))
+    return top_k(rows, [key], [F.col("best"), F.desc("score"), F.col("id")], pool).select(key, "id", "hints", "tier", "score", "match_types", "place")
+
+
 def fuse(lists: dict[str, tuple[DataFrame, float]], by: str, key: str, k: int = 8) -> DataFrame:
     """Reciprocal-rank fusion of ranked lists (by, key, place): sum of weight / (60 + place).
 

@@ -54,6 +54,12 @@ def symbol_match_fuzzy(spark, d):
     return r.symbol_matches(_t(spark, d, "code_chunks"), chunks.select(F.col("id").alias("hint_id"), part.alias("value"), F.when(F.col("id") % 150 == 0, F.col("path")).alias("path")), 20, "fuzzy")
 
 
+def symbol_candidates(spark, d):
+    """Ten chunk hints a query, of which eight count."""
+    hints = _hints(spark, d).withColumn("query_id", F.floor(F.col("hint_id") / 500))
+    return r.symbol_candidates(_t(spark, d, "code_chunks"), hints, "query_id")
+
+
 def _two_lists(spark, d):
     chunks = _t(spark, d, "code_chunks")
     asked = chunks.where("id % 50 = 0").select(F.col("id").alias("hint_id"), F.col("qualified_name").alias("value"))
@@ -106,7 +112,7 @@ def file_ranking(spark, d):
 
 QUERIES = {
     f.__name__: f
-    for f in (token_stats, bm25_topk, bm25_documents, dense_topk, symbol_match_tiers, symbol_match_fuzzy, rrf_two_lists, rrf_three_lists, query_intents, symbol_hints, file_intents, file_ranking)
+    for f in (token_stats, bm25_topk, bm25_documents, dense_topk, symbol_match_tiers, symbol_match_fuzzy, symbol_candidates, rrf_two_lists, rrf_three_lists, query_intents, symbol_hints, file_intents, file_ranking)
 }
 
 _LINES = r"string_split(regexp_replace(coalesce(content, ''), '\r\n?', chr(10), 'g'), chr(10))"
@@ -204,3 +210,8 @@ z AS (SELECT query_id, id, path, round(ws + CASE WHEN is_core THEN 5 ELSE 0 END
 SELECT query_id, id, score, place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, path, id) AS place FROM z) WHERE place <= 6
 """,
 }
+SQL["symbol_candidates"] = f"""
+WITH {SYMBOL_SQL}, g AS (SELECT id // 500 AS query_id, id AS hint_id, row_number() OVER (PARTITION BY id // 500 ORDER BY id) AS hn FROM code_chunks WHERE id % 50 = 0), gn AS (SELECT query_id, ceil(24 / count(*)) AS share FROM g WHERE hn <= 8 GROUP BY 1),
+a AS (SELECT query_id, id, count(DISTINCT hint_id) AS hints, min((place, -score, tier)) AS b, string_agg(DISTINCT match_type, ',' ORDER BY match_type) AS match_types FROM sy JOIN g USING (hint_id) JOIN gn USING (query_id) WHERE hn <= 8 AND place <= share GROUP BY 1, 2)
+SELECT * FROM (SELECT query_id, id, hints, b[3]::BIGINT AS tier, -b[2] AS score, match_types, row_number() OVER (PARTITION BY query_id ORDER BY b[1], b[2], id) AS place FROM a) WHERE place <= 24
+"""
