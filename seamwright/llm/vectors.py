@@ -293,7 +293,7 @@ def nearest_vectors(
     return ranked.unionByName(later).select("id", "model", "neighbour_id", F.col("similarity"), "rank")
 
 
-def similar_pairs(df: DataFrame, k: int = 5, min_similarity: float = 0.8, m: int = 8, ef: int = 20, **options) -> DataFrame:
+def similar_pairs(df: DataFrame, k: int = 5, min_similarity: float = 0.8, m: int = 10, ef: int = 20, **options) -> DataFrame:
     """(id_a, id_b), id_a < id_b: one of the two is among the k nearest of the other, and that near."""
     near = nearest_vectors(df, k=k, min_similarity=min_similarity, m=m, ef=ef, **options)
     return near.select(F.least("id", "neighbour_id").alias("id_a"), F.greatest("id", "neighbour_id").alias("id_b")).distinct()
