@@ -63,14 +63,10 @@ def _unit(blobs) -> np.ndarray:
     return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
 
 
-def fit_cells(sample: np.ndarray, cells: int, rounds: int = 8) -> np.ndarray:
-    """At most ``cells`` centres of a sample of unit vectors.
-
-    Centres follow the density: after each round the emptiest take half of the fullest.
-    """
-    cells = max(1, min(cells, len(sample) // 8 or 1))
+def _means(sample: np.ndarray, cells: int, rounds: int) -> np.ndarray:
+    """``cells`` centres by spherical k-means, begun at rows in equal distances."""
     centres = sample[np.linspace(0, len(sample) - 1, cells).astype(int)].astype(np.float32)
-    for k in range(rounds if cells > 1 else 0):
+    for _ in range(rounds if cells > 1 else 0):
         home = (sample @ centres.T).argmax(1)
         count = np.bincount(home, minlength=cells)
         order = np.argsort(home, kind="stable")
@@ -78,19 +74,34 @@ def fit_cells(sample: np.ndarray, cells: int, rounds: int = 8) -> np.ndarray:
         for c in np.flatnonzero(count):
             mean = sample[order[ends[c] - count[c] : ends[c]]].mean(0)
             centres[c] = mean / (np.linalg.norm(mean) or 1)
-        if k < rounds - 2:
-            mean_count = len(sample) / cells
-            full = [c for c in np.argsort(-count) if count[c] > 2 * mean_count]
-            for c, e in zip(full, np.argsort(count)):
-                if count[e] * 4 > mean_count:
-                    break
-                mine = sample[order[ends[c] - count[c] : ends[c]]]
-                far = mine[(mine @ centres[c]).argmin()]
-                two = centres[c] + far
-                centres[e] = two / (np.linalg.norm(two) or 1)
     return centres
 
 
+def fit_cells(sample: np.ndarray, cells: int, rounds: int = 8) -> np.ndarray:
+    """About ``cells`` centres of a sample of unit vectors.
+
+    Centres follow the density: a cell of more than 1.5 times its share is fitted again on
+    its own rows, as often as it takes.
+    """
+    share = max(8.0, len(sample) / max(1, cells))
+    todo = [_means(sample, max(1, min(cells, len(sample) // 8 or 1)), rounds)]
+    home = (sample @ todo[0].T).argmax(1)
+    parts = [(sample[home == c], todo[0][c : c + 1]) for c in range(len(todo[0]))]
+    out: list[np.ndarray] = []
+    while parts:
+        rows, centre = parts.pop()
+        if len(rows) <= 1.5 * share:
+            out.append(centre)
+            continue
+        inner = _means(rows, int(np.ceil(len(rows) / share)), rounds)
+        home = (rows @ inner.T).argmax(1)
+        if np.bincount(home, minlength=len(inner)).max() == len(rows):
+            out.append(centre)  # equal directions cannot be told apart
+            continue
+        parts.extend((rows[home == c], inner[c : c + 1]) for c in range(len(inner)))
+    return np.concatenate(out)
+
+
 class Router:
     """Centres in two levels; ``probes`` gives the cells of vectors, nearest first.
 
