@@ -9,12 +9,16 @@
 * In each shard a small-world graph is built (``hnsw.Graph``).  A representative is placed
   in its nearest cell and searched for there, and in up to ``max_probes - 1`` other cells
   whose centre is within ``margin`` of the nearest one, however many cells there are.
+* With ``exact`` what reaches ``min_similarity`` in a shard is complete: the graph gives a
+  vector a bound, its k-th neighbour there, and the shard is compared in blocks for what
+  is at least that near; vectors of other cells are compared with ``min_similarity``.
 * The results of the shards are merged and the copies are put back; copies beyond the
   first ``k + 1`` of a vector have the first ``k`` as their neighbours.
 
 ``m`` and ``ef`` are the width of the graph and of its search.  Neighbours that are near
-(similarity 0.8 or more, ``similar_pairs``) are found with a narrow search; to find the
-nearest ones among vectors without structure takes the wide one of ``nearest_vectors``.
+(similarity 0.8 or more, ``similar_pairs``) take a narrow search, larger shards and more
+cells a vector, as a near pair that no cell holds together is lost; to find the nearest
+ones among vectors without structure takes the wide search of ``nearest_vectors``.
 """
 
 from __future__ import annotations
@@ -29,17 +33,26 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import checkpointed
-from .hnsw import Graph
+from .hnsw import Graph, _top
 
 #: the router's sample on the driver, and the vectors of one shard; documented parameters
 SAMPLE_ROWS = 8192
 SHARD_ROWS = 8_000
 MARGIN = 0.08
 MAX_PROBES = 3
-#: cells of the first fit, sampled vectors for each cell of the second, and cells in all (their centres are sent to every task)
+#: the same for near pairs; above ``NEAR_CELLS`` cells twice as many are searched, within ``NEAR_WIDER`` more.  Long vectors have shards of ``NEAR_FLOATS``, but not below ``SHARD_ROWS``
+NEAR_SHARD_ROWS = 32_000
+NEAR_FLOATS = 6_000_000
+NEAR_MARGIN = 0.15
+NEAR_PROBES = 12
+NEAR_CELLS = 128
+NEAR_WIDER = 0.05
+#: cells of the first fit, sampled vectors for each cell, and cells in all (their centres are sent to every task)
 TOP_CELLS = 256
-ROWS_PER_CELL = 24
+ROWS_PER_CELL = 100
 MOST_CELLS = 65_536
+#: up to so many cells a vector is compared with every centre
+FLAT_CELLS = 4096
 
 
 def _valid(df: DataFrame, vid: str, group: str, blob: str, dimension: str) -> DataFrame:
@@ -112,6 +125,7 @@ class Router:
     def __init__(self, top: np.ndarray, below: list[np.ndarray]):
         self.top, self.below = top, below
         self.first = np.cumsum([0, *map(len, below)])
+        self.flat = np.concatenate(below) if self.first[-1] <= FLAT_CELLS else None
 
     @property
     def cells(self) -> int:
@@ -119,6 +133,10 @@ class Router:
 
     def probes(self, x: np.ndarray, most: int, margin: float) -> tuple[np.ndarray, np.ndarray]:
         """(cells, wanted), both (n, most): the nearest cells and whether they are within the margin."""
+        if self.flat is not None:
+            parts = [_top(s := x[a : a + 1024] @ self.flat.T, np.broadcast_to(np.arange(self.cells), s.shape), most) for a in range(0, len(x), 1024)]
+            sims, cells = (np.concatenate([p[j] for p in parts]) for j in range(2))
+            return cells, sims >= sims[:, :1] - margin
         near = self.top @ x.T
         ways = min(most, len(self.top))
         upper = np.argsort(-near, axis=0, kind="stable")[:ways].T
@@ -150,7 +168,8 @@ def fit_router(draw: Callable[[int], DataFrame], n: int, shard_rows: int, sample
     ``draw(rows)`` gives about so many of them as (id, blob).
     """
     cells = cells_for(n, shard_rows)
-    sample = [r["blob"] for r in draw(sample_rows).select("blob").limit(2 * sample_rows).collect()]
+    rows = max(sample_rows, ROWS_PER_CELL * min(cells, TOP_CELLS))
+    sample = [r["blob"] for r in draw(rows).select("blob").limit(2 * rows).collect()]
     if not sample:
         return None
     x = _unit(sample)
@@ -182,16 +201,76 @@ def fit_router(draw: Callable[[int], DataFrame], n: int, shard_rows: int, sample
     return Router(top, [np.stack(c) if c else top[k : k + 1] for k, c in enumerate(inner)])
 
 
+class Blocks:
+    """Exact comparison of vectors with those of one shard.
+
+    A vector is turned into the axes in which the shard's vectors have most of their length;
+    the first ones are multiplied out, the rest counts by its length at most (Cauchy-Schwarz).
+    Pairs whose bound is too low are passed over, of the others the similarity is computed.
+    ``x``: unit vectors (n, d) float64; ``low``: their ids, for equal similarities.
+    """
+
+    def __init__(self, x: np.ndarray, low: np.ndarray, least: float):
+        self.x, self.low = x, low
+        self.single = x.astype(np.float32)
+        d = x.shape[1]
+        self.axes = np.linalg.eigh(self.single.T @ self.single)[1][:, ::-1].astype(np.float32)
+        some = self.single[np.linspace(0, len(x) - 1, min(len(x), 512)).astype(int)] @ self.axes
+        best = None
+        for head in sorted({max(1, d // 4), max(1, d // 3), max(1, 5 * d // 12), max(1, d // 2), d}):
+            z = self._bounded(some, head)
+            cost = head + 4500 * float((z @ z.T >= least).mean())  # a pair to look at costs as much as 4 500 factors
+            if best is None or cost < best:
+                best, self.head = cost, head
+        self.bounds = self._bounded(self.single @ self.axes, self.head)
+
+    @staticmethod
+    def _bounded(y: np.ndarray, head: int) -> np.ndarray:
+        return np.hstack([y[:, :head], np.linalg.norm(y[:, head:], axis=1, keepdims=True)]).astype(np.float32)
+
+    def nearest(self, q: np.ndarray, k: int, least: np.ndarray, own: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row of q, row of x, similarity): the k most similar of each row among those of at least its ``least``;
+        ``own`` is where the rows of q begin in x, if they are of the shard."""
+        n = len(self.x)
+        step = max(16, min(512, 8_000_000 // n))
+        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for a in range(0, len(q), step):
+            part = q[a : a + step]
+            single = part.astype(np.float32)
+            floor = (least[a : a + step] - 1e-5).astype(np.float32)
+            hits = np.flatnonzero(self._bounded(single @ self.axes, self.head) @ self.bounds.T >= floor[:, None])
+            if len(hits) > 0.05 * len(part) * n:
+                s = single @ self.single.T
+                kth = np.partition(s, max(0, n - k - 1), axis=1)[:, max(0, n - k - 1)]
+                r, c = np.nonzero(s >= np.maximum(floor, kth - np.float32(1e-5))[:, None])
+            else:
+                r, c = np.divmod(hits, n)
+                s = np.concatenate([np.einsum("ij,ij->i", single[r[b : b + 20_000]], self.single[c[b : b + 20_000]]) for b in range(0, len(r), 20_000)] or [np.zeros(0, np.float32)])
+                r, c = r[s >= floor[r]], c[s >= floor[r]]
+            if own is not None:
+                r, c = r[own + a + r != c], c[own + a + r != c]
+            s = np.concatenate([np.einsum("ij,ij->i", part[r[b : b + 20_000]], self.x[c[b : b + 20_000]]) for b in range(0, len(r), 20_000)] or [np.zeros(0)])
+            at = np.lexsort((self.low[c], -s, r))
+            r, c, s = r[at], c[at], s[at]
+            first = np.flatnonzero(np.r_[True, r[1:] != r[:-1]]) if len(r) else np.zeros(0, int)
+            keep = np.arange(len(r)) - np.repeat(first, np.diff(np.r_[first, len(r)])) < k
+            out.append((a + r[keep], c[keep], s[keep]))
+        if not out:
+            return np.zeros(0, int), np.zeros(0, int), np.zeros(0)
+        return tuple(np.concatenate([o[j] for o in out]) for j in range(3))
+
+
 def nearest_vectors(
     df: DataFrame, vid: str = "id", group: str = "model_name", blob: str = "vector_blob", dimension: str = "embedding_dimension",
     k: int = 5, min_similarity: float = -1.0, m: int = 16, ef: int = 128, shard_rows: int = SHARD_ROWS,
-    sample_rows: int = SAMPLE_ROWS, margin: float = MARGIN, max_probes: int = MAX_PROBES,
+    sample_rows: int = SAMPLE_ROWS, margin: float = MARGIN, max_probes: int = MAX_PROBES, exact: bool = False,
 ) -> DataFrame:
     """(id, model, neighbour_id, similarity, rank): the k nearest by cosine within each model.
 
     Only pairs of at least ``min_similarity`` are returned; of equal similarities the smaller
     id comes first.  Null ids, models and blobs, and blobs that do not fit, are left out; a
-    repeated id is as many vectors.  A vector alone in its model has no rows.
+    repeated id is as many vectors.  A vector alone in its model has no rows.  ``exact``: shards
+    are compared in full for what reaches ``min_similarity``.
     """
     valid = _valid(df, vid, group, blob, dimension)
     by_value = Window.partitionBy("model", "blob").orderBy("id")
@@ -208,7 +287,8 @@ def nearest_vectors(
     )
     router: dict[tuple[str, int], Router] = {}
     for row in lengths:
-        if row["count"] <= shard_rows:
+        in_shard = min(shard_rows, max(SHARD_ROWS, NEAR_FLOATS // row["dim"]))
+        if row["count"] <= in_shard:
             continue
 
         def draw(rows: int, row=row) -> DataFrame:
@@ -217,32 +297,28 @@ def nearest_vectors(
             some = df.where((F.col(group).cast("string") == row["model"]) & (F.col(dimension) == row["dim"]) & (F.shiftrightunsigned(F.xxhash64(F.col(vid).cast("string")), 2) < below))
             return _valid(some, vid, group, blob, dimension)
 
-        fitted = fit_router(draw, row["count"], shard_rows, sample_rows)
+        fitted = fit_router(draw, row["count"], in_shard, sample_rows)
         if fitted is not None:
             router[row["model"], row["dim"]] = fitted
     sent = spark.sparkContext.broadcast(router)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            t = batch.to_pydict()
-            out: dict[str, list] = {"shard": [], "home": [], "blob": [], "ids": []}
+        for batch in (whole.slice(a, 2048) for whole in batches for a in range(0, len(whole), 2048)):
+            models, blobs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             by: dict[tuple[str, int], list[int]] = {}
-            for i, (model, b) in enumerate(zip(t["model"], t["blob"])):
+            for i, (model, b) in enumerate(zip(models, blobs)):
                 by.setdefault((model, len(b) // 4), []).append(i)
             for (model, dim), rows in by.items():
                 fitted = sent.value.get((model, dim))
                 if fitted is None:
                     cells, wanted = np.zeros((len(rows), 1), np.int64), np.ones((len(rows), 1), bool)
                 else:
-                    cells, wanted = fitted.probes(_unit([t["blob"][i] for i in rows]), max_probes, margin)
-                for i, some, want in zip(rows, cells.tolist(), wanted.tolist()):
-                    for j, cell in enumerate(some):
-                        if want[j]:
-                            out["shard"].append(f"{model}\x00{dim}\x00{cell}")
-                            out["home"].append(j == 0)
-                            out["blob"].append(t["blob"][i])
-                            out["ids"].append(t["ids"][i])
-            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("shard", pa.string()), ("home", pa.bool_()), ("blob", pa.binary()), ("ids", pa.list_(pa.int64()))]))
+                    many = exact and fitted.cells > NEAR_CELLS
+                    cells, wanted = fitted.probes(_unit([blobs[i] for i in rows]), max_probes * (1 + many), margin + NEAR_WIDER * many)
+                r, j = np.nonzero(wanted)
+                at = pa.array(np.asarray(rows)[r])
+                shard = pa.array([f"{model}\x00{dim}\x00{cell}" for cell in cells[r, j].tolist()], pa.string())
+                yield pa.RecordBatch.from_arrays([shard, pa.array(j == 0), batch.column(1).take(at), batch.column(2).take(at)], ["shard", "home", "blob", "ids"])
 
     routed = reps.select("model", "blob", "ids").mapInArrow(route, "shard string, home boolean, blob binary, ids array<long>")
     shards = sum(r.cells for r in router.values()) + len(lengths)
@@ -259,17 +335,30 @@ def nearest_vectors(
         low = [i[0] for i in here["ids"]]
         graph = Graph(raw.astype(np.float32), np.asarray(low, np.int64), m=m, ef=ef)
         a, b, s = graph.neighbours(k + 3)
-        near = s >= min_similarity - 1e-4
-        a, b = a[near], b[near]
+        if exact:
+            # the graph's k-th neighbour is the bound of a vector
+            rank = np.arange(len(a)) - np.searchsorted(a, a)
+            least = np.full(len(raw), min_similarity)
+            least[a[rank == k - 1]] = np.maximum(s[rank == k - 1], min_similarity)
+            blocks = Blocks(raw, np.asarray(low, np.int64), min_similarity)
+            a, b, _ = blocks.nearest(raw, k + 3, least, own=0)
+        else:
+            near = s >= min_similarity - 1e-4
+            a, b = a[near], b[near]
         mine = here["ids"].to_numpy()
         parts = [(mine[a], mine[b], np.einsum("ij,ij->i", raw[a], raw[b]), np.full(len(a), None))]
-        if len(guests):
-            q = np.stack([np.frombuffer(v, "<f4") for v in guests["blob"]]).astype(np.float64)
+        for at in range(0, len(guests), 8192):
+            some = guests["ids"].to_numpy()[at : at + 8192]
+            q = np.stack([np.frombuffer(v, "<f4") for v in guests["blob"][at : at + 8192]]).astype(np.float64)
             q /= np.linalg.norm(q, axis=1, keepdims=True)
-            s, i = graph.search(q.astype(np.float32), k + 3)
-            r, c = np.nonzero((i >= 0) & (s >= min_similarity - 1e-4))
-            i = i[r, c]
-            parts.append((guests["ids"].to_numpy()[r], mine[i], np.einsum("ij,ij->i", q[r], raw[i]), np.full(len(r), None)))
+            if exact:
+                r, i, s = blocks.nearest(q, k + 3, np.full(len(q), min_similarity))
+            else:
+                s, i = graph.search(q.astype(np.float32), k + 3)
+                r, c = np.nonzero((i >= 0) & (s >= min_similarity - 1e-4))
+                i = i[r, c]
+                s = np.einsum("ij,ij->i", q[r], raw[i])
+            parts.append((some[r], mine[i], s, np.full(len(r), None)))
         # the copies of a vector are its nearest; of crowded ones the value is kept for the rest
         several = np.flatnonzero([len(i) > 1 for i in mine])
         value = np.array([md5(here["blob"][j]).hexdigest() if len(mine[j]) > k else None for j in several], dtype=object)
@@ -304,7 +393,10 @@ def nearest_vectors(
     return ranked.unionByName(later).select("id", "model", "neighbour_id", F.col("similarity"), "rank")
 
 
-def similar_pairs(df: DataFrame, k: int = 5, min_similarity: float = 0.8, m: int = 10, ef: int = 20, **options) -> DataFrame:
+def similar_pairs(
+    df: DataFrame, k: int = 5, min_similarity: float = 0.8, m: int = 10, ef: int = 20, shard_rows: int = NEAR_SHARD_ROWS,
+    margin: float = NEAR_MARGIN, max_probes: int = NEAR_PROBES, exact: bool = True, **options,
+) -> DataFrame:
     """(id_a, id_b), id_a < id_b: one of the two is among the k nearest of the other, and that near."""
-    near = nearest_vectors(df, k=k, min_similarity=min_similarity, m=m, ef=ef, **options)
+    near = nearest_vectors(df, k=k, min_similarity=min_similarity, m=m, ef=ef, shard_rows=shard_rows, margin=margin, max_probes=max_probes, exact=exact, **options)
     return near.select(F.least("id", "neighbour_id").alias("id_a"), F.greatest("id", "neighbour_id").alias("id_b")).distinct()

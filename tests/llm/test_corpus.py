@@ -94,6 +94,33 @@ def test_pairs_over_shards(spark):
     assert len(want & got) >= 0.95 * len(want)
 
 
+def test_near_pairs_over_many_cells(spark):
+    """Near pairs without further structure in 60 cells: all but one in a thousand are found."""
+    x = clustered(6000, 64, seed=11, copies=2, noise=0.3)
+    df = spark.createDataFrame([(i, "m", blob(v), 64, "x", "y", 0) for i, v in enumerate(x)], VECTORS)
+    got = {tuple(r) for r in vectors.similar_pairs(df, shard_rows=100, sample_rows=512).collect()}
+    want = {(min(p), max(p)) for p in truth(x, 5, 0.8)}
+    assert len(want & got) >= 0.999 * len(want) and len(got - want) <= 0.001 * len(want)
+
+
+@pytest.mark.parametrize("noise", [0.25, 0.01])
+def test_a_shard_is_compared_in_full(noise):
+    """Thin and crowded shards, equal similarities and bounds of single rows."""
+    x = clustered(1200, 32, seed=4, copies=400 if noise < 0.1 else 6, noise=noise)
+    x[7:40] = x[5] * np.float32(2)
+    x = x.astype(np.float64) / np.linalg.norm(x, axis=1, keepdims=True)
+    blocks = vectors.Blocks(x, np.arange(len(x)), 0.8)
+    r, c, s = blocks.nearest(x, 5, np.full(len(x), 0.8), own=0)
+    at = np.round(x @ x.T, 12)
+    np.fill_diagonal(at, -2)
+    for i in range(0, len(x), 7):
+        best = [j for j in np.lexsort((np.arange(len(x)), -at[i]))[:5] if at[i, j] >= 0.8]
+        assert np.allclose(s[r == i], at[i, best]) and len(set(c[r == i].tolist())) == len(best)
+    some = [5, 6, 900]
+    r, c, s = blocks.nearest(x[some], 3, np.array([0.8, 0.999999, 0.8]))
+    assert set(c[r == 1].tolist()) == {6} and (np.bincount(r) <= 3).all() and 900 in c[r == 2]
+
+
 def test_copies_and_ties(spark):
     rows = [(i, "m", blob([1.0, 2.0]), 2) for i in range(10)] + [(20, "m", blob([2.0, -1.0]), 2), (21, "n", blob([1.0, 2.0]), 2)]
     got = {}
